@@ -1,14 +1,69 @@
 """The corpus pipeline: quality, language, near duplicates, mixing, packing.
 
 ``STAGES`` lists (name, function); each function takes (spark, docs, sf_dir) and returns a
-DataFrame.  All but the last return the columns of ``documents``.
+DataFrame.  All but the last return the columns of ``documents``.  Rows with a null
+``doc_id`` take part in every stage.  Empty input gives empty output.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES: list = []
+from loomline.llm import langid, mixing, near_dup, packing, quality
+from loomline.llm.common import settle, table
+from loomline.llm.queries import tokenizer_path
+
+#: A text further than this share of the greatest distance from every learned language is none of them.
+FARTHEST = 0.85
+
+
+def _by_text(docs: DataFrame) -> DataFrame:
+    """``docs`` with a row id, kept as a copy so that a row can be found again by it."""
+    return settle(docs.withColumn("_row", F.monotonically_increasing_id()))
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier predicts as good; null text counts as empty."""
+    model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), lambda key: F.col(key).isNotNull())
+    scored = quality.score_quality(docs.withColumn("_text", F.col("text")), model, [*[c for c in docs.columns if c != "text"], "_text"])
+    return scored.where("predicted = 1").withColumnRenamed("_text", "text").select(docs.columns)
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a learned language: those without letters, or far from all profiles, go."""
+    profiles = langid.learn(docs)
+    found = langid.predict(docs.withColumn("_text", F.col("text")), profiles, [*[c for c in docs.columns if c != "text"], "_text"])
+    return found.where((F.col("lang_pred") != "und") & (F.col("distance") <= FARTHEST)).withColumnRenamed("_text", "text").select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five words, 0.8): its least doc_id."""
+    kept = near_dup.near_duplicates(docs, words=5, num=80, den=100).where("kept").select("doc_id").distinct()
+    left = docs.withColumn("_k", F.coalesce("doc_id", F.lit(-1)))
+    left = left.join(kept.select(F.coalesce("doc_id", F.lit(-1)).alias("_k")), "_k", "left_semi").drop("_k")
+    return left.select(docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: each document as many times as the mix reaches it, whole; others are not drawn."""
+    rows = _by_text(docs)
+    taken = mixing.mix(rows.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row", "doc_id")).taken()
+    times = taken.where("taken > 0").select(F.col("doc_id").alias("_row"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
+    return rows.join(times, "_row").withColumn("_i", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality_classifier", keep_quality),
+    ("language_id", keep_language),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("mix_to_weights", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
 
 #: Learned classifiers, sampling and best-fit packing have no SQL form; tests hold them to brute force.
 ORACLE_SQL = None
@@ -17,5 +72,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        df = stage(spark, df, sf_dir)
+        df = settle(stage(spark, df, sf_dir))
     return df

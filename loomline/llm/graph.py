@@ -1,4 +1,6 @@
-"""Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
+"""Links and groups without pairs of everything.
+
+Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
 Each step takes minima (combined before the shuffle) and one join that Spark may split, so a
 node with very many links does not end up in one task.
@@ -6,7 +8,9 @@ node with very many links does not end up in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import settle
@@ -39,3 +43,43 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels ``cid, label`` after the links ``a, b``."""
+    side = lambda c: labels.select(F.col("cid").alias(c), F.col("label").alias(f"l{c}"))
+    edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+    moved = components(edges).withColumnRenamed("node", "label")
+    return settle(labels.join(moved, "label", "left").select("cid", F.coalesce("root", "label").alias("label")))
+
+
+def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs ``a, b`` whose ends have different labels."""
+    j = pairs.join(labels.select(F.col("cid").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("cid").alias("b"), F.col("label").alias("lb")), "b")
+    return j.where("la <> lb").drop("la", "lb")
+
+
+def search_bands(bands: DataFrame, labels: DataFrame, near: Column, compare: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Labels after every needed comparison within bands.
+
+    ``bands``: ``key, cid, n``.  A band is searched from pivots: each pivot is compared with
+    all of its band that have another label yet (and satisfy ``near`` of ``n`` and the
+    pivot's ``pn``), is then done with, and the band rests once all it holds have one label.
+    Later rounds take eight times as many pivots.  So a large group of copies costs a few
+    comparisons for each member, and no pair of a band is given up.  ``compare`` takes
+    distinct pairs ``a, b`` and the labels and returns the labels after the true links.
+    """
+    pivots = 1
+    while True:
+        mine = bands.join(labels, "cid")
+        mixed = mine.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+        mine = settle(mine.join(mixed, "key"))
+        if mine.isEmpty():
+            return labels
+        order = Window.partitionBy("key").orderBy("h", "cid")
+        chosen = mine.withColumn("h", F.xxhash64("cid")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
+        chosen = settle(chosen.select("key", F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl")))
+        pairs = mine.join(chosen, "key").where((F.col("label") != F.col("pl")) & near)
+        labels = compare(settle(pairs.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()), labels)
+        bands = settle(mine.drop("label").join(chosen.select("key", F.col("p").alias("cid")), ["key", "cid"], "left_anti"))
+        pivots *= 8

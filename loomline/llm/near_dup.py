@@ -4,11 +4,8 @@
    128-bit key of the set, and a sketch: per bucket the least hash, kept as its count of
    leading zeros and ``MANTISSA`` further bits.  Empty buckets borrow from another bucket.
 2. Rows with equal sets are one class from here on.
-3. Bands of compressed registers are hashed; classes that share a band are candidates.
-   A band is searched from pivots: each pivot is compared with all others of its band that
-   have another label yet, is then done with, and the band rests once all it holds have one
-   label.  Later rounds take more pivots at once.  So a large group of copies costs a few
-   comparisons for each member, and no pair of a band is given up.
+3. Bands of compressed registers are hashed; classes that share a band are candidates and
+   are searched from pivots (see ``graph.search_bands``).
 4. Comparison: set sizes, then the collision-corrected Jaccard estimate of the registers
    (``MARGIN`` below the threshold passes), then the exact size of the intersection.
 5. Linked classes merge by connected components.
@@ -26,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
@@ -174,20 +171,6 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return j.select("a", "b", "set_a", "set_b").mapInArrow(_exact_rows(num, den), "a long, b long")
 
 
-def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels after the given links."""
-    side = lambda c: labels.select(F.col("cid").alias(c), F.col("label").alias(f"l{c}"))
-    edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-    moved = graph.components(edges).withColumnRenamed("node", "label")
-    return settle(labels.join(moved, "label", "left").select("cid", F.coalesce("root", "label").alias("label")))
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs whose ends have different labels."""
-    j = pairs.join(labels.select(F.col("cid").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("cid").alias("b"), F.col("label").alias("lb")), "b")
-    return j.where("la <> lb").drop("la", "lb")
-
-
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row; links need den * both >= num * union."""
     t = num / den
@@ -202,30 +185,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     labels = settle(bands.select("cid").distinct().withColumn("label", F.col("cid")))
     need = settle(classes.join(labels, "cid", "left_semi").select("cid", "k1", "k2", F.col("rep").alias("doc_id")))
     sets = settle(_sets(texts, need, words))
-    pivots = 1
-    while True:
-        mine = bands.join(labels, "cid")
-        mixed = mine.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        mine = settle(mine.join(mixed, "key"))
-        if mine.isEmpty():
-            break
-        order = Window.partitionBy("key").orderBy("h", "cid")
-        chosen = mine.withColumn("h", F.xxhash64("cid")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
-        chosen = settle(chosen.select("key", F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl")))
-        near = (F.col("n") * den >= F.col("pn") * num) & (F.col("pn") * den >= F.col("n") * num)
-        pairs = mine.join(chosen, "key").where((F.col("label") != F.col("pl")) & near)
-        pairs = settle(pairs.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct())
-        side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
-        likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimate_rows(t - MARGIN), "a long, b long, est double")
-        likely = settle(likely)
+    near = (F.col("n") * den >= F.col("pn") * num) & (F.col("pn") * den >= F.col("n") * num)
+    side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
+
+    def compare(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        likely = settle(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimate_rows(t - MARGIN), "a long, b long, est double"))
         best = settle(likely.groupBy("b").agg(F.max_by("a", "est").alias("a")).select("a", "b"))
-        labels = _merged(labels, settle(_verified(best, sets, num, den)))
-        rest = settle(_apart(likely.join(best, ["a", "b"], "left_anti"), labels))
-        if not rest.isEmpty():
-            labels = _merged(labels, settle(_verified(rest, sets, num, den)))
-        done = chosen.select("key", F.col("p").alias("cid"))
-        bands = settle(mine.drop("label").join(done, ["key", "cid"], "left_anti"))
-        pivots *= 8
+        labels = graph.merged(labels, settle(_verified(best, sets, num, den)))
+        rest = settle(graph.apart(likely.join(best, ["a", "b"], "left_anti"), labels))
+        return labels if rest.isEmpty() else graph.merged(labels, settle(_verified(rest, sets, num, den)))
+
+    labels = graph.search_bands(bands, labels, near, compare)
     known = classes.select("cid", "k1", "k2", "rep").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = known.groupBy("label").agg(F.min("rep").alias("component_id"))
     known = known.join(least, "label").select("k1", "k2", "component_id")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import langid, mixing, packing, quality, toxicity
+from . import chroma, context_mix, langid, mixing, near_dup, packing, quality, quotes, topk, toxicity
 from .common import fold, held_out, table
 
 
@@ -16,6 +17,19 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations written out as quoting mail, then linked and cleaned again."""
+    return quotes.link(quotes.as_mail(table(spark, sf_dir, "conversations")))
+
+
+def op2_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each embedding read as a melody: window i holds the energies of components i to i + 11."""
+    e = F.col("embedding")
+    frames = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(e) - 11)), lambda i: F.transform(F.slice(e, i, F.lit(12)), lambda x: F.abs(x.cast("double")))))
+    media = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.size(e) >= 12, frames).alias("frames"))
+    return chroma.group(chroma.fingerprints(media, "vec_id", "frames", "frames"))
+
+
 def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = langid.learn(docs.where(fold("doc_id", 4) != 2))
@@ -32,11 +46,24 @@ def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs.withColumn("held_out", held_out("doc_id", 3, 1)), model, ["doc_id", "held_out"])
 
 
+def op6_norm_bucketed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(topk.whole(table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0, 5)
+
+
 def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.mix(table(spark, sf_dir, "documents"))
     return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_hyperminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
+
+
+def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return context_mix.score(docs, context_mix.fit(docs, fold("doc_id", 7) != 2), held_out("doc_id", 7, 2))
+
+
 def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), lambda key: fold(key, 5) != 0)
@@ -44,11 +71,19 @@ def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op3_rank_order_language": op3_rank_order_language,
-    "op4_residual_packing": op4_residual_packing,
-    "op5_pu_quality": op5_pu_quality,
-    "op7_hypergeometric_mix": op7_hypergeometric_mix,
-    "op10_pu_toxicity": op10_pu_toxicity,
+    f.__name__: f
+    for f in (
+        op1_quotation_linking,
+        op2_chroma_alignment,
+        op3_rank_order_language,
+        op4_residual_packing,
+        op5_pu_quality,
+        op6_norm_bucketed_top_k,
+        op7_hypergeometric_mix,
+        op8_hyperminhash_near_dup,
+        op9_context_mixing,
+        op10_pu_toxicity,
+    )
 }
 
 ORACLES: dict[str, str] = {}
