@@ -7,6 +7,8 @@ DataFrame.  All but the last return the columns of ``documents``.  Rows with a n
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,36 +20,41 @@ from loomline.llm.queries import tokenizer_path
 FARTHEST = 0.85
 
 
-def _by_text(docs: DataFrame) -> DataFrame:
-    """``docs`` with a row id, kept as a copy so that a row can be found again by it."""
-    return settle(docs.withColumn("_row", F.monotonically_increasing_id()))
+def _kept(docs: DataFrame, judge: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """Rows of ``docs`` that ``judge`` returns; other columns can't clash with what it adds."""
+    inside = [c if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]
+    out = judge(docs.toDF(*inside), inside)
+    return out.select(*[F.col(i).alias(c) for i, c in zip(inside, docs.columns)])
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier predicts as good; null text counts as empty."""
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), lambda key: F.col(key).isNotNull())
-    scored = quality.score_quality(docs.withColumn("_text", F.col("text")), model, [*[c for c in docs.columns if c != "text"], "_text"])
-    return scored.where("predicted = 1").withColumnRenamed("_text", "text").select(docs.columns)
+    return _kept(docs, lambda d, names: quality.score_quality(d, model, names).where("predicted = 1"))
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language: those without letters, or far from all profiles, go."""
     profiles = langid.learn(docs)
-    found = langid.predict(docs.withColumn("_text", F.col("text")), profiles, [*[c for c in docs.columns if c != "text"], "_text"])
-    return found.where((F.col("lang_pred") != "und") & (F.col("distance") <= FARTHEST)).withColumnRenamed("_text", "text").select(docs.columns)
+    return _kept(docs, lambda d, names: langid.predict(d, profiles, names).where((F.col("lang_pred") != "und") & (F.col("distance") <= FARTHEST)))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five words, 0.8): its least doc_id."""
-    kept = near_dup.near_duplicates(docs, words=5, num=80, den=100).where("kept").select("doc_id").distinct()
-    left = docs.withColumn("_k", F.coalesce("doc_id", F.lit(-1)))
-    left = left.join(kept.select(F.coalesce("doc_id", F.lit(-1)).alias("_k")), "_k", "left_semi").drop("_k")
-    return left.select(docs.columns)
+    """One document of each group of near duplicates (five words, 0.8): its least doc_id.
+
+    Equal rows with one doc_id, or without any, count once.
+    """
+    found = near_dup.near_duplicates(docs, words=5, num=80, den=100)
+    kept = found.where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    left = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    again = found.where("kept").groupBy("doc_id").count().where("count > 1")
+    return left if again.isEmpty() else left.dropDuplicates(["doc_id", "text"])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: each document as many times as the mix reaches it, whole; others are not drawn."""
-    rows = _by_text(docs)
+    # A row id, kept as a copy so that a row can be found again by it.
+    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()))
     taken = mixing.mix(rows.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row", "doc_id")).taken()
     times = taken.where("taken > 0").select(F.col("doc_id").alias("_row"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
     return rows.join(times, "_row").withColumn("_i", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(docs.columns)

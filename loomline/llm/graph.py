@@ -46,7 +46,9 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
 
 def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Labels ``cid, label`` after the links ``a, b``."""
+    """Labels ``cid, label`` after the links ``a, b`` (a settled table)."""
+    if links.isEmpty():
+        return labels
     side = lambda c: labels.select(F.col("cid").alias(c), F.col("label").alias(f"l{c}"))
     edges = links.join(side("a"), "a").join(side("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b"))
     moved = components(edges).withColumnRenamed("node", "label")

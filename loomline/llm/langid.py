@@ -124,8 +124,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str], to
                 rest = np.delete(d, best).min() if len(langs) > 1 else 1.0
                 pred.append(langs[best]), far.append(float(d[best]))
                 score.append(float(min(1.0, max(0.0, 1 - d[best] / rest if rest else 0.0))))
-            kept = [n for n in b.schema.names if n != "text"]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.float64())], names=[*kept, "lang_pred", "score", "distance"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.float64())], names=[*keep, "lang_pred", "score", "distance"])
 
-    d = docs.select(*keep, "text")
-    return d.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in d.drop("text").dtypes) + ", lang_pred string, score double, distance double")
+    d = docs.select(*keep, *[c for c in ["text"] if c not in keep])
+    return d.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in d.select(*keep).dtypes) + ", lang_pred string, score double, distance double")

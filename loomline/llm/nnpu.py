@@ -152,8 +152,8 @@ class Model:
     bias: float
     prior: float
 
-    def scorer(self):
-        """A function for ``mapInArrow``: adds ``score`` from ``text``, drops ``text``."""
+    def scorer(self, names: list[str]):
+        """A function for ``mapInArrow``: the named columns and ``score`` of ``text``."""
         kind, selected, weights, bias = self.kind, self.selected, self.weights, self.bias
 
         def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +161,7 @@ class Model:
             for b in batches:
                 z = np.array([weights[np.asarray(ex(t), np.int64)].sum() for t in _texts(b)], float) + bias
                 s = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-                keep = [n for n in b.schema.names if n != "text"]
-                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in keep), pa.array(s, pa.float64())], names=[*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(s, pa.float64())], names=[*names, "score"])
 
         return score
 
@@ -235,8 +234,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, in_training, kind: str,
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """``keep`` columns (not ``text``) and ``score`` of every row; null text counts as empty."""
-    d = docs.select(*keep, "text")
-    return d.mapInArrow(model.scorer(), ", ".join(f"`{n}` {t}" for n, t in d.drop("text").dtypes) + ", score double")
-
-
+    """``keep`` columns and ``score`` of every row; null text counts as empty."""
+    d = docs.select(*keep, *[c for c in ["text"] if c not in keep])
+    return d.mapInArrow(model.scorer(keep), ", ".join(f"`{n}` {t}" for n, t in d.select(*keep).dtypes) + ", score double")

@@ -86,4 +86,38 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_OP1_LINE = "regexp_replace(line, '^((?:> ?)*)', '')"
+
+ORACLES: dict[str, str] = {
+    "op1_quotation_linking": f"""WITH RECURSIVE mail AS (
+  SELECT c.conv_id, c.turn, CASE WHEN p.text IS NULL THEN c.text ELSE CASE WHEN g.text IS NULL THEN '' ELSE '> > ' || replace(g.text, chr(10), chr(10) || '> > ') || chr(10) END
+    || '> ' || replace(p.text, chr(10), chr(10) || '> ') || chr(10) || chr(10) || coalesce(c.text, '') END AS text
+  FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 LEFT JOIN conversations g ON g.conv_id = c.conv_id AND g.turn = c.turn - 2),
+ raw AS (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM mail),
+ own_text AS (SELECT conv_id, turn, regexp_replace(string_agg(line, chr(10) ORDER BY pos), '^\\n+|\\n+$', '', 'g') AS text FROM raw WHERE NOT starts_with(line, '>') GROUP BY conv_id, turn),
+ l AS (SELECT conv_id, turn, length(replace(regexp_extract(line, '^((?:> ?)*)', 1), ' ', '')) AS level, trim(regexp_replace(lower({_OP1_LINE}), '\\s+', ' ', 'g')) AS body FROM raw),
+ k AS MATERIALIZED (SELECT * FROM l WHERE regexp_matches(body, '[\\p{{L}}\\p{{N}}]')),
+ near AS (SELECT conv_id, body, min(turn) AS turn FROM k WHERE level = 0 GROUP BY conv_id, body),
+ far AS (SELECT body, min((conv_id, turn)) AS m FROM k WHERE level = 0 GROUP BY body),
+ q AS (SELECT conv_id, turn, level, body, sum(length(body)) AS chars, count(*) AS lines FROM k WHERE level > 0 GROUP BY ALL),
+ f AS MATERIALIZED (SELECT q.*, CASE WHEN n.turn < q.turn THEN q.conv_id WHEN far.m < (q.conv_id, q.turn) THEN far.m[1] END AS sc, CASE WHEN n.turn < q.turn THEN n.turn WHEN far.m < (q.conv_id, q.turn) THEN far.m[2] END AS st
+  FROM q LEFT JOIN near n ON n.conv_id = q.conv_id AND n.body = q.body LEFT JOIN far ON far.body = q.body),
+ counts AS (SELECT conv_id, turn, sum(lines) AS n_quoted, sum(CASE WHEN sc IS NULL THEN 0 ELSE lines END) AS n_linked, max(level) AS max_level FROM f GROUP BY conv_id, turn),
+ parent AS MATERIALIZED (SELECT conv_id, turn, sc, st FROM (SELECT conv_id, turn, sc, st, sum(chars) AS c FROM f WHERE level = 1 AND sc IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY c DESC, sc, st) = 1),
+ up AS (SELECT m.conv_id, m.turn, m.conv_id AS rc, m.turn AS rt, 0::BIGINT AS depth FROM mail m LEFT JOIN parent p USING (conv_id, turn) WHERE p.sc IS NULL
+  UNION ALL SELECT p.conv_id, p.turn, u.rc, u.rt, u.depth + 1 FROM up u JOIN parent p ON p.sc = u.conv_id AND p.st = u.turn)
+ SELECT u.conv_id, u.turn, coalesce(t.text, '') AS text, coalesce(n_quoted, 0)::BIGINT AS n_quoted, coalesce(n_linked, 0)::BIGINT AS n_linked, coalesce(max_level, 0)::BIGINT AS max_level, p.sc AS reply_conv, p.st AS reply_turn, u.rc AS root_conv, u.rt AS root_turn, u.depth
+ FROM up u LEFT JOIN own_text t USING (conv_id, turn) LEFT JOIN counts USING (conv_id, turn) LEFT JOIN parent p USING (conv_id, turn)""",
+    "op6_norm_bucketed_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5""",
+    "op8_hyperminhash_near_dup": """WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS l FROM documents),
+ sh AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(l) = 0 THEN [] WHEN len(l) < 3 THEN [array_to_string(l, ' ')] ELSE list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2]) END) AS s FROM w)),
+ n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+ i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+ p AS MATERIALIZED (SELECT x, y FROM i JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 85 * (a.n + b.n - c)),
+ e AS MATERIALIZED (SELECT x, y FROM p UNION SELECT y, x FROM p),
+ r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node),
+ c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
+ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.root AS component_id, d.doc_id = c.root AS kept FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n USING (doc_id)""",
+}

@@ -4,7 +4,7 @@ A line's quote level is its number of leading ``>`` marks (each may be followed
 space).  Quoted lines are normalised (case, white space) and hashed, and so are the lines
 that messages say themselves.  A quoted line comes from the earliest earlier message of its
 thread that says it; if there is none, from the earliest such message of all threads.  The
-message that gave most characters of the level-1 lines is the one replied to; if nothing of
+message that gave most characters of the level-1 lines (ties: the earliest) is the one replied to; if nothing of
 them is found, or nothing is quoted, the message starts a conversation of its own.  Parent
 links are then doubled until every message knows its first ancestor and its depth, which
 order the conversation without its quotes.
@@ -63,14 +63,14 @@ def link(messages: DataFrame, thread: str = "conv_id", number: str = "turn") ->
     own = lines.where("level = 0 and conv_id is not null and turn is not null")
     near = own.groupBy("conv_id", "h1", "h2").agg(F.min(F.struct("turn", "id")).alias("near"))
     far = own.groupBy("h1", "h2").agg(F.min(F.struct("conv_id", "turn", "id")).alias("far"))
-    found = quoted.join(near, ["conv_id", "h1", "h2"], "left").withColumn("src", F.when(F.col("near.turn") < F.col("turn"), F.col("near.id"))).drop("near")
+    found = quoted.join(near, ["conv_id", "h1", "h2"], "left").withColumn("src", F.when(F.col("near.turn") < F.col("turn"), F.struct("conv_id", "near.turn", "near.id"))).drop("near")
     lost = found.where("src is null").join(far, ["h1", "h2"], "left")
     before = F.struct("far.conv_id", "far.turn") < F.struct("conv_id", "turn")
-    lost = lost.withColumn("src", F.when(before, F.col("far.id"))).drop("far")
+    lost = lost.withColumn("src", F.when(before, F.col("far"))).drop("far")
     found = settle(found.where("src is not null").unionByName(lost))
     counts = found.groupBy("id").agg(F.sum("lines").alias("n_quoted"), F.sum(F.when(F.col("src").isNotNull(), F.col("lines")).otherwise(0)).alias("n_linked"), F.max("level").alias("max_level"))
     votes = found.where("level = 1 and src is not null").groupBy("id", "src").agg(F.sum("chars").alias("chars"))
-    parent = votes.groupBy("id").agg(F.min(F.struct((-F.col("chars")).alias("c"), F.col("src").alias("parent"))).alias("v")).select("id", F.col("v.parent").alias("parent"))
+    parent = votes.groupBy("id").agg(F.min(F.struct((-F.col("chars")).alias("c"), F.col("src"))).alias("v")).select("id", F.col("v.src.id").alias("parent"))
     parent = settle(parent.where("id <> parent"))
     jump = settle(m.select("id").join(parent, "id", "left").select("id", F.coalesce("parent", "id").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth")))
     while True:  # depth doubles in each round; links go to earlier messages, so there are no rings
