@@ -15,6 +15,8 @@ rows are packed once each; an empty table gives no rows; other columns are ignor
 from __future__ import annotations
 
 import math
+import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
@@ -30,34 +32,63 @@ MEMBER = "doc_id long, piece int, start long, length long, ids_crc32 long"
 BIN = f"size long, members array<struct<{MEMBER.replace(' ', ':').replace(',:', ',')}>>"
 _MEMBER_ARROW = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyz")
+#: Words of letters below U+0100 alone, in UTF-8.
+_PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 _encoders: dict[str, "Encoder"] = {}
 
 
 class Encoder:
     """Ids of whole texts as little-endian uint32 bytes.
 
-    ASCII white space always ends a token of these tokenizers, so each distinct word is
-    encoded once and looked up afterwards.  The cache is bounded.
+    ASCII white space always ends a token of these tokenizers, and they ignore case, so each
+    distinct lower-case word is looked up after its first use.  A full stop or comma after a
+    letter is a token of its own, so only the word before it is ever encoded.  Texts that may
+    hold special tokens keep their case.  The cache is bounded.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 900_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tok, self.cache, self.most = Tokenizer.from_file(path), {}, most
+        vocabulary = self.tok.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _learn(self, words: set[bytes]) -> None:
+        cache, cores, ends = self.cache, [], []
+        for w in words:
+            if len(w) > 1 and w[-1] in b".," and w[-2] in _LETTERS:
+                ends.append(w)
+                cores += [x for x in (w[:-1], w[-1:]) if x not in cache]
+            else:
+                cores.append(w)
+        plain, other = [], []
+        for w in dict.fromkeys(cores):
+            (plain if _PLAIN.fullmatch(w) else other).append(w)
+        if plain:  # each is one word to the tokenizer, so its last id is the next that ends a word
+            ids = np.asarray(self.tok.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, "<u4")
+            stops = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            raw, at = ids.tobytes(), 0
+            for w, stop in zip(plain, stops, strict=True):
+                cache[w] = raw[at:stop]
+                at = stop
+        for w, e in zip(other, self.tok.encode_batch_fast([w.decode("utf-8", "replace") for w in other], add_special_tokens=False)):
+            cache[w] = np.asarray(e.ids, "<u4").tobytes()
+        for w in ends:
+            cache[w] = cache[w[:-1]] + cache[w[-1:]]
 
     def __call__(self, text: str) -> bytes:
-        words, cache = text.encode("utf-8", "surrogatepass").split(), self.cache
-        try:
-            return b"".join([cache[w] for w in words])
-        except KeyError:
-            pass
-        new = list({w for w in words if w not in cache})
-        if len(cache) + len(new) > self.most:
-            cache.clear()
-            new = list(set(words))
-        for w, e in zip(new, self.tok.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False)):
-            cache[w] = np.asarray(e.ids, "<u4").tobytes()
-        return b"".join([cache[w] for w in words])
+        raw, cache = text.encode("utf-8", "surrogatepass"), self.cache
+        words = (raw if b"<|" in raw else raw.lower()).split()
+        got = list(map(cache.get, words))
+        if None in got:
+            if len(cache) > self.most:
+                cache.clear()
+            self._learn({w for w in words if w not in cache})
+            got = [cache[w] for w in words]
+        return b"".join(got)
 
 
 def encoder(path: str) -> Encoder:
