@@ -202,7 +202,7 @@ def mix(docs: DataFrame, weights: list[int] = (1, 2, 3), max_epochs: int = 3, bl
     d = settle(d.withColumn("bucket", F.pmod("h", F.col("buckets"))).drop("src", "buckets", "n_rows"))
     ahead = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     heads = d.groupBy("sid", "bucket").agg(F.sum("size").alias("words")).withColumn("head", F.coalesce(F.sum("words").over(ahead), F.lit(0))).drop("words")
-    inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("sid", "bucket").orderBy("h", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     rows = settle(d.join(heads, ["sid", "bucket"]).withColumn("pos", F.col("head") + F.col("within")).drop("head", "within", "bucket", "h"))
     quotas = src.select("sid", F.ceil(F.col("quota") / F.lit(block_words)).cast("long").alias("blocks"))
