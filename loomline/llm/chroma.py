@@ -174,7 +174,7 @@ def group(prints: DataFrame, most_errors: float = 0.15) -> DataFrame:
     classes = settle(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp")).withColumn("cid", F.monotonically_increasing_id()))
     bands = classes.select("cid", "n", "fp").mapInArrow(_keys, "cid long, n long, key long")
     shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
-    bands = settle(bands.join(shared, "key"))
+    bands = settle(bands.join(shared, "key").withColumn("own", F.lit(0).cast("long")))
     labels = settle(bands.select("cid").distinct().withColumn("label", F.col("cid")))
     links: list[DataFrame] = []
 

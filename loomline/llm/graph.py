@@ -61,15 +61,18 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return j.where("la <> lb").drop("la", "lb")
 
 
-def search_bands(bands: DataFrame, labels: DataFrame, near: Column, compare: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+def search_bands(bands: DataFrame, labels: DataFrame, near: Column, compare: Callable[[DataFrame, DataFrame], DataFrame], refine: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
     """Labels after every needed comparison within bands.
 
-    ``bands``: ``key, cid, n``.  A band is searched from pivots: each pivot is compared with
-    all of its band that have another label yet (and satisfy ``near`` of ``n`` and the
-    pivot's ``pn``), is then done with, and the band rests once all it holds have one label.
-    Later rounds take eight times as many pivots.  So a large group of copies costs a few
-    comparisons for each member, and no pair of a band is given up.  ``compare`` takes
-    distinct pairs ``a, b`` and the labels and returns the labels after the true links.
+    ``bands``: ``key, cid, n, own`` (size, and how much of it no other candidate has).  A
+    band is searched from pivots, those with the least share of their own first: each pivot
+    is compared with all of its band that have another label yet (and satisfy ``near`` of
+    ``n, own`` and the pivot's ``pn, pown``), is then done with, and the band rests once all
+    it holds have one label.  Later rounds take eight times as many pivots.  So a large
+    group of copies costs a few comparisons for each member, and no pair of a band is given
+    up.  ``compare`` takes distinct pairs ``a, b`` and the labels and returns the labels
+    after the true links.  From the second round on, ``refine`` may raise ``own`` in the
+    bands that are left, and gives the pairs that this would wrongly leave out.
     """
     pivots = 1
     while True:
@@ -78,10 +81,16 @@ def search_bands(bands: DataFrame, labels: DataFrame, near: Column, compare: Cal
         mine = settle(mine.join(mixed, "key"))
         if mine.isEmpty():
             return labels
-        order = Window.partitionBy("key").orderBy("h", "cid")
-        chosen = mine.withColumn("h", F.xxhash64("cid")).withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
-        chosen = settle(chosen.select("key", F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("label").alias("pl")))
+        more = None
+        if refine is not None and pivots > 1:
+            mine, more = refine(mine)
+        order = Window.partitionBy("key").orderBy(F.col("own") / F.col("n"), F.xxhash64("cid"), "cid")
+        chosen = mine.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
+        chosen = settle(chosen.select("key", F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("own").alias("pown"), F.col("label").alias("pl")))
         pairs = mine.join(chosen, "key").where((F.col("label") != F.col("pl")) & near)
-        labels = compare(settle(pairs.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b")).distinct()), labels)
+        pairs = pairs.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"))
+        pairs = settle((pairs if more is None else pairs.unionByName(more)).distinct())
+        if not pairs.isEmpty():
+            labels = compare(pairs, labels)
         bands = settle(mine.drop("label").join(chosen.select("key", F.col("p").alias("cid")), ["key", "cid"], "left_anti"))
         pivots *= 8

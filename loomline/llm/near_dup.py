@@ -6,7 +6,8 @@
 2. Rows with equal sets are one class from here on.
 3. Bands of compressed registers are hashed; classes that share a band are candidates and
    are searched from pivots (see ``graph.search_bands``).
-4. Comparison: set sizes, then the collision-corrected Jaccard estimate of the registers
+4. Comparison: what two sets can have in common at most (their sizes less the shingles that
+   no other candidate has), then the collision-corrected Jaccard estimate of the registers
    (``MARGIN`` below the threshold passes), then the exact size of the intersection.
 5. Linked classes merge by connected components.
 
@@ -31,6 +32,7 @@ from .common import settle, small_join
 
 ROWS, BANDS, MANTISSA = 6, 40, 10
 REGISTERS = ROWS * BANDS
+FEW = 8
 MARGIN = 0.13  # about five and a half standard deviations of the estimate at 0.85
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -135,6 +137,15 @@ def _set_rows(words: int, nameless: bool = False):
     return run
 
 
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for k in range(0, b.num_rows, 500):
+            part = b.slice(k, 500)
+            sets = [np.frombuffer(raw.as_buffer(), np.int64) for raw in part.column("set")]
+            cid = np.repeat(part.column("cid").to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(np.concatenate(sets))], names=["cid", "s"])
+
+
 def _estimate_rows(least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -185,17 +196,45 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     labels = settle(bands.select("cid").distinct().withColumn("label", F.col("cid")))
     need = settle(classes.join(labels, "cid", "left_semi").select("cid", "k1", "k2", F.col("rep").alias("doc_id")))
     sets = settle(_sets(texts, need, words))
-    near = (F.col("n") * den >= F.col("pn") * num) & (F.col("pn") * den >= F.col("n") * num)
+    # Shingles that no other candidate has lie in no intersection.
+    alone = sets.mapInArrow(_members, "cid long, s long").groupBy("s").agg(F.count("*").alias("c"), F.min("cid").alias("cid")).where("c = 1")
+    own = alone.groupBy("cid").agg(F.count("*").alias("own"))
+    bands = bands.join(own, "cid", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    bands = settle(bands.where((F.col("n") - F.col("own")) * den >= F.col("n") * num))
+    both = F.least(F.col("n") - F.col("own"), F.col("pn") - F.col("pown"))
+    near = both * den >= (F.col("n") + F.col("pn") - both) * num
     side = lambda c: classes.select(F.col("cid").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
 
+    def refine(mine: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Count shingles of few of the classes left as their own; pairs that share one come apart.
+
+        A shingle of at most ``FEW`` classes makes at most that many pairs for each.
+        """
+        left = settle(mine.groupBy("cid").agg(F.max("label").alias("label"), F.max("n").alias("n")))
+        rows = sets.join(left, "cid", "left_semi").mapInArrow(_members, "cid long, s long")
+        few = rows.groupBy("s").agg(F.count("*").alias("c")).where(F.col("c") <= FEW)
+        rare = settle(rows.join(few, "s").join(left, "cid"))
+        shared = rare.where("c > 1")
+        other = shared.select("s", F.col("cid").alias("p"), F.col("label").alias("pl"), F.col("n").alias("pn"))
+        sizes = (F.col("n") * den >= F.col("pn") * num) & (F.col("pn") * den >= F.col("n") * num)
+        pairs = shared.join(other, "s").where((F.col("cid") < F.col("p")) & (F.col("label") != F.col("pl")) & sizes)
+        mine = mine.drop("own").join(rare.groupBy("cid").agg(F.count("*").alias("own")), "cid", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+        mine = settle(mine.where((F.col("n") - F.col("own")) * den >= F.col("n") * num))
+        return mine, pairs.select(F.col("cid").alias("a"), F.col("p").alias("b")).distinct()
+
+    first = True
+
     def compare(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        nonlocal first
         likely = settle(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimate_rows(t - MARGIN), "a long, b long, est double"))
-        best = settle(likely.groupBy("b").agg(F.max_by("a", "est").alias("a")).select("a", "b"))
-        labels = graph.merged(labels, settle(_verified(best, sets, num, den)))
-        rest = settle(graph.apart(likely.join(best, ["a", "b"], "left_anti"), labels))
-        return labels if rest.isEmpty() else graph.merged(labels, settle(_verified(rest, sets, num, den)))
-
-    labels = graph.search_bands(bands, labels, near, compare)
+        if first:  # most copies meet here: the likeliest pivot of each settles most of the others
+            first = False
+            best = settle(likely.groupBy("b").agg(F.max_by("a", "est").alias("a")).select("a", "b"))
+            labels = graph.merged(labels, settle(_verified(best, sets, num, den)))
+            likely = graph.apart(likely.join(best, ["a", "b"], "left_anti"), labels)
+        return graph.merged(labels, settle(_verified(likely, sets, num, den)))
+
+    labels = graph.search_bands(bands, labels, near, compare, refine)
     known = classes.select("cid", "k1", "k2", "rep").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = known.groupBy("label").agg(F.min("rep").alias("component_id"))
     known = known.join(least, "label").select("k1", "k2", "component_id")
