@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BinaryType, DoubleType, StringType
 
 # Patterns that results depend on.
 PROTECTED = r"(?i)(?:(?<![0-9A-Za-z])\d+(?:\.\d+)*(?![0-9A-Za-z])|\b(?:not|never|unsupported|required)\b|금지|아니|않|불가|제외|미지원|필수)"
@@ -100,6 +102,52 @@ def minhash(shingle_array: Column, seeds: int = 8) -> Column:
     return F.array(*[least(k) for k in range(seeds)])
 
 
+@F.pandas_udf(DoubleType())
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """``jaccard`` of the ``shingles`` of two texts, with the shingles of each text of a batch made once."""
+    grams = {t: {t[i : i + 3] for i in range(max(1, len(t) - 2))} if t else set() for t in {*a, *b}}
+
+    def one(x: str, y: str) -> float:
+        shared = len(grams[x] & grams[y])
+        union = len(grams[x]) + len(grams[y]) - shared
+        return shared / union if union else 1.0
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
+
+
+_gram_hashes: dict[int, list[int]] = {}
+
+
+@F.pandas_udf(BinaryType())
+def signature(s: pd.Series) -> pd.Series:
+    """The first 8 bytes of each of the 8 hashes of ``minhash`` over ``shingles``, as one key; empty text has none.
+
+    Each distinct shingle of a batch is hashed once.
+    """
+    chars = [np.frombuffer((x or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) for x in s]
+    grams = []
+    for c in chars:
+        c = np.concatenate([c, np.zeros(max(0, 3 - len(c)) * (len(c) > 0), np.uint64)])
+        grams.append(c[:-2] << np.uint64(42) | c[1:-1] << np.uint64(21) | c[2:] if len(c) else c)
+    size = np.array([len(g) for g in grams], np.int64)
+    out = np.full(len(s), b"", object)
+    if size.sum():
+        found_, at = np.unique(np.concatenate(grams), return_inverse=True)
+        if len(_gram_hashes) > 1_000_000:
+            _gram_hashes.clear()
+        for g in found_.tolist():
+            if g not in _gram_hashes:
+                t = "".join(chr(x) for x in (g >> 42, g >> 21 & 0x1FFFFF, g & 0x1FFFFF) if x).encode("utf-8", "surrogatepass")
+                _gram_hashes[g] = [int.from_bytes(hashlib.sha256(b"%d:" % k + t).digest()[:8], "big") for k in range(8)]
+        table = np.array([_gram_hashes[g] for g in found_.tolist()], np.uint64)
+        full = np.flatnonzero(size)
+        starts = np.concatenate([[0], np.cumsum(size[full])[:-1]])
+        least = np.stack([np.minimum.reduceat(table[at, k], starts) for k in range(8)], 1).astype(">u8")
+        for i, row in zip(full, least):
+            out[i] = row.tobytes()
+    return pd.Series(out)
+
+
 def strip_heading_marks(c: Column) -> Column:
     return F.regexp_replace(c, r"^\s{0,3}#{1,6}\s*", "")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from . import graph
+from . import graph, packing
 
 # Merge priority of relation labels, the strongest first.
 PRIORITY = ["CONFLICT", "COMPLEMENTARY", "CONTEXTUAL_REPEAT", "SEMANTIC_EQUIVALENT", "EXACT_DUPLICATE", "UNRELATED"]
@@ -46,7 +46,7 @@ def unknown_references(drafts_: DataFrame, evidence: DataFrame) -> DataFrame:
 def token_blocks(claims: DataFrame, id_: str, statement: str, longest: int = 8, most: int = FUZZY_LIMIT) -> DataFrame:
     """Inverted index over each claim's longest tokens; blocks of 2 to ``most`` claims.
 
-    Larger blocks are the reference semantics' own cut: they are not fuzzy candidates.
+    Larger blocks are left out here; ``view_pairs`` compares them in windows.
     """
     t = claims.select(F.col(id_).alias("id"), F.explode(text.longest_tokens(F.col(statement), longest)).alias("block")).distinct()
     size = t.groupBy("block").agg(F.count("*").alias("members")).where((F.col("members") > 1) & (F.col("members") <= most))
@@ -67,6 +67,40 @@ def candidate_pairs(blocks: DataFrame) -> DataFrame:
     return blocks.select("block", F.col("id").alias("a")).join(b, "block").where("a < b").select("a", "b").distinct()
 
 
+def slots(sig: Column) -> Column:
+    """The block names of a ``text.signature``."""
+    return F.array(*[F.concat(F.lit(f"{k}:"), F.lower(F.hex(F.substring(sig, 8 * k + 1, 8)))) for k in range(8)])
+
+
+def views(claims: DataFrame) -> DataFrame:
+    """The five candidate views of claims ``id, path, kind, statement``: members ``id, ord`` of each ``view, block``.
+
+    Per path in claim order, all claims by statement, each kind by statement, and the token
+    and MinHash blocks by signature.  ``ord`` orders the members of a block.
+    """
+    c = claims.select("id", "path", "kind", text.fold(F.col("statement")).alias("folded"), text.signature(text.alphanumerics(F.col("statement"))).alias("sig"), text.longest_tokens(F.col("statement")).alias("tokens"))
+    c = packing.ordered(packing.ordered(c, ["folded", "id"], "by_statement"), ["sig", "folded", "id"], "by_sig").drop("folded")
+    row = lambda view, block, order: c.select(F.lit(view).alias("view"), block.alias("block"), "id", F.col(order).alias("ord"))
+    whole = row("path", F.col("path").cast("string"), "id").unionByName(row("sorted", F.lit(""), "by_statement")).unionByName(row("kind", F.col("kind"), "by_statement"))
+    token = c.select(F.lit("token").alias("view"), F.explode("tokens").alias("block"), "id", F.col("by_sig").alias("ord"))
+    minhash = c.where(F.length("sig") > 0).select(F.lit("minhash").alias("view"), F.explode(slots(F.col("sig"))).alias("block"), "id", F.col("by_sig").alias("ord"))
+    return whole.unionByName(token).unionByName(minhash)
+
+
+def view_pairs(members: DataFrame, most: int = FUZZY_LIMIT) -> DataFrame:
+    """Distinct pairs ``a < b`` of ``views``.
+
+    Token and MinHash blocks of up to ``most`` claims are paired whole; larger ones, and the
+    other views, in windows of 40 that overlap by 8.
+    """
+    w = packing.wide_windows(members, ["view", "block"], "ord", "id")
+    whole = F.col("view").isin("token", "minhash") & (F.col("n") <= most)
+    w = w.where(~whole | (F.col("window_start") == F.greatest(F.lit(0), F.ceil((F.col("rn") - 39) / 32)) * 32)).withColumn("window_start", F.when(whole, F.lit(0)).otherwise(F.col("window_start")))
+    g = w.groupBy("view", "block", "window_start").agg(F.array_sort(F.collect_list("id")).alias("m")).where(F.size("m") > 1)
+    each = F.transform("m", lambda x, i: F.transform(F.slice("m", i + 2, F.size("m")), lambda y: F.struct(x.alias("a"), y.alias("b"))))
+    return g.select(F.explode(F.flatten(each)).alias("p")).select("p.a", "p.b").distinct()
+
+
 def priority(label: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in PRIORITY]), label).cast("long") - 1
 
@@ -81,8 +115,7 @@ def label_pairs(pairs: DataFrame, claims: DataFrame, id_: str, statement: str) -
     """Deterministic labels of candidate pairs: equal text, similar text, else unrelated."""
     c = claims.select(F.col(id_).alias("id"), text.alphanumerics(F.col(statement)).alias("t"), text.protected_terms(F.col(statement)).alias("p"))
     j = pairs.join(c.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("p").alias("pa")), "a").join(c.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("p").alias("pb")), "b")
-    score = text.jaccard(text.shingles(F.col("ta")), text.shingles(F.col("tb")))
-    j = j.withColumn("score", score)
+    j = j.withColumn("score", text.similarity("ta", "tb"))
     label = F.when(F.col("ta") == F.col("tb"), "EXACT_DUPLICATE").when((F.col("score") >= 0.3) & (F.col("pa") == F.col("pb")), "SEMANTIC_EQUIVALENT").when((F.col("score") >= 0.3), "CONFLICT").otherwise("UNRELATED")
     return j.select("a", "b", "score", label.alias("relation"))
 

@@ -79,6 +79,31 @@ def test_collapse_rules(spark):
     assert bad.count() == 0
 
 
+def test_pairs_of_oversized_blocks(spark):
+    """400 claims share their long token: the token block is above the limit, yet neighbours meet."""
+    rows = [(i, i % 7, "FACT", f"configuration {chr(97 + i // 26 % 26)}{chr(97 + i % 26)}{'z' * (i // 200)}") for i in range(400)] + [(1000, 8, "WARNING", "--- !!")]
+    c = spark.createDataFrame(rows, "id long, path long, kind string, statement string")
+    assert claims.candidate_pairs(claims.token_blocks(c.where("id < 200"), "id", "statement", most=160)).count() == 0
+    got = {tuple(r) for r in claims.view_pairs(claims.views(c)).collect()}
+    assert all(a < b for a, b in got)
+    path = [i for i in range(400) if i % 7 == 3]
+    assert all((a, b) in got for a in path[:40] for b in path[:40] if a < b)
+    whole = sorted(rows, key=lambda r: (r[3], r[0]))
+    for k in range(0, len(whole), 32):
+        w = sorted(r[0] for r in whole[k : k + 40])
+        assert all((a, b) in got for i, a in enumerate(w) for b in w[i + 1 :])
+    ranks = packing.wide_windows(c.withColumn("g", F.lit(1)).repartition(5), ["g"], "id", "id").orderBy("rn").select("id", "rn").distinct()
+    assert sorted(r["rn"] for r in ranks.collect()) == list(range(401))
+
+
+def test_signature_is_the_minhash(spark):
+    from loomline.functions import text
+
+    d = spark.createDataFrame([("abcdefgh",), ("ab",), ("",), ("한국어 😀 text",)], "t string")
+    want = F.array_join(F.transform(text.minhash(text.shingles(F.col("t"))), lambda x: F.substring(x, 1, 16)), "")
+    assert all(a == b for a, b in d.select(F.lower(F.hex(text.signature("t"))), want).collect())
+
+
 def test_ledger_merges_links(spark):
     rows = [("d1", "FACT", "Use port 80.", ["e1"]), ("d2", "FACT", "use PORT 80", ["e2"]), ("d3", "FACT", "The port to use is 80.", ["e3"]), ("d4", "FACT", "Else", ["e3"])]
     none = F.array().cast("array<string>")
