@@ -253,6 +253,70 @@ def claim_components(spark, sf_dir):
     return graph.components(nodes, _labelled(spark, sf_dir).where("score >= 0.7").select("a", "b"))
 
 
+# The same over the statements of documents, with all five candidate views.
+_CLAIM_SQL = f"SELECT doc_id * 2147483648 + pos AS id, doc_id AS path, {_KIND_SQL} AS kind, {FOLD_SQL.format('statement')} AS folded, {_ALNUM_SQL} AS x FROM ({_SENT_SQL})"
+_DOC_WITH = f"""WITH RECURSIVE c AS MATERIALIZED ({_CLAIM_SQL}),
+ g AS MATERIALIZED (SELECT id, unnest(list_distinct(list_transform(range(1, greatest(1, length(x) - 2) + 1), lambda i: substr(x, i, 3)))) AS g FROM c WHERE x <> ''),
+ h AS MATERIALIZED (SELECT g, k, sha256(k || ':' || g) AS v FROM (SELECT DISTINCT g FROM g), (SELECT unnest(range(0, 8)) AS k)),
+ m AS MATERIALIZED (SELECT id, k, min(v) AS v FROM g JOIN h USING (g) GROUP BY id, k),
+ tok AS MATERIALIZED (SELECT id, t FROM (SELECT id, unnest(list_distinct(regexp_extract_all(folded, '[0-9A-Za-z가-힣._/-]{{2,}}'))) AS t FROM c) QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(t) DESC, t) <= 8)"""
+_DOC_PAIR_WITH = _DOC_WITH + """,
+ sig AS (SELECT id, string_agg(left(v, 16), '' ORDER BY k) AS sig FROM m GROUP BY id),
+ o AS MATERIALIZED (SELECT id, path, kind, row_number() OVER (ORDER BY folded, id) AS s, row_number() OVER (ORDER BY coalesce(sig, ''), folded, id) AS q FROM c LEFT JOIN sig USING (id)),
+ v AS (SELECT 'path' AS view, CAST(path AS VARCHAR) AS block, id, id AS ord FROM o UNION ALL SELECT 'sorted', '', id, s FROM o UNION ALL SELECT 'kind', kind, id, s FROM o
+  UNION ALL SELECT 'token', t, id, q FROM tok JOIN o USING (id) UNION ALL SELECT 'minhash', k || ':' || left(v, 16), id, q FROM m JOIN o USING (id)),
+ r AS (SELECT view, block, id, row_number() OVER (PARTITION BY view, block ORDER BY ord) - 1 AS rn, count(*) OVER (PARTITION BY view, block) AS n FROM v),
+ w AS MATERIALIZED (SELECT view, block, id, unnest(CASE WHEN view IN ('token', 'minhash') AND n <= 160 THEN [0] ELSE range(greatest(0, (rn - 8) // 32), rn // 32 + 1) END) AS k FROM r WHERE n > 1),
+ p AS MATERIALIZED (SELECT DISTINCT x.id AS a, y.id AS b FROM w x JOIN w y ON x.view = y.view AND x.block = y.block AND x.k = y.k AND x.id < y.id)"""
+_DOC_JACCARD_WITH = _DOC_PAIR_WITH + """, n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+ i AS (SELECT p.a, p.b, count(*) AS c FROM p JOIN g x ON x.id = p.a JOIN g y ON y.id = p.b AND y.g = x.g GROUP BY p.a, p.b),
+ j AS (SELECT a, b, round(c / (na.n + nb.n - c), 6) AS score FROM i JOIN n na ON na.id = a JOIN n nb ON nb.id = b
+  UNION ALL SELECT a, b, 1.0 FROM p JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE x.x = '' AND y.x = '')"""
+
+
+def _claims(spark, sf_dir) -> DataFrame:
+    """Statements as claims; a document is a path, and no text can hold 2^31 statements."""
+    return _sentences(spark, sf_dir).select((F.col("doc_id") * (1 << 31) + F.col("pos")).alias("id"), F.col("doc_id").alias("path"), "kind", "statement")
+
+
+@query(_DOC_WITH + " SELECT t AS block, count(*) AS members, min(id) AS first_id FROM tok GROUP BY t HAVING count(*) > 1")
+def document_token_blocks(spark, sf_dir):
+    """All token blocks, the large ones too."""
+    return claims.token_blocks(_claims(spark, sf_dir), "id", "statement", most=(1 << 62)).groupBy("block").agg(F.count("*").alias("members"), F.min("id").alias("first_id"))
+
+
+@query(_DOC_WITH + " SELECT k || ':' || left(v, 16) AS block, count(*) AS members, min(id) AS first_id FROM m GROUP BY 1 HAVING count(*) > 1")
+def document_fuzzy_blocks(spark, sf_dir):
+    """All MinHash blocks, the large ones too."""
+    sig = _claims(spark, sf_dir).select("id", text.signature(text.alphanumerics(F.col("statement"))).alias("sig")).where("length(sig) > 0")
+    return sig.select("id", F.explode(claims.slots(F.col("sig"))).alias("block")).groupBy("block").agg(F.count("*").alias("members"), F.min("id").alias("first_id")).where("members > 1")
+
+
+def _document_pairs(spark, sf_dir) -> DataFrame:
+    return claims.view_pairs(claims.views(_claims(spark, sf_dir)))
+
+
+@query(_DOC_PAIR_WITH + " SELECT a, b FROM p")
+def document_candidate_pairs(spark, sf_dir):
+    return _document_pairs(spark, sf_dir)
+
+
+def _document_labelled(spark, sf_dir) -> DataFrame:
+    return claims.label_pairs(_document_pairs(spark, sf_dir), _claims(spark, sf_dir), "id", "statement").withColumn("score", F.round("score", 6))
+
+
+@query(_DOC_JACCARD_WITH + " SELECT a, b, score FROM j WHERE score >= 0.3")
+def document_pair_jaccard(spark, sf_dir):
+    return _document_labelled(spark, sf_dir).where("score >= 0.3").select("a", "b", "score")
+
+
+@query(_DOC_JACCARD_WITH + """, e AS MATERIALIZED (SELECT a, b FROM j WHERE score >= 0.7 UNION SELECT b, a FROM j WHERE score >= 0.7),
+ z AS (SELECT id AS node, id AS root FROM c UNION SELECT e.b, z.root FROM z JOIN e ON e.a = z.node)
+ SELECT node, min(root) AS root FROM z GROUP BY node""")
+def document_claim_components(spark, sf_dir):
+    return graph.components(_claims(spark, sf_dir).select(F.col("id").alias("node")), _document_labelled(spark, sf_dir).where("score >= 0.7").select("a", "b"))
+
+
 @query("""WITH r AS (SELECT least(l_partkey, l_suppkey) AS left_id, greatest(l_partkey, l_suppkey) AS right_id, l_linenumber % 6 AS p FROM lineitem),
  m AS (SELECT left_id, right_id, min(p) AS p, count(*) AS labels FROM r GROUP BY left_id, right_id)
  SELECT left_id, right_id, CAST(labels AS BIGINT) AS labels, ['CONFLICT','COMPLEMENTARY','CONTEXTUAL_REPEAT','SEMANTIC_EQUIVALENT','EXACT_DUPLICATE','UNRELATED'][p + 1] AS relation FROM m""")
