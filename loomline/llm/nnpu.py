@@ -47,7 +47,7 @@ def word_parts(token: str) -> list[int]:
         runs = [t]
     else:
         t = t.strip(_PUNCT)
-        runs = [t] if t.isalpha() else _letters.findall(t)[:8]
+        runs = [t] if t.isalpha() else _letters.findall(t)
     out = []
     for w in runs:
         out.append(_h("w" + w))
@@ -63,7 +63,7 @@ def mark_parts(token: str) -> list[int]:
     if token.isalnum():
         return []
     mark = _residue.sub("", token)
-    return [_h("m" + mark[:12])] if mark else []
+    return [_h("m" + mark)] if mark else []
 
 
 PARTS = {"words": word_parts, "marks": mark_parts}

@@ -152,3 +152,12 @@ def test_language_stage_drops_what_has_no_letters(spark, data):
     rows = [(1, sentence(1, 50), "en", "s", 1), (2, "12 !! ??", "en", "s", 1), (3, None, "en", "s", 1)]
     assert [r["doc_id"] for r in corpus_pipeline.keep_language(spark, docs(spark, rows), data).collect()] == [1]
     assert langid.learn(docs(spark, rows))["en"] and len(odd_rows()) > 3
+
+
+def test_parts_of_whole_tokens():
+    """Words joined by punctuation are all read, and marks are told apart beyond twelve characters."""
+    from loomline.llm import nnpu
+
+    words = [f"word{chr(97 + i)}" for i in range(20)]
+    assert set(nnpu.word_parts(",".join(words))) == {x for w in words for x in nnpu.word_parts(w)}
+    assert nnpu.mark_parts("-" * 12 + "!") != nnpu.mark_parts("-" * 12 + "?")
