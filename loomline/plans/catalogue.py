@@ -571,6 +571,12 @@ def delta_coalesce(spark, sf_dir):
     return streams.coalesced(c, ["conv_id"], "turn", "delta", 20).select("conv_id", F.col("ordinal").cast("long").alias("ordinal"), "piece")
 
 
+@query()
+def message_coalesce(spark, sf_dir):
+    """Whole messages as deltas, with the reference's 128 and 4,096 characters."""
+    return streams.coalesced(load(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text").select("conv_id", F.col("ordinal").cast("long").alias("ordinal"), "piece")
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50")
 def recent_jobs(spark, sf_dir):
     return jobs.recent(load(spark, sf_dir, "orders"), "o_orderdate", "o_orderkey", 50).select("o_orderkey", "o_custkey")

@@ -20,17 +20,18 @@ def run_available(df: DataFrame, target: str, checkpoint: str, mode: str = "appe
     return q
 
 
-def coalesced(deltas: DataFrame, key: list[str], order: str, column: str, least: int = 128) -> DataFrame:
-    """Join small deltas of a generation: a piece ends at ``least`` characters or at a line break."""
-    seq = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).alias("t")))), lambda x: x["t"])
+def coalesced(deltas: DataFrame, key: list[str], order: str, column: str, least: int = 128, most: int = 4096) -> DataFrame:
+    """Join small deltas of a generation: a piece ends at ``least`` characters or at a line break, and is split at ``most``; null deltas are empty."""
+    seq = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(column).alias("t")))), lambda x: F.coalesce(x["t"], F.lit("")))
+    split = lambda t: F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - 1) / most).cast("int")), lambda i: F.substring(t, i * most + 1, F.lit(most)))
     start = F.struct(F.lit("").alias("held"), F.array().cast("array<string>").alias("out"))
 
     def step(s, t):
         held = F.concat(s["held"], t)
         flush = (F.length(held) >= least) | F.contains(held, F.lit("\n"))
-        return F.struct(F.when(flush, F.lit("")).otherwise(held).alias("held"), F.when(flush, F.concat(s["out"], F.array(held))).otherwise(s["out"]).alias("out"))
+        return F.struct(F.when(flush, F.lit("")).otherwise(held).alias("held"), F.when(flush, F.concat(s["out"], split(held))).otherwise(s["out"]).alias("out"))
 
-    fold = F.aggregate(seq, start, step, lambda s: F.when(s["held"] == "", s["out"]).otherwise(F.concat(s["out"], F.array(s["held"]))))
+    fold = F.aggregate(seq, start, step, lambda s: F.when(s["held"] == "", s["out"]).otherwise(F.concat(s["out"], split(s["held"]))))
     return deltas.groupBy(*key).agg(fold.alias("p")).select(*key, F.posexplode("p").alias("ordinal", "piece"))
 
 

@@ -191,3 +191,21 @@ def test_once_per_key(spark, tmp_path):
     for batch, n in ((0, 3), (1, 5), (1, 5)):
         put(spark.range(n), batch)
     assert spark.read.parquet(str(tmp_path / "x")).count() == 5
+
+
+def test_coalesced_splits_long_pieces(spark):
+    d = spark.createDataFrame([(1, 1, "a" * 100), (1, 2, None), (1, 3, "b" * 5000), (1, 4, "c\n"), (1, 5, "d")], "g int, o int, t string")
+    got = [r["piece"] for r in streams.coalesced(d, ["g"], "o", "t").orderBy("ordinal").collect()]
+    assert got == ["a" * 100 + "b" * 3996, "b" * 1004, "c\n", "d"]
+
+
+def test_coalesced_keeps_whole_messages(spark, data):
+    from loomline.plans import catalogue
+
+    c = spark.read.parquet(f"{data}/conversations.parquet")
+    want, got = {}, {}
+    for r in c.orderBy("conv_id", "turn").collect():
+        want[r["conv_id"]] = want.get(r["conv_id"], "") + (r["text"] or "")
+    for r in catalogue.message_coalesce(spark, data).orderBy("conv_id", "ordinal").collect():
+        got[r["conv_id"]] = got.get(r["conv_id"], "") + r["piece"]
+    assert got == {k: v for k, v in want.items() if v}
