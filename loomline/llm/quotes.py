@@ -13,8 +13,9 @@ Every step is an equi-join on a unique key or a combined minimum, so neither a v
 line nor a very long thread meets in one task.
 
 Null or empty text: empty clean text, no quotes.  Lines without a letter or digit are never
-linked.  Rows with a null thread or number are kept and start conversations.  Repeated rows
-of a message count as one, the least text.  Empty table: no rows.  Other columns are ignored.
+linked.  Rows with a null thread or number are each kept; they are sources of nothing.
+Rows equal in thread, number and text count as one; other messages of one number are kept, and the
+source among them is the one of the least text hash.  Empty table: no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,10 +43,10 @@ def clean(text: Column) -> Column:
 
 
 def as_mail(messages: DataFrame, thread: str = "conv_id", number: str = "turn") -> DataFrame:
-    """Messages as mail programs write them: each quotes the one before it, with its quotes."""
+    """Messages as mail programs write them: each quotes the one before it (of several, the least text), with its quotes."""
     quote = lambda c: F.regexp_replace(c, r"(?m)^", "> ")
     m = messages.select(thread, number, "text")
-    ago = lambda k: m.select(F.col(thread), (F.col(number) + k).alias(number), F.col("text").alias(f"t{k}"))
+    ago = lambda k: m.groupBy(thread, (F.col(number) + k).alias(number)).agg(F.min("text").alias(f"t{k}"))
     j = m.join(ago(1), [thread, number], "left").join(ago(2), [thread, number], "left")
     deep = F.when(F.col("t2").isNotNull(), F.concat(quote(quote(F.col("t2"))), F.lit("\n"))).otherwise(F.lit(""))
     return j.select(thread, number, F.when(F.col("t1").isNull(), F.col("text")).otherwise(F.concat(deep, quote(F.col("t1")), F.lit("\n\n"), F.coalesce("text", F.lit("")))).alias("text"))
@@ -54,16 +55,18 @@ def as_mail(messages: DataFrame, thread: str = "conv_id", number: str = "turn")
 def link(messages: DataFrame, thread: str = "conv_id", number: str = "turn") -> DataFrame:
     """``conv_id, turn, text`` (without quotes), ``n_quoted, n_linked, max_level, reply_conv, reply_turn, root_conv, root_turn, depth``."""
     m = messages.select(F.col(thread).cast("long").alias("conv_id"), F.col(number).cast("long").alias("turn"), "text")
-    m = settle(m.groupBy("conv_id", "turn").agg(F.min("text").alias("text")).withColumn("id", F.monotonically_increasing_id()))
-    lines = m.select("id", "conv_id", "turn", F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
-    lines = lines.select("id", "conv_id", "turn", level(F.col("line")).alias("level"), normalised(F.col("line")).alias("body"))
-    lines = lines.where(F.col("body").rlike(r"[\p{L}\p{N}]")).select("id", "conv_id", "turn", "level", F.length("body").alias("chars"), F.xxhash64("body").alias("h1"), F.crc32(F.col("body").cast("binary")).alias("h2"))
+    named = F.col("conv_id").isNotNull() & F.col("turn").isNotNull()
+    m = m.where(named).distinct().unionByName(m.where(~named))
+    m = settle(m.withColumn("id", F.monotonically_increasing_id()))
+    lines = m.select("id", "conv_id", "turn", F.xxhash64("text").alias("tie"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line"))
+    lines = lines.select("id", "conv_id", "turn", "tie", level(F.col("line")).alias("level"), normalised(F.col("line")).alias("body"))
+    lines = lines.where(F.col("body").rlike(r"[\p{L}\p{N}]")).select("id", "conv_id", "turn", "tie", "level", F.length("body").alias("chars"), F.xxhash64("body").alias("h1"), F.crc32(F.col("body").cast("binary")).alias("h2"))
     lines = settle(lines)
     quoted = lines.where("level > 0").groupBy("id", "conv_id", "turn", "level", "h1", "h2").agg(F.sum("chars").alias("chars"), F.count("*").alias("lines"))
     own = lines.where("level = 0 and conv_id is not null and turn is not null")
-    near = own.groupBy("conv_id", "h1", "h2").agg(F.min(F.struct("turn", "id")).alias("near"))
-    far = own.groupBy("h1", "h2").agg(F.min(F.struct("conv_id", "turn", "id")).alias("far"))
-    found = quoted.join(near, ["conv_id", "h1", "h2"], "left").withColumn("src", F.when(F.col("near.turn") < F.col("turn"), F.struct("conv_id", "near.turn", "near.id"))).drop("near")
+    near = own.groupBy("conv_id", "h1", "h2").agg(F.min(F.struct("turn", "tie", "id")).alias("near"))
+    far = own.groupBy("h1", "h2").agg(F.min(F.struct("conv_id", "turn", "tie", "id")).alias("far"))
+    found = quoted.join(near, ["conv_id", "h1", "h2"], "left").withColumn("src", F.when(F.col("near.turn") < F.col("turn"), F.struct("conv_id", "near.turn", "near.tie", "near.id"))).drop("near")
     lost = found.where("src is null").join(far, ["h1", "h2"], "left")
     before = F.struct("far.conv_id", "far.turn") < F.struct("conv_id", "turn")
     lost = lost.withColumn("src", F.when(before, F.col("far"))).drop("far")

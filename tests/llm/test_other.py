@@ -161,3 +161,14 @@ def test_parts_of_whole_tokens():
     words = [f"word{chr(97 + i)}" for i in range(20)]
     assert set(nnpu.word_parts(",".join(words))) == {x for w in words for x in nnpu.word_parts(w)}
     assert nnpu.mark_parts("-" * 12 + "!") != nnpu.mark_parts("-" * 12 + "?")
+
+
+def test_quotes_keep_every_message(spark):
+    """Messages without a thread or number, and different ones of one number, are all kept and quoted."""
+    rows = [(None, 1, "alpha one"), (None, 1, "beta two"), (None, 1, "beta two"), (3, None, "gamma"), (3, None, "delta")]
+    rows += [(1, 1, "first branch"), (1, 1, "second branch"), (1, 1, "second branch"), (1, 2, "> second branch\n\nyes"), (1, 2, "> first branch\n\nno")]
+    d = spark.createDataFrame(rows, "conv_id long, turn long, text string")
+    got = quotes.link(d).collect()
+    assert sorted(r["text"] for r in got) == sorted(["alpha one", "beta two", "beta two", "gamma", "delta", "first branch", "second branch", "yes", "no"])
+    assert {r["text"]: r["n_linked"] for r in got if r["turn"] == 2} == {"yes": 1, "no": 1}
+    assert quotes.as_mail(d).count() == len(rows)
