@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     return got
 
 
+#: Rows that go to Python at once while a copy is written: texts and sets of thousands of rows are much for one worker.
+BATCH_ROWS = 1000
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
@@ -40,17 +46,26 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(key)
+    spark.conf.set(key, min(int(usual), BATCH_ROWS) if int(usual) > 0 else BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, usual)
     if not _scratch:
         atexit.register(clear_scratch)
     _scratch.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch() -> None:
-    """Delete what ``settle`` wrote (runs by itself when Python ends)."""
-    while _scratch:
-        spark, path = _scratch.pop()
+def release(since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete what ``settle`` wrote after the first ``since`` copies, but for what ``keep`` still reads."""
+    held = {f.rsplit("/", 2)[-2] for f in keep.inputFiles()} if keep is not None else set()
+    for spark, path in _scratch[since:]:
+        if path.rsplit("/", 1)[-1] in held:
+            continue
+        _scratch.remove((spark, path))
         try:
             jvm = spark.sparkContext._jvm
             p = jvm.org.apache.hadoop.fs.Path(path)
@@ -59,6 +74,29 @@ def clear_scratch() -> None:
             return
 
 
+def clear_scratch() -> None:
+    """Delete all that is left (runs by itself when Python ends)."""
+    release()
+
+
+def copies() -> int:
+    """How many settled copies there are now; a mark for ``release``."""
+    return len(_scratch)
+
+
+def tidy(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator, which deletes its own settled copies as soon as its result no longer reads them."""
+
+    @wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        since = copies()
+        out = operator(*args, **kwargs)
+        release(since, out)
+        return out
+
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -81,8 +119,10 @@ def thinned(df: DataFrame, key: str, total: int, bound: int, seed: int) -> DataF
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(unit)) < int(unit * bound / total))
 
 
-def small_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", most: int = 100_000) -> DataFrame:
-    """Join a settled small side: broadcast if it counts at most ``most`` rows, else by shuffle."""
-    if small.limit(most + 1).count() <= most:
+def small_join(big: DataFrame, small: DataFrame, keys: list[str], how: str = "inner", most: int = 100_000, most_bytes: int = 16 << 20) -> DataFrame:
+    """Join a settled small side: broadcast within ``most`` rows and about ``most_bytes``, else by shuffle."""
+    size = F.sum(F.length(F.to_json(F.struct(*small.columns))))
+    n, total = small.limit(most + 1).agg(F.count("*"), F.coalesce(size, F.lit(0))).first()
+    if n <= most and total <= most_bytes:
         small = F.broadcast(small)
     return big.join(small, keys, how)

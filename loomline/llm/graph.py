@@ -35,11 +35,13 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     edges give no rows.
     """
     e = settle(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    mark = None
+    stamp = lambda: tuple(e.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 24))).first())
+    mark = stamp()
     for _ in range(rounds):
-        e = settle(_star(_star(e, True), False))
-        now = tuple(e.agg(F.count("*"), F.sum(F.shiftright(F.xxhash64("a", "b"), 24))).first())
-        if now == mark or not now[0]:
+        if mark[0]:
+            e = settle(_star(_star(e, True), False))
+        now = stamp() if mark[0] else mark
+        if now == mark:
             return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
         mark = now
     raise RuntimeError(f"components did not settle in {rounds} rounds")
@@ -61,36 +63,70 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     return j.where("la <> lb").drop("la", "lb")
 
 
-def search_bands(bands: DataFrame, labels: DataFrame, near: Column, compare: Callable[[DataFrame, DataFrame], DataFrame], refine: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None) -> DataFrame:
+def _mixed(bands: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the bands that hold more than one label, with their labels (a settled table)."""
+    mine = bands.join(labels, "cid")
+    mixed = mine.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return settle(mine.join(mixed, "key"))
+
+
+def _led(mine: DataFrame, turn: int, near: Column) -> DataFrame:
+    """At most one pair for each class: with the least of its bands' leaders that has another label.
+
+    A band's leader is one combined minimum: its member with the least share of its own, and in
+    later turns by another hash each.
+    """
+    place = (F.col("own") / F.col("n")) if not turn else F.lit(0.0)
+    lead = mine.groupBy("key").agg(F.min(F.struct(place.alias("o"), F.xxhash64(F.lit(turn), "cid").alias("h"), F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("own").alias("pown"), F.col("label").alias("pl"))).alias("lead"))
+    led = mine.join(lead, "key").select("*", "lead.p", "lead.pn", "lead.pown", "lead.pl").where((F.col("label") != F.col("pl")) & near)
+    best = led.groupBy("cid").agg(F.min(F.struct("lead.o", "lead.h", "p")).alias("b"))
+    return best.select(F.least("cid", "b.p").alias("a"), F.greatest("cid", "b.p").alias("b")).distinct()
+
+
+def search_bands(bands: DataFrame, labels: DataFrame, near: Column, compare: Callable[[DataFrame, DataFrame], DataFrame], refine: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None, turns: int = 1, few_bands: bool = False) -> DataFrame:
     """Labels after every needed comparison within bands.
 
-    ``bands``: ``key, cid, n, own`` (size, and how much of it no other candidate has).  A
-    band is searched from pivots, those with the least share of their own first: each pivot
-    is compared with all of its band that have another label yet (and satisfy ``near`` of
-    ``n, own`` and the pivot's ``pn, pown``), is then done with, and the band rests once all
-    it holds have one label.  Later rounds take eight times as many pivots.  So a large
-    group of copies costs a few comparisons for each member, and no pair of a band is given
-    up.  ``compare`` takes distinct pairs ``a, b`` and the labels and returns the labels
-    after the true links.  From the second round on, ``refine`` may raise ``own`` in the
-    bands that are left, and gives the pairs that this would wrongly leave out.
+    ``bands``: ``key, cid, n, own`` (size, and how much of it no other candidate has).  First,
+    for ``turns`` rounds, each class meets one leader of its bands alone: that links nearly
+    all members of a large group of copies for one comparison each, however many bands they
+    share.  Bands that hold one label rest.  What is left is searched whole: each pivot is
+    compared with all of its band that have another label yet (and satisfy ``near`` of ``n,
+    own`` and the pivot's ``pn, pown``) and is then done with; those with the least share of
+    their own come first.  Later rounds take 32 times as many pivots.  No pair of a band is
+    given up.  ``compare`` takes distinct pairs ``a, b`` (a plan, to be run once) and the labels
+    and returns the labels after the true links.  From
+    the second whole round on, ``refine`` may raise ``own`` in the bands that are left, and
+    gives the pairs that this would wrongly leave out.
+
+    ``few_bands`` says that a class is in a bounded number of bands: a row then names them all,
+    and a pair is made only in the first band that both its ends are still in.
     """
-    pivots = 1
+    for turn in range(turns):
+        bands = _mixed(bands, labels)
+        if bands.isEmpty():
+            return labels
+        pairs = _led(bands, turn, near)
+        bands = bands.drop("label")
+        labels = compare(pairs, labels)
+    pivots = 2
     while True:
-        mine = bands.join(labels, "cid")
-        mixed = mine.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        mine = settle(mine.join(mixed, "key"))
+        mine = _mixed(bands, labels)
         if mine.isEmpty():
             return labels
         more = None
-        if refine is not None and pivots > 1:
+        if refine is not None and pivots > 2:
             mine, more = refine(mine)
         order = Window.partitionBy("key").orderBy(F.col("own") / F.col("n"), F.xxhash64("cid"), "cid")
         chosen = mine.withColumn("r", F.row_number().over(order)).where(F.col("r") <= pivots)
         chosen = settle(chosen.select("key", F.col("cid").alias("p"), F.col("n").alias("pn"), F.col("own").alias("pown"), F.col("label").alias("pl")))
-        pairs = mine.join(chosen, "key").where((F.col("label") != F.col("pl")) & near)
+        met = (F.col("label") != F.col("pl")) & near
+        if few_bands:
+            named = mine.groupBy("cid").agg(F.sort_array(F.collect_set("key")).alias("bands"))
+            once = F.col("key") == F.array_min(F.array_intersect("bands", "pbands"))
+            pairs = mine.join(named, "cid").join(chosen.join(named.select(F.col("cid").alias("p"), F.col("bands").alias("pbands")), "p"), "key").where(met & once)
+        else:
+            pairs = mine.join(chosen, "key").where(met)
         pairs = pairs.select(F.least("cid", "p").alias("a"), F.greatest("cid", "p").alias("b"))
-        pairs = settle((pairs if more is None else pairs.unionByName(more)).distinct())
-        if not pairs.isEmpty():
-            labels = compare(pairs, labels)
-        bands = settle(mine.drop("label").join(chosen.select("key", F.col("p").alias("cid")), ["key", "cid"], "left_anti"))
-        pivots *= 8
+        labels = compare((pairs if more is None else pairs.unionByName(more)).distinct(), labels)
+        bands = mine.drop("label").join(chosen.select("key", F.col("p").alias("cid")), ["key", "cid"], "left_anti")
+        pivots *= 32

@@ -4,8 +4,9 @@
    128-bit key of the set, and a sketch: per bucket the least hash, kept as its count of
    leading zeros and ``MANTISSA`` further bits.  Empty buckets borrow from another bucket.
 2. Rows with equal sets are one class from here on.
-3. Bands of compressed registers are hashed; classes that share a band are candidates and
-   are searched from pivots (see ``graph.search_bands``).
+3. Bands of compressed registers are hashed; classes that share a band are candidates.  Each
+   first meets one leader of its bands; what is left apart is searched from pivots (see
+   ``graph.search_bands``).
 4. Comparison: what two sets can have in common at most (their sizes less the shingles that
    no other candidate has), then the collision-corrected Jaccard estimate of the registers
    (``MARGIN`` below the threshold passes), then the exact size of the intersection.
@@ -14,7 +15,9 @@
 Null or blank text: no shingles, linked with nothing, its own component.  Fewer words than
 a shingle: the whole sequence counts as one.  Repeated rows are each returned.  A row with
 null ``doc_id`` takes part and is returned; a component id is the least non-null ``doc_id``
-(null if there is none).  An empty table gives no rows; other columns are ignored.
+(null if there is none).  Ties between pivots go by a hash of the class and change no
+component.  A very long text is read whole: its set is one row, its sketch has a fixed size.
+An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,12 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import settle, small_join
+from .common import settle, small_join, tidy
 
 ROWS, BANDS, MANTISSA = 6, 40, 10
 REGISTERS = ROWS * BANDS
 FEW = 8
-MARGIN = 0.13  # about five and a half standard deviations of the estimate at 0.85
+MARGIN = 0.16  # over five and a half standard deviations: the estimate's is 0.028 at most (sets of 13 shingles)
+_COLLISIONS = 0.169919487159739093975315012348  # of two random sets of one size, in a register, for no mantissa (Yu and Weber)
 
 _M = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
 
@@ -42,7 +46,7 @@ class _Words(dict):
     """64-bit hashes of words, kept while there are not too many."""
 
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[w] = xxhash.xxh64_intdigest(w)
         return h
@@ -89,10 +93,12 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Jaccard estimates of register rows for sets of n and m, less the expected chance matches."""
-    equal = (a == b).mean(1)
-    load = np.maximum(n, m) / REGISTERS
-    return equal - 0.169919487159739093975315012348 * 2.0**-MANTISSA * 4 * load / (1 + load) ** 2
+    """Jaccard estimates of register rows for sets of n and m, less the expected chance matches.
+
+    Two disjoint sets agree in a register by chance the oftener, the nearer their sizes are.
+    """
+    ratio = np.maximum(n, m) / np.maximum(1, np.minimum(n, m))
+    return (a == b).mean(1) - _COLLISIONS * 2.0**-MANTISSA * 4 * ratio / (1 + ratio) ** 2
 
 
 def _bytes(column: pa.Array) -> list[bytes | None]:
@@ -154,7 +160,7 @@ def _estimate_rows(least: float):
             x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("sig_a", "sig_b"))
             est = estimate(x, y, b.column("n_a").to_numpy(), b.column("n_b").to_numpy())
             ok = pa.array(est >= least)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok), pa.array(est).filter(ok)], names=["a", "b", "est"])
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(ok), b.column("b").filter(ok)], names=["a", "b"])
 
     return run
 
@@ -182,6 +188,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return j.select("a", "b", "set_a", "set_b").mapInArrow(_exact_rows(num, den), "a long, b long")
 
 
+@tidy
 def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row; links need den * both >= num * union."""
     t = num / den
@@ -222,19 +229,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         mine = settle(mine.where((F.col("n") - F.col("own")) * den >= F.col("n") * num))
         return mine, pairs.select(F.col("cid").alias("a"), F.col("p").alias("b")).distinct()
 
-    first = True
-
     def compare(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        nonlocal first
-        likely = settle(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimate_rows(t - MARGIN), "a long, b long, est double"))
-        if first:  # most copies meet here: the likeliest pivot of each settles most of the others
-            first = False
-            best = settle(likely.groupBy("b").agg(F.max_by("a", "est").alias("a")).select("a", "b"))
-            labels = graph.merged(labels, settle(_verified(best, sets, num, den)))
-            likely = graph.apart(likely.join(best, ["a", "b"], "left_anti"), labels)
+        likely = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_estimate_rows(t - MARGIN), "a long, b long")
         return graph.merged(labels, settle(_verified(likely, sets, num, den)))
 
-    labels = graph.search_bands(bands, labels, near, compare, refine)
+    labels = graph.search_bands(bands, labels, near, compare, refine, few_bands=True)
     known = classes.select("cid", "k1", "k2", "rep").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
     least = known.groupBy("label").agg(F.min("rep").alias("component_id"))
     known = known.join(least, "label").select("k1", "k2", "component_id")
