@@ -6,9 +6,10 @@ The risk of Kiryo et al. (2017) is minimised with the logistic loss::
 
 ``P`` are trusted positives, ``U`` is text taken without its labels, and ``prior`` is the
 estimated share of positives in ``U``.  Where the second part falls below zero its
-gradient is reversed.  Features: presence of hashed word parts, chosen by how differently
-``P`` and ``U`` use them.  Kind ``words`` takes parts of words; kind ``marks`` takes what is
-no word character in a token, and binned style figures of the whole text.
+gradient is reversed.  The prior comes from ``P`` and ``U`` alone, too (``estimate_prior``);
+labelled negatives are used nowhere.  Features: presence of hashed word parts, chosen by how
+differently ``P`` and ``U`` use them.  Kind ``words`` takes parts of words; kind ``all``
+takes also what is no word character in a token, and binned style figures of the whole text.
 
 Fitting takes a bounded sample (``max_positive``, ``max_unlabelled``); scoring runs over
 every whole text.
@@ -66,7 +67,7 @@ def mark_parts(token: str) -> list[int]:
     return [_h("m" + mark)] if mark else []
 
 
-PARTS = {"words": word_parts, "marks": mark_parts}
+PARTS = {"words": word_parts, "all": lambda token: word_parts(token) + mark_parts(token)}
 
 
 def style(text: str, tokens: list[str], distinct: int) -> list[int]:
@@ -127,7 +128,7 @@ class Extractor:
         self.selected, self.kind, self.cache = selected, kind, {}
 
     def __call__(self, text: str) -> list[int]:
-        """Column numbers: selected parts, then (kind ``marks``) one for each style figure."""
+        """Column numbers: selected parts, then (kind ``all``) one for each style figure."""
         tokens = text.split()
         words, cache, got, parts = set(tokens), self.cache, set(), PARTS[self.kind]
         for t in words:
@@ -175,22 +176,32 @@ def _collect_rows(selected: dict[int, int], kind: str):
     return rows
 
 
-def minimise(p: list, u: list, width: int, prior: float, rounds: int, rate: float = 0.05, decay: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias of the least non-negative risk (full-batch Adam, deterministic)."""
-    w, b = np.zeros(width), 0.0
-    m, v = np.zeros(width + 1), np.zeros(width + 1)
-    flat = [np.concatenate([np.asarray(x, np.int64) for x in s]) for s in (p, u)]
-    rows = [np.repeat(np.arange(len(s)), [len(x) for x in s]) for s in (p, u)]
+class Sample:
+    """Feature lists of texts as flat columns and rows."""
+
+    def __init__(self, texts: list, width: int):
+        self.n, self.width = len(texts), width
+        self.flat = np.concatenate([np.asarray(x, np.int64) for x in texts]) if texts else np.empty(0, np.int64)
+        self.row = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+
+    def scores(self, w: np.ndarray, b: float) -> np.ndarray:
+        return np.bincount(self.row, w[self.flat], self.n) + b
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return np.bincount(self.flat, g[self.row], self.width)
+
+
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+
+def _descend(p: Sample, u: Sample, slopes, rounds: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
+    """Full-batch Adam; ``slopes`` gives the risk's derivatives by the scores of ``p`` and ``u``."""
+    w, b = np.zeros(p.width), 0.0
+    m, v = np.zeros(p.width + 1), np.zeros(p.width + 1)
     for t in range(1, rounds + 1):
-        zp, zu = (np.bincount(r, w[f], len(s)) + b for f, r, s in zip(flat, rows, (p, u)))
-        sp, su = 1 / (1 + np.exp(-np.clip(zp, -50, 50))), 1 / (1 + np.exp(-np.clip(zu, -50, 50)))
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp, gu = prior * (sp - 1) / len(p), np.zeros(len(u))
-        sign = 1.0 if negative >= 0 else -1.0
-        gu = sign * su / len(u)
-        gp = (gp if sign > 0 else 0 * gp) - sign * prior * sp / len(p)
-        g = np.bincount(flat[0], gp[rows[0]], width) + np.bincount(flat[1], gu[rows[1]], width)
-        g = np.append(g + decay * w, gp.sum() + gu.sum())
+        gp, gu = slopes(p.scores(w, b), u.scores(w, b))
+        g = np.append(p.back(gp) + u.back(gu) + decay * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
         w -= step[:-1]
@@ -198,22 +209,69 @@ def minimise(p: list, u: list, width: int, prior: float, rounds: int, rate: floa
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str, in_training, kind: str, seed: int = 7, max_positive: int = 6000, max_unlabelled: int = 12000, max_features: int = 6000, least_z: float = 3.5) -> Model:
+def minimise(p: list, u: list, width: int, prior: float, rounds: int, rate: float = 0.05, decay: float = 2e-5) -> tuple[np.ndarray, float]:
+    """Weights and bias of the least non-negative risk (deterministic)."""
+    p, u = Sample(p, width), Sample(u, width)
+
+    def slopes(zp, zu):
+        sp, su = _sigmoid(zp), _sigmoid(zu)
+        rest = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+        if rest >= 0:
+            return prior * (sp - 1) / p.n - prior * sp / p.n, su / u.n
+        return prior * sp / p.n, -su / u.n
+
+    return _descend(p, u, slopes, rounds, rate, decay)
+
+
+def estimate_prior(p: list, u: list, width: int, rounds: int = 100) -> float:
+    """Share of positives in ``u``, from positives and unlabelled texts alone.
+
+    Above any threshold of a score, ``u`` holds at least the prior times what ``p`` holds; the
+    least such ratio bounds the prior from above and meets it where only positives score (Blanchard,
+    Lee and Scott, 2010).  The score separates ``p`` from ``u``; each half of the sample is
+    judged by the score fitted on the other.  Of the thresholds that three tenths of ``p`` or
+    more reach (few texts make the least of many ratios too small), the one with the least
+    ratio plus two standard errors is taken.  As the ratio bounds the prior from above, the
+    mean of both halves is lowered by its standard error.
+    """
+    found = []
+    for k in (0, 1):
+        fitted = [Sample(x[k::2], width) for x in (p, u)]
+        judged = [Sample(x[1 - k :: 2], width) for x in (p, u)]
+        if not all(x.n for x in fitted + judged):
+            continue
+        a, c = fitted
+        w, b = _descend(a, c, lambda zp, zu: ((_sigmoid(zp) - 1) / (2 * a.n), _sigmoid(zu) / (2 * c.n)), rounds, 0.05, 1e-4)  # noqa: B023
+        zp, zu = np.sort(judged[0].scores(w, b)), np.sort(judged[1].scores(w, b))
+        at = np.quantile(zp, np.arange(0.02, 0.71, 0.02))
+        fp, fu = (1 - np.searchsorted(z, at) / len(z) for z in (zp, zu))
+        fp, fu = np.maximum(fp, 1 / len(zp)), np.maximum(fu, 1 / len(zu))
+        ratio = fu / fp
+        error = ratio * np.sqrt((1 - fp) / (fp * len(zp)) + (1 - fu) / (fu * len(zu)))
+        best = (ratio + 2 * error).argmin()
+        found.append((ratio[best], error[best]))
+    if not found:
+        return 0.5
+    ratio, error = np.array(found).T
+    return min(0.98, max(0.002, float(ratio.mean() - np.sqrt((error**2).sum()) / len(error))))
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str, in_training, kind: str, seed: int = 7, max_positive: int = 6000, max_unlabelled: int = 12000, max_features: int = 6000, least_z: float = 3.5, rounds: int = 300, decay: float = 2e-4) -> Model:
     """Fit on training rows only.
 
     ``in_training(key)`` is the column that marks them.  ``max_positive`` and
-    ``max_unlabelled`` bound the sample.  The prior is the share of positives among the
-    training labels (Laplace-corrected).  No positive or no text at all: a constant model.
+    ``max_unlabelled`` bound the sample.  Of the labels only the positive ones are read.  No
+    positive or no text at all: a constant model, whose score is 0.5.
     """
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & in_training("doc_id")).groupBy("doc_id").agg(F.max(label).alias("y"))
-    n_known, n_pos = known.agg(F.count("*"), F.coalesce(F.sum((F.col("y") == 1).cast("long")), F.lit(0))).first()
-    prior = min(0.98, max(0.02, (n_pos + 1) / (n_known + 2)))
+    trusted = labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull() & in_training("doc_id")).select("doc_id").distinct()
+    n_pos = trusted.count()
+    constant = Model(kind, {}, np.zeros(N_STYLE * N_BINS), 0.0, 0.5)
     spark = docs.sparkSession
     text = docs.where(F.col("doc_id").isNotNull() & in_training("doc_id")).select(F.col("doc_id").alias("key"), "text")
-    positives = [r[0] for r in thinned(known.where("y = 1"), "doc_id", n_pos, max_positive, seed).select("doc_id").orderBy("doc_id").toLocalIterator()]
+    positives = [r[0] for r in thinned(trusted, "doc_id", n_pos, max_positive, seed).orderBy("doc_id").toLocalIterator()]
     n_text = text.count()
     if not positives or not n_text:
-        return Model(kind, {}, np.zeros(N_STYLE * N_BINS), math.log(prior / (1 - prior)), prior)
+        return constant
     ids = spark.createDataFrame([(x,) for x in positives], "key long")
     p = text.join(F.broadcast(ids), "key").select("key", "text", F.lit(True).alias("is_p"))  # at most max_positive ids
     u = thinned(text, "key", n_text, max_unlabelled, seed + 1).select("key", "text", F.lit(False).alias("is_p"))
@@ -228,8 +286,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, in_training, kind: str,
     rows = sample.mapInArrow(_collect_rows(selected, kind), "key long, is_p boolean, f array<int>").orderBy("is_p", "key").collect()
     ps, us = [r["f"] for r in rows if r["is_p"]], [r["f"] for r in rows if not r["is_p"]]
     if not ps or not us:
-        return Model(kind, {}, np.zeros(N_STYLE * N_BINS), math.log(prior / (1 - prior)), prior)
-    w, b = minimise(ps, us, width, prior, 300 if kind == "words" else 1000)  # word parts over-fit beyond that
+        return constant
+    prior = estimate_prior(ps, us, width)
+    w, b = minimise(ps, us, width, prior, rounds, decay=decay)
     return Model(kind, selected, w, b, prior)
 
 

@@ -1,10 +1,11 @@
-"""Quality classifier: positive-unlabelled learning on style figures and marks.
+"""Quality classifier: positive-unlabelled learning on words, marks and style figures.
 
 Labels equal to 1 are the trusted positives; training text without labels is the rest.
 Null text counts as empty; a null ``doc_id`` or label takes no part in fitting but the row
 is scored.  Repeated rows are each scored; other columns of ``docs`` are ignored.  Without
-any positive the score is the prior.  ``max_positive`` and ``max_unlabelled`` (see
-``nnpu.fit``) bound the fitting sample.
+any positive the score is 0.5.  ``max_positive`` and ``max_unlabelled`` (see ``nnpu.fit``)
+bound the fitting sample.  Very long texts are read whole; a score equal to the threshold
+counts as reaching it.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 
 from . import nnpu
 
-KIND = "marks"
+KIND, ROUNDS, DECAY = "all", 2000, 2e-5
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, in_training, label: str = "quality", **bounds) -> nnpu.Model:
-    return nnpu.fit(docs, labels, label, in_training, KIND, **bounds)
+    return nnpu.fit(docs, labels, label, in_training, KIND, **{"rounds": ROUNDS, "decay": DECAY} | bounds)
 
 
 def score_quality(docs: DataFrame, model: nnpu.Model, keep: list[str], threshold: float = 0.5) -> DataFrame:

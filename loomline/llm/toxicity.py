@@ -3,8 +3,9 @@
 Confirmed toxic documents are the positives; training text without labels is the rest.
 Null text counts as empty; a null ``doc_id`` or label takes no part in fitting but the row
 is scored.  Repeated rows are each scored; other columns of ``docs`` are ignored.  Without
-any positive the score is the prior.  ``max_positive`` and ``max_unlabelled`` (see
-``nnpu.fit``) bound the fitting sample.
+any positive the score is 0.5.  ``max_positive`` and ``max_unlabelled`` (see ``nnpu.fit``)
+bound the fitting sample.  Very long texts are read whole; a score equal to the threshold
+counts as reaching it.
 """
 
 from __future__ import annotations
