@@ -11,13 +11,16 @@ Native DataFrame expressions only.
    again and again.  The number of a source's blocks that go left is drawn from the exact
    multivariate hypergeometric law, source by source, by inversion.  Each node keeps for
    each source where its disjoint run of permuted blocks starts.
-4. A leaf is one shard: it takes its runs of blocks and orders them by a hash.
+4. A leaf is one shard: it draws its runs of each source's permuted blocks (so that passes
+   mix) and orders them by a hash.  All results are read off the leaves.
 
-Hot sources are spread: prefix sums run in buckets of a few thousand rows of a source.
+Hot sources are spread: prefix sums run in buckets of a few thousand rows of a source.  A
+tree node is one row with some 24 bytes a source, so sources are to be some ten thousands at most.
 
 Null text has size 0; a null source is a source of its own, last in weight order.  Sources
-without words take nothing.  Repeated rows are separate rows.  An empty table gives no
-rows.  Other columns are ignored.
+without words take nothing.  Repeated rows are separate rows, and ties in the random order
+go by id, size and row.  A very long text may span many blocks and shards.  An empty table
+gives no rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -143,6 +146,13 @@ def tree(quotas: DataFrame, n_shards: int, shard_blocks: int, seed: int) -> Data
     return node.select("shard", F.explode("q").alias("x")).select("shard", "x.*")
 
 
+def permuted(place: Column, blocks: Column) -> Column:
+    """A block number for each place below ``blocks``: a bijection with a prime stride."""
+    primes = [982451653, 982451629, 982451609]
+    stride = F.coalesce(*[F.when(blocks % p != 0, F.lit(p)) for p in primes], F.lit(1))
+    return F.pmod((stride % blocks) * place + F.floor(blocks / 3), blocks).cast("long")
+
+
 @dataclass
 class Mix:
     """``rows``: the input rows with their place; ``leaves``: the block runs of each shard."""
@@ -152,20 +162,20 @@ class Mix:
     block_words: int
     seed: int
 
+    def drawn(self) -> DataFrame:
+        """The blocks that the leaves draw: ``shard, rank, sid, block``; ``rank`` orders those of a shard."""
+        place = F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1))
+        b = self.leaves.select("shard", "sid", "n_blocks", place.alias("place"))
+        b = b.select("shard", "sid", permuted(F.col("place"), F.col("n_blocks")).alias("block"))
+        return b.withColumn("rank", F.xxhash64(F.lit(self.seed + 2), "shard", "sid", "block"))
+
     def segments(self) -> DataFrame:
-        """What each shard takes: ``shard, rank, doc_id, source, pass, start, length`` (words).
+        """What each shard takes: ``shard, rank, doc_id, source, row, pass, at, start, length`` (words).
 
-        ``rank`` orders blocks in a shard; ``start`` counts words of the row's text.
+        A shard is read by ``rank`` and, inside a block, by ``at``; ``start`` counts words of the row's text.
         """
-        b = self.block_words
-        cut = self._cuts()
-        blocks = settle(self.leaves.select("shard", "sid", F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1)).alias("block")))
-        return (
-            cut.where("length > 0")
-            .join(blocks, ["sid", "block"])
-            .withColumn("rank", F.xxhash64(F.lit(self.seed + 2), "shard", "sid", "block"))
-            .select("shard", "rank", "doc_id", "source", "row", (F.col("at") / F.col("source_size")).cast("long").alias("pass"), "start", "length", "block", F.lit(b).alias("block_words"))
-        )
+        keep = ["shard", "rank", "doc_id", "source", "row", "pass", "at", "start", "length", "block"]
+        return self._cuts().where("length > 0").join(self.drawn(), ["sid", "block"]).select(*keep)
 
     def _cuts(self) -> DataFrame:
         """Each row's overlaps with the blocks of its source's quota; a row without any stays with length 0."""
@@ -183,15 +193,20 @@ class Mix:
         return d.withColumn("length", F.greatest(F.lit(0).cast("long"), hi - lo)).withColumn("start", lo - F.col("at"))
 
     def taken(self) -> DataFrame:
-        """Every input row once: ``doc_id, source, row, size, source_size, target, taken``."""
-        blocks = self.leaves.select("sid", F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1)).alias("block"), F.lit(1).alias("drawn"))
-        got = F.coalesce(F.sum(F.when(F.col("drawn") == 1, F.col("length"))), F.lit(0)).cast("long")
+        """Every input row once: ``doc_id, source, row, size, source_size, target, taken``, and
+        the first ``shard`` and ``rank`` that take of it, with the number of ``shards`` that do.
+        """
         keys = ["row", "doc_id", "source", "size", "source_size", "target"]
-        return self._cuts().select(*keys, "sid", "block", "length").join(blocks, ["sid", "block"], "left").groupBy(*keys).agg(got.alias("taken"))
+        cut = self._cuts().select(*keys, "sid", "block", "length").join(self.drawn(), ["sid", "block"], "left")
+        got = F.when(F.col("shard").isNotNull() & (F.col("length") > 0), F.col("length"))
+        first = F.min(F.when(got.isNotNull(), F.struct("shard", "rank")))
+        shards = F.size(F.collect_set(F.when(got.isNotNull(), F.col("shard")))).cast("long")
+        out = cut.groupBy(*keys).agg(F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken"), first.alias("f"), shards.alias("shards"))
+        return out.select(*keys, "taken", "f.shard", "f.rank", "shards")
 
 
-def mix(docs: DataFrame, weights: list[int] = (1, 2, 3), max_epochs: int = 3, block_words: int = 1 << 14, shard_blocks: int = 64, bucket_rows: int = 4096, seed: int = 11) -> Mix:
-    """Plan the mix of ``docs`` (``doc_id, text, source``)."""
+def mix(docs: DataFrame, weights: list[int] = (1, 2, 3), max_epochs: int = 3, block_words: int = 1 << 12, shard_blocks: int = 32, bucket_rows: int = 4096, seed: int = 11) -> Mix:
+    """Plan the mix of ``docs`` (``doc_id, text, source``) over shards of ``shard_blocks`` blocks."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     base = docs.select("doc_id", "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "source").alias("h"))
     # A row number for each row; files are read again in the same order, and this copy is kept.
@@ -207,5 +222,6 @@ def mix(docs: DataFrame, weights: list[int] = (1, 2, 3), max_epochs: int = 3, bl
     rows = settle(d.join(heads, ["sid", "bucket"]).withColumn("pos", F.col("head") + F.col("within")).drop("head", "within", "bucket", "h"))
     quotas = src.select("sid", F.ceil(F.col("quota") / F.lit(block_words)).cast("long").alias("blocks"))
     n_blocks = quotas.agg(F.coalesce(F.sum("blocks"), F.lit(0))).first()[0]
-    leaves = settle(tree(quotas, max(1, math.ceil(n_blocks / shard_blocks)), shard_blocks, seed + 1))
+    leaves = tree(quotas, max(1, math.ceil(n_blocks / shard_blocks)), shard_blocks, seed + 1)
+    leaves = settle(small_join(leaves, quotas.select("sid", F.col("blocks").alias("n_blocks")), ["sid"]))
     return Mix(rows, leaves, block_words, seed)

@@ -51,8 +51,9 @@ def op6_norm_bucketed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mix of all documents, read off the leaves of the splitting tree."""
     mix = mixing.mix(table(spark, sf_dir, "documents"))
-    return mix.taken().select("doc_id", "size", "source_size", "target", "taken")
+    return mix.taken().select("doc_id", "size", "source_size", "target", "taken", "shard", "rank", "shards")
 
 
 def op8_hyperminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

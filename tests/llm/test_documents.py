@@ -152,6 +152,30 @@ def test_mix_shards_are_exact_and_disjoint(spark, odd):
     assert m.segments().agg(F.sum("length")).first()[0] == m.taken().agg(F.sum("taken")).first()[0]
 
 
+def test_mix_is_read_off_the_leaves(spark, odd):
+    m = mixing.mix(odd, block_words=50, shard_blocks=4, bucket_rows=3)
+    rows = m.taken().toPandas()
+    assert m.leaves.select("shard").distinct().count() > 1 and rows.shard.nunique() > 1
+    lost = m.leaves.where("shard = 1").agg(F.sum("blocks")).first()[0]
+    less = mixing.Mix(m.rows, m.leaves.where("shard <> 1"), m.block_words, m.seed).taken().toPandas()
+    gone = rows.taken.sum() - less.taken.sum()
+    assert 0 < gone <= 50 * lost and (less.shard.dropna() != 1).all()
+    # Each source's drawn blocks are all of its blocks, each once.
+    drawn = m.drawn().toPandas()
+    for sid, g in drawn.groupby("sid"):
+        assert sorted(g.block) == list(range(len(g)))
+    # A segment's words are a run of the row's text, and no word of a pass is taken twice.
+    seg = m.segments().toPandas().sort_values(["row", "pass", "start"])
+    for _, g in seg.groupby(["row", "pass"]):
+        assert list(g.start[1:]) == list((g.start + g.length)[:-1])
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 97, 1000])
+def test_permuted_is_a_bijection(spark, n):
+    got = spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"))).collect()
+    assert sorted(r[0] for r in got) == list(range(n))
+
+
 def test_hypergeometric_law(spark):
     u = (F.col("id") + 0.5) / 4000
     got = Counter(r[0] for r in spark.range(4000).select(mixing.hypergeometric(F.lit(7), F.lit(12), F.lit(5), u)).collect())
