@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import langid, mixing, near_dup, packing, quality
-from loomline.llm.common import settle, table
+from loomline.llm.common import copies, release, settle, table
 from loomline.llm.queries import tokenizer_path
 
 #: A text further than this share of the greatest distance from every learned language is none of them.
@@ -28,13 +28,21 @@ def _kept(docs: DataFrame, judge: Callable[[DataFrame, list[str]], DataFrame]) -
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts as good; null text counts as empty."""
+    """Documents that the quality classifier predicts as good; null text counts as empty.
+
+    Whole texts are read, however long; a score of exactly one half is good; repeated rows
+    are judged alike; a null id is judged but not learned from.
+    """
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), lambda key: F.col(key).isNotNull())
     return _kept(docs, lambda d, names: quality.score_quality(d, model, names).where("predicted = 1"))
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language: those without letters, or far from all profiles, go."""
+    """Documents in a learned language: those without letters (so null and empty text), or far from all profiles, go.
+
+    Whole texts are read, however long; equal distances go to the language that sorts first;
+    repeated rows are judged alike.
+    """
     profiles = langid.learn(docs)
     return _kept(docs, lambda d, names: langid.predict(d, profiles, names).where((F.col("lang_pred") != "und") & (F.col("distance") <= FARTHEST)))
 
@@ -52,15 +60,24 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as many times as the mix reaches it, whole; others are not drawn."""
+    """The mix: one whole copy of a document for each pass that takes words of it, in shard order.
+
+    Copies stand where the first of their blocks was drawn: shards are kept together, and
+    inside a shard rows follow its local shuffle.  Documents without words (null, empty or
+    blank text) are not drawn.  Repeated rows are drawn each for itself; a very long text is
+    one row even if its blocks went to several shards.
+    """
+    row, shard, rank, at = (f"{c}{'_' * max(map(len, docs.columns))}" for c in ("row", "shard", "rank", "at"))  # longer than any name there
     # A row id, kept as a copy so that a row can be found again by it.
-    rows = settle(docs.withColumn("_row", F.monotonically_increasing_id()))
-    taken = mixing.mix(rows.withColumnRenamed("doc_id", "_id").withColumnRenamed("_row", "doc_id")).taken()
-    times = taken.where("taken > 0").select(F.col("doc_id").alias("_row"), F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    return rows.join(times, "_row").withColumn("_i", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(docs.columns)
+    rows = settle(docs.withColumn(row, F.monotonically_increasing_id()))
+    mix = mixing.mix(rows.select(F.col(row).alias("doc_id"), "text", "source"))
+    first = mix.segments().groupBy("doc_id", "pass").agg(F.min(F.struct("shard", "rank", "at")).alias("f"))
+    places = first.select(F.col("doc_id").alias(row), F.col("f.shard").alias(shard), F.col("f.rank").alias(rank), F.col("f.at").alias(at))
+    return rows.join(places, row).repartition(F.col(shard)).sortWithinPartitions(shard, rank, at).select(docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of 4096 tokens; null text is one end id, longer texts are cut."""
     return packing.pack(docs, tokenizer_path())
 
 
@@ -78,6 +95,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    since = copies()
     for _, stage in STAGES:
         df = settle(stage(spark, df, sf_dir))
+        release(since, df)
     return df
