@@ -12,6 +12,10 @@ ID_PATTERNS = {
     "sha256": r"^[0-9a-f]{64}$",
     "task": r"^[a-z0-9][a-z0-9-]{1,62}[a-z0-9]$",
     "commit": r"^[0-9a-f]{40}$",
+    "run": r"^[a-z0-9][a-z0-9._-]{1,62}[a-z0-9]$",
+    "runner": r"^runner-[0-9a-f]{32}$",
+    "generation": r"^generation-[0-9a-f]{32}$",
+    "model": r"^[A-Za-z0-9][A-Za-z0-9._-]{0,95}/[A-Za-z0-9][A-Za-z0-9._-]{0,95}$",
 }
 
 
@@ -25,6 +29,11 @@ def safe_path(path: Column) -> Column:
     return ~bad
 
 
+def safe_output(path: Column) -> Column:
+    """A safe path without a step that stays in place, of a Markdown file."""
+    return safe_path(path) & ~F.exists(F.split(path, "/"), lambda p: p == ".") & F.lower(path).endswith(".md")
+
+
 def supported(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"(\.[^./]+)$", 1)).isin(SUFFIXES)
 
@@ -38,7 +47,8 @@ def overlapping(a: Column, b: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, r"^https?://([^/:?#]+)", 1))
+    """Lower-case host of a web address, without user, password and port."""
+    return F.lower(F.regexp_extract(url, r"^https?://(?:[^/?#]*@)?([^/:?#@]+)", 1))
 
 
 def on_list(host_: Column, domains: list[str]) -> Column:
@@ -76,9 +86,17 @@ def fit_label(size_bytes: Column, physical: Column, platform_ok: Column) -> Colu
     return F.when(~platform_ok, "UNSUPPORTED").when(size_bytes.isNull(), "UNKNOWN").when(share <= 0.70, "SUPPORTED").when(share <= 0.85, "TIGHT").otherwise("TOO_LARGE")
 
 
+# Names and ends of names of fields that are never logged.
+HIDDEN_NAMES = ["api_key", "authorization", "auth_token", "completion", "model_output", "password", "prompt", "prompt_text", "runner_token", "secret", "source_text"]
+HIDDEN_ENDS = ["_api_key", "_auth_token", "_password", "_secret"]
+
+
 def redacted(name: Column, value: Column) -> Column:
-    """Values of fields whose names tell of secrets or content are masked."""
-    hidden = F.lower(name).isin("password", "token", "secret", "authorization", "prompt", "content", "text") | F.lower(name).rlike(r"(?:_token|_secret|_password|_key)$")
+    """Values of fields whose names tell of secrets or content are masked; case does not matter."""
+    folded = F.lower(name)
+    hidden = folded.isin(HIDDEN_NAMES)
+    for end in HIDDEN_ENDS:
+        hidden = hidden | folded.endswith(end)
     return F.when(hidden, F.lit("[REDACTED]")).otherwise(value)
 
 

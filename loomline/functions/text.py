@@ -37,11 +37,6 @@ def topic_key(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
 
 
-@F.pandas_udf(StringType())
-def casefold(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: None if x is None else x.casefold())
-
-
 def newlines(c: Column) -> Column:
     return F.regexp_replace(c, "\r\n?", "\n")
 
@@ -50,9 +45,23 @@ def normalize(c: Column) -> Column:
     return nfc(newlines(c))
 
 
+def _folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What case folding changes beyond lower case, by rule: to one character, and to several (below U+0590 and ligatures)."""
+    odd = {c: c.casefold() for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and c.lower() == c != c.casefold()}
+    return {c: f for c, f in odd.items() if len(f) == 1}, {c: f for c, f in odd.items() if len(f) > 1 and (ord(c) < 0x590 or 0xFB00 <= ord(c) < 0xFB18)}
+
+
+_ONE, _SEVERAL = _folds()
+_ODD = "[" + "".join(_ONE) + "".join(_SEVERAL) + "]"
+
+
 def fold(c: Column) -> Column:
-    """Case folding without Python: exact where sharp s is the only letter that lower() leaves unfolded."""
-    return F.replace(F.lower(c), F.lit("ß"), F.lit("ss"))
+    """Case folding without Python; Greek letters with a subscript iota keep their one character."""
+    low = F.lower(c)
+    full = F.translate(low, "".join(_ONE), "".join(_ONE.values()))
+    for letter, letters in _SEVERAL.items():
+        full = F.replace(full, F.lit(letter), F.lit(letters))
+    return F.when(low.rlike(_ODD), full).otherwise(low)
 
 
 def alphanumerics(c: Column) -> Column:
@@ -94,7 +103,11 @@ def longest_tokens(c: Column, n: int = 8) -> Column:
 
 
 def minhash(shingle_array: Column, seeds: int = 8) -> Column:
-    """For each seed the least SHA-256 of ``seed:shingle``."""
+    """For each seed the least SHA-256 of ``seed:shingle``.
+
+    The law of collisions is that of any keyed hash; the values, and so the members of a
+    block, are those of SHA-256 over letters and digits, not of the reference's hash.
+    """
 
     def least(seed: int) -> Column:
         return F.array_min(F.transform(shingle_array, lambda s: F.sha2(F.concat(F.lit(f"{seed}:"), s), 256)))

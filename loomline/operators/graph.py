@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the session's shared folder."""
-    sc = df.sparkSession.sparkContext
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share; only a local session without one gets a temporary folder."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        shared = spark.conf.get("spark.checkpoint.dir", None)
         if shared is None and not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="loomline-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage by a reliable checkpoint in the session's shared folder."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
 
 
@@ -35,18 +41,23 @@ def components(nodes: DataFrame, edges: DataFrame, limit: int = 60) -> DataFrame
     raise RuntimeError("components did not settle")
 
 
-def levels(nodes: DataFrame, depends: DataFrame, limit: int = 1000) -> tuple[DataFrame, DataFrame]:
-    """Kahn's peeling: (``node, level``, nodes that a cycle holds back)."""
-    left, edges, done = cut(nodes.select("node")), cut(depends.select("node", "needs").distinct()), None
-    for k in range(limit):
-        ready = cut(left.join(edges.select("node"), "node", "left_anti").withColumn("level", F.lit(k).cast("long")))
-        if ready.isEmpty():
-            break
-        done = ready if done is None else done.unionByName(ready)
-        left = cut(left.join(ready, "node", "left_anti"))
-        edges = cut(edges.join(ready.select(F.col("node").alias("needs")), "needs", "left_anti"))
-    empty = nodes.limit(0).select("node", F.lit(0).cast("long").alias("level"))
-    return done if done is not None else empty, left
+def levels(nodes: DataFrame, depends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Kahn's peeling: (``node, level``, nodes that a cycle holds back), to the end however deep.
+
+    One table holds all nodes with the level they left at; a round joins only what is left.
+    """
+    state = cut(nodes.select("node").distinct().withColumn("level", F.lit(None).cast("long")))
+    edges = cut(depends.select("node", "needs").distinct())
+    k, before = 0, -1
+    while True:
+        waits = edges.select("node").distinct().withColumn("waits", F.lit(True))
+        state = cut(state.join(waits, "node", "left").select("node", F.when(F.col("level").isNull() & F.col("waits").isNull(), F.lit(k).cast("long")).otherwise(F.col("level")).alias("level")))
+        left = state.where("level is null").count()
+        if left in (0, before):
+            return state.where("level is not null"), state.where("level is null").select("node")
+        gone = state.where("level is not null").select(F.col("node").alias("needs"))
+        edges = cut(edges.join(gone, "needs", "left_anti"))
+        k, before = k + 1, left
 
 
 def stable_order(tasks: list[str], depends: dict[str, list[str]]) -> list[str]:

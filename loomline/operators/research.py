@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, rules, text
@@ -17,11 +17,13 @@ def claim_score(kind: Column, statement: Column, in_conflict: Column, has_comman
 def select_claims(claims: DataFrame, k: int = 8) -> DataFrame:
     """Top 2k claims by ``score``, less the sensitive ones, then the first k."""
     order = [F.desc("score"), F.desc(F.length("statement")), F.col("claim_id")]
-    return claims.orderBy(*order).limit(2 * k).where(~text.is_sensitive(F.col("statement"))).orderBy(*order).limit(k)
+    asks = (query_text(F.col("statement")) != "") & ~text.is_sensitive(F.col("statement"))
+    return claims.orderBy(*order).limit(2 * k).where(asks).orderBy(*order).limit(k)
 
 
 def query_text(statement: Column) -> Column:
-    return F.substring(F.trim(F.regexp_replace(statement, r"https?://\S+", "")), 1, 500)
+    """What is searched for: the statement without addresses (empty if nothing else is said)."""
+    return F.substring(F.regexp_replace(F.regexp_replace(statement, r"https?://\S+", ""), r"(?U)^\s+|\s+$", ""), 1, 500)
 
 
 def sources_by_url(results: DataFrame) -> DataFrame:
@@ -59,7 +61,9 @@ def catalogue(remote: DataFrame, local: DataFrame) -> DataFrame:
 
 
 def search(models: DataFrame, column: str, query: str, order: list[Column], limit: int) -> DataFrame:
-    """Case-folded substring search."""
+    """Case-folded substring search of 1 to 100 rows."""
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be 1 to 100")
     return models.where(F.contains(text.fold(F.col(column)), text.fold(F.lit(query)))).orderBy(*order).limit(limit)
 
 
@@ -68,14 +72,25 @@ def compatibility(models: DataFrame, physical: int) -> DataFrame:
 
 
 def literal_hits(documents: DataFrame, key: str, column: str, literals: DataFrame) -> DataFrame:
-    """Literals (``item_id, literal``) that whole documents contain.
+    """Literals (``item_id, literal``) that whole documents contain, whatever the case.
 
-    Candidates meet on the literal's longest token, then containment is tested.
+    Candidates meet on the literal's longest inner token: one with other characters of the
+    literal on both sides is a token of every text that holds the literal.  Literals without
+    any meet on their first characters, which are looked for at every place of the texts.
+    Only keys and tokens are exchanged; text is read again for the candidates.
     """
-    longest = lambda c: F.element_at(text.longest_tokens(c, 1), 1)
-    lit = literals.select("item_id", "literal", longest(F.col("literal")).alias("t")).where("t is not null")
-    docs = documents.select(key, column, F.explode(text.lexical_tokens(F.col(column))).alias("t"))
-    return docs.join(F.broadcast(lit) if lit.limit(10_001).count() <= 10_000 else lit, "t").where(F.contains(F.col(column), F.col("literal"))).select(key, "item_id").distinct()
+    d = documents.select(F.col(key), text.fold(F.col(column)).alias("x"))
+    lit = literals.select("item_id", text.fold(F.col("literal")).alias("literal")).where("literal <> ''")
+    inner = F.regexp_replace(F.regexp_replace("literal", r"^[0-9A-Za-z가-힣._/-]+", ""), r"[0-9A-Za-z가-힣._/-]+$", "")
+    lit = lit.withColumn("t", F.get(text.longest_tokens(inner, 1), 0))
+    tokens = lit.where("t is not null").select("item_id", "literal", "t")
+    met = d.select(key, F.explode(text.lexical_tokens(F.col("x"))).alias("t")).join(tokens, "t").select(key, "item_id", "literal")
+    bare = lit.where("t is null").select("item_id", "literal", F.least(F.length("literal"), F.lit(4)).alias("q"), F.substring("literal", 1, 4).alias("g"))
+    for (q,) in bare.select("q").distinct().collect():  # 1 to 4
+        places = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("x") - (q - 1))), lambda i: F.substring(F.col("x"), i, F.lit(q)))  # noqa: B023
+        grams = d.select(key, F.explode(F.array_distinct(places)).alias("g"))
+        met = met.unionByName(grams.join(bare.where(F.col("q") == q), "g").select(key, "item_id", "literal"))
+    return met.distinct().join(d, key).where(F.contains(F.col("x"), F.col("literal"))).select(key, "item_id").distinct()
 
 
 def qualified(x: Column, literal: Column, qualifiers: list[str], window: int = 240) -> Column:
@@ -98,3 +113,25 @@ def binary_metrics(rows: DataFrame, truth: str, predicted: str, *group: str) ->
     ratio = lambda a, b: F.when(b > 0, F.round(a / b, 6))
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
     return g.withColumns({"precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn), "f1": ratio(2 * tp, 2 * tp + fp + fn)})
+
+
+def search_results(results: DataFrame, most: int = 10) -> DataFrame:
+    """Valid results ``url, title, content, published_date`` of a query (``query_id, pos``), trimmed and cut, at most ``most`` (1 to 10) each."""
+    if not 1 <= most <= 10:
+        raise ValueError("limit must be 1 to 10")
+    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    ok = results.where(F.coalesce(rules.search_result_ok(F.col("url"), strip("title"), strip("content")), F.lit(False)))
+    rn = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
+    cut = {"title": F.substring(strip("title"), 1, 500), "snippet": F.substring(strip("content"), 1, 4000), "published_date": F.substring("published_date", 1, 100)}
+    return ok.withColumn("rn", rn).where(F.col("rn") <= most).withColumns(cut).select("query_id", "pos", "url", "title", "snippet", "published_date")
+
+
+def answered(claims: DataFrame, responses: DataFrame) -> DataFrame:
+    """Claims with the response of the same ordinal; both lists must be as long as each other."""
+    j = claims.join(responses, "ordinal", "full_outer")
+    return j.withColumn("error", F.when(F.col("claim_id").isNull() | F.col("response").isNull(), "LENGTH"))
+
+
+def folder_sizes(folders: DataFrame, files: DataFrame) -> DataFrame:
+    """Bytes of each folder's files; null where there are none, as for a model whose files are unknown."""
+    return folders.join(files.groupBy("folder").agg(F.sum("byte_count").alias("size_bytes")), "folder", "left")

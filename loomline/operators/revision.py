@@ -33,9 +33,10 @@ def drift(expected: DataFrame, actual: DataFrame) -> DataFrame:
 
 @F.pandas_udf(StringType())
 def unified_diff(path: pd.Series, before: pd.Series, after: pd.Series) -> pd.Series:
-    """Unified diff of two whole texts (no built-in exists)."""
+    """Unified diff of two whole texts (no built-in exists); a last line without its end is marked."""
+
     def one(p, b, a):
-        lines = difflib.unified_diff((b or "").splitlines(), (a or "").splitlines(), f"before/{p}", f"after/{p}", lineterm="")
-        return "\n".join(lines)
+        lines = difflib.unified_diff((b or "").splitlines(keepends=True), (a or "").splitlines(keepends=True), f"before/{p}", f"after/{p}")
+        return "".join(x if x.endswith("\n") else f"{x}\n\\ No newline at end of file\n" for x in lines)
 
     return pd.Series([one(*x) for x in zip(path, before, after)])

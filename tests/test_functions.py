@@ -58,8 +58,18 @@ def test_rules(spark):
         rules.health(F.lit(16), F.lit("RUNNING")),
         rules.health(F.lit(30), F.lit("LAUNCHING")),
         rules.redacted(F.lit("user_token"), F.lit("x")),
+        rules.redacted(F.lit("My_Auth_Token"), F.lit("x")),
+        rules.host(F.lit("https://a.example.com:x@evil.com/")),
+        rules.safe_output(F.lit("a/./b.md")),
+        rules.safe_output(F.lit("a/b.MD")),
     )
-    assert got == [False, True, True, False, 10752, 46, "STALE", "STARTING", "[REDACTED]"]
+    assert got == [False, True, True, False, 10752, 46, "STALE", "STARTING", "x", "[REDACTED]", "evil.com", False, True]
+
+
+def test_fold_is_case_folding(spark):
+    words = ["Straße", "ΣΊΣΥΦΟΣ σίσυφος", "ﬁne ﬄ", "ſharp", "İstanbul", "ŉ ǰ", "ΐ", "ABC é", "ᏸ"]
+    got = spark.createDataFrame([(w,) for w in words], "t string").select(text.fold(F.col("t"))).collect()
+    assert [r[0] for r in got] == [w.casefold() for w in words]
 
 
 def test_checks(spark):
