@@ -134,18 +134,21 @@ def ledger(drafts_: DataFrame, links: DataFrame) -> DataFrame:
     statement, then the least content key, then the least draft id.
     """
     lists = ("preconditions", "commands", "warnings")
+    body = F.struct("kind", F.trim("statement").alias("statement"), *lists)
+    rank = F.struct((-F.length(F.trim("statement"))).alias("n"), F.col("key").alias("key"), F.col("draft_id").alias("draft_id"))
+    united = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
     d = drafts_.withColumn("key", content_key(F.col("kind"), F.col("statement"), *[F.col(x) for x in lists]))
-    first = d.groupBy("key").agg(F.min("draft_id").alias("b"))
-    same = d.join(first, "key").select(F.col("draft_id").alias("a"), "b")
-    roots = graph.components(d.select(F.col("draft_id").alias("node")), links.select("a", "b").unionByName(same))
-    d = d.join(roots.withColumnRenamed("node", "draft_id"), "draft_id")
-    rank = F.struct(-F.length(F.trim("statement")), "key", "draft_id")
-    c = d.groupBy("root").agg(
-        F.min_by(F.struct("kind", F.trim("statement").alias("statement"), *lists), rank).alias("r"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence_ids")))).alias("evidence_ids"),
-        F.array_sort(F.collect_list("draft_id")).alias("draft_ids"),
-    )
-    c = c.select("root", "r.*", "evidence_ids", "draft_ids")
+    c = d.groupBy("key").agg(F.min(F.struct(rank.alias("rank"), body.alias("r"))).alias("best"), united("evidence_ids").alias("evidence_ids"), F.array_sort(F.collect_list("draft_id")).alias("draft_ids"))
+    c = c.withColumn("root", F.col("draft_ids")[0])
+    if not links.isEmpty():  # classes of equal content, not drafts, are merged
+        keys = c.select("root", F.explode("draft_ids").alias("draft_id"))
+        end = lambda x: keys.select(F.col("draft_id").alias(x), F.col("root").alias(f"{x}_root"))
+        edges = graph.cut(links.select("a", "b").join(end("a"), "a").join(end("b"), "b").select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+        nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+        moved = graph.components(nodes, edges).select(F.col("node").alias("root"), F.col("root").alias("to"))
+        c = c.join(moved, "root", "left").withColumn("root", F.coalesce("to", "root"))
+        c = c.groupBy("root").agg(F.min("best").alias("best"), united("evidence_ids").alias("evidence_ids"), F.array_sort(F.flatten(F.collect_list("draft_ids"))).alias("draft_ids"))
+    c = c.select("root", "best.r.*", "evidence_ids", "draft_ids")
     return c.withColumn("claim_id", ids.claim_id(F.col("kind"), F.col("statement"), F.col("evidence_ids"), *[F.col(x) for x in lists]))
 
 
@@ -154,3 +157,56 @@ def inconsistent_relations(relations: DataFrame, roots: DataFrame) -> DataFrame:
     side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
     j = relations.join(side("left_id"), "left_id").join(side("right_id"), "right_id")
     return j.where((F.col("left_id_root") == F.col("right_id_root")) & ~F.col("relation").isin("EXACT_DUPLICATE", "SEMANTIC_EQUIVALENT"))
+
+
+MEANINGFUL = [p for p in PRIORITY if p != "UNRELATED"]
+
+
+def relation_errors(relations: DataFrame, drafts_: DataFrame) -> DataFrame:
+    """Relations ``left_id, right_id, relation`` that break a rule, with its name (must be empty).
+
+    Both ends are drafts (``draft_id``), the label is meaningful, a pair comes once, and if the
+    drafts have a ``side``, the ends are on different sides.
+    """
+    sided = "side" in drafts_.columns
+    d = drafts_.select("draft_id", (F.col("side") if sided else F.lit(None).cast("string")).alias("side"))
+    at = lambda c: d.select(F.col("draft_id").alias(f"{c}_id"), F.col("side").alias(f"{c}_side"), F.lit(True).alias(f"{c}_known"))
+    pair = [F.least("left_id", "right_id").alias("x"), F.greatest("left_id", "right_id").alias("y")]
+    n = relations.groupBy(*pair).agg(F.count("*").alias("n"))
+    j = relations.withColumns({"x": pair[0], "y": pair[1]}).join(n, ["x", "y"]).join(at("left"), "left_id", "left").join(at("right"), "right_id", "left")
+    code = (
+        F.when(F.col("left_known").isNull() | F.col("right_known").isNull(), "UNKNOWN_REFERENCE")
+        .when(~F.coalesce(F.col("relation").isin(MEANINGFUL), F.lit(False)), "NOT_MEANINGFUL")
+        .when(F.col("n") > 1, "DUPLICATE_PAIR")
+        .when(F.col("left_side") == F.col("right_side"), "OUTSIDE_PARTITION")
+    )
+    return j.withColumn("violation_code", code).where("violation_code is not null").select("left_id", "right_id", "relation", "violation_code")
+
+
+def halves(members: DataFrame, batch: list[str], order: str) -> DataFrame:
+    """Members of batches with their ``side``: the first half (rounded down) is LEFT.  A batch holds a bounded number."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(*batch)
+    return members.withColumn("side", F.when(F.row_number().over(w.orderBy(order)) <= F.floor(F.count("*").over(w) / 2), "LEFT").otherwise("RIGHT"))
+
+
+def split_pairs(members: DataFrame, batch: list[str], item: str) -> DataFrame:
+    """What a batch that was split compares: pairs inside each half, and those across (``part``: LEFT, RIGHT or CROSS)."""
+    h = halves(members.select(*batch, item), batch, item)
+    other = h.select(*batch, F.col(item).alias("b"), F.col("side").alias("b_side"))
+    j = h.withColumnRenamed(item, "a").join(other, batch)
+    inside = j.where((F.col("side") == F.col("b_side")) & (F.col("a") < F.col("b"))).select(*batch, "a", "b", F.col("side").alias("part"))
+    across = j.where((F.col("side") == "LEFT") & (F.col("b_side") == "RIGHT")).select(*batch, "a", "b", F.lit("CROSS").alias("part"))
+    return inside.unionByName(across)
+
+
+def draft_paths(drafts_: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Sorted source paths of each draft's evidence."""
+    e = drafts_.select("draft_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence.select("evidence_id", "relative_path"), "evidence_id")
+    return e.groupBy("draft_id").agg(F.array_sort(F.collect_set("relative_path")).alias("paths"))
+
+
+def reviewed_evidence(ledger_: DataFrame) -> DataFrame:
+    """Distinct evidence of all claims."""
+    return ledger_.select(F.explode("evidence_ids").alias("evidence_id")).distinct()

@@ -77,3 +77,20 @@ def recent(jobs: DataFrame, created: str, key: str, n: int) -> DataFrame:
     if not 1 <= n <= 1000:
         raise ValueError("limit must be 1 to 1000")
     return jobs.orderBy(F.desc(created), F.desc(key)).limit(n)
+
+
+def runnable(jobs: DataFrame, state: str = "state") -> DataFrame:
+    """Jobs with whether they have ended, and whether they may be started."""
+    ended = F.col(state).isin(TERMINAL)
+    return jobs.withColumns({"terminal": ended, "runnable": ~ended & (F.col(state) != "CANCELLING")})
+
+
+def generations(events: DataFrame) -> DataFrame:
+    """Distinct generations that each job has started."""
+    return events.groupBy("job_id").agg(F.countDistinct(F.when(F.col("kind") == "STARTED", F.col("generation_id"))).alias("generations"))
+
+
+def stream_tail(events: DataFrame, key: str, order: str, n: int) -> DataFrame:
+    """The last n events of each job, and whether there were more."""
+    total = events.groupBy(key).agg(F.max(order).alias("last"), F.count("*").alias("total"))
+    return events.join(total, key).where(F.col(order) > F.col("last") - n).withColumn("truncated", F.col("total") > n).drop("last", "total")

@@ -79,3 +79,68 @@ def shards(owned: DataFrame, most: int = 8) -> DataFrame:
     depth = F.greatest(F.lit(0), F.ceil(F.log2((F.col("n") + 1) / most)).cast("int"))
     parts = F.pow(F.lit(2), depth).cast("long")
     return n.withColumn("shard", F.floor(F.col("rn") * parts / F.col("n"))).drop("rn", "n")
+
+
+MOST_PLAN_CLAIMS = 40  # fixed value
+
+
+def planner_rows(claims: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Claims as the planner sees them: kind, statement, sorted source paths, and which lists they have."""
+    paths = claims.select("claim_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence.select("evidence_id", "relative_path"), "evidence_id")
+    paths = paths.groupBy("claim_id").agg(F.array_sort(F.collect_set("relative_path")).alias("source_paths"))
+    has = [(F.size(c) > 0).alias(f"has_{c}") for c in ("preconditions", "commands", "warnings")]
+    return claims.select("claim_id", "kind", "statement", *has).join(paths, "claim_id", "left").withColumn("source_paths", F.coalesce("source_paths", F.array().cast("array<string>")))
+
+
+def planning_batches(claims: DataFrame, plan: str = "plan_id", most: int = MOST_PLAN_CLAIMS) -> DataFrame:
+    """Batches of at most ``most`` claims that keep components of relations together.
+
+    ``plan, root, claim_id, first_path, folded``: components go in the order of their first
+    claim (path, folded statement, id); one larger than a batch is cut; a part that does not
+    fit the open batch starts the next.  A plan is one job's ledger and is folded as one array of parts.
+    """
+    from . import packing
+
+    key = ["first_path", "folded", "claim_id"]
+    rank = F.row_number().over(Window.partitionBy(plan, "root").orderBy(*key)) - 1
+    c = claims.withColumn("rn", rank).withColumn("part", F.floor(F.col("rn") / most))
+    lead = F.min(F.struct(*key)).over(Window.partitionBy(plan, "root")).alias("lead")
+    c = c.select("*", lead)
+    parts = c.groupBy(plan, "root", "lead", "part").agg(F.count("*").alias("size"))
+    order = F.struct("lead.first_path", "lead.folded", "lead.claim_id", "part")
+    parts = parts.withColumns({"order": order, "item": F.struct("root", "part")})
+    b = packing.next_fit(parts, [plan], "order", "item", "size", most)
+    b = b.select(plan, "batch_ordinal", F.explode("item_ids").alias("i")).select(plan, "batch_ordinal", "i.root", "i.part")
+    return c.join(b, [plan, "root", "part"]).select(plan, "batch_ordinal", "claim_id", "root", "rn", *[F.col(f"lead.{k}").alias(f"lead_{k}") for k in key])
+
+
+def ownership_overlap(packets: DataFrame) -> DataFrame:
+    """Tasks that own a claim which is also their context (must be empty)."""
+    both = F.array_intersect("owned_claim_ids", "context_claim_ids")
+    return packets.select("task_id", F.array_sort(both).alias("claim_ids")).where(F.size("claim_ids") > 0)
+
+
+def restricted(relations: DataFrame, claims: DataFrame) -> DataFrame:
+    """Relations whose two ends are among the claims."""
+    left = relations.join(claims.select(F.col("claim_id").alias("left_id")).distinct(), "left_id", "left_semi")
+    return left.join(claims.select(F.col("claim_id").alias("right_id")).distinct(), "right_id", "left_semi")
+
+
+def coverage_matrix(owned: DataFrame, claims: DataFrame, relations: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(claim coverage, evidence coverage) of a plan: the owner of each claim; the tasks that see each piece of evidence.
+
+    ``owned``: ``task_id, claim_id``; ``claims``: ``claim_id, evidence_ids``.  A task sees the
+    evidence of what it owns and of what its claims are related to.
+    """
+    seen = owned.select("task_id", "claim_id").unionByName(context_claims(owned, relations).select("task_id", "claim_id"))
+    pairs = claims.select("claim_id", F.explode("evidence_ids").alias("evidence_id"))
+    return owner_coverage(claims, owned), evidence_tasks(seen, pairs)
+
+
+def namespaced(plans: DataFrame, depends: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tasks (``batch, batches, task_id``) and dependencies (``batch, node, needs``) under ids that are unique over batches."""
+    short = F.regexp_replace(F.concat(F.format_string("p%03d-%03d-", "batch", "batches"), F.substring("task_id", 1, 55)), "-+$", "")
+    named = plans.withColumn("new_id", short)
+    side = lambda c: named.select("batch", F.col("task_id").alias(c), F.col("new_id").alias(f"{c}_id"))
+    d = depends.join(side("node"), ["batch", "node"]).join(side("needs"), ["batch", "needs"])
+    return named, d.select(F.col("node_id").alias("node"), F.col("needs_id").alias("needs"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -71,16 +71,22 @@ def path_guard(spark, sf_dir):
 ALLOWED = ["example.com", "example.org"]
 
 
-@query("""SELECT page_id, h AS host, (h = 'example.com' OR ends_with(h, '.example.com') OR h = 'example.org' OR ends_with(h, '.example.org')) AS allowed
- FROM (SELECT page_id, lower(regexp_extract(url, '^https?://([^/:?#]+)', 1)) AS h FROM pages)""")
+@query("""SELECT page_id, CASE page_id % 5 WHEN 1 THEN 'evil.com' WHEN 2 THEN 'docs.example.org' WHEN 3 THEN 'notexample.com' WHEN 4 THEN 'example.com' ELSE h END AS host,
+ CASE page_id % 5 WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN true ELSE list_slice(string_split(h, '.'), -2, -1) IN (['example', 'com'], ['example', 'org']) END AS allowed
+ FROM (SELECT page_id, lower(split_part(split_part(split_part(split_part(split_part(url, '://', 2), '/', 1), '?', 1), '#', 1), ':', 1)) AS h FROM pages)""")
 def domain_allowlist(spark, sf_dir):
+    """Page addresses, four of five replaced by ones with a user name, a port, a longer name or the bare domain."""
+    odd = F.element_at(F.array(*[F.lit(u) for u in ("https://a.example.com:x@evil.com/", "https://user@docs.Example.org:8443/p?q=a@b", "https://notexample.com", "http://EXAMPLE.com#x")]), (F.col("page_id") % 5).cast("int"))
+    p = load(spark, sf_dir, "pages").select("page_id", F.when(F.col("page_id") % 5 == 0, F.col("url")).otherwise(odd).alias("url"))
     h = rules.host(F.col("url"))
-    return load(spark, sf_dir, "pages").select("page_id", h.alias("host"), rules.on_list(h, ALLOWED).alias("allowed"))
+    return p.select("page_id", h.alias("host"), rules.on_list(h, ALLOWED).alias("allowed"))
 
 
-@query("SELECT doc_id, sha256(nfc_normalize(regexp_replace(text, '\\r\\n?', chr(10), 'g'))) AS normalized_sha256 FROM documents")
+@query("SELECT doc_id, sha256(replace(nfc_normalize(text), '. ', '.' || chr(10)) || chr(10) || 'é' || chr(10) || chr(10)) AS normalized_sha256 FROM documents")
 def normalized_digest(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize(F.col("text")), 256).alias("normalized_sha256"))
+    """Texts with all three kinds of line end and a letter in two parts."""
+    t = F.concat(F.replace("text", F.lit(". "), F.lit(".\r\n")), F.lit("\re\u0301\n\r"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.sha2(text.normalize(t), 256).alias("normalized_sha256"))
 
 
 # ---------------------------------------------------------------- chunks, evidence, plans
@@ -126,7 +132,7 @@ CAPACITY, SEPARATOR = 2764, 8
 def document_plan(spark, sf_dir):
     """One row per document: chunks, coverage, map batches and reduce rounds."""
     d = docs(spark, sf_dir)
-    c = chunking.chunk(d)
+    c = graph.cut(chunking.chunk(d).select("revision_id", "ordinal", "chunk_id", "start_char", "end_char", "context_start", "model_token_count", "rebuilt_sha256"))  # texts are cut up once
     cover = chunking.coverage(c, d)
     batches = packing.next_fit(c.withColumn("size", F.col("model_token_count") + 128), ["revision_id"], "ordinal", "chunk_id", "size", CAPACITY, SEPARATOR)
     per = batches.groupBy("revision_id").agg(F.count("*").alias("map_batches"), F.max("input_tokens").alias("largest_batch"))
@@ -199,79 +205,91 @@ def protected_words(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", F.size(t).cast("long").alias("terms"), F.array_join(t, " ").alias("protected")).where("terms > 0")
 
 
-# Part names stand for short claim statements.
-_TOK_SQL = """SELECT p_partkey AS id, t FROM (SELECT p_partkey, unnest(list_distinct(regexp_extract_all(lower(p_name), '[0-9A-Za-z가-힣._/-]{2,}'))) AS t FROM part)
- QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY length(t) DESC, t) <= 8"""
-_BLOCK_SQL = f"SELECT id, t AS block, count(*) OVER (PARTITION BY t) AS members FROM ({_TOK_SQL}) QUALIFY members BETWEEN 2 AND 160"
-_PAIR_SQL = f"SELECT DISTINCT x.id AS a, y.id AS b FROM ({_BLOCK_SQL}) x JOIN ({_BLOCK_SQL}) y ON x.block = y.block AND x.id < y.id"
+# Part names stand for short claim statements (a brand is a path, a type a kind), and the statements of
+# documents are claims in the queries ``document_*``.  All five candidate views are used.
+_CLAIM_SQL = f"SELECT doc_id * 2147483648 + pos AS id, doc_id AS path, {_KIND_SQL} AS kind, {FOLD_SQL.format('statement')} AS folded, {_ALNUM_SQL} AS x FROM ({_SENT_SQL})"
+_VIEW_WITH = """WITH RECURSIVE c AS MATERIALIZED (CLAIMS),
+ g AS MATERIALIZED (SELECT id, unnest(list_distinct(list_transform(range(1, greatest(1, length(x) - 2) + 1), lambda i: substr(x, i, 3)))) AS g FROM c WHERE x <> ''),
+ h AS MATERIALIZED (SELECT g, k, sha256(k || ':' || g) AS v FROM (SELECT DISTINCT g FROM g), (SELECT unnest(range(0, 8)) AS k)),
+ m AS MATERIALIZED (SELECT id, k, min(v) AS v FROM g JOIN h USING (g) GROUP BY id, k),
+ tok AS MATERIALIZED (SELECT id, t FROM (SELECT id, unnest(list_distinct(regexp_extract_all(folded, '[0-9A-Za-z가-힣._/-]{2,}'))) AS t FROM c) QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(t) DESC, t) <= 8)"""
+_PAIR_WITH = _VIEW_WITH + """,
+ sig AS (SELECT id, string_agg(left(v, 16), '' ORDER BY k) AS sig FROM m GROUP BY id),
+ o AS MATERIALIZED (SELECT id, path, kind, row_number() OVER (ORDER BY folded, id) AS s, row_number() OVER (ORDER BY coalesce(sig, ''), folded, id) AS q FROM c LEFT JOIN sig USING (id)),
+ v AS (SELECT 'path' AS view, CAST(path AS VARCHAR) AS block, id, id AS ord FROM o UNION ALL SELECT 'sorted', '', id, s FROM o UNION ALL SELECT 'kind', kind, id, s FROM o
+  UNION ALL SELECT 'token', t, id, q FROM tok JOIN o USING (id) UNION ALL SELECT 'minhash', k || ':' || left(v, 16), id, q FROM m JOIN o USING (id)),
+ r AS (SELECT view, block, id, row_number() OVER (PARTITION BY view, block ORDER BY ord) - 1 AS rn, count(*) OVER (PARTITION BY view, block) AS n FROM v),
+ w AS MATERIALIZED (SELECT view, block, id, unnest(CASE WHEN view IN ('token', 'minhash') AND n <= 160 THEN [0] ELSE range(greatest(0, (rn - 8) // 32), rn // 32 + 1) END) AS k FROM r WHERE n > 1),
+ p AS MATERIALIZED (SELECT DISTINCT x.id AS a, y.id AS b FROM w x JOIN w y ON x.view = y.view AND x.block = y.block AND x.k = y.k AND x.id < y.id)"""
+_JACCARD_WITH = _PAIR_WITH + """, n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+ i AS (SELECT p.a, p.b, count(*) AS c FROM p JOIN g x ON x.id = p.a JOIN g y ON y.id = p.b AND y.g = x.g GROUP BY p.a, p.b),
+ j AS (SELECT a, b, round(c / (na.n + nb.n - c), 6) AS score FROM i JOIN n na ON na.id = a JOIN n nb ON nb.id = b
+  UNION ALL SELECT a, b, 1.0 FROM p JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE x.x = '' AND y.x = '')"""
+_TOKEN_BLOCK_SQL = _VIEW_WITH + " SELECT t AS block, count(*) AS members, min(id) AS first_id FROM tok GROUP BY t HAVING count(*) > 1"
+_FUZZY_BLOCK_SQL = _VIEW_WITH + " SELECT k || ':' || left(v, 16) AS block, count(*) AS members, min(id) AS first_id FROM m GROUP BY 1 HAVING count(*) > 1"
+_COMPONENT_SQL = (
+    _JACCARD_WITH
+    + """, e AS MATERIALIZED (SELECT a, b FROM j WHERE score >= 0.7 UNION SELECT b, a FROM j WHERE score >= 0.7),
+ z AS (SELECT id AS node, id AS root FROM c UNION SELECT e.b, z.root FROM z JOIN e ON e.a = z.node)
+ SELECT node, min(root) AS root FROM z GROUP BY node"""
+)
+_PART_SQL = f"SELECT p_partkey AS id, p_brand AS path, p_type AS kind, {FOLD_SQL.format('p_name')} AS folded, regexp_replace({FOLD_SQL.format('p_name')}, '[^\\p{{L}}\\p{{N}}]', '', 'g') AS x FROM part"
 
 
-def _blocks(spark, sf_dir) -> DataFrame:
-    return claims.token_blocks(load(spark, sf_dir, "part"), "p_partkey", "p_name")
+def _over(sql: str, claims_sql: str) -> str:
+    return sql.replace("CLAIMS", claims_sql)
 
 
-@query(f"SELECT block, CAST(count(*) AS BIGINT) AS members, min(id) AS first_id FROM ({_BLOCK_SQL}) GROUP BY block")
-def token_blocks(spark, sf_dir):
-    return _blocks(spark, sf_dir).groupBy("block").agg(F.count("*").alias("members"), F.min("id").alias("first_id"))
+def _token_blocks(c: DataFrame) -> DataFrame:
+    """All token blocks, however large."""
+    return claims.token_blocks(c, "id", "statement", most=(1 << 62)).groupBy("block").agg(F.count("*").alias("members"), F.min("id").alias("first_id"))
 
 
-@query(f"""WITH s AS (SELECT p_partkey AS id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS x FROM part),
- g AS (SELECT DISTINCT id, substr(x, i, 3) AS g FROM s, (SELECT unnest(range(1, 200)) AS i) WHERE i <= greatest(1, length(x) - 2)),
- m AS (SELECT id, k, min(sha256(k || ':' || g)) AS v FROM g, (SELECT unnest(range(0, 8)) AS k) GROUP BY id, k),
- b AS (SELECT id, k || ':' || v AS block, count(*) OVER (PARTITION BY k, v) AS members FROM m QUALIFY members BETWEEN 2 AND 160)
- SELECT block, CAST(count(*) AS BIGINT) AS members, min(id) AS first_id FROM b GROUP BY block""")
-def fuzzy_blocks(spark, sf_dir):
-    b = claims.minhash_blocks(load(spark, sf_dir, "part"), "p_partkey", "p_name")
-    return b.groupBy("block").agg(F.count("*").alias("members"), F.min("id").alias("first_id"))
+def _fuzzy_blocks(c: DataFrame) -> DataFrame:
+    """All MinHash blocks, however large."""
+    sig = c.select("id", text.signature(text.alphanumerics(F.col("statement"))).alias("sig")).where("length(sig) > 0")
+    return sig.select("id", F.explode(claims.slots(F.col("sig"))).alias("block")).groupBy("block").agg(F.count("*").alias("members"), F.min("id").alias("first_id")).where("members > 1")
 
 
-@query(_PAIR_SQL)
-def candidate_pairs(spark, sf_dir):
-    return claims.candidate_pairs(_blocks(spark, sf_dir))
+def _pairs(c: DataFrame) -> DataFrame:
+    return claims.view_pairs(claims.views(c))
 
 
-_GRAM_SQL = "SELECT DISTINCT id, substr(x, i, 3) AS g FROM (SELECT p_partkey AS id, regexp_replace(lower(p_name), '[^a-z0-9]', '', 'g') AS x FROM part), (SELECT unnest(range(1, 200)) AS i) WHERE i <= greatest(1, length(x) - 2)"
-_JACCARD_SQL = f"""WITH g AS MATERIALIZED ({_GRAM_SQL}), n AS (SELECT id, count(*) AS n FROM g GROUP BY id), p AS MATERIALIZED ({_PAIR_SQL}),
- i AS (SELECT p.a, p.b, count(*) AS c FROM p JOIN g x ON x.id = p.a JOIN g y ON y.id = p.b AND y.g = x.g GROUP BY p.a, p.b),
- j AS (SELECT p.a, p.b, round(coalesce(c, 0) / (na.n + nb.n - coalesce(c, 0)), 6) AS score FROM p LEFT JOIN i ON i.a = p.a AND i.b = p.b JOIN n na ON na.id = p.a JOIN n nb ON nb.id = p.b)"""
+def _labelled(c: DataFrame) -> DataFrame:
+    return claims.label_pairs(_pairs(c), c, "id", "statement").withColumn("score", F.round("score", 6))
 
 
-def _labelled(spark, sf_dir) -> DataFrame:
-    return claims.label_pairs(claims.candidate_pairs(_blocks(spark, sf_dir)), load(spark, sf_dir, "part"), "p_partkey", "p_name").withColumn("score", F.round("score", 6))
+def _linked(c: DataFrame) -> DataFrame:
+    return graph.components(c.select(F.col("id").alias("node")), _labelled(c).where("score >= 0.7").select("a", "b"))
 
 
-@query(_JACCARD_SQL + " SELECT a, b, score FROM j WHERE score >= 0.3")
-def pair_jaccard(spark, sf_dir):
-    return _labelled(spark, sf_dir).where("score >= 0.3").select("a", "b", "score")
+def _parts(spark, sf_dir) -> DataFrame:
+    return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("path"), F.col("p_type").alias("kind"), F.col("p_name").alias("statement"))
 
 
-@query(_JACCARD_SQL.replace("WITH g", "WITH RECURSIVE g") + """, e AS MATERIALIZED (SELECT a, b FROM j WHERE score >= 0.7 UNION SELECT b, a FROM j WHERE score >= 0.7),
- r AS (SELECT p_partkey AS node, p_partkey AS root FROM part UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node)
- SELECT node, min(root) AS root FROM r GROUP BY node""")
-def claim_components(spark, sf_dir):
-    nodes = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
-    return graph.components(nodes, _labelled(spark, sf_dir).where("score >= 0.7").select("a", "b"))
+@query(_over(_TOKEN_BLOCK_SQL, _PART_SQL))
+def token_blocks(spark, sf_dir):
+    return _token_blocks(_parts(spark, sf_dir))
 
 
-# The same over the statements of documents, with all five candidate views.
-_CLAIM_SQL = f"SELECT doc_id * 2147483648 + pos AS id, doc_id AS path, {_KIND_SQL} AS kind, {FOLD_SQL.format('statement')} AS folded, {_ALNUM_SQL} AS x FROM ({_SENT_SQL})"
-_DOC_WITH = f"""WITH RECURSIVE c AS MATERIALIZED ({_CLAIM_SQL}),
- g AS MATERIALIZED (SELECT id, unnest(list_distinct(list_transform(range(1, greatest(1, length(x) - 2) + 1), lambda i: substr(x, i, 3)))) AS g FROM c WHERE x <> ''),
- h AS MATERIALIZED (SELECT g, k, sha256(k || ':' || g) AS v FROM (SELECT DISTINCT g FROM g), (SELECT unnest(range(0, 8)) AS k)),
- m AS MATERIALIZED (SELECT id, k, min(v) AS v FROM g JOIN h USING (g) GROUP BY id, k),
- tok AS MATERIALIZED (SELECT id, t FROM (SELECT id, unnest(list_distinct(regexp_extract_all(folded, '[0-9A-Za-z가-힣._/-]{{2,}}'))) AS t FROM c) QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(t) DESC, t) <= 8)"""
-_DOC_PAIR_WITH = _DOC_WITH + """,
- sig AS (SELECT id, string_agg(left(v, 16), '' ORDER BY k) AS sig FROM m GROUP BY id),
- o AS MATERIALIZED (SELECT id, path, kind, row_number() OVER (ORDER BY folded, id) AS s, row_number() OVER (ORDER BY coalesce(sig, ''), folded, id) AS q FROM c LEFT JOIN sig USING (id)),
- v AS (SELECT 'path' AS view, CAST(path AS VARCHAR) AS block, id, id AS ord FROM o UNION ALL SELECT 'sorted', '', id, s FROM o UNION ALL SELECT 'kind', kind, id, s FROM o
-  UNION ALL SELECT 'token', t, id, q FROM tok JOIN o USING (id) UNION ALL SELECT 'minhash', k || ':' || left(v, 16), id, q FROM m JOIN o USING (id)),
- r AS (SELECT view, block, id, row_number() OVER (PARTITION BY view, block ORDER BY ord) - 1 AS rn, count(*) OVER (PARTITION BY view, block) AS n FROM v),
- w AS MATERIALIZED (SELECT view, block, id, unnest(CASE WHEN view IN ('token', 'minhash') AND n <= 160 THEN [0] ELSE range(greatest(0, (rn - 8) // 32), rn // 32 + 1) END) AS k FROM r WHERE n > 1),
- p AS MATERIALIZED (SELECT DISTINCT x.id AS a, y.id AS b FROM w x JOIN w y ON x.view = y.view AND x.block = y.block AND x.k = y.k AND x.id < y.id)"""
-_DOC_JACCARD_WITH = _DOC_PAIR_WITH + """, n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
- i AS (SELECT p.a, p.b, count(*) AS c FROM p JOIN g x ON x.id = p.a JOIN g y ON y.id = p.b AND y.g = x.g GROUP BY p.a, p.b),
- j AS (SELECT a, b, round(c / (na.n + nb.n - c), 6) AS score FROM i JOIN n na ON na.id = a JOIN n nb ON nb.id = b
-  UNION ALL SELECT a, b, 1.0 FROM p JOIN c x ON x.id = a JOIN c y ON y.id = b WHERE x.x = '' AND y.x = '')"""
+@query(_over(_FUZZY_BLOCK_SQL, _PART_SQL))
+def fuzzy_blocks(spark, sf_dir):
+    return _fuzzy_blocks(_parts(spark, sf_dir))
+
+
+@query(_over(_PAIR_WITH + " SELECT a, b FROM p", _PART_SQL))
+def candidate_pairs(spark, sf_dir):
+    return _pairs(_parts(spark, sf_dir))
+
+
+@query(_over(_JACCARD_WITH + " SELECT a, b, score FROM j WHERE score >= 0.3", _PART_SQL))
+def pair_jaccard(spark, sf_dir):
+    return _labelled(_parts(spark, sf_dir)).where("score >= 0.3").select("a", "b", "score")
+
+
+@query(_over(_COMPONENT_SQL, _PART_SQL))
+def claim_components(spark, sf_dir):
+    return _linked(_parts(spark, sf_dir))
 
 
 def _claims(spark, sf_dir) -> DataFrame:
@@ -279,42 +297,29 @@ def _claims(spark, sf_dir) -> DataFrame:
     return _sentences(spark, sf_dir).select((F.col("doc_id") * (1 << 31) + F.col("pos")).alias("id"), F.col("doc_id").alias("path"), "kind", "statement")
 
 
-@query(_DOC_WITH + " SELECT t AS block, count(*) AS members, min(id) AS first_id FROM tok GROUP BY t HAVING count(*) > 1")
+@query(_over(_TOKEN_BLOCK_SQL, _CLAIM_SQL))
 def document_token_blocks(spark, sf_dir):
-    """All token blocks, the large ones too."""
-    return claims.token_blocks(_claims(spark, sf_dir), "id", "statement", most=(1 << 62)).groupBy("block").agg(F.count("*").alias("members"), F.min("id").alias("first_id"))
+    return _token_blocks(_claims(spark, sf_dir))
 
 
-@query(_DOC_WITH + " SELECT k || ':' || left(v, 16) AS block, count(*) AS members, min(id) AS first_id FROM m GROUP BY 1 HAVING count(*) > 1")
+@query(_over(_FUZZY_BLOCK_SQL, _CLAIM_SQL))
 def document_fuzzy_blocks(spark, sf_dir):
-    """All MinHash blocks, the large ones too."""
-    sig = _claims(spark, sf_dir).select("id", text.signature(text.alphanumerics(F.col("statement"))).alias("sig")).where("length(sig) > 0")
-    return sig.select("id", F.explode(claims.slots(F.col("sig"))).alias("block")).groupBy("block").agg(F.count("*").alias("members"), F.min("id").alias("first_id")).where("members > 1")
-
+    return _fuzzy_blocks(_claims(spark, sf_dir))
 
-def _document_pairs(spark, sf_dir) -> DataFrame:
-    return claims.view_pairs(claims.views(_claims(spark, sf_dir)))
 
-
-@query(_DOC_PAIR_WITH + " SELECT a, b FROM p")
+@query(_over(_PAIR_WITH + " SELECT a, b FROM p", _CLAIM_SQL))
 def document_candidate_pairs(spark, sf_dir):
-    return _document_pairs(spark, sf_dir)
-
+    return _pairs(_claims(spark, sf_dir))
 
-def _document_labelled(spark, sf_dir) -> DataFrame:
-    return claims.label_pairs(_document_pairs(spark, sf_dir), _claims(spark, sf_dir), "id", "statement").withColumn("score", F.round("score", 6))
 
-
-@query(_DOC_JACCARD_WITH + " SELECT a, b, score FROM j WHERE score >= 0.3")
+@query(_over(_JACCARD_WITH + " SELECT a, b, score FROM j WHERE score >= 0.3", _CLAIM_SQL))
 def document_pair_jaccard(spark, sf_dir):
-    return _document_labelled(spark, sf_dir).where("score >= 0.3").select("a", "b", "score")
+    return _labelled(_claims(spark, sf_dir)).where("score >= 0.3").select("a", "b", "score")
 
 
-@query(_DOC_JACCARD_WITH + """, e AS MATERIALIZED (SELECT a, b FROM j WHERE score >= 0.7 UNION SELECT b, a FROM j WHERE score >= 0.7),
- z AS (SELECT id AS node, id AS root FROM c UNION SELECT e.b, z.root FROM z JOIN e ON e.a = z.node)
- SELECT node, min(root) AS root FROM z GROUP BY node""")
+@query(_over(_COMPONENT_SQL, _CLAIM_SQL))
 def document_claim_components(spark, sf_dir):
-    return graph.components(_claims(spark, sf_dir).select(F.col("id").alias("node")), _document_labelled(spark, sf_dir).where("score >= 0.7").select("a", "b"))
+    return _linked(_claims(spark, sf_dir))
 
 
 @query("""WITH r AS (SELECT least(l_partkey, l_suppkey) AS left_id, greatest(l_partkey, l_suppkey) AS right_id, l_linenumber % 6 AS p FROM lineitem),
@@ -329,17 +334,19 @@ def relation_merge(spark, sf_dir):
 _LEDGER_SQL = f"""SELECT doc_id, statement, {_ALNUM_SQL} AS a FROM (SELECT doc_id, trim(text) AS statement FROM documents)"""
 
 
-@query(f"""SELECT sha256('FACT' || chr(0) || a || chr(0) || chr(0) || chr(0)) AS content_key, CAST(count(*) AS BIGINT) AS drafts, string_agg('E' || lpad(CAST(doc_id AS VARCHAR), 8, '0'), ',' ORDER BY doc_id) AS evidence,
- max(length(statement))::BIGINT AS statement_chars FROM ({_LEDGER_SQL}) GROUP BY a""")
+@query(f"""WITH RECURSIVE l AS MATERIALIZED ({_LEDGER_SQL}), k AS MATERIALIZED (SELECT a, min(doc_id) AS root FROM l GROUP BY a), h AS (SELECT x.root AS u, y.root AS v FROM l p JOIN l q ON q.doc_id = p.doc_id + 5 AND p.doc_id % 10 = 0 JOIN k x ON x.a = p.a JOIN k y ON y.a = q.a), e AS MATERIALIZED (SELECT u, v FROM h UNION SELECT v, u FROM h),
+ z AS (SELECT root AS node, root FROM k UNION SELECT v, z.root FROM z JOIN e ON u = node), r AS MATERIALIZED (SELECT node, min(root) AS root FROM z GROUP BY node)
+ SELECT 'E' || lpad(CAST(r.root AS VARCHAR), 8, '0') AS first_draft, CAST(count(*) AS BIGINT) AS drafts, string_agg('E' || lpad(CAST(doc_id AS VARCHAR), 8, '0'), ',' ORDER BY doc_id) AS evidence, sha256(arg_min(statement, (-length(statement), sha256('FACT' || chr(0) || l.a || chr(0) || chr(0) || chr(0)), doc_id))) AS statement_sha256
+ FROM l JOIN k ON k.a = l.a JOIN r ON r.node = k.root GROUP BY r.root""")
 def claim_ledger(spark, sf_dir):
-    """Whole documents as drafts; equal content merges, evidence is united."""
+    """Whole documents as drafts; equal content merges, and so do each tenth document and the fifth after it."""
     none = F.array().cast("array<string>")
-    ref = F.concat(F.lit("E"), F.lpad(F.col("doc_id").cast("string"), 8, "0"))
-    d = load(spark, sf_dir, "documents").select(ref.alias("draft_id"), F.lit("FACT").alias("kind"), F.trim("text").alias("statement"), F.array(ref).alias("evidence_ids")).withColumns({"preconditions": none, "commands": none, "warnings": none})
-    no_links = d.select(F.col("draft_id").alias("a"), F.col("draft_id").alias("b")).where("a <> b")
-    c = claims.ledger(d, no_links)
-    key = claims.content_key(F.col("kind"), F.col("statement"), F.col("preconditions"), F.col("commands"), F.col("warnings"))
-    return c.select(key.alias("content_key"), F.size("draft_ids").cast("long").alias("drafts"), F.array_join("evidence_ids", ",").alias("evidence"), F.length("statement").cast("long").alias("statement_chars"))
+    ref = lambda c: F.concat(F.lit("E"), F.lpad(c.cast("string"), 8, "0"))
+    docs_ = load(spark, sf_dir, "documents")
+    d = docs_.select(ref(F.col("doc_id")).alias("draft_id"), F.lit("FACT").alias("kind"), F.trim("text").alias("statement"), F.array(ref(F.col("doc_id"))).alias("evidence_ids")).withColumns({"preconditions": none, "commands": none, "warnings": none})
+    links = docs_.where("doc_id % 10 = 0").select(ref(F.col("doc_id")).alias("a"), ref(F.col("doc_id") + 5).alias("b"))
+    c = claims.ledger(d, links)
+    return c.select(F.col("draft_ids")[0].alias("first_draft"), F.size("draft_ids").cast("long").alias("drafts"), F.array_join("evidence_ids", ",").alias("evidence"), F.sha2("statement", 256).alias("statement_sha256"))
 
 
 @query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
@@ -433,9 +440,17 @@ def polished_blocks(spark, sf_dir):
 
 
 @query("""SELECT doc_id, CAST(length(text) AS BIGINT) AS characters, CAST(len(regexp_extract_all(text, '\\S+')) AS BIGINT) AS words, CAST(len(regexp_extract_all(text, '(?m)^(#{1,6})\\s+(.+?)\\s*$')) AS BIGINT) AS headings,
- CAST(len(regexp_extract_all(text, '\\[source:[^\\]\\r\\n]+\\]')) AS BIGINT) AS citations FROM documents""")
+ CAST(len(regexp_extract_all(text, '\\[source:[^\\]\\r\\n]+\\]')) AS BIGINT) AS citations,
+ CAST(len(list_filter(regexp_extract_all(text, '(?m)^(#{1,6})\\s+(.+?)\\s*$', 2), lambda h: starts_with(ltrim(h), '#'))) AS BIGINT) AS heading_anomalies,
+ CAST(len(list_distinct(regexp_extract_all(text, '\\[source:([^\\]\\r\\n]+)\\]', 1))) AS BIGINT) AS unique_sources, CAST(len(regexp_extract_all(text, '\\[(?:claim|evidence):[^\\]\\r\\n]+\\]')) AS BIGINT) AS internal_references,
+ CAST(len(p) - len(list_distinct(p)) AS BIGINT) AS duplicate_blocks FROM (SELECT doc_id, text, list_transform(list_filter(string_split_regex(text, '\\n{2,}'), lambda b: length(b) >= 60 AND NOT regexp_matches(b, '^\\s*(#|```|~~~|\\||- )')),
+  lambda b: trim(regexp_replace(replace(lower(regexp_replace(b, '\\[source:[^\\]\\r\\n]+\\]', '', 'g')), 'ß', 'ss'), '\\s+', ' ', 'g'))) AS p FROM
+   (SELECT doc_id, '# Title' || chr(10) || chr(10) || '## # odd' || chr(10) || chr(10) || replace(replace(text, '. ', '. [source:' || source || '] '), ', ', ', [claim:C' || doc_id || '] ') || chr(10) || chr(10) || text || chr(10) || chr(10) || text AS text FROM documents))""")
 def observation_metrics(spark, sf_dir):
-    return assembly.observation(load(spark, sf_dir, "documents"), ["doc_id"], "text").select("doc_id", "characters", "words", "headings", "citations")
+    """Metrics of texts with headings, marks and repeated blocks added."""
+    marked = F.replace(F.replace("text", F.lit(". "), F.concat(F.lit(". [source:"), "source", F.lit("] "))), F.lit(", "), F.concat(F.lit(", [claim:C"), "doc_id", F.lit("] ")))
+    d = load(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("# Title\n\n## # odd\n\n"), marked, F.lit("\n\n"), "text", F.lit("\n\n"), "text").alias("text"))
+    return assembly.observation(d, ["doc_id"], "text")
 
 
 @query(f"""WITH t AS (SELECT doc_id, regexp_extract_all({FOLD_SQL.format('text')}, '[0-9A-Za-z가-힣][0-9A-Za-z가-힣._+-]{{1,31}}') AS l FROM documents),
@@ -551,10 +566,7 @@ def runner_health(spark, sf_dir):
 @query("SELECT event_type, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT user_id) AS BIGINT) AS users FROM events GROUP BY event_type")
 def stream_append(spark, sf_dir):
     """Events through a streaming source and sink, then counted."""
-    from ..operators.graph import cut  # noqa: F401  (sets the shared folder in local sessions)
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomline-stream-")
-    at = f"{base.rstrip('/')}/stream-{spark.sparkContext.applicationId}-{abs(hash(sf_dir))}"
+    at = f"{graph.shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     source = load(spark, sf_dir, "events")
     live = spark.readStream.schema(source.schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*")
     streams.run_available(live.select("event_id", "user_id", "event_type"), f"{at}/out", f"{at}/state")
@@ -640,22 +652,30 @@ def model_fit(spark, sf_dir):
     return research.compatibility(p, 36 * 1024**3).select("p_partkey", "compatibility")
 
 
-@query("SELECT d.doc_id, b.item_id FROM documents d, benchmark b WHERE contains(d.text, b.text)")
+@query("""WITH l AS (SELECT item_id, lower(text) AS l FROM benchmark UNION ALL SELECT item_id + 1000000, lower(substr(text, 12, 9)) FROM benchmark WHERE item_id % 10 = 0 UNION ALL SELECT item_id + 2000000, lower(substr(text, 30, 40)) FROM benchmark WHERE item_id % 5 = 0)
+ SELECT d.doc_id, l.item_id FROM (SELECT doc_id, lower(text) AS t FROM documents) d, l WHERE l <> '' AND contains(t, l)""")
 def noise_quality(spark, sf_dir):
-    """Forbidden literals (benchmark passages) that whole documents contain."""
-    lit = load(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("literal"))
+    """Forbidden literals that whole documents contain: benchmark passages, and pieces of them cut anywhere."""
+    b = load(spark, sf_dir, "benchmark")
+    piece = lambda n, at, size, every: b.where(F.col("item_id") % every == 0).select((F.col("item_id") + n).alias("item_id"), F.substring("text", at, size).alias("literal"))
+    lit = b.select("item_id", F.col("text").alias("literal")).unionByName(piece(1000000, 12, 9, 10)).unionByName(piece(2000000, 30, 40, 5))
     return research.literal_hits(load(spark, sf_dir, "documents"), "doc_id", "text", lit)
 
 
-@query("SELECT event_id, CASE WHEN event_type IN ('password', 'token') OR event_id % 3 = 0 THEN '[REDACTED]' ELSE props END AS props FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 12 < 7 THEN '[REDACTED]' ELSE props END AS props FROM events")
 def redacted_fields(spark, sf_dir):
-    name = F.when(F.col("event_id") % 3 == 0, F.lit("api_key")).otherwise(F.col("event_type"))
+    """Twelve field names, the first seven of which must not be shown."""
+    names = ["api_key", "Completion", "model_output", "prompt_text", "source_text", "db_PASSWORD", "x_auth_token", "content", "text", "sort_key", "token", "user_token"]
+    name = F.element_at(F.array(*[F.lit(n) for n in names]), (F.col("event_id") % 12 + 1).cast("int"))
     return load(spark, sf_dir, "events").select("event_id", rules.redacted(name, F.col("props")).alias("props"))
 
 
 @query("""WITH p AS (SELECT d.source, l.quality AS t, CAST(length(d.text) >= 500 AS INT) AS p FROM documents d JOIN labels l USING (doc_id)),
  g AS (SELECT source, count(*) FILTER (t = 1 AND p = 1) AS tp, count(*) FILTER (t = 0 AND p = 1) AS fp, count(*) FILTER (t = 1 AND p = 0) AS fn, count(*) FILTER (t = 0 AND p = 0) AS tn FROM p GROUP BY source)
- SELECT source, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) END AS recall FROM g""")
+ SELECT source, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, CASE WHEN tp + fp > 0 THEN round(tp / (tp + fp), 6) END AS precision, CASE WHEN tp + fn > 0 THEN round(tp / (tp + fn), 6) END AS recall, CASE WHEN 2 * tp + fp + fn > 0 THEN round(2 * tp / (2 * tp + fp + fn), 6) END AS f1 FROM g""")
 def classifier_metrics(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select("doc_id", "source", (F.length("text") >= 500).cast("int").alias("p"))
-    return research.binary_metrics(d.join(load(spark, sf_dir, "labels"), "doc_id"), "quality", "p", "source").drop("f1")
+    return research.binary_metrics(d.join(load(spark, sf_dir, "labels"), "doc_id"), "quality", "p", "source")
+
+
+from . import planning  # noqa: E402, F401  (adds its queries)

@@ -13,11 +13,45 @@ STREAM_EVENT = "job_id string, sequence long, generation_id string, stage string
 
 def inventory(spark: SparkSession, root: str) -> DataFrame:
     """``relative_path, byte_count, sha256`` of every file below ``root``, in path order when sorted."""
-    base = spark.createDataFrame([(root,)], "r string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return contents(spark, root).drop("content")
+
+
+def _relative(root: str):
     full = F.regexp_replace("path", r"^[a-z]+:/+", "/")
-    clean = F.regexp_replace(F.regexp_replace(F.col("r"), r"^[a-z]+:/+", "/"), "/+$", "")
-    return files.join(F.broadcast(base)).select(F.substring(full, F.length(clean) + 2, F.length(full)).alias("relative_path"), F.col("length").alias("byte_count"), F.sha2("content", 256).alias("sha256"))
+    clean = F.regexp_replace(F.regexp_replace(F.lit(root), r"^[a-z]+:/+", "/"), "/+$", "")
+    return F.substring(full, F.length(clean) + 2, F.length(full)).alias("relative_path")
+
+
+def contents(spark: SparkSession, root: str) -> DataFrame:
+    """``relative_path, byte_count, sha256, content`` of every file below ``root``."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(_relative(root), F.col("length").alias("byte_count"), F.sha2("content", 256).alias("sha256"), "content")
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """``relative_path, byte_count`` of every file below ``root``; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    return files.select(_relative(root), F.col("length").alias("byte_count"))
+
+
+def collected(spark: SparkSession, root: str, max_bytes: int = 20_000_000) -> DataFrame:
+    """All documents of a folder in path order: no link in the tree, at least one file, none in error.
+
+    Each file is read twice and must be the same both times.
+    """
+    from .workspace import plain_tree
+
+    plain_tree(root)
+    d = text_documents(spark, root, max_bytes)
+    bad = d.where("error is not null").orderBy("relative_path").limit(1).collect()
+    if bad:
+        raise ValueError(bad[0]["error"])
+    if d.isEmpty():
+        raise ValueError("SOURCE_EMPTY")
+    changed = d.join(text_documents(spark, root, max_bytes).select("relative_path", "source_sha256"), ["relative_path", "source_sha256"], "left_anti")
+    if not changed.isEmpty():
+        raise ValueError("SOURCE_CHANGED")
+    return d.orderBy(F.encode("relative_path", "UTF-8"))
 
 
 def text_documents(spark: SparkSession, root: str, max_bytes: int = 20_000_000) -> DataFrame:
@@ -64,6 +98,111 @@ def unexpected_fields(raw: str, expected: list[str]):
     return F.concat(F.array_except(keys, want), F.array_except(want, keys))
 
 
+#: Typed relations of a job, by name: what they hold and how they are read and written.
+RELATIONS = {
+    "evidence": "job_id string, evidence_id string, chunk_id string, revision_id string, relative_path string, source_sha256 string, ordinal long, start_char long, end_char long, content_sha256 string, text string",
+    "claim_drafts": "job_id string, draft_id string, evidence_id string, pos long, kind string, statement string, preconditions array<string>, commands array<string>, warnings array<string>",
+    "claims": "job_id string, claim_id string, kind string, statement string, evidence_ids array<string>, draft_ids array<string>, preconditions array<string>, commands array<string>, warnings array<string>",
+    "relations": "job_id string, left_id string, right_id string, relation string",
+    "tasks": "job_id string, task_id string, position long, title string, objective string, owned_claim_ids array<string>, context_claim_ids array<string>, allowed_evidence_ids array<string>, required_sections array<string>, depends_on array<string>",
+    "task_outputs": "job_id string, task_id string, attempt long, sections array<struct<heading:string,markdown:string,used_claim_ids:array<string>,used_evidence_ids:array<string>>>",
+    "task_validations": "job_id string, task_id string, attempt long, valid boolean, error_codes array<string>",
+    "web_sources": "job_id string, source_id string, url string, title string, snippet string, claim_ids array<string>",
+    "web_assessments": "job_id string, claim_id string, query string, verdict string, source_ids array<string>, explanation string",
+    "final_document": "job_id string, markdown string, sha256 string",
+    "definition": "job_id string, before_root string, after_root string, instruction string, model_id string, model_revision string",
+    "result": "job_id string, ledger_sha256 string, plan_sha256 string, document_sha256 string, report_sha256 string",
+}
+
+
+def load_relation(spark: SparkSession, root: str, name: str, job_id: str) -> DataFrame:
+    """A job's relation with its exact types; a missing one is an error."""
+    fields = spark.createDataFrame([], RELATIONS[name]).columns
+    return spark.read.schema(RELATIONS[name]).parquet(f"{root}/{name}").where(F.col("job_id") == job_id).select(fields)
+
+
+def save_relation(df: DataFrame, root: str, name: str, job_id: str) -> bool:
+    """Write a job's relation once, in canonical order of its columns; the same rows again are no error, others are."""
+    from .sinks import write_or_verify
+
+    typed = df.sparkSession.createDataFrame([], RELATIONS[name]).schema
+    missing = {f.name for f in typed} ^ set(df.columns)
+    if missing:
+        raise ValueError(f"fields: {', '.join(sorted(missing))}")
+    if not df.where(~F.col("job_id").eqNullSafe(job_id)).isEmpty():
+        raise ValueError("job_id")
+    return write_or_verify(df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in typed]), f"{root}/{name}/job={job_id}")
+
+
+def checkpoints(spark: SparkSession, root: str, job_id: str, expected: dict[str, int]) -> DataFrame:
+    """For each stage of a job: expected and saved rows, and MISSING, IN_PROGRESS, SAVED or INVALID."""
+    from pyspark.errors import AnalysisException
+
+    from ..operators import jobs
+
+    saved = None
+    for name in expected:
+        try:
+            d = spark.read.schema(RELATIONS[name]).parquet(f"{root}/{name}").where(F.col("job_id") == job_id)
+            one = d.agg(F.lit(name).alias("stage"), F.count("*").alias("saved"), F.lit(True).alias("valid"))
+            one.count()
+        except AnalysisException:
+            continue
+        saved = one if saved is None else saved.unionByName(one)
+    if saved is None:
+        saved = spark.createDataFrame([], "stage string, saved long, valid boolean")
+    want = spark.createDataFrame([(k, v) for k, v in expected.items()], "stage string, total long")
+    return jobs.checkpoint(saved, want, "stage").select("stage", "total", "saved", "status")
+
+
+def yaml_records(spark: SparkSession, path: str, field: str | None = None, schema: str | None = None) -> DataFrame:
+    """Records of a YAML manifest (a list, or the list under ``field``) as rows; small files, parsed on the driver."""
+    import json
+
+    value = yaml_file(path)
+    rows = value[field] if field else value
+    rows = rows if isinstance(rows, list) else [rows]
+    lines = spark.createDataFrame([(json.dumps(r, ensure_ascii=False, default=str),) for r in rows], "v string")
+    kind = schema or spark.range(1).select(F.schema_of_json_agg(F.lit(lines.first()[0]))).first()[0] if rows else "STRUCT<>"
+    return lines.select(F.from_json("v", kind, {"mode": "FAILFAST"}).alias("r")).select("r.*")
+
+
+def yaml_file(path: str):
+    """A YAML file; needs the optional package ``yaml``."""
+    try:
+        import yaml
+    except ModuleNotFoundError as error:
+        raise ValueError("DEPENDENCY_MISSING: PyYAML") from error
+    with open(path, encoding="utf-8") as f:
+        return yaml.safe_load(f)
+
+
+def settings(folder: str, environment: str, variables: dict[str, str], names: dict[str, str]) -> dict:
+    """Settings of ``default.yaml``, then the environment's file, then ``local.yaml`` (not in production), then variables.
+
+    ``names`` maps a variable to the dotted setting that it gives.
+    """
+    from pathlib import Path
+
+    if environment not in ("development", "test", "production"):
+        raise ValueError("CONFIG_INVALID: environment")
+    layers = [yaml_file(f"{folder}/default.yaml")]
+    for name in [environment, *(["local"] if environment != "production" else [])]:
+        if Path(f"{folder}/{name}.yaml").is_file():
+            layers.append(yaml_file(f"{folder}/{name}.yaml"))
+    if not all(isinstance(x, dict) for x in layers):
+        raise ValueError("CONFIG_INVALID")
+    over: dict = {"environment": environment}
+    for variable, setting in names.items():
+        if variable in variables:
+            *path, last = setting.split(".")
+            at = over
+            for p in path:
+                at = at.setdefault(p, {})
+            at[last] = variables[variable]
+    return layered_settings(*layers, over)
+
+
 def layered_settings(*layers: dict) -> dict:
     """Later layers win; dictionaries merge key by key."""
     out: dict = {}
