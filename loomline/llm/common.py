@@ -39,6 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
 BATCH_ROWS = 1000
 
 
+def modest_batches(spark: SparkSession) -> SparkSession:
+    """The session, with ``BATCH_ROWS`` rows an Arrow batch if it has Spark's default of ten times as many.
+
+    For results that go through Python when the caller runs them; a size that somebody chose is kept.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) == 10_000:
+        spark.conf.set(key, BATCH_ROWS)
+    return spark
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 

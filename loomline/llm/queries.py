@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chroma, context_mix, langid, mixing, near_dup, packing, quality, quotes, topk, toxicity
-from .common import fold, held_out, table
+from .common import fold, held_out, modest_batches
+from .common import table as read_table
 
 
 def tokenizer_path() -> str:
@@ -17,6 +18,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read_table(modest_batches(spark), sf_dir, name)
+
+
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations written out as quoting mail, then linked and cleaned again."""
     return quotes.link(quotes.as_mail(table(spark, sf_dir, "conversations")))
@@ -31,22 +36,26 @@ def op2_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
     docs = table(spark, sf_dir, "documents")
     profiles = langid.learn(docs.where(fold("doc_id", 4) != 2))
     return langid.predict(docs.withColumn("held_out", held_out("doc_id", 4, 2)), profiles, ["doc_id", "held_out"])
 
 
 def op4_residual_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score of every document, learned from two thirds of the labels."""
     docs = table(spark, sf_dir, "documents")
     model = quality.fit_quality(docs, table(spark, sf_dir, "labels"), lambda key: fold(key, 3) != 1)
     return quality.score_quality(docs.withColumn("held_out", held_out("doc_id", 3, 1)), model, ["doc_id", "held_out"])
 
 
 def op6_norm_bucketed_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of each fiftieth vector with all others."""
     return topk.top_k(topk.whole(table(spark, sf_dir, "embeddings")), F.col("id") % 50 == 0, 5)
 
 
@@ -57,15 +66,18 @@ def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_hyperminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose three-word shingles agree by 0.85 or more."""
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), words=3, num=85, den=100)
 
 
 def op9_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document, learned from six sevenths of them."""
     docs = table(spark, sf_dir, "documents")
     return context_mix.score(docs, context_mix.fit(docs, fold("doc_id", 7) != 2), held_out("doc_id", 7, 2))
 
 
 def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score of every document, learned from four fifths of the labels."""
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit_toxicity(docs, table(spark, sf_dir, "labels"), lambda key: fold(key, 5) != 0)
     return toxicity.score_toxicity(docs.withColumn("held_out", held_out("doc_id", 5, 0)), model, ["doc_id", "held_out"])
