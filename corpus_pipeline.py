@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomline.llm import langid, mixing, near_dup, packing, quality
-from loomline.llm.common import copies, release, settle, table
+from loomline.llm.common import copies, modest_batches, release, settle, table
 from loomline.llm.queries import tokenizer_path
 
 #: A text further than this share of the greatest distance from every learned language is none of them.
@@ -22,6 +22,7 @@ FARTHEST = 0.85
 
 def _kept(docs: DataFrame, judge: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
     """Rows of ``docs`` that ``judge`` returns; other columns can't clash with what it adds."""
+    modest_batches(docs.sparkSession)
     inside = [c if c == "text" else f"_c{i}" for i, c in enumerate(docs.columns)]
     out = judge(docs.toDF(*inside), inside)
     return out.select(*[F.col(i).alias(c) for i, c in zip(inside, docs.columns)])
@@ -78,6 +79,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document packed into sequences of 4096 tokens; null text is one end id, longer texts are cut."""
+    modest_batches(spark)
     return packing.pack(docs, tokenizer_path())
 
 
