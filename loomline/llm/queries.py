@@ -108,15 +108,21 @@ ORACLES: dict[str, str] = {
   FROM conversations c LEFT JOIN conversations p ON p.conv_id = c.conv_id AND p.turn = c.turn - 1 LEFT JOIN conversations g ON g.conv_id = c.conv_id AND g.turn = c.turn - 2),
  raw AS (SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM mail),
  own_text AS (SELECT conv_id, turn, regexp_replace(string_agg(line, chr(10) ORDER BY pos), '^\\n+|\\n+$', '', 'g') AS text FROM raw WHERE NOT starts_with(line, '>') GROUP BY conv_id, turn),
- l AS (SELECT conv_id, turn, length(replace(regexp_extract(line, '^((?:> ?)*)', 1), ' ', '')) AS level, trim(regexp_replace(lower({_OP1_LINE}), '\\s+', ' ', 'g')) AS body FROM raw),
- k AS MATERIALIZED (SELECT * FROM l WHERE regexp_matches(body, '[\\p{{L}}\\p{{N}}]')),
+ l AS (SELECT conv_id, turn, pos, length(replace(regexp_extract(line, '^((?:> ?)*)', 1), ' ', '')) AS level, trim(regexp_replace(lower({_OP1_LINE}), '\\s+', ' ', 'g')) AS body FROM raw),
+ b AS (SELECT *, sum(CASE WHEN body = '' OR level IS DISTINCT FROM lag_level OR lag_body = '' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY pos) AS part FROM (SELECT *, lag(level) OVER w AS lag_level, lag(body) OVER w AS lag_body FROM l WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos))),
+ k AS MATERIALIZED (SELECT * FROM (SELECT conv_id, turn, level, part, string_agg(body, ' ' ORDER BY pos) AS body FROM b WHERE body <> '' GROUP BY ALL) WHERE regexp_matches(body, '[\\p{{L}}\\p{{N}}]')),
+ kl AS MATERIALIZED (SELECT k.conv_id, k.turn, k.level, k.body AS passage, b.body AS line FROM k JOIN b ON b.conv_id = k.conv_id AND b.turn = k.turn AND b.part = k.part WHERE regexp_matches(b.body, '[\\p{{L}}\\p{{N}}]')),
  near AS (SELECT conv_id, body, min(turn) AS turn FROM k WHERE level = 0 GROUP BY conv_id, body),
- far AS (SELECT body, min((conv_id, turn)) AS m FROM k WHERE level = 0 GROUP BY body),
- q AS (SELECT conv_id, turn, level, body, sum(length(body)) AS chars, count(*) AS lines FROM k WHERE level > 0 GROUP BY ALL),
+ far AS (SELECT body, min((conv_id, turn)) AS m FROM k WHERE level = 0 AND len(string_split(body, ' ')) >= 5 GROUP BY body),
+ q AS (SELECT conv_id, turn, level, body, sum(length(body)) AS chars, count(*) AS n FROM k WHERE level > 0 GROUP BY ALL),
  f AS MATERIALIZED (SELECT q.*, CASE WHEN n.turn < q.turn THEN q.conv_id WHEN far.m < (q.conv_id, q.turn) THEN far.m[1] END AS sc, CASE WHEN n.turn < q.turn THEN n.turn WHEN far.m < (q.conv_id, q.turn) THEN far.m[2] END AS st
   FROM q LEFT JOIN near n ON n.conv_id = q.conv_id AND n.body = q.body LEFT JOIN far ON far.body = q.body),
- counts AS (SELECT conv_id, turn, sum(lines) AS n_quoted, sum(CASE WHEN sc IS NULL THEN 0 ELSE lines END) AS n_linked, max(level) AS max_level FROM f GROUP BY conv_id, turn),
- parent AS MATERIALIZED (SELECT conv_id, turn, sc, st FROM (SELECT conv_id, turn, sc, st, sum(chars) AS c FROM f WHERE level = 1 AND sc IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY c DESC, sc, st) = 1),
+ nl AS (SELECT conv_id, line, min(turn) AS turn FROM kl WHERE level = 0 GROUP BY conv_id, line),
+ ql AS (SELECT * FROM kl WHERE level > 0),
+ g AS MATERIALIZED (SELECT f.conv_id, f.turn, f.level, f.body, length(ql.line) AS chars, nl.conv_id AS sc, nl.turn AS st FROM f JOIN ql ON ql.conv_id = f.conv_id AND ql.turn = f.turn AND ql.level = f.level AND ql.passage = f.body JOIN nl ON nl.conv_id = f.conv_id AND nl.line = ql.line AND nl.turn < f.turn WHERE f.sc IS NULL),
+ counts AS (SELECT conv_id, turn, sum(n) AS n_quoted, sum(CASE WHEN sc IS NOT NULL OR EXISTS (SELECT 1 FROM g WHERE g.conv_id = f.conv_id AND g.turn = f.turn AND g.level = f.level AND g.body = f.body) THEN n ELSE 0 END) AS n_linked, max(level) AS max_level FROM f GROUP BY conv_id, turn),
+ votes AS (SELECT conv_id, turn, sc, st, chars FROM f WHERE level = 1 AND sc IS NOT NULL UNION ALL SELECT conv_id, turn, sc, st, chars FROM g WHERE level = 1),
+ parent AS MATERIALIZED (SELECT conv_id, turn, sc, st FROM (SELECT conv_id, turn, sc, st, sum(chars) AS c FROM votes GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY c DESC, sc, st) = 1),
  up AS (SELECT m.conv_id, m.turn, m.conv_id AS rc, m.turn AS rt, 0::BIGINT AS depth FROM mail m LEFT JOIN parent p USING (conv_id, turn) WHERE p.sc IS NULL
   UNION ALL SELECT p.conv_id, p.turn, u.rc, u.rt, u.depth + 1 FROM up u JOIN parent p ON p.sc = u.conv_id AND p.st = u.turn)
  SELECT u.conv_id, u.turn, coalesce(t.text, '') AS text, coalesce(n_quoted, 0)::BIGINT AS n_quoted, coalesce(n_linked, 0)::BIGINT AS n_linked, coalesce(max_level, 0)::BIGINT AS max_level, p.sc AS reply_conv, p.st AS reply_turn, u.rc AS root_conv, u.rt AS root_turn, u.depth

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from loomline.llm import chroma, graph, langid, near_dup, quotes, topk
+from loomline.llm import chroma, graph, langid, near_dup, queries, quotes, topk
 
 from .helpers import crowded, docs, odd_rows, sentence
 
@@ -34,7 +34,7 @@ def test_quotes_nested_and_linked(spark):
     assert out[1, 0]["text"] == a and out[1, 1]["text"] == b and out[1, 2]["text"] == "Thanks"
     assert [(out[1, t]["reply_turn"], out[1, t]["depth"], out[1, t]["root_turn"]) for t in (0, 1, 2)] == [(None, 0, 0), (0, 1, 0), (1, 2, 0)]
     assert out[1, 2]["max_level"] == 2 and out[1, 2]["n_linked"] == 2
-    assert (out[2, 0]["n_quoted"], out[2, 0]["n_linked"], out[2, 0]["reply_conv"]) == (2, 1, None)
+    assert (out[2, 0]["n_quoted"], out[2, 0]["n_linked"], out[2, 0]["reply_conv"]) == (2, 0, None)
     assert out[6, 0]["n_quoted"] == 0 and out[3, 0]["text"] == ""
     assert quotes.link(spark.createDataFrame([], MESSAGES)).count() == 0
 
@@ -172,3 +172,48 @@ def test_quotes_keep_every_message(spark):
     assert sorted(r["text"] for r in got) == sorted(["alpha one", "beta two", "beta two", "gamma", "delta", "first branch", "second branch", "yes", "no"])
     assert {r["text"]: r["n_linked"] for r in got if r["turn"] == 2} == {"yes": 1, "no": 1}
     assert quotes.as_mail(d).count() == len(rows)
+
+
+def test_rewrapped_and_cut_quotes(spark):
+    """A quote that was wrapped anew is found as a passage; one that was cut short by its lines; a common line elsewhere is no source."""
+    said = "The first sentence of a long message that goes on\nfor several lines before it comes to its end.\n\nA second paragraph stands here.\nThanks"
+    wrapped = "> The first sentence of a\n> long message that goes on for several lines\n> before it comes to its end.\n\nI see."
+    rows = [
+        (1, 0, "Thanks"),
+        (2, 0, said),
+        (2, 1, "Another message in between, of no matter."),
+        (2, 2, wrapped),
+        (2, 3, "> A second paragraph stands here.\n> (rest cut)\n\nRight."),
+        (3, 0, "> Thanks\n\nFor what?"),
+        (3, 1, wrapped.replace("I see.", "Seen elsewhere.")),
+    ]
+    out = {(r["conv_id"], r["turn"]): r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert (out[2, 2]["reply_conv"], out[2, 2]["reply_turn"], out[2, 2]["n_linked"], out[2, 2]["text"]) == (2, 0, 1, "I see.")
+    assert (out[2, 3]["reply_turn"], out[2, 3]["n_quoted"], out[2, 3]["n_linked"]) == (0, 1, 1)
+    assert out[3, 0]["reply_conv"] is None and out[3, 0]["n_quoted"] == 1
+    assert (out[3, 1]["reply_conv"], out[3, 1]["root_turn"], out[3, 1]["depth"]) == (2, 0, 1)
+
+
+@pytest.fixture(scope="module")
+def duck(data):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in "documents embeddings pages benchmark labels conversations".split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
+    return con
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_query(spark, data, duck, name):
+    """Every query runs on the tables as it stands and equals its SQL where it has one."""
+    df = queries.QUERIES[name](spark, data)
+    columns = sorted(df.columns)
+    text = lambda v: "\0" if v is None else f"{v:.9g}" if isinstance(v, float) else str(v)
+    got = sorted(tuple(text(r[c]) for c in columns) for r in df.collect())
+    assert got
+    if name in queries.ORACLES:
+        cur = duck.execute(queries.ORACLES[name])
+        names = [d[0] for d in cur.description]
+        assert sorted(names) == columns
+        assert got == sorted(tuple(text(x[names.index(c)]) for c in columns) for x in cur.fetchall())
