@@ -5,14 +5,20 @@ filters slide over them; sums come from an integral image, each filter compares
 by the logarithm of the ratio of their means, three thresholds make two Gray-coded bits, and so each
 position gives one packed 32-bit integer.
 
-Recordings that share a run of ``RUN`` equal integers are compared: a histogram of the offsets at which
-integers agree gives the best offset, and the share of differing bits over the whole overlap
-there decides.  Equal fingerprints are one class first; classes are searched from pivots
-(``graph.search_bands``), so a very common fingerprint doesn't make pairs of everything.
+Recordings are compared if two integers of theirs at most ``GAPS`` places apart are equal and
+differ from each other (so neither silence nor a held tone makes recordings meet).  Audio is
+read at two phases, half a frame step apart, so that a copy that starts anywhere is within a
+quarter of a step of one of them.  A histogram of the offsets at which parts of integers agree
+gives the likeliest offsets, and the least share of differing bits over the whole overlap there
+decides.  Equal fingerprints are one class first; each class then meets one leader of those it
+shares a key with, and what is left apart is searched from pivots (``graph.search_bands``), so
+a very common passage doesn't make pairs of everything.
 
 Null media, too few frames, or media that can't be read: no fingerprint, linked with
 nothing.  Repeated rows are each returned.  A null id takes part; a group's id is the least
-non-null id.  Empty table: no rows.  Other columns are ignored.
+non-null id.  Ties between offsets go to the one with the least bit error, then the least
+offset.  A very long recording is read whole: its fingerprint is one row.  Empty table: no
+rows.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,11 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph
-from .common import settle
+from .common import settle, tidy
 
 FRAME, STEP, LOW_HZ, HIGH_HZ = 4096, 1365, 28.0, 3520.0
 WIDEST = 16
-RUN = 3
+GAPS = (1, 2, 3)
 THRESHOLDS = (-0.1, 0.0, 0.1)
 
 
@@ -45,24 +51,30 @@ def _filters() -> list[tuple[int, int, int, int]]:
 FILTERS = _filters()
 
 
-def frames_of_wav(data: bytes) -> np.ndarray:
-    """Pitch-class frames of a PCM WAV file (mono mix, 16 bit)."""
+def frames_of_wav(data: bytes, skip: int = 0) -> np.ndarray:
+    """Pitch-class frames of a PCM WAV file (mono mix, 16 bit), from sample ``skip`` on."""
     with wave.open(io.BytesIO(data)) as w:
         rate, channels, width = w.getframerate(), w.getnchannels(), w.getsampwidth()
         if width != 2:
             raise ValueError("16-bit samples are needed")
         x = np.frombuffer(w.readframes(w.getnframes()), "<i2").astype(float)
-    x = x[: len(x) // channels * channels].reshape(-1, channels).mean(1)
+    x = x[: len(x) // channels * channels].reshape(-1, channels).mean(1)[skip:]
     hz = np.fft.rfftfreq(FRAME, 1 / rate)
     use = (hz >= LOW_HZ) & (hz <= HIGH_HZ)
     classes = np.round(12 * np.log2(hz[use] / 440.0)).astype(int) % 12
-    out = []
+    out, window = [], np.hamming(FRAME)
     for at in range(0, len(x) - FRAME + 1, STEP):
-        power = np.abs(np.fft.rfft(x[at : at + FRAME] * np.hamming(FRAME)))[use] ** 2
+        power = np.abs(np.fft.rfft(x[at : at + FRAME] * window))[use] ** 2
         out.append(np.bincount(classes, power, 12))
     return np.array(out).reshape(-1, 12)
 
 
+def frames_of_vector(values: list) -> np.ndarray:
+    """A vector read as a melody: frame i holds the sizes of components i to i + 11."""
+    v = np.abs(np.array(values, float))
+    return np.lib.stride_tricks.sliding_window_view(v, 12) if len(v) >= 12 else np.empty((0, 12))
+
+
 def fingerprint(frames: np.ndarray) -> np.ndarray:
     """One uint32 for each position at which the widest filter fits."""
     n = len(frames) - WIDEST + 1
@@ -99,58 +111,84 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
     return out
 
 
-def align(a: np.ndarray, b: np.ndarray, least_hits: int = RUN, least_overlap: int = 16) -> tuple[int, float] | None:
-    """(offset of b in a, share of differing bits there), or None if too little agrees."""
-    order = np.argsort(b, kind="stable")
-    low, high = np.searchsorted(b[order], a, "left"), np.searchsorted(b[order], a, "right")
-    n = high - low
-    if not n.any():
-        return None
-    i = np.repeat(np.arange(len(a)), n)
-    j = order[np.repeat(low - np.concatenate([[0], n.cumsum()[:-1]]), n) + np.arange(n.sum())]
-    offsets, hits = np.unique(i - j, return_counts=True)
-    best = int(offsets[hits.argmax()])
-    x, y = a[max(0, best) :], b[max(0, -best) :]
-    m = min(len(x), len(y))
-    if hits.max() < least_hits or m < least_overlap:
-        return None
-    return best, float(np.bitwise_count(x[:m] ^ y[:m]).sum() / (32 * m))
+def align(a: np.ndarray, b: np.ndarray, least_overlap: int = 16, tries: int = 5) -> tuple[int, float] | None:
+    """(offset of b in a, share of differing bits there), or None if nothing agrees.
+
+    The offsets tried are those at which most parts of integers agree: bytes of short
+    recordings, halves or whole integers of long ones, whose parts would agree too often.
+    """
+    part = 8 if len(a) * len(b) <= 1 << 20 else 16 if len(a) * len(b) <= 1 << 26 else 32
+    hits = np.zeros(len(a) + len(b) + 1, np.int64)
+    for shift in range(0, 32, part):
+        x, y = ((v >> np.uint32(shift)) & np.uint32((1 << part) - 1) for v in (a, b))
+        order = np.argsort(y, kind="stable")
+        low, high = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
+        n = high - low
+        for k in range(0, len(x), 4096):  # a common part agrees nearly everywhere: some at a time
+            m = n[k : k + 4096]
+            i = np.repeat(np.arange(k, k + len(m)), m)
+            j = order[np.repeat(low[k : k + 4096] - np.concatenate([[0], m.cumsum()[:-1]]), m) + np.arange(m.sum())]
+            hits += np.bincount(i - j + len(b), minlength=len(hits))
+    found = None
+    for at in np.argsort(-hits, kind="stable")[:tries]:
+        offset = int(at) - len(b)
+        x, y = a[max(0, offset) :], b[max(0, -offset) :]
+        m = min(len(x), len(y))
+        if hits[at] and m >= least_overlap:
+            error = float(np.bitwise_count(x[:m] ^ y[:m]).sum() / (32 * m))
+            found = min(found or (2.0, 0), (error, offset))
+    return found and (found[1], found[0])
 
 
 def fingerprints(media: DataFrame, id_column: str, column: str, kind: str) -> DataFrame:
-    """``id, n, fp, k1, k2``; ``kind``: ``wav`` (bytes) or ``frames`` (array of numbers, 12 a frame)."""
+    """``id, n, fp, fp2, k1, k2``; ``kind``: ``wav`` (bytes), ``frames`` (numbers, 12 a frame) or ``vector`` (see ``frames_of_vector``).
+
+    ``fp2`` is audio's fingerprint half a frame step later.
+    """
+    step = STEP // 2
+
+    def read(m) -> list[np.ndarray]:
+        if m is None:
+            return []
+        return [frames_of_wav(m), frames_of_wav(m, step)] if kind == "wav" else [frames_of_vector(m) if kind == "vector" else np.array(m, float).reshape(-1, 12)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = []
-            for m in b.column("m").to_pylist():
+            raw: list[list[bytes]] = []
+            for m in b.column("m"):
                 try:
-                    f = None if m is None else frames_of_wav(m) if kind == "wav" else np.array(m, float).reshape(-1, 12)
-                    if f is not None and not np.isfinite(f).all():
-                        f = None
+                    frames = read(m.as_py())
+                    if not all(np.isfinite(f).all() for f in frames):
+                        frames = []
                 except (ValueError, TypeError, EOFError, wave.Error):
-                    f = None
-                raw.append(b"" if f is None else fingerprint(f).tobytes())
-            h = [[xxhash.xxh64_intdigest(r, s) - (1 << 63) for r in raw] for s in (1, 2)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(r) // 4 for r in raw], pa.int64()), pa.array(raw, pa.binary()), pa.array(h[0]), pa.array(h[1])], names=["id", "n", "fp", "k1", "k2"])
+                    frames = []
+                raw.append([*(fingerprint(f).tobytes() for f in frames), b"", b""][:2])
+            one, two = [r[0] for r in raw], [r[1] for r in raw]
+            h = [[xxhash.xxh64_intdigest(r, s) - (1 << 63) for r in one] for s in (1, 2)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array([len(r) // 4 for r in one], pa.int64()), pa.array(one, pa.binary()), pa.array(two, pa.binary()), pa.array(h[0]), pa.array(h[1])], names=["id", "n", "fp", "fp2", "k1", "k2"])
 
-    return media.select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("m")).mapInArrow(run, "id long, n long, fp binary, k1 long, k2 long")
+    return media.select(F.col(id_column).cast("long").alias("id"), F.col(column).alias("m")).mapInArrow(run, "id long, n long, fp binary, fp2 binary, k1 long, k2 long")
+
+
+def pair_keys(prints: list[np.ndarray]) -> np.ndarray:
+    """Distinct hashes of two different integers at each gap, of all given fingerprints of a recording."""
+    out = [np.empty(0, np.uint64)]
+    for x in prints:
+        x = x.astype(np.uint64)
+        for gap in GAPS:
+            u, v = x[:-gap], x[gap:]
+            h = ((u << np.uint64(32) | v) + np.uint64(gap)) * np.uint64(0x9E3779B97F4A7C15)
+            h ^= h >> np.uint64(29)
+            out.append((h * np.uint64(0xBF58476D1CE4E5B9))[u != v])
+    return np.unique(np.concatenate(out))
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        cid, n, key = [], [], []
-        for c, size, raw in zip(b.column("cid").to_pylist(), b.column("n").to_pylist(), b.column("fp").to_pylist()):
-            x = np.frombuffer(raw, np.uint32).astype(np.uint64)
-            h = np.zeros(max(0, len(x) - RUN + 1), np.uint64)
-            for i in range(RUN):
-                h = (h ^ x[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
-                h ^= h >> np.uint64(32)
-            own = np.unique(h).view(np.int64).tolist()
-            cid += [c] * len(own)
-            n += [size] * len(own)
-            key += own
-        yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64())], names=["cid", "n", "key"])
+        own = [pair_keys([np.frombuffer(p, np.uint32) for p in x]) for x in zip(b.column("fp").to_pylist(), b.column("fp2").to_pylist())]
+        size = [len(k) for k in own]
+        key = np.concatenate([*own, np.empty(0, np.uint64)]).view(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(c).to_numpy(), size), pa.int64()) for c in ("cid", "n")] + [pa.array(key)], names=["cid", "n", "key"])
 
 
 def _align_rows(most_errors: float):
@@ -168,11 +206,15 @@ def _align_rows(most_errors: float):
     return run
 
 
+@tidy
 def group(prints: DataFrame, most_errors: float = 0.15) -> DataFrame:
-    """``id, n, group_id`` and, of the least class aligned with it directly, ``link_id, offset, bit_error``."""
+    """``id, n, group_id`` and, of the least class that it was aligned with, ``link_id, offset, bit_error``.
+
+    Classes that are in one group already are not aligned with each other again.
+    """
     rows = settle(prints)
-    classes = settle(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp")).withColumn("cid", F.monotonically_increasing_id()))
-    bands = classes.select("cid", "n", "fp").mapInArrow(_keys, "cid long, n long, key long")
+    classes = settle(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("fp2").alias("fp2")).withColumn("cid", F.monotonically_increasing_id()))
+    bands = classes.select("cid", "n", "fp", "fp2").mapInArrow(_keys, "cid long, n long, key long")
     shared = bands.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
     bands = settle(bands.join(shared, "key").withColumn("own", F.lit(0).cast("long")))
     labels = settle(bands.select("cid").distinct().withColumn("label", F.col("cid")))
@@ -197,5 +239,5 @@ def group(prints: DataFrame, most_errors: float = 0.15) -> DataFrame:
         known = known.join(best, "cid", "left")
     else:
         known = known.withColumns({"link_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long"), "bit_error": F.lit(None).cast("double")})
-    out = rows.drop("fp").join(known.select("k1", "k2", "group_id", "link_id", "offset", "bit_error"), ["k1", "k2"], "left")
+    out = rows.drop("fp", "fp2").join(known.select("k1", "k2", "group_id", "link_id", "offset", "bit_error"), ["k1", "k2"], "left")
     return out.select("id", "n", F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("group_id")).alias("group_id"), "link_id", "offset", "bit_error")

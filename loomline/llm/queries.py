@@ -28,11 +28,8 @@ def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chroma_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each embedding read as a melody: window i holds the energies of components i to i + 11."""
-    e = F.col("embedding")
-    frames = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(e) - 11)), lambda i: F.transform(F.slice(e, i, F.lit(12)), lambda x: F.abs(x.cast("double")))))
-    media = table(spark, sf_dir, "embeddings").select("vec_id", F.when(F.size(e) >= 12, frames).alias("frames"))
-    return chroma.group(chroma.fingerprints(media, "vec_id", "frames", "frames"))
+    """Each embedding read as a melody: window i holds the sizes of components i to i + 11."""
+    return chroma.group(chroma.fingerprints(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "vector"))
 
 
 def op3_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,13 +75,19 @@ def test_integral_image_filters_by_brute_force():
     image = frames / np.linalg.norm(frames, axis=1, keepdims=True)
     got = chroma.fingerprint(frames)
     assert len(got) == 30 - chroma.WIDEST + 1
-    shape, y, h, w = chroma.FILTERS[1]
-    assert shape == 1
-    for at in (0, 7):
-        block = image[at : at + w]
-        r = np.log((0.01 + block[:, y + h // 2 : y + h].mean()) / (0.01 + block[:, y : y + h // 2].mean()))
-        level = int(np.searchsorted(chroma.THRESHOLDS, r))
-        assert (int(got[at]) >> 2) & 3 == level ^ (level >> 1)
+    for at in (0, 7, len(got) - 1):
+        for k, (shape, y, h, w) in enumerate(chroma.FILTERS):
+            m = lambda f0, f1, c0, c1: image[at + f0 : at + f1, c0:c1].mean()  # noqa: B023, E731
+            a, b = (
+                (m(0, w, y, y + h // 2), m(0, w, 0, 12)),
+                (m(0, w, y + h // 2, y + h), m(0, w, y, y + h // 2)),
+                (m(w // 2, w, y, y + h), m(0, w // 2, y, y + h)),
+                (m(0, w // 2, y + h // 2, y + h) + m(w // 2, w, y, y + h // 2), m(0, w // 2, y, y + h // 2) + m(w // 2, w, y + h // 2, y + h)),
+                (m(0, w, y + h // 3, y + 2 * h // 3), m(0, w, y, y + h)),
+                (m(w // 3, 2 * w // 3, y, y + h), m(0, w, y, y + h)),
+            )[shape]
+            level = int(np.searchsorted(chroma.THRESHOLDS, np.log((0.01 + a) / (0.01 + b))))
+            assert (int(got[at]) >> (2 * k)) & 3 == level ^ (level >> 1)
 
 
 def vectors(spark, rows):
@@ -217,3 +223,47 @@ def test_query(spark, data, duck, name):
         names = [d[0] for d in cur.description]
         assert sorted(names) == columns
         assert got == sorted(tuple(text(x[names.index(c)]) for c in columns) for x in cur.fetchall())
+
+
+def test_chroma_recall_against_brute_force(spark):
+    """Noisy copies, copies that start inside a frame step, and cuts: found as by aligning all pairs; silence pairs nothing."""
+    rng = np.random.default_rng(3)
+
+    def raw(x):
+        out = io.BytesIO()
+        with wave.open(out, "wb") as w:
+            w.setnchannels(1), w.setsampwidth(2), w.setframerate(11025)
+            w.writeframes((x / max(1e-9, np.abs(x).max()) * 20000).astype("<i2").tobytes())
+        return out.getvalue()
+
+    sound, rows, prints = {}, [], {}
+    for k in range(12):
+        t = np.arange(4410) / 11025
+        sound[k] = np.concatenate([np.sin(2 * np.pi * f * t) + 0.4 * np.sin(4 * np.pi * f * t) for f in melody(100 + k, 20)])
+        x = sound[k]
+        for i, y in enumerate((x, x + rng.normal(0, 0.3, len(x)), x[300:], x[600:], x[1000:] + rng.normal(0, 0.1, len(x) - 1000), x[9000 : int(0.8 * len(x))])):
+            rows.append((10 * k + i, raw(y)))
+    rows += [(500 + i, raw(np.zeros(60_000 + 1000 * i))) for i in range(5)]
+    rows += [(600 + i, raw(np.sin(2 * np.pi * 440 * np.arange(60_000 + 1000 * i) / 11025))) for i in range(5)]
+    for i, data in rows[:72]:
+        prints[i] = chroma.fingerprint(chroma.frames_of_wav(data))
+
+    def best(a, b):
+        e = 1.0
+        for offset in range(16 - len(b), len(a) - 15):
+            x, y = a[max(0, offset) :], b[max(0, -offset) :]
+            m = min(len(x), len(y))
+            if m >= 16:
+                e = min(e, float(np.bitwise_count(x[:m] ^ y[:m]).sum() / (32 * m)))
+        return e
+
+    out = {r["id"]: r for r in chroma.group(chroma.fingerprints(spark.createDataFrame(rows, "id long, audio binary"), "id", "audio", "wav")).collect()}
+    linked = [(i, j) for i in prints for j in prints if i < j and best(prints[i], prints[j]) <= 0.15]
+    assert len(linked) > 100
+    assert sum(out[i]["group_id"] == out[j]["group_id"] for i, j in linked) >= 0.97 * len(linked)
+    apart = [(i, j) for i in prints for j in prints if i // 10 != j // 10]
+    assert not any(out[i]["group_id"] == out[j]["group_id"] for i, j in apart)
+    assert all(chroma.pair_keys([chroma.fingerprint(chroma.frames_of_wav(d))]).size == 0 for i, d in rows if 500 <= i < 600)
+    for i, j in linked:
+        e = chroma.align(prints[i], prints[j])
+        assert e and abs(e[1] - best(prints[i], prints[j])) < 0.02
