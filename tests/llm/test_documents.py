@@ -249,31 +249,139 @@ def test_language_model(spark, odd, none):
     want = sorted((len(words(t)), sum(train[w] > 0 for w in words(t)), round(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in words(t)), 4)) for _, t, *_ in odd_rows())
     assert sorted((r["n_tokens"], r["n_known"], round(r["base_score"], 4)) for r in out) == want
     assert all(r["score"] < 0 and r["train_tokens"] == n for r in out)
+    # Looking prices up and joining them is the same, whatever is kept as heavy.
+    again = context_mix.score(odd, context_mix.fit(odd, fold("doc_id", 7) != 2, heavy=100_000), held_out("doc_id", 7, 2)).collect()
+    key = lambda r: (r["n_tokens"], round(r["score"], 3))
+    assert sorted(map(key, out)) == sorted(map(key, again))
     assert context_mix.score(none, model, held_out("doc_id", 7, 2)).count() == 0
     assert context_mix.score(odd, context_mix.fit(odd, F.lit(False)), F.lit(False)).count() == N
 
 
-def test_token_probabilities_sum_to_one():
-    """Over all bytes that may come first, the first-byte probabilities add up to one."""
-    tokens = [b"aa", b"ab", b"b", b"\n"]
-    code = context_mix.Code(np.bincount(np.frombuffer(b"aa ab b \n ", np.uint8), minlength=256))
-    tags, n = context_mix.heavy_tags(tokens, code), context_mix.new_counts()
-    context_mix.add_counts(tokens, np.array([5, 3, 2, 4]), code, tags, n)
-    m = context_mix.Mixer(n, tags, code)
-    m.learn(tokens, np.array([5.0, 3.0, 2.0, 4.0]))
-    centre = 1 / (1 + np.exp(-np.linspace(-16, 16, context_mix.MAP_STEPS)))
-    refined = (m.map[0] + 20 * centre) / (m.map[1] + 20)
-    total = 0.0
-    for first in range(256):
-        p = 1.0
-        for k, (slots, tag, bit, _) in enumerate(context_mix.Bits([bytes([first]) + b"x"], code).steps()):
-            if k == code.size[first]:
-                break
-            x, g1, g2 = m.inputs([s[:1] for s in slots], tag[:1], bit[:1], False)
-            z = m.mixed(x, g1, g2)
-            (low,), (part,) = m.place(z)
-            g = g1[0] // context_mix.GATES
-            one = 0.5 / (1 + np.exp(-z[0])) + 0.5 * (refined[g, low] * (1 - part) + refined[g, low + 1] * part)
-            p *= one if bit[0] else 1 - one
-        total += p
-    assert abs(total - 1) < 1e-3
+def small_model(texts):
+    """Head and rest models of a few texts, as ``fit`` makes them, on one machine."""
+    known = context_mix.Vocabulary({b"the": 1, b"le": 2})
+    t = context_mix.Texts(texts, known)
+    count = np.zeros((context_mix.STATES, 256))
+    np.add.at(count, (t.state, t.first), 1)
+    head_code, tables, head = context_mix.Code(count), context_mix.empty_tables(context_mix.HEAD_BITS), context_mix.Mixer(5)
+    context_mix.learn_heads(t, head_code, tables, head)
+    pairs = Counter(zip(t.state.tolist(), [known.words[i] for i in t.ids]))
+    state, token, c = np.array([s for s, _ in pairs]), [w for _, w in pairs], np.array(list(pairs.values()), float)
+    r = context_mix.Rests(token, state, np.full(len(token), 4))
+    count = np.zeros((256, 256))
+    np.add.at(count, (r.before, r.symbol), c[r.token])
+    code = context_mix.Code(count)
+    fixed = context_mix.empty_tables(context_mix.REST_BITS)
+    for at, node, bit in code.steps(r.before, r.symbol):
+        for a, x, size in zip(fixed, r.contexts, context_mix.REST_BITS):
+            np.add.at(a.reshape(-1), context_mix.slot(x[at], node, size) + bit.astype(np.int64) * a.shape[1], c[r.token[at]])
+    own = context_mix.Beginnings(10_000)
+    own.add(r, code, c.astype(np.float32))
+    m = context_mix.Mixer(7)
+    for at, node, bit in code.steps(r.before, r.symbol):
+        m.adjust(*context_mix.rest_odds(r, at, node, bit, fixed, own, np.ones(len(token))), bit, (c / c.sum())[r.token[at]], len(token))
+    return known, (head_code, tables, head), (code, fixed, own, m)
+
+
+TEXTS = [b"the cat saw the dog and the cat ran", b"le chat voit le chien et le chat court", b"", None, b"the cattle saw a catapult"]
+
+
+def test_probabilities_sum_to_one():
+    """Of all bytes that may come first, and of all that may come next in a token."""
+    known, (head_code, tables, head), (code, fixed, own, m) = small_model(TEXTS)
+    prices = context_mix.Prices(tables, context_mix.HEAD_BITS)
+    for before in (b"", b"the", b"le chat", b"saw unknown"):
+        total = 0.0
+        for first in set(range(256)) - {9, 10, 11, 12, 13, 32, *range(65, 91)}:  # no token begins with these
+            t = context_mix.Texts([before + b" " + bytes([first])], known)
+            total += 2 ** context_mix.price_heads(t, head_code, prices, head)[-2]
+        t = context_mix.Texts([before], known)
+        total += 2 ** context_mix.price_heads(t, head_code, prices, head)[-1]  # the end
+        assert 0.98 < total <= 1 + 1e-9
+    for start in (b"c", b"cat", b"catap", b"x"):
+        total = 0.0
+        for nxt in range(256):
+            r = context_mix.Rests([start + bytes([nxt])], np.array([1]), np.array([4]))
+            upto = context_mix.Rests([start + bytes([nxt]) + b"q"], np.array([1]), np.array([4]))
+            assert len(upto.symbol) == len(r.symbol) + 1
+            p = 0.0
+            for at, node, bit in code.steps(r.before, r.symbol):
+                x, g1, g2 = context_mix.rest_odds(r, at, node, bit, fixed, own, None)
+                p += m.log2(x, g1, g2, bit)[r.place[at] == len(start)].sum()
+            total += 2**p
+        assert abs(total - 1) < 1e-3
+
+
+def test_prices_by_brute_force():
+    """Bits, counts and log-probabilities of whole texts, one at a time in plain Python."""
+    known, (head_code, tables, head), (code, fixed, own, m) = small_model(TEXTS)
+    prices = context_mix.Prices(tables, context_mix.HEAD_BITS)
+    t = context_mix.Texts([TEXTS[0]], known)
+    got = context_mix.price_heads(t, head_code, prices, head)
+    states, two = [], [b"", b""]
+    words, state = TEXTS[0].split() + [b"\n"], 0
+    mask = (1 << 64) - 1
+
+    def mixed(h):
+        h = h * int(context_mix._A) & mask
+        return h ^ h >> 31
+
+    import xxhash
+
+    def bits(row, symbol, table, contexts, sizes, model, gates):
+        size, value, node, total = int(table.size[row, symbol]), int(table.code[row, symbol]), 1, 0.0
+        for k in range(size - 1, -1, -1):
+            bit = value >> k & 1
+            x, sure = [], []
+            for c, b, a in zip(contexts, sizes, tables):
+                s = ((c ^ (node * int(context_mix._B) & mask)) * int(context_mix._A) & mask) >> (64 - b)
+                zero, one = a[0][s], a[1][s]
+                x.append(math.log(one + 0.02) - math.log(zero + 0.02))
+                sure.append(min(13, int(math.floor(math.log2(zero + one))) + 1 if zero + one >= 1 else 0))
+            g1, g2 = gates(sure)
+            z = sum((model.w[0][g1][i] + model.w[1][g2][i]) * v for i, v in enumerate([*x, 0.3]))
+            z = max(-16.0, min(16.0, z))
+            place = (z + 16) * (context_mix.MAP_STEPS - 1) / 32
+            low = min(int(place), context_mix.MAP_STEPS - 2)
+            centre = lambda i: 1 / (1 + math.exp(16 - i * 32 / (context_mix.MAP_STEPS - 1)))
+            row_ = g1 // context_mix.GATES
+            refined = [(model.map[0][row_][i] + 20 * centre(i)) / (model.map[1][row_][i] + 20) for i in (low, low + 1)]
+            p = 0.5 / (1 + math.exp(-z)) + 0.5 * (refined[0] * (1 - (place - low)) + refined[1] * (place - low))
+            p = min(1 - 1e-7, max(1e-7, p))
+            total += math.log2(p if bit else 1 - p)
+            node = node * 2 + bit
+        return total
+
+    for k, w in enumerate(words):
+        h = [xxhash.xxh64_intdigest(x) if x else 0 for x in two]
+        tail = int.from_bytes(two[0][-3:], "little") + 1 if two[0] else 0
+        s = state + 1
+        contexts = [mixed(c + int(z) & mask) for c, z in zip((s, h[0], mixed(h[0]) + h[1], tail * 16 + s, mixed(h[1]) + s), context_mix._SALT)]
+        want = bits(state, w[0], head_code, contexts, context_mix.HEAD_BITS, head, lambda sure, s=state: (sure[2] * 14 + sure[1], s * 14 + sure[3]))
+        assert abs(want - got[k]) < 1e-3
+        states.append(state)
+        state = known.groups.get(w, state)
+        two = [w, two[0]]
+    assert t.state.tolist() == states
+
+
+def test_order_of_words_matters(spark):
+    """A shuffled text is less likely than the text, and word pairs are learned over the corpus."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(300):
+        w = [x for k in rng.integers(0, 8, 40) for x in (f"{'abcdefgh'[k]}first{k}", f"{'hgfedcba'[k]}second{k}")]
+        rows.append((i, " ".join(w), None, None, 0))
+    rows += [(1000, rows[0][1], None, None, 0), (1001, " ".join(sorted(rows[0][1].split(), key=lambda x: zlib.crc32(x.encode()))), None, None, 0)]
+    d = docs(spark, rows)
+    out = {r["doc_id"]: r for r in context_mix.score(d, context_mix.fit(d, F.col("doc_id") < 300), F.lit(False)).collect()}
+    assert out[1000]["score"] > out[1001]["score"] + 20 and abs(out[1000]["base_score"] - out[1001]["base_score"]) < 1e-6
+    assert out[1000]["score"] > out[1000]["base_score"]
+
+
+def test_pairs_that_begin_alike_are_dealt_deeper(spark):
+    rows = [(0, w.encode(), 1, 1, 1) for w in [f"http{i}" for i in range(50)] + ["a", "abc"] + [f"http0000{i}" for i in range(30)]]
+    d = context_mix._dealt(spark.createDataFrame(rows, "state int, token binary, c long, c_all long, c_token long"), 20).collect()
+    by = {bytes(r["token"]): (r["depth"], bytes(r["deal"])) for r in d}
+    assert by[b"a"] == (4, b"a") and by[b"http7"] == (8, b"http7") and by[b"http00001"][0] == 16
+    assert len(by) == len({*by})
