@@ -1,9 +1,9 @@
 """Exact top-k inner products by norm-bucketed retrieval (Teflioudi and Gemulla, 2015).
 
-Vectors are ordered by length and cut into buckets of about ``bucket_rows``.  Queries come
-in blocks.  A first pass over the bucket of the longest vectors gives each query a score
-that its k-th best reaches at least.  From it follows, for each bucket, the least cosine a
-useful vector must have there:
+Vectors are ordered by length and cut into buckets of about ``bucket_rows``.  A first pass over
+the bucket of the longest vectors gives each query a score that its k-th best reaches at
+least, and with it the least length of a useful vector.  Queries that need a like length share
+a block.  For each bucket follows the least cosine that a useful vector must have there:
 
 * above 1: the bucket is skipped;
 * high: coordinate pruning, by the range that the query's largest coordinate allows;
@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import settle, tidy
 
 PACK = "dim long, top double, ids binary, vectors binary, norms binary"
 COORDINATE_FROM = 0.8
@@ -137,48 +137,75 @@ def _search(k: int):
 
 
 def _floors(k: int):
-    """Each block with the k-th best score of its queries in the first bucket (-inf: fewer than k)."""
+    """Each query with the k-th best score that it has in the first bucket (-inf: fewer than k), and how long a vector must be to reach it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            floors, ratios = [], []
             for i in range(b.num_rows):
                 qi, q, qn = _unpack(b, i, "q")
                 got = best_of_bucket(qi, q, qn, np.full(len(qi), np.nan), *_unpack(b, i, "p"), k)
                 scores: dict[int, list[int]] = {}
                 for x, _, s in got:
                     scores.setdefault(x, []).append(s)
-                f = np.array([min(scores[x]) if len(scores.get(x, ())) >= k else -np.inf for x in qi.tolist()])
-                floors.append(f.tobytes())
-                ratios.append(float(np.where((f > 0) & (qn > 0), f / np.maximum(qn, 1e-300), 0.0).min()))
-            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array(floors, pa.binary()), pa.array(ratios, pa.float64())], names=["block", "q_floor", "ratio"])
+                f = np.array([min(scores[x]) if len(scores.get(x, ())) >= k else -np.inf for x in qi.tolist()], float)
+                ratio = np.where((f > 0) & (qn > 0), f / np.maximum(qn, 1e-300), 0.0)
+                yield pa.RecordBatch.from_arrays([pa.array(qi), pa.array(q.tolist(), pa.list_(pa.int64())), pa.array(f), pa.array(ratio), pa.array(np.full(len(qi), q.shape[1]))], names=["id", "v", "floor", "ratio", "dim"])
+
+    return run
+
+
+def _query_blocks(rows: int):
+    """Queries packed in the order in which they come; ``ratio``: the least length that any of them needs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
+
+        def emit(dim: int) -> pa.RecordBatch:
+            ids, vs, floor, ratio = zip(*held.pop(dim))
+            v = np.array(vs, np.int64).reshape(len(vs), -1)
+            norms = np.sqrt((v.astype(float) ** 2).sum(1))
+            row = [dim, np.array(ids, np.int64).tobytes(), v.tobytes(), norms.tobytes(), np.array(floor, float).tobytes(), float(min(ratio))]
+            kinds = [pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.float64()]
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds)], names=["dim", "q_ids", "q_vectors", "q_norms", "q_floor", "ratio"])
+
+        for b in batches:
+            for i, v, floor, ratio in zip(*(b.column(c).to_pylist() for c in ("id", "v", "floor", "ratio"))):
+                mine = held.setdefault(len(v), [])
+                mine.append((i, v, floor, ratio))
+                if len(mine) >= rows:
+                    yield emit(len(v))
+        for dim in sorted(held):
+            yield emit(dim)
 
     return run
 
 
 def _side(df: DataFrame, side: str) -> DataFrame:
+    """``df`` with the columns of a pack named after a side."""
     return df.select(*[F.col(c).alias(f"{side}_{c}") if c in ("ids", "vectors", "norms", "top") else F.col(c) for c in df.columns])
 
 
+@tidy
 def top_k(vectors: DataFrame, queries: Column, k: int = 5, bucket_rows: int = 2048, block_rows: int = 512) -> DataFrame:
     """``query_id, rank, vec_id, score``: vectors ``id, v`` (see ``whole``); ``queries`` marks query rows."""
     v = settle(vectors.withColumn("norm", _norm(F.col("v"))).withColumn("h", F.xxhash64("id")))
     asked = v.where(queries).groupBy("id").agg(F.min("v").alias("v"))
     n, n_q = v.count(), v.where(queries).count()
-    parts = max(1, math.ceil(n / bucket_rows))
+    parts, q_parts = max(1, math.ceil(n / bucket_rows)), max(1, math.ceil(n_q / block_rows))
     buckets = v.repartitionByRange(parts, F.desc("norm"), "h").select("id", "v").mapInArrow(_packer(bucket_rows * 2), PACK)
     buckets = settle(buckets.withColumn("bucket", F.monotonically_increasing_id()))
-    blocks = asked.repartition(max(1, math.ceil(n_q / block_rows)), "id").mapInArrow(_packer(block_rows), PACK)
-    blocks = settle(blocks.withColumn("block", F.monotonically_increasing_id()))
-    meta = settle(buckets.select("bucket", "dim", "top").withColumn("slot", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("top"), "bucket"))))
+    meta = settle(buckets.select("bucket", "dim", "top").withColumn("slot", F.row_number().over(Window.partitionBy("dim").orderBy(F.desc("top"), "bucket"))))  # a row a bucket
     # The bucket of the longest vectors of each dimension: one row a dimension.
     first = _side(buckets.join(meta.where("slot = 1").select("bucket"), "bucket").drop("bucket"), "p")
-    found = settle(_side(blocks, "q").join(first, "dim").mapInArrow(_floors(k), "block long, q_floor binary, ratio double"))
-    slots = meta.groupBy("dim").agg(F.max("slot").alias("slots"))
-    pairs = blocks.select("block", "dim").join(found.select("block", "ratio"), "block").join(slots, "dim")
-    pairs = pairs.select("block", "dim", "ratio", F.explode(F.sequence(F.lit(1), F.col("slots"))).alias("slot"))
-    pairs = pairs.join(meta, ["dim", "slot"]).where(F.col("ratio") * (1 - 1e-9) <= F.col("top")).select("block", "bucket")
-    work = pairs.join(_side(buckets.drop("dim"), "p"), "bucket").join(_side(blocks.drop("dim"), "q"), "block").join(found.drop("ratio"), "block")
+    met = _side(asked.repartition(q_parts, "id").mapInArrow(_packer(block_rows), PACK), "q").join(first, "dim")
+    found = settle(met.mapInArrow(_floors(k), "id long, v array<long>, floor double, ratio double, dim long"))
+    # Queries that need vectors of like length share a block, so that a block skips most buckets that its queries can skip.
+    blocks = found.repartitionByRange(q_parts, "dim", F.desc("ratio"), "id").sortWithinPartitions("dim", F.desc("ratio"), "id")
+    blocks = blocks.mapInArrow(_query_blocks(block_rows), "dim long, q_ids binary, q_vectors binary, q_norms binary, q_floor binary, ratio double")
+    blocks = settle(blocks.withColumn("block", F.monotonically_increasing_id()))
+    # A row for each block and bucket that are searched together: the work itself, each some thousand products.
+    pairs = blocks.select("block", "dim", "ratio").join(meta, "dim").where(F.col("ratio") * (1 - 1e-9) <= F.col("top")).select("block", "bucket")
+    work = pairs.join(_side(buckets.drop("dim"), "p"), "bucket").join(blocks.drop("dim", "ratio"), "block")
     hits = work.mapInArrow(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
