@@ -7,7 +7,8 @@ but letters counts as one gap between words.
 
 Null text, empty text and text without letters: ``und`` with score 0.  Null languages
 take no part in learning.  No learned language: ``und``.  Ties go to the language that
-sorts first.  Repeated rows are each predicted; other columns are ignored.
+sorts first, ties between n-grams to the lesser code.  Very long texts are read whole.
+Repeated rows are each predicted; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -97,11 +98,22 @@ def learn(docs: DataFrame, top: int = 300) -> dict[str, list[int]]:
     return out
 
 
-def distances(codes: np.ndarray, places: np.ndarray, top: int) -> np.ndarray:
+def table(profiles: list[list[int]], top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted codes of all profiles, and their place in each (``top``: not there); one more column is for other codes."""
+    codes = np.unique(np.concatenate([*(np.asarray(p, np.int64) for p in profiles), np.empty(0, np.int64)]))
+    places = np.full((len(profiles), len(codes) + 1), top, np.int32)
+    for i, p in enumerate(profiles):
+        places[i, np.searchsorted(codes, p)] = np.arange(len(p))
+    return codes, places
+
+
+def distances(ranked_codes: np.ndarray, codes: np.ndarray, places: np.ndarray, top: int) -> np.ndarray:
     """Out-of-place distance of a ranked list to each language, as a share of the most possible."""
-    gap = np.abs(places[:, codes] - np.arange(len(codes), dtype=np.int32))
-    gap[places[:, codes] >= top] = top
-    return gap.sum(1) / (top * max(1, len(codes)))
+    at = np.searchsorted(codes, ranked_codes)
+    there = np.append(codes, -1)[at] == ranked_codes
+    place = places[:, np.where(there, at, len(codes))]
+    gap = np.where(place >= top, top, np.abs(place - np.arange(len(ranked_codes))))
+    return gap.sum(1) / (top * max(1, len(ranked_codes)))
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str], top: int = 300) -> DataFrame:
@@ -109,9 +121,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str], to
     langs = sorted(profiles)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places = np.full((len(langs), SPAN), top, np.int16 if top < 30_000 else np.int32)
-        for i, lang in enumerate(langs):
-            places[i, profiles[lang]] = np.arange(len(profiles[lang]))
+        codes, places = table([profiles[lang] for lang in langs], top)
         for b in batches:
             pred, score, far = [], [], []
             for text in b.column("text").to_pylist():
@@ -119,7 +129,7 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str], to
                 if not len(c) or not langs:
                     pred.append("und"), score.append(0.0), far.append(1.0)
                     continue
-                d = distances(ranked(c, top), places, top)
+                d = distances(ranked(c, top), codes, places, top)
                 best = int(d.argmin())
                 rest = np.delete(d, best).min() if len(langs) > 1 else 1.0
                 pred.append(langs[best]), far.append(float(d[best]))

@@ -4,11 +4,12 @@
    pieces best-fit (longest first).  No shuffle.
 2. Nearly full bins are final.  Underfull bins are dealt into groups of at most about
    ``group_bins`` and packed best-fit again as whole items.
-3. Step 2 repeats with half as many groups (a tree of merges), until one group is left or
-   a round no longer saves any bin.
+3. Step 2 repeats with as few groups as their bounds allow, dealt anew (a tree of merges),
+   until one group saw all or two rounds in a row saved no bin.
 
-A bin is one row and holds at most ``seq_len`` members, so every row and every task is
-bounded.  Null text counts as empty: it is one piece that holds just the end id.  Repeated
+A bin is one row and holds at most ``seq_len`` members, and a group is bounded in bins and in
+members, so every row and every task is bounded.  Pieces of one length are taken in the order
+they come.  Very long texts are cut into pieces, whole.  Null text counts as empty: it is one piece that holds just the end id.  Repeated
 rows are packed once each; an empty table gives no rows; other columns are ignored.
 """
 
@@ -159,7 +160,7 @@ def _repack(seq_len: int) -> Callable:
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, seq_len: int = 4096, slack: int = 8, group_bins: int = 8192, hold: int = 100_000) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, seq_len: int = 4096, slack: int = 8, group_bins: int = 8192, group_members: int = 500_000, hold: int = 100_000) -> DataFrame:
     """One row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     ``slack``: a bin with at most so many free places is final.  ``hold``: pieces that a
@@ -169,19 +170,21 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, seq_len: int = 4096,
     full = F.col("size") >= seq_len - slack
     out = open_bins.where(full)
     rest = open_bins.where(~full)
-    n = rest.count()
-    groups = math.ceil(n / group_bins)
-    level = 0
+    totals = lambda d: d.agg(F.count("*"), F.coalesce(F.sum(F.size("members")), F.lit(0))).first()
+    needed = lambda bins, members: max(1, math.ceil(bins / group_bins), math.ceil(members / group_members))
+    n, members = totals(rest)
+    groups, level, idle = needed(n, members), 0, 0
     while n > 1:
         level += 1
         first = F.col("members")[0]
         g = F.pmod(F.xxhash64(F.lit(level), "size", first["doc_id"], first["piece"]), F.lit(groups))
         merged = settle(rest.groupBy(g.alias("g")).applyInArrow(_repack(seq_len), BIN))
         out, rest = out.unionByName(merged.where(full)), merged.where(~full)
-        left, total = merged.agg(F.coalesce(F.sum((~full).cast("long")), F.lit(0)), F.count("*")).first()
-        if groups == 1 or total == n:  # one group saw all, or nothing fits anything any more
+        idle = idle + 1 if merged.count() == n else 0
+        n, members = totals(rest)
+        if groups == 1 or idle == 2:
             break
-        n, groups = left, max(1, min(groups // 2, math.ceil(left / group_bins)))
+        groups = needed(n, members)
     out = out.unionByName(rest)
     out = out.select(F.monotonically_increasing_id().alias("sequence_id"), "members")
     before = F.aggregate(F.slice("members", 1, F.col("pos")), F.lit(0).cast("long"), lambda a, m: a + m["length"])

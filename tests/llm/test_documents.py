@@ -41,9 +41,47 @@ def test_language(spark, odd, none):
 
 
 def test_language_distance_is_out_of_place():
-    places = np.full((1, langid.SPAN), 3, np.int16)
-    places[0, [5, 6, 7]] = [0, 1, 2]
-    assert langid.distances(np.array([6, 5, 9]), places, 3)[0] == (1 + 1 + 3) / 9
+    codes, places = langid.table([[5, 6, 7], [9, 5]], 3)
+    assert langid.distances(np.array([6, 5, 9]), codes, places, 3).tolist() == [(1 + 1 + 3) / 9, (3 + 0 + 2) / 9]
+    assert langid.distances(np.array([1]), *langid.table([], 3), 3).tolist() == []
+
+
+def test_language_by_brute_force(spark):
+    """Profiles, distances and choices, gram by gram in plain Python."""
+    rows = [(i, t, lang, "s", 1) for i, (t, lang) in enumerate([("The cat sat. The dog", "en"), ("Der Hund und die Katze", "de"), ("le chat et le chien", "fr"), ("une maison, le chat", "fr"), ("die Maus 12 der Hund!", None), ("the the house", None), ("É à ça 7", None), ("x", None)])]
+
+    def codes(text):
+        cp = [0]
+        for ch in text.lower() + "\0":
+            c = ord(ch) if ch.isalpha() else 0
+            if c or cp[-1]:
+                cp.append(c)
+        if len(cp) < 3:
+            return []
+        mask, m = (1 << 32) - 1, 0x9E3779B1
+        one = [c * 0x85EBCA6B & mask for c in cp]
+        two = [(one[i] ^ cp[i + 1] + 77) * m & mask for i in range(len(cp) - 1)]
+        three = [(two[i] ^ cp[i + 2] + 1234567) * m & mask for i in range(len(cp) - 2)]
+        return [o >> 12 for o, c in zip(one, cp) if c] + [x >> 12 for x in two] + [x >> 12 for x in three]
+
+    def best(counts, top):
+        return [c for c, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0]))[:top]]
+
+    by = {}
+    for _, t, lang, *_ in rows:
+        if lang:
+            by.setdefault(lang, Counter()).update(codes(t))
+    top = 20
+    profiles = {lang: best(c, top) for lang, c in by.items()}
+    d = docs(spark, rows)
+    assert langid.learn(d, top) == profiles
+    want = {}
+    for i, t, *_ in rows:
+        mine = best(Counter(codes(t)), top)
+        far = {lang: sum(abs(p.index(c) - k) if c in p else top for k, c in enumerate(mine)) / (top * len(mine)) for lang, p in profiles.items()}
+        want[i] = min(sorted(far), key=lambda x: far[x]), round(min(far.values()), 9)
+    got = langid.predict(d, profiles, ["doc_id"], top).collect()
+    assert {r["doc_id"]: (r["lang_pred"], round(r["distance"], 9)) for r in got} == want
 
 
 def test_language_held_out(spark, data):
@@ -73,6 +111,14 @@ def test_packing_is_an_exact_round_trip(spark, odd, none):
     assert packing.pack(none, tokenizer_path()).count() == 0
 
 
+def test_packing_in_many_groups(spark):
+    """Groups bounded in bins and in members still end near the least number of sequences."""
+    rows = [(i, sentence(i, 3 + i % 40), None, None, 0) for i in range(600)] + [(1000 + i, "", None, None, 0) for i in range(300)]
+    out = packing.pack(docs(spark, rows).repartition(8), tokenizer_path(), seq_len=200, group_bins=20, group_members=300, hold=30).toPandas()
+    assert len(out) == len(rows) and out.groupby("sequence_id").length.sum().max() <= 200
+    assert out.sequence_id.nunique() <= 1.03 * math.ceil(out.length.sum() / 200) + 1
+
+
 def test_best_fit():
     bins = packing.best_fit([7, 5, 5, 3], 10)
     assert sorted(sum([7, 5, 5, 3][i] for i in b) for b in bins) == [10, 10]
@@ -106,8 +152,42 @@ def test_classifiers(spark, data, odd, none, op, label, modulus, rest):
     assert score(none, model, ["doc_id"]).count() == 0
     bare = op(odd, labels.where("doc_id < 0"), lambda k: fold(k, modulus) != rest)
     assert score(odd, bare, ["doc_id"]).select("score").distinct().count() == 1
-    seen = score(d, model, ["doc_id"]).join(labels, "doc_id").where(F.col(label) == F.col("predicted")).count()
-    assert seen / labels.count() > 0.8
+
+
+def auc(truth: np.ndarray, score: np.ndarray) -> float:
+    rank = score.argsort().argsort() + 1.0
+    for s in np.unique(score):
+        rank[score == s] = rank[score == s].mean()
+    n = truth.sum()
+    return (rank[truth].sum() - n * (n + 1) / 2) / (n * (len(truth) - n))
+
+
+@pytest.mark.parametrize("op,label,modulus,rest,least", [(quality.fit_quality, "quality", 3, 1, 0.97), (toxicity.fit_toxicity, "toxic", 5, 0, 0.8)])
+def test_classifiers_on_held_out_labels(spark, op, label, modulus, rest, least):
+    """Labels equal to 0 are used nowhere: without them the model is the same."""
+    data = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{data}/documents.parquet"), spark.read.parquet(f"{data}/labels.parquet")
+    score = quality.score_quality if label == "quality" else toxicity.score_toxicity
+    model = op(d, labels, lambda k: fold(k, modulus) != rest)
+    out = score(d, model, ["doc_id"]).join(labels, "doc_id").where(fold("doc_id", modulus) == rest).toPandas()
+    assert auc((out[label] == 1).to_numpy(), out.score.to_numpy()) > least
+    assert (out.predicted == out[label]).mean() > 0.9
+    bare = op(d, labels.where(F.col(label) == 1), lambda k: fold(k, modulus) != rest)
+    assert bare.prior == model.prior and np.array_equal(bare.weights, model.weights)
+
+
+def test_class_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(2)
+    draw = lambda good: [[int(x), 10 + int(y)] for x, y in zip(rng.integers(0, 6 if good else 10, 400), rng.integers(0, 5, 400))]
+    good, bad = [draw(True) for _ in range(4)], [draw(False) for _ in range(6)]
+    flat = lambda x: [r for s in x for r in s]
+    for share in (0.2, 0.5):
+        n_good = int(1600 * share)
+        u = flat(good)[:n_good] + [[6 + i % 4, 10 + i % 5] for i in range(1600 - n_good)]
+        order = rng.permutation(len(u))
+        got = nnpu.estimate_prior(flat(good), [u[i] for i in order], 15)
+        assert abs(got - share) < 0.08
+    assert 0 < len(flat(bad))
 
 
 # ---------------------------------------------------------------- mixing
