@@ -341,12 +341,11 @@ def small_model(texts):
     """Head and rest models of a few texts, as ``fit`` makes them, on one machine."""
     known = context_mix.Vocabulary({b"the": 1, b"le": 2})
     t = context_mix.Texts(texts, known)
-    count = np.zeros((context_mix.STATES, 256))
-    np.add.at(count, (t.state, t.first), 1)
-    head_code, tables, head = context_mix.Code(count), context_mix.empty_tables(context_mix.HEAD_BITS), context_mix.Mixer(5)
+    count = np.bincount(t.first, minlength=256).reshape(1, -1).astype(float)
+    head_code, tables, head = context_mix.Code(count), context_mix.empty_tables(context_mix.HEAD_BITS), context_mix.Mixer(3)
     context_mix.learn_heads(t, head_code, tables, head)
     pairs = Counter(zip(t.state.tolist(), [known.words[i] for i in t.ids]))
-    state, token, c = np.array([s for s, _ in pairs]), [w for _, w in pairs], np.array(list(pairs.values()), float)
+    state, token, c = np.array([s for s, _ in pairs]), [w for _, w in pairs], np.array(list(pairs.values()), np.float32)
     r = context_mix.Rests(token, state, np.full(len(token), 4))
     count = np.zeros((256, 256))
     np.add.at(count, (r.before, r.symbol), c[r.token])
@@ -359,7 +358,7 @@ def small_model(texts):
     own.add(r, code, c.astype(np.float32))
     m = context_mix.Mixer(7)
     for at, node, bit in code.steps(r.before, r.symbol):
-        m.adjust(*context_mix.rest_odds(r, at, node, bit, fixed, own, np.ones(len(token))), bit, (c / c.sum())[r.token[at]], len(token))
+        m.adjust(*context_mix.rest_odds(r, at, node, bit, fixed, own, np.ones(len(token), np.float32)), bit, (c / c.sum())[r.token[at]], len(token))
     return known, (head_code, tables, head), (code, fixed, own, m)
 
 
@@ -386,7 +385,7 @@ def test_probabilities_sum_to_one():
             assert len(upto.symbol) == len(r.symbol) + 1
             p = 0.0
             for at, node, bit in code.steps(r.before, r.symbol):
-                x, g1, g2 = context_mix.rest_odds(r, at, node, bit, fixed, own, None)
+                x, g1, g2 = context_mix.rest_odds(r, at, node, bit, fixed, own, np.zeros(1, np.float32))
                 p += m.log2(x, g1, g2, bit)[r.place[at] == len(start)].sum()
             total += 2**p
         assert abs(total - 1) < 1e-3
@@ -434,15 +433,22 @@ def test_prices_by_brute_force():
 
     for k, w in enumerate(words):
         h = [xxhash.xxh64_intdigest(x) if x else 0 for x in two]
-        tail = int.from_bytes(two[0][-3:], "little") + 1 if two[0] else 0
         s = state + 1
-        contexts = [mixed(c + int(z) & mask) for c, z in zip((s, h[0], mixed(h[0]) + h[1], tail * 16 + s, mixed(h[1]) + s), context_mix._SALT)]
-        want = bits(state, w[0], head_code, contexts, context_mix.HEAD_BITS, head, lambda sure, s=state: (sure[2] * 14 + sure[1], s * 14 + sure[3]))
+        contexts = [mixed(c + int(z) & mask) for c, z in zip((s, h[0], mixed(h[0]) + h[1]), context_mix._SALT)]
+        want = bits(0, w[0], head_code, contexts, context_mix.HEAD_BITS, head, lambda sure, s=state: (sure[2] * 14 + sure[1], s * 14 + sure[0]))
         assert abs(want - got[k]) < 1e-3
         states.append(state)
         state = known.groups.get(w, state)
         two = [w, two[0]]
     assert t.state.tolist() == states
+    # A rest is priced the same with odds made beforehand.
+    r = context_mix.Rests([b"cattle", b"the", b"zq"], np.array([1, 2, 0]), np.array([4, 4, 4]))
+    got = context_mix.price_rests(r, code, context_mix.Prices(fixed, context_mix.REST_BITS), own, m, 3)
+    want = np.zeros(3)
+    for at, node, bit in code.steps(r.before, r.symbol):
+        x, g1, g2 = context_mix.rest_odds(r, at, node, bit, fixed, own, np.zeros(3, np.float32))
+        want += np.bincount(r.token[at], m.log2(x, g1, g2, bit), 3)
+    assert np.allclose(got, want)
 
 
 def test_order_of_words_matters(spark):
