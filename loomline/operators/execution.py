@@ -84,6 +84,29 @@ def with_repair(requests: DataFrame, generate: Port, accepted: Callable[[DataFra
     return good.unionByName(again.select(good.columns)), second.join(again.select(key), key, "left_anti").select(key)
 
 
+def with_halving(batches: DataFrame, run: Port, accepted: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Answers of batches (``batch_id, members``); a batch whose answer is not accepted is halved and both halves run again.
+
+    Returns (``batch_id, members, answer`` of what was accepted, ``batch_id, members`` of single
+    members given up).  ``run`` takes batches and returns ``batch_id, answer``.  Half a batch has
+    its id with L or R behind it; a batch holds a bounded number of members, so rounds are few.
+    """
+    open_, good, lost = graph.cut(batches.select("batch_id", "members")), None, None
+    add = lambda a, b: b if a is None else a.unionByName(b)
+    while not open_.isEmpty():
+        made = graph.cut(accepted(run(open_)).select("batch_id", "answer"))
+        good = add(good, open_.join(made, "batch_id"))
+        bad = open_.join(made, "batch_id", "left_anti")
+        lost = add(lost, bad.where(F.size("members") <= 1))
+        middle = F.floor(F.size("members") / 2).cast("int")
+        half = lambda side, part: F.struct(F.concat("batch_id", F.lit(side)).alias("batch_id"), part.alias("members"))
+        halves = F.array(half("L", F.slice("members", F.lit(1), middle)), half("R", F.slice("members", middle + 1, F.size("members"))))
+        open_ = graph.cut(bad.where(F.size("members") > 1).select(F.explode(halves).alias("h")).select("h.*"))
+    if good is None:
+        good, lost = batches.limit(0).select("batch_id", "members", F.lit("").alias("answer")), batches.limit(0).select("batch_id", "members")
+    return good, lost
+
+
 def task_research(packets: DataFrame, assessments: DataFrame, status: str = "SEARCHED") -> DataFrame:
     """Tasks (``task_id, owned_claim_ids``) with the assessments of their claims; null where research is off or says nothing."""
     if status == "DISABLED":

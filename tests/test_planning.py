@@ -305,3 +305,34 @@ def test_breadcrumb_is_that_of_the_text_before():
             trail = {k: v for k, v in trail.items() if k < len(m[1])} | {len(m[1]): f"{m[1]} {m[2].strip()}"}
         want = "\n".join(trail[k] for k in sorted(trail))
         assert (f'<document-structure process="context-only">\n{want}\n</document-structure>' in model) == bool(want)
+
+
+def test_halving(spark):
+    b = spark.createDataFrame([("a", [1, 2, 3, 4, 5]), ("b", [6]), ("c", [13])], "batch_id string, members array<int>")
+    run = lambda x: x.select("batch_id", F.array_join(F.col("members").cast("array<string>"), "+").alias("answer"))
+    ok = lambda x: x.where("length(answer) <= 3 and answer <> '13' and answer <> '3'")
+    good, lost = execution.with_halving(b, run, ok)
+    assert sorted(r["answer"] for r in good.collect()) == ["1+2", "4+5", "6"]
+    assert sorted(r["members"][0] for r in lost.collect()) == [3, 13]
+    assert execution.with_halving(b.limit(0), run, ok)[0].count() == 0
+
+
+def test_live_journals(spark, tmp_path):
+    from loomline.sources import files, sinks
+    from loomline.streaming import streams
+
+    rows = [("j", 1, "g", "STARTED", None), ("j", 2, "g", "DELTA", "a" * 100), ("j", 3, "g", "DELTA", "b" * 5000), ("j", 4, "g", "DELTA", "c\n"), ("j", 6, "g", "DELTA", "tail"), ("j", 7, "g", "COMPLETED", None)]
+    e = spark.createDataFrame(rows, "job_id string, sequence long, generation_id string, kind string, text string")
+    folder = str(tmp_path / "journal")
+    for k in (0, 3):
+        e.where(f"sequence > {k} and sequence <= {k + 3 if k == 0 else 99}").coalesce(1).write.mode("append").json(folder)
+    live = files.stream_events(spark, folder, live=True)
+    run = lambda df, name: df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / name)).start().awaitTermination()
+    run(streams.sequence_watch(live), "gaps")
+    assert [tuple(r) for r in spark.table("gaps").collect()] == [("j", 6, 5)]
+    run(streams.coalesced_live(live), "pieces")
+    assert [r["piece"] for r in spark.table("pieces").orderBy("ordinal").collect()] == ["a" * 100 + "b" * 3996, "b" * 1004, "c\n", "tail"]
+    path = str(tmp_path / "dense")
+    sinks.append_dense(e.where("sequence <= 4"), path)
+    with pytest.raises(Conflict):
+        sinks.append_dense(e.where("sequence >= 6"), path)
