@@ -93,24 +93,50 @@ def normalized_digest(spark, sf_dir):
 
 _N_SQL = "nfc_normalize(regexp_replace(text, '\\r\\n?', chr(10), 'g'))"
 
-
-@query(f"""SELECT relative_path, CAST(length({_N_SQL}) AS BIGINT) AS total_chars, 0::BIGINT AS missing_chars, 0::BIGINT AS duplicate_chars,
- sha256({_N_SQL}) AS normalized_sha256, sha256({_N_SQL}) AS reconstructed_sha256, true AS complete FROM ({DOCS_SQL})""")
+def _chunk_sql() -> str:
+    """Chunks of the documents by a recursive cursor over bytes; for texts without headings, as these are."""
+    bare, framed = (len(chunking.render(p, "", "").encode()) for p in ("", "x"))
+    framed -= 1
+    at = lambda p: f"b[({p}) + 1:({p}) + 1]"
+    inner = lambda p: f"(({p}) < n AND hex({at(p)}) BETWEEN '80' AND 'BF')"
+    back = lambda p: f"CASE WHEN ({p}) >= n THEN n WHEN NOT {inner(p)} THEN ({p}) WHEN NOT {inner(f'({p}) - 1')} THEN ({p}) - 1 WHEN NOT {inner(f'({p}) - 2')} THEN ({p}) - 2 ELSE ({p}) - 3 END"
+    on = lambda p: f"CASE WHEN NOT {inner(p)} THEN ({p}) WHEN NOT {inner(f'({p}) + 1')} THEN ({p}) + 1 WHEN NOT {inner(f'({p}) + 2')} THEN ({p}) + 2 ELSE ({p}) + 3 END"
+    kinds = ["\\n\\n+", "\\n", "[.!?。！？](?:\\s+|$)", "\\s+"]
+    found = lambda w, head, p: f"octet_length(encode(regexp_extract({w}, '(?s)^({head}{p})', 1)))"
+    last = " ".join(f"WHEN {found('w1', '.*', p)} > 0 THEN low + {found('w1', '.*', p)}" for p in kinds)
+    first = " ".join(f"WHEN {found('w2', '.*?', p)} > 0 THEN goal + {found('w2', '.*?', p)}" for p in kinds)
+
+    def step(source: str) -> str:
+        """From rows of ``doc, s, k`` (where a chunk starts) to the chunk's end and context."""
+        return f"""SELECT doc_id, k, s, ctx, n, CASE WHEN far >= n THEN n {last} {first} ELSE far END AS e FROM (SELECT *, decode(b[low + 1:goal]) AS w1, decode(b[goal + 1:far]) AS w2 FROM
+ (SELECT *, least({back('s + 80')}, goal) AS low FROM (SELECT *, {back('s + room')} AS far, {back('s + least(800, room)')} AS goal FROM
+ (SELECT *, 1200 - CASE WHEN ctx < s THEN {framed} + s - ctx ELSE {bare} END AS room FROM (SELECT *, {on('greatest(0, s - 96)')} AS ctx FROM ({source}))))))"""
+
+    return f"""WITH RECURSIVE d AS MATERIALIZED (SELECT doc_id, relative_path, t, encode(t) AS b, octet_length(encode(t)) AS n FROM (SELECT doc_id, relative_path, {_N_SQL} AS t FROM ({DOCS_SQL})) WHERE t <> ''),
+ c AS ({step('SELECT doc_id, b, n, 0::BIGINT AS s, 0::BIGINT AS k FROM d')} UNION ALL {step('SELECT d.doc_id, d.b, d.n, c.e AS s, c.k + 1 AS k FROM c JOIN d ON d.doc_id = c.doc_id WHERE c.e < c.n')}),
+ x AS MATERIALIZED (SELECT c.doc_id, relative_path, k AS ordinal, length(decode(b[1:s]))::BIGINT AS start_char, length(decode(b[1:e]))::BIGINT AS end_char, length(decode(b[1:ctx]))::BIGINT AS context_start, sha256(decode(b[s + 1:e])) AS content_sha256, e = c.n AS ends,
+  (CASE WHEN ctx < s THEN {framed} + s - ctx ELSE {bare} END + e - s)::BIGINT AS model_token_count, decode(b[s + 1:e]) AS primary_text, 'sha256:' || sha256(relative_path || chr(0) || sha256(t)) AS revision_id, sha256(t) AS source_sha256 FROM c JOIN d USING (doc_id))"""
+
+
+_CHUNK_SQL = _chunk_sql()
+
+
+@query(_CHUNK_SQL + f""" SELECT v.relative_path, CAST(length(t) AS BIGINT) AS total_chars, CAST(length(t) - coalesce(sum(end_char - start_char), 0) AS BIGINT) AS missing_chars, 0::BIGINT AS duplicate_chars, CAST(coalesce(sum(start_char - context_start), 0) AS BIGINT) AS reused_chars,
+ CAST(count(x.doc_id) AS BIGINT) AS chunks, sha256(t) AS normalized_sha256, sha256(coalesce(string_agg(primary_text, '' ORDER BY ordinal), '')) AS reconstructed_sha256, true AS complete FROM (SELECT doc_id, relative_path, {_N_SQL} AS t FROM ({DOCS_SQL})) v LEFT JOIN x USING (doc_id) GROUP BY v.doc_id, v.relative_path, t""")
 def chunk_coverage(spark, sf_dir):
     d = docs(spark, sf_dir)
-    return chunking.coverage(chunking.chunk(d), d).select("relative_path", "total_chars", "missing_chars", "duplicate_chars", "normalized_sha256", "reconstructed_sha256", "complete")
+    return chunking.coverage(chunking.chunk(d), d).select("relative_path", "total_chars", "missing_chars", "duplicate_chars", "reused_chars", "chunks", "normalized_sha256", "reconstructed_sha256", "complete")
 
 
-@query(f"SELECT relative_path, 1::BIGINT AS firsts, 1::BIGINT AS lasts, true AS dense, true AS bounded FROM ({DOCS_SQL}) WHERE length(text) > 0")
+@query(_CHUNK_SQL + """, i AS (SELECT *, 'sha256:' || sha256(concat_ws(chr(0), revision_id, '1', ordinal, start_char, end_char, content_sha256)) AS chunk_id FROM x)
+ SELECT relative_path, ordinal, chunk_id, lag(chunk_id) OVER w AS previous_chunk_id, lead(chunk_id) OVER w AS next_chunk_id FROM i WINDOW w AS (PARTITION BY doc_id ORDER BY ordinal)""")
 def chunk_links(spark, sf_dir):
-    c = chunking.chunk(docs(spark, sf_dir))
-    null = lambda x: F.count(F.when(F.col(x).isNull(), 1))
-    return c.groupBy("relative_path").agg(null("previous_chunk_id").alias("firsts"), null("next_chunk_id").alias("lasts"), (F.max("ordinal") + 1 == F.count("*")).alias("dense"), (F.max("model_token_count") <= 1200).alias("bounded"))
+    return chunking.chunk(docs(spark, sf_dir)).select("relative_path", "ordinal", "chunk_id", "previous_chunk_id", "next_chunk_id")
 
 
-@query()
+@query(_CHUNK_SQL + " SELECT relative_path, ordinal, start_char, end_char, context_start, content_sha256, model_token_count FROM x")
 def chunk_rows(spark, sf_dir):
-    return chunking.chunk(docs(spark, sf_dir))
+    return chunking.chunk(docs(spark, sf_dir)).select("relative_path", "ordinal", "start_char", "end_char", "context_start", "content_sha256", "model_token_count")
 
 
 def _evidence(spark, sf_dir) -> DataFrame:
@@ -120,17 +146,22 @@ def _evidence(spark, sf_dir) -> DataFrame:
     return e.select("doc_id", "chunk_id", "revision_id", "relative_path", "source_sha256", "ordinal", "start_char", "end_char", "content_sha256", F.col("primary_text").alias("text"), ids.evidence_id(F.col("source_sha256"), F.col("relative_path"), F.col("start_char"), F.col("end_char"), F.col("content_sha256")).alias("evidence_id"))
 
 
-@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS evidence_chars, true AS all_distinct FROM documents WHERE length(text) > 0")
+@query(_CHUNK_SQL + " SELECT doc_id, ordinal, 'evidence:sha256:' || sha256(concat_ws(chr(0), source_sha256, relative_path, start_char, end_char, content_sha256)) AS evidence_id, sha256(primary_text) AS text_sha256 FROM x")
 def evidence_bundle(spark, sf_dir):
-    return _evidence(spark, sf_dir).groupBy("doc_id").agg(F.sum(F.col("end_char") - F.col("start_char")).alias("evidence_chars"), (F.countDistinct("evidence_id") == F.count("*")).alias("all_distinct"))
+    return _evidence(spark, sf_dir).select("doc_id", "ordinal", "evidence_id", F.sha2("text", 256).alias("text_sha256"))
 
 
 CAPACITY, SEPARATOR = 2764, 8
 
 
-@query()
+@query(_CHUNK_SQL + f""", t AS MATERIALIZED (SELECT doc_id, relative_path, ordinal, model_token_count + 128 AS s FROM x),
+ f AS (SELECT doc_id, ordinal, s, s AS load, 0::BIGINT AS b FROM t WHERE ordinal = 0 UNION ALL SELECT t.doc_id, t.ordinal, t.s, CASE WHEN f.load + {SEPARATOR} + t.s > {CAPACITY} THEN t.s ELSE f.load + {SEPARATOR} + t.s END,
+  CASE WHEN f.load + {SEPARATOR} + t.s > {CAPACITY} THEN f.b + 1 ELSE f.b END FROM f JOIN t ON t.doc_id = f.doc_id AND t.ordinal = f.ordinal + 1),
+ g AS (SELECT doc_id, max(b) + 1 AS map_batches, max(load) AS largest_batch FROM f GROUP BY doc_id)
+ SELECT v.relative_path, CAST(count(x.doc_id) AS BIGINT) AS chunks, true AS complete, coalesce(max(model_token_count), 0)::BIGINT AS max_tokens, coalesce(max(map_batches), 0)::BIGINT AS map_batches, max(largest_batch)::BIGINT AS largest_batch
+ FROM ({DOCS_SQL}) v LEFT JOIN x USING (doc_id) LEFT JOIN g USING (doc_id) GROUP BY v.doc_id, v.relative_path""")
 def document_plan(spark, sf_dir):
-    """One row per document: chunks, coverage, map batches and reduce rounds."""
+    """One row per document: chunks, coverage, map batches and the largest of them."""
     d = docs(spark, sf_dir)
     c = graph.cut(chunking.chunk(d).select("revision_id", "ordinal", "chunk_id", "start_char", "end_char", "context_start", "model_token_count", "rebuilt_sha256"))  # texts are cut up once
     cover = chunking.coverage(c, d)
@@ -583,7 +614,15 @@ def delta_coalesce(spark, sf_dir):
     return streams.coalesced(c, ["conv_id"], "turn", "delta", 20).select("conv_id", F.col("ordinal").cast("long").alias("ordinal"), "piece")
 
 
-@query()
+_FLUSH_SQL = "(length({0}) >= 128 OR contains({0}, chr(10)))"
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT conv_id, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn FROM conversations),
+ f AS (SELECT conv_id, rn, CASE WHEN {_FLUSH_SQL.format('x')} THEN '' ELSE x END AS held, CASE WHEN {_FLUSH_SQL.format('x')} THEN x END AS piece FROM t WHERE rn = 1
+ UNION ALL SELECT t.conv_id, t.rn, CASE WHEN {_FLUSH_SQL.format('f.held || t.x')} THEN '' ELSE f.held || t.x END, CASE WHEN {_FLUSH_SQL.format('f.held || t.x')} THEN f.held || t.x END FROM f JOIN t ON t.conv_id = f.conv_id AND t.rn = f.rn + 1),
+ last AS (SELECT conv_id, rn, held AS piece FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY rn DESC) = 1),
+ p AS (SELECT conv_id, rn, 0 AS k, piece FROM f WHERE piece IS NOT NULL UNION ALL SELECT conv_id, rn, 1, piece FROM last WHERE piece <> '')
+ SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY rn, k, i) - 1 AS BIGINT) AS ordinal, substr(piece, i * 4096 + 1, 4096) AS piece FROM (SELECT *, unnest(range(0, (length(piece) + 4095) // 4096)) AS i FROM p)""")
 def message_coalesce(spark, sf_dir):
     """Whole messages as deltas, with the reference's 128 and 4,096 characters."""
     return streams.coalesced(load(spark, sf_dir, "conversations"), ["conv_id"], "turn", "text").select("conv_id", F.col("ordinal").cast("long").alias("ordinal"), "piece")
