@@ -68,6 +68,11 @@ def alphanumerics(c: Column) -> Column:
     return F.regexp_replace(fold(c), r"[^\p{L}\p{N}]", "")
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def squeezed(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
@@ -179,11 +184,11 @@ def observed_prose(block: Column) -> Column:
 def without_internal_marks(c: Column) -> Column:
     c = F.regexp_replace(c, INTERNAL_MARK, "")
     c = F.regexp_replace(c, r"[ \t]+\n", "\n")
-    return F.concat(F.trim(F.regexp_replace(c, r"\n{3,}", "\n\n")), F.lit("\n"))
+    return F.concat(strip(F.regexp_replace(c, r"\n{3,}", "\n\n")), F.lit("\n"))
 
 
 def strip_thinking(c: Column) -> Column:
-    return F.trim(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
+    return strip(F.regexp_replace(c, r"(?s)<think>.*?</think>", ""))
 
 
 def strip_fence(c: Column) -> Column:

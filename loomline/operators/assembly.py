@@ -35,7 +35,7 @@ def blocks(documents: DataFrame, key: list[str], markdown: str, pattern: str = "
     """Blocks of texts whose internal marks are gone, so that they make no two blocks differ."""
     c = F.regexp_replace(text.newlines(F.col(markdown)), text.INTERNAL_MARK, "")
     b = documents.select(*key, F.posexplode(F.split(c, pattern)).alias("pos", "block"))
-    return b.withColumn("block", F.trim("block")).where("block <> ''")
+    return b.withColumn("block", text.strip(F.col("block"))).where("block <> ''")
 
 
 def polished_blocks(b: DataFrame, key: list[str]) -> DataFrame:
@@ -108,7 +108,7 @@ def retrieval_units(tasks: DataFrame, claims: DataFrame, evidence: DataFrame, ou
     and its first five tokens, then the stems of the paths.
     """
     tokens = lambda c: text.found(text.fold(c), text.TAG)
-    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    strip = lambda c: text.strip(F.col(c))
     own = tasks.select("task_id", F.posexplode("owned_claim_ids").alias("pos", "claim_id")).join(claims.select("claim_id", "kind", "statement", "evidence_ids"), "claim_id")
     tag = F.concat(F.array(text.fold(F.col("kind"))), F.slice(tokens(F.col("statement")), 1, 5))
     each = own.select("task_id", F.struct("pos", tag.alias("tags"), strip("statement").alias("query")).alias("c"), "kind")
@@ -141,7 +141,6 @@ ADDED_TAIL = "현재 처리 단계에서는 위 고정 정책의 역할과 호
 
 def system_prompt(policy, added):
     """The policy alone, or with an added instruction framed as data; null if that is too long."""
-    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
     tag = "additional_system_instruction"
-    whole = F.concat(F.regexp_replace(policy, r"(?U)\s+$", ""), F.lit(f"\n\n{ADDED_HEAD}\n<{tag} process=\"as-policy-data\">\n"), strip(added), F.lit(f"\n</{tag}>\n\n{ADDED_TAIL}"))
-    return F.when(F.length(added) > MOST_ADDED, F.lit(None).cast("string")).when(strip(added) == "", policy).otherwise(whole)
+    whole = F.concat(F.regexp_replace(policy, r"(?U)\s+$", ""), F.lit(f"\n\n{ADDED_HEAD}\n<{tag} process=\"as-policy-data\">\n"), text.strip(added), F.lit(f"\n</{tag}>\n\n{ADDED_TAIL}"))
+    return F.when(F.length(added) > MOST_ADDED, F.lit(None).cast("string")).when(text.strip(added) == "", policy).otherwise(whole)

@@ -23,7 +23,7 @@ def select_claims(claims: DataFrame, k: int = 8) -> DataFrame:
 
 def query_text(statement: Column) -> Column:
     """What is searched for: the statement without addresses (empty if nothing else is said)."""
-    return F.substring(F.regexp_replace(F.regexp_replace(statement, r"https?://\S+", ""), r"(?U)^\s+|\s+$", ""), 1, 500)
+    return F.substring(text.strip(F.regexp_replace(statement, r"https?://\S+", "")), 1, 500)
 
 
 def sources_by_url(results: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ def search_results(results: DataFrame, most: int = 10) -> DataFrame:
     """Valid results ``url, title, content, published_date`` of a query (``query_id, pos``), trimmed and cut, at most ``most`` (1 to 10) each."""
     if not 1 <= most <= 10:
         raise ValueError("limit must be 1 to 10")
-    strip = lambda c: F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    strip = lambda c: text.strip(F.col(c))
     ok = results.where(F.coalesce(rules.search_result_ok(F.col("url"), strip("title"), strip("content")), F.lit(False)))
     rn = F.row_number().over(Window.partitionBy("query_id").orderBy("pos"))
     cut = {"title": F.substring(strip("title"), 1, 500), "snippet": F.substring(strip("content"), 1, 4000), "published_date": F.substring("published_date", 1, 100)}

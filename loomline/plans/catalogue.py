@@ -717,4 +717,4 @@ def classifier_metrics(spark, sf_dir):
     return research.binary_metrics(d.join(load(spark, sf_dir, "labels"), "doc_id"), "quality", "p", "source")
 
 
-from . import planning  # noqa: E402, F401  (adds its queries)
+from . import pieces, planning  # noqa: E402, F401  (add their queries)
