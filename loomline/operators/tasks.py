@@ -68,8 +68,9 @@ def unknown_dependencies(depends: DataFrame, tasks: DataFrame) -> DataFrame:
 
 def compact_refs(rows: DataFrame, group: list[str], order: list[str], prefix: str) -> DataFrame:
     """Short references C000001, C000002, ... in input order."""
-    rn = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-    return rows.withColumn("ref", F.format_string(f"{prefix}%06d", rn))
+    from . import packing
+
+    return packing.ranked(rows, group, order).withColumn("ref", F.format_string(f"{prefix}%06d", F.col("rn") + 1)).drop("rn", "n")
 
 
 def shards(owned: DataFrame, most: int = 8) -> DataFrame:
