@@ -267,3 +267,17 @@ def test_chroma_recall_against_brute_force(spark):
     for i, j in linked:
         e = chroma.align(prints[i], prints[j])
         assert e and abs(e[1] - best(prints[i], prints[j])) < 0.02
+
+
+def test_pipeline_keeps_clashing_columns(spark, data):
+    d = crowded(docs(spark)).withColumns({c: F.lit("clash") for c in ("_kept", "_c0", "_row", "shard", "rank", "at", "f", "lang_pred", "distance", "predicted")})
+    names = d.columns
+    for name, stage in corpus_pipeline.STAGES:
+        d = stage(spark, d, data)
+        if name != "best_fit_packing":
+            assert d.columns == names and d.where("_kept <> 'clash' or score <> 'clash'").count() == 0
+    assert d.count() > 0
+    # Repeated rows with one id, or none, count once after deduplication.
+    twice = docs(spark).unionByName(docs(spark))
+    left = corpus_pipeline.drop_near_duplicates(spark, twice, data)
+    assert left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1 and doc_id <> 7").count() == 0
