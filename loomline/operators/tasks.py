@@ -73,6 +73,12 @@ def compact_refs(rows: DataFrame, group: list[str], order: list[str], prefix: st
     return packing.ranked(rows, group, order).withColumn("ref", F.format_string(f"{prefix}%06d", F.col("rn") + 1)).drop("rn", "n")
 
 
+def resolve_refs(used: DataFrame, refs: DataFrame, group: list[str], id_: str) -> DataFrame:
+    """Ids of short references (``group, ref``) by ``refs`` (``group, ref, id``); ``known`` is false where there is none."""
+    known = refs.select(*group, "ref", F.col(id_)).withColumn("known", F.lit(True))
+    return used.join(known, [*group, "ref"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
 def shards(owned: DataFrame, most: int = 8) -> DataFrame:
     """Tasks with ``most`` claims or more are halved until each shard has fewer."""
     w = Window.partitionBy("task_id").orderBy("pos")

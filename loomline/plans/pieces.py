@@ -130,3 +130,12 @@ def unexpected_fields(spark, sf_dir):
 
     raw = F.element_at(F.array(*[F.lit(x) for x in ('{"a":1,"c":2}', '{"b":1,"a":null}', '{"a":1,"b":2,"c":3}')]), (F.col("doc_id") % 3 + 1).cast("int"))
     return load(spark, sf_dir, "documents").select("doc_id", raw.alias("raw")).select("doc_id", F.array_join(F.array_sort(odd("raw", ["a", "b"])), ",").alias("unexpected"))
+
+
+@query("""WITH r AS (SELECT source, doc_id, format('C{:06d}', row_number() OVER (PARTITION BY source ORDER BY doc_id)) AS ref FROM documents), u AS (SELECT source, format('C{:06d}', i) AS ref FROM (SELECT DISTINCT source FROM documents), (SELECT unnest([1, 2, 999999]) AS i))
+ SELECT u.source, u.ref, doc_id, doc_id IS NOT NULL AS known FROM u LEFT JOIN r ON r.source = u.source AND r.ref = u.ref""")
+def resolved_refs(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select("doc_id", "source")
+    refs = tasks.compact_refs(d, ["source"], ["doc_id"], "C")
+    used = d.select("source").distinct().select("source", F.explode(F.array(*[F.lit(f"C{i:06d}") for i in (1, 2, 999999)])).alias("ref"))
+    return tasks.resolve_refs(used, refs, ["source"], "doc_id")
