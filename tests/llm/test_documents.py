@@ -356,7 +356,7 @@ def small_model(texts):
             np.add.at(a.reshape(-1), context_mix.slot(x[at], node, size) + bit.astype(np.int64) * a.shape[1], c[r.token[at]])
     own = context_mix.Beginnings(10_000)
     own.add(r, code, c.astype(np.float32))
-    m = context_mix.Mixer(7)
+    m = context_mix.Mixer(5)
     for at, node, bit in code.steps(r.before, r.symbol):
         m.adjust(*context_mix.rest_odds(r, at, node, bit, fixed, own, np.ones(len(token), np.float32)), bit, (c / c.sum())[r.token[at]], len(token))
     return known, (head_code, tables, head), (code, fixed, own, m)
@@ -432,7 +432,7 @@ def test_prices_by_brute_force():
         return total
 
     for k, w in enumerate(words):
-        h = [xxhash.xxh64_intdigest(x) if x else 0 for x in two]
+        h = [xxhash.xxh64_intdigest(x, 42) if x else 0 for x in two]
         s = state + 1
         contexts = [mixed(c + int(z) & mask) for c, z in zip((s, h[0], mixed(h[0]) + h[1]), context_mix._SALT)]
         want = bits(0, w[0], head_code, contexts, context_mix.HEAD_BITS, head, lambda sure, s=state: (sure[2] * 14 + sure[1], s * 14 + sure[0]))
