@@ -175,7 +175,7 @@ class Mix:
         A shard is read by ``rank`` and, inside a block, by ``at``; ``start`` counts words of the row's text.
         """
         keep = ["shard", "rank", "doc_id", "source", "row", "pass", "at", "start", "length", "block"]
-        return self._cuts().where("length > 0").join(self.drawn(), ["sid", "block"]).select(*keep)
+        return self._cuts().where("length > 0").join(self.drawn().hint("merge"), ["sid", "block"]).select(*keep)
 
     def _cuts(self) -> DataFrame:
         """Each row's overlaps with the blocks of its source's quota; a row without any stays with length 0."""
@@ -197,7 +197,7 @@ class Mix:
         the first ``shard`` and ``rank`` that take of it, with the number of ``shards`` that do.
         """
         keys = ["row", "doc_id", "source", "size", "source_size", "target"]
-        cut = self._cuts().select(*keys, "sid", "block", "length").join(self.drawn(), ["sid", "block"], "left")
+        cut = self._cuts().select(*keys, "sid", "block", "length").join(self.drawn().hint("merge"), ["sid", "block"], "left")
         got = F.when(F.col("shard").isNotNull() & (F.col("length") > 0), F.col("length"))
         first = F.min(F.when(got.isNotNull(), F.struct("shard", "rank")))
         shards = F.size(F.collect_set(F.when(got.isNotNull(), F.col("shard")))).cast("long")
