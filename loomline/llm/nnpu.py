@@ -280,7 +280,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, in_training, kind: str,
     n_p, n_u = len(positives), min(n_text, max_unlabelled)
     both = (F.col("p") + F.col("u") + 1) / F.lit(float(n_p + n_u))
     z = F.abs(F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(both * F.greatest(F.lit(1e-9), 1 - both) * (1 / n_p + 1 / n_u))
-    chosen = counts.where(F.col("p") + F.col("u") >= 4).withColumn("z", z).where(F.col("z") >= least_z).orderBy(F.desc("z"), "f").limit(max_features).collect()
+    chosen = counts.where(F.col("p") + F.col("u") >= 4).withColumn("z", z).where(F.col("z") >= least_z).coalesce(4).orderBy(F.desc("z"), "f").limit(max_features).collect()
     selected = {int(r["f"]): i for i, r in enumerate(chosen)}
     width = len(selected) + N_STYLE * N_BINS
     rows = sample.mapInArrow(_collect_rows(selected, kind), "key long, is_p boolean, f array<int>").orderBy("is_p", "key").collect()
