@@ -522,7 +522,11 @@ def snapshot_drift(spark, sf_dir):
     return revision.drift(*_trees(spark, sf_dir)).select("relative_path", "side")
 
 
-@query()
+@query(f"""WITH d AS (SELECT relative_path, string_split(text, chr(10)) AS l, len(string_split(text, chr(10))) AS n, l[n] = '' AS closed, CASE WHEN closed THEN n - 1 ELSE n END AS lines FROM ({DOCS_SQL}) WHERE doc_id % 5 = 0),
+ h AS (SELECT *, CASE WHEN closed THEN l[greatest(1, lines - 2):lines] ELSE l[greatest(1, n - 3):n - 1] END AS ctx FROM d),
+ k AS (SELECT *, len(ctx) AS c, CASE WHEN closed THEN lines - len(ctx) + 1 ELSE n - len(ctx) END AS s, len(ctx) + CASE WHEN closed THEN 0 ELSE 1 END AS old FROM h)
+ SELECT relative_path, '--- before/' || relative_path || chr(10) || '+++ after/' || relative_path || chr(10) || '@@ -' || CASE WHEN old = 0 THEN '0,0' WHEN old = 1 THEN s::VARCHAR ELSE s || ',' || old END || ' +' || s || ',' || (c + 2) || ' @@' || chr(10)
+  || array_to_string(list_transform(ctx, lambda x: ' ' || x || chr(10)), '') || CASE WHEN closed THEN '+' || chr(10) ELSE '-' || l[n] || chr(10) || '\\ No newline at end of file' || chr(10) || '+' || l[n] || chr(10) END || '+appended' || chr(10) || '\\ No newline at end of file' || chr(10) AS diff FROM k""")
 def folder_diffs(spark, sf_dir):
     d = docs(spark, sf_dir)
     after = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("\nappended"))).otherwise(F.col("text"))
