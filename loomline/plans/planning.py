@@ -272,8 +272,8 @@ def id_kinds(spark, sf_dir):
 
 
 @query("""SELECT CAST(user_id AS VARCHAR) AS job_id, 'runner-' || ((n - 1) // 9) AS runner_token, CAST((n - 1) // 9 + 1 AS BIGINT) AS launch_sequence, CASE WHEN n % 9 <> 1 THEN (n - 1) // 9 END AS process_id,
- CASE n % 9 WHEN 1 THEN 'LAUNCHING' WHEN 0 THEN 'EXITED' ELSE 'RUNNING' END AS lifecycle, at AS heartbeat_at, CASE WHEN n % 9 = 0 THEN at END AS finished_at, CAST(NULL AS VARCHAR) AS error_code, 0::BIGINT AS conflicts
- FROM (SELECT user_id, count(*) AS n, epoch(date_trunc('second', max(ts)))::BIGINT AS at FROM events GROUP BY user_id)""")
+ CASE n % 9 WHEN 1 THEN 'LAUNCHING' WHEN 0 THEN 'EXITED' ELSE 'RUNNING' END AS lifecycle, t AS heartbeat_at, CASE WHEN n % 9 = 0 THEN t END AS finished_at, CAST(NULL AS VARCHAR) AS error_code, 0::BIGINT AS conflicts
+ FROM (SELECT user_id, count(*) AS n, epoch(date_trunc('second', max(ts)))::BIGINT AS t FROM events GROUP BY user_id)""")
 def lease_states(spark, sf_dir):
     """Events of a user as actions on one lease: nine for each launch."""
     action = F.when(F.col("seq") % 9 == 1, "LAUNCH").when(F.col("seq") % 9 == 2, "CLAIM").when(F.col("seq") % 9 == 0, "FINISH").otherwise("HEARTBEAT")
