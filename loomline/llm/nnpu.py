@@ -229,10 +229,12 @@ def estimate_prior(p: list, u: list, width: int, rounds: int = 100) -> float:
     Above any threshold of a score, ``u`` holds at least the prior times what ``p`` holds; the
     least such ratio bounds the prior from above and meets it where only positives score (Blanchard,
     Lee and Scott, 2010).  The score separates ``p`` from ``u``; each half of the sample is
-    judged by the score fitted on the other.  Of the thresholds that three tenths of ``p`` or
-    more reach (few texts make the least of many ratios too small), the one with the least
-    ratio plus two standard errors is taken.  As the ratio bounds the prior from above, the
-    mean of both halves is lowered by its standard error.
+    judged by the score fitted on the other.  Of the thresholds from low to high, the first is
+    taken from which the ratio stays level while a tenth of ``p`` falls away (two standard
+    errors): beyond it, positives that the sample has by chance make ratios too small.  If that
+    says that positives are the rarer part, only high thresholds tell them apart from few
+    texts, and the one with the least ratio plus two standard errors is taken.  As the
+    ratio bounds the prior from above, the mean of both halves is lowered by its standard error.
     """
     found = []
     for k in (0, 1):
@@ -243,12 +245,15 @@ def estimate_prior(p: list, u: list, width: int, rounds: int = 100) -> float:
         a, c = fitted
         w, b = _descend(a, c, lambda zp, zu: ((_sigmoid(zp) - 1) / (2 * a.n), _sigmoid(zu) / (2 * c.n)), rounds, 0.05, 1e-4)  # noqa: B023
         zp, zu = np.sort(judged[0].scores(w, b)), np.sort(judged[1].scores(w, b))
-        at = np.quantile(zp, np.arange(0.02, 0.71, 0.02))
+        at = np.quantile(zp, np.arange(0.01, 0.71, 0.01))
         fp, fu = (1 - np.searchsorted(z, at) / len(z) for z in (zp, zu))
         fp, fu = np.maximum(fp, 1 / len(zp)), np.maximum(fu, 1 / len(zu))
         ratio = fu / fp
         error = ratio * np.sqrt((1 - fp) / (fp * len(zp)) + (1 - fu) / (fu * len(zu)))
-        best = (ratio + 2 * error).argmin()
+        level = (ratio[:-10] - ratio[10:] <= 2 * error[:-10]) & (ratio[:-10] + 2 * error[:-10] < 1)
+        best = level.argmax()
+        if not level.any() or ratio[best] < 0.5:
+            best = (ratio + 2 * error).argmin()
         found.append((ratio[best], error[best]))
     if not found:
         return 0.5
