@@ -57,13 +57,15 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = spark.conf.get(key)
+    key, clean = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    usual, kept = spark.conf.get(key), spark.conf.get(clean, "false")
     spark.conf.set(key, min(int(usual), BATCH_ROWS) if int(usual) > 0 else BATCH_ROWS)
+    spark.conf.set(clean, "true")  # the copy is all that anybody reads of this job
     try:
         df.write.parquet(path)
     finally:
         spark.conf.set(key, usual)
+        spark.conf.set(clean, kept)
     if not _scratch:
         atexit.register(clear_scratch)
     _scratch.append((spark, path))

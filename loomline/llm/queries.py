@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, context_mix, langid, mixing, near_dup, packing, quality, quotes, topk, toxicity
+from . import chroma, context_mix, langid, mixing, near_dup, packing, quality, quotes, repeats, topk, toxicity
 from .common import fold, held_out, modest_batches
 from .common import table as read_table
 
@@ -80,6 +80,11 @@ def op10_pu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs.withColumn("held_out", held_out("doc_id", 5, 0)), model, ["doc_id", "held_out"])
 
 
+def op11_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all documents without the 50-byte strings that documents of smaller ids hold too; odd rows as in ``repeats``."""
+    return repeats.digests(repeats.dedup(table(spark, sf_dir, "documents"), length=50))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -93,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_hyperminhash_near_dup,
         op9_context_mixing,
         op10_pu_toxicity,
+        op11_prefix_doubling,
     )
 }
 
