@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chroma, context_mix, langid, mixing, near_dup, packing, quality, quotes, repeats, topk, toxicity
+from . import chroma, context_mix, langid, lexical, mixing, near_dup, packing, quality, quotes, repeats, topk, toxicity, whitening
 from .common import fold, held_out, modest_batches
 from .common import table as read_table
 
@@ -85,6 +85,17 @@ def op11_prefix_doubling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digests(repeats.dedup(table(spark, sf_dir, "documents"), length=50))
 
 
+def op12_tiled_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings on their 32 first principal components, whitened; odd rows as in ``whitening``."""
+    out = whitening.whiten(whitening.whole(table(spark, sf_dir, "embeddings")), components=32)
+    return out.withColumnRenamed("id", "vec_id")
+
+
+def op13_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for each item of ``benchmark``; odd rows as in ``lexical``."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -99,6 +110,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_context_mixing,
         op10_pu_toxicity,
         op11_prefix_doubling,
+        op12_tiled_whitening,
+        op13_block_max_search,
     )
 }
 
@@ -142,4 +155,20 @@ ORACLES: dict[str, str] = {
  r AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON e.x = r.node),
  c AS (SELECT node, min(root) AS root FROM r GROUP BY node)
  SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.root AS component_id, d.doc_id = c.root AS kept FROM documents d JOIN c ON c.node = d.doc_id LEFT JOIN n USING (doc_id)""",
+    "op11_prefix_doubling": """WITH h AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS doc, hex(encode(coalesce(text, ''))) AS x FROM documents),
+ w AS MATERIALIZED (SELECT rid, doc, p, substr(x, 2 * p + 1, 100) AS s FROM (SELECT rid, doc, x, unnest(range(0, length(x) // 2 - 49)) AS p FROM h)),
+ f AS (SELECT s, min(doc) AS first FROM w GROUP BY s HAVING min(doc) < max(doc)),
+ g AS (SELECT rid, p, CASE WHEN p > lag(p) OVER o + 50 THEN 1 ELSE 0 END AS gap FROM w JOIN f USING (s) WHERE doc > first WINDOW o AS (PARTITION BY rid ORDER BY p)),
+ spans AS (SELECT rid, min(p) AS a, max(p) + 50 AS b FROM (SELECT rid, p, sum(gap) OVER (PARTITION BY rid ORDER BY p) AS k FROM g) GROUP BY rid, k),
+ cuts AS (SELECT rid, b - a AS n, a, b, coalesce(lag(b) OVER (PARTITION BY rid ORDER BY a), 0) AS was FROM spans),
+ kept AS (SELECT rid, sum(n) AS n, count(*) AS k, string_agg(substr(x, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) || substr(any_value(x), 2 * max(b) + 1) AS x FROM cuts JOIN h USING (rid) GROUP BY rid)
+ SELECT doc_id, (length(h.x) // 2)::BIGINT AS n_bytes, coalesce(n, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept.x, h.x))) AS kept_sha256 FROM h LEFT JOIN kept USING (rid)""",
+    "op13_block_max_search": r"""WITH t AS MATERIALIZED (SELECT rid, doc_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents)),
+ n AS MATERIALIZED (SELECT rid, count(*) AS n FROM t GROUP BY rid),
+ s AS MATERIALIZED (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM n),
+ p AS MATERIALIZED (SELECT rid, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM t GROUP BY rid, term),
+ w AS MATERIALIZED (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, docs),
+ q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark) GROUP BY ALL),
+ r AS (SELECT item_id, rid, any_value(doc_id) AS doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words))))::BIGINT AS score FROM q JOIN w USING (term) JOIN p USING (term) JOIN n USING (rid), s GROUP BY item_id, rid)
+ SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, rid)::INTEGER AS rank, doc_id, score FROM r WHERE score > 0 QUALIFY rank <= 10""",
 }
