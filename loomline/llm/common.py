@@ -87,6 +87,15 @@ def release(since: int = 0, keep: DataFrame | None = None) -> None:
             return
 
 
+def forget(*settled: DataFrame) -> None:
+    """Delete settled copies that nothing will read again."""
+    gone = {f.rsplit("/", 2)[-2] for df in settled for f in df.inputFiles()}
+    for spark, path in [x for x in _scratch if x[1].rsplit("/", 1)[-1] in gone]:
+        _scratch.remove((spark, path))
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def clear_scratch() -> None:
     """Delete all that is left (runs by itself when Python ends)."""
     release()

@@ -6,6 +6,7 @@ there are equal.  Names of short strings are made by hashing inside a text; from
 sorts and groups positions by names, at growing lengths, and a position whose name no other
 document has is dropped before the next, longer round:
 
+0. Rows whose whole text a smaller id has are done.
 1. ``gram`` bytes.  Of each window of ``length`` bytes the least named gram stands for it, so
    equal windows, wherever they are, share a gram, and only a few positions are named.  Names
    travel packed, in buckets; those of one text alone are dropped.
@@ -13,11 +14,12 @@ document has is dropped before the next, longer round:
    first document of a rank lose the whole run.  Where a gram has one such rank only, it is done.
 3. The first run of each rank: the gram with half of what is missing on its left, and on its
    right.  Sides that no other document shares are dropped.
-4. What is left, each window by itself: a pair of names, at offset 0 and ``length / 2``, sorted
-   and ranked once more, now past the threshold.  All but the first document lose the window.
+4. What is left, each window by itself: a pair of names, at offset 0 and ``length / 2``.  Pairs
+   travel packed once more, are sorted, and those of one text alone are dropped; the others are
+   ranked, now past the threshold.  All but the first document lose the window.
 
-Only the first round's names may collide without harm (they drop positions); removal rests on
-pairs of 64-bit names.  Strings within one document, or in rows of the same id, remove nothing.
+The first round's names may collide without harm (a position stays that could go); removal
+rests on pairs of 64-bit names.  Strings within one document, or in rows of the same id, remove nothing.
 Rows without an id come last: they lose what any row with an id has, and take nothing away.
 Null text is empty; nothing is removed from texts shorter than ``length`` bytes.  Repeated rows
 are each returned.  Very long texts are read whole, in pieces that overlap.  An empty table
@@ -35,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, tidy
+from .common import forget, settle, tidy
 
 PIECE = 1 << 18
 _LAST = (1 << 63) - 1
@@ -126,81 +128,105 @@ def _unplaned(raw: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(raw.view("<u2").reshape(2, -1).T).view("<u4").ravel()
 
 
-def _packed(name: np.ndarray, row: np.ndarray, at: np.ndarray, n: np.ndarray, off: np.ndarray) -> bytes:
-    return name.astype("<u8").tobytes() + _planes(row) + _planes(at) + n.astype(np.uint8).tobytes() + off.astype(np.uint8).tobytes()
+#: What travels packed: a name, a row and a place, and either a run's windows and offset or a second name.
+RUN, PAIR = ("<u8", "row", "row", "u1", "u1"), ("<u8", "row", "row", "<u8")
 
 
-def _unpacked(blob: pa.Scalar) -> tuple[np.ndarray, ...]:
-    raw = np.frombuffer(blob.as_buffer(), np.uint8)
-    k = len(raw) // 18
-    return raw[: 8 * k].view("<u8"), _unplaned(raw[8 * k : 12 * k]), _unplaned(raw[12 * k : 16 * k]), raw[16 * k : 17 * k], raw[17 * k :]
+def _packed(kinds: tuple, columns: list[np.ndarray]) -> bytes:
+    return b"".join(_planes(c) if k == "row" else c.astype(k).tobytes() for k, c in zip(kinds, columns))
+
+
+def _unpacked(kinds: tuple, blob: pa.Scalar) -> list[np.ndarray]:
+    raw, out, at = np.frombuffer(blob.as_buffer(), np.uint8), [], 0
+    width = [4 if k == "row" else np.dtype(k).itemsize for k in kinds]
+    n = len(raw) // sum(width)
+    for k, w in zip(kinds, width):
+        part = raw[at : at + w * n]
+        out.append(_unplaned(part) if k == "row" else part.copy().view(k))
+        at += w * n
+    return out
 
 
 QUESTION = "bucket long, sure boolean, base long, blob binary"
 
 
-def _ask(length: int, gram: int, buckets: int):
-    """Packed names of a batch of texts, by bucket.
+def _dealt(kinds: tuple, buckets: int, base: int, columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Packed rows of ``columns`` (name, row, place, ...) by bucket.
 
-    Of a name that several rows of the batch have, all positions are known to stay (``sure``);
-    one of them, as a run of no windows, still tells the others.
+    Of a name that several rows have here, all places are known to stay (``sure``); one of
+    them, with nothing after its place, still tells the others.
     """
+    name, row = columns[:2]
+    if not len(name):
+        return
+    order = np.argsort(name, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], np.diff(name[order]) != 0]))
+    several = np.minimum.reduceat(row[order], first) < np.maximum.reduceat(row[order], first)
+    many = np.zeros(len(order), bool)
+    many[order] = np.repeat(several, np.diff(np.append(first, len(order))))
+    asked = np.concatenate([np.flatnonzero(~many), order[first][several]])
+    told = [*columns[:3], *(np.where(many, np.zeros(1, c.dtype), c) for c in columns[3:])]
+    bucket = ((name >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    by = asked[np.argsort(bucket[asked], kind="stable")]
+    parts = [(False, int(bucket[o[0]]), o, told) for o in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1)]
+    if many.any():
+        parts.append((True, (base + len(order)) % buckets, np.flatnonzero(many), columns))
+    for sure, to, o, cols in parts:
+        row_ = ([to], [sure], [base], [_packed(kinds, [c[o] for c in cols])])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row_, (pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], names=["bucket", "sure", "base", "blob"])
+
+
+def _by_part(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int]]:
+    """Rows of a batch by the partition that numbered them (their numbers lie close), and the least number."""
+    ids = b.column("rid").to_numpy()
+    for part in np.unique(ids >> 33):
+        mine = np.flatnonzero(ids >> 33 == part)
+        yield (b if len(mine) == b.num_rows else b.take(pa.array(mine))), int(ids[mine].min())
 
-    def emit(base: int, name, row, at, n, off, sure: bool, where: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(where, kind="stable")
-        cuts = np.flatnonzero(np.concatenate([[True], np.diff(where[order]) != 0])) if len(order) else []
-        for o in np.split(order, cuts[1:]) if len(order) else ():
-            cols = ([int(where[o[0]])], [sure], [base], [_packed(name[o], row[o], at[o], n[o], off[o])])
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], names=["bucket", "sure", "base", "blob"])
+
+def _ask(length: int, gram: int, buckets: int):
+    """Packed names of a batch of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids = b.column("rid").to_numpy()
-            for part in np.unique(ids >> 33):
-                mine = np.flatnonzero(ids >> 33 == part)
-                rid, base = ids[mine], int(ids[mine].min())
-                a, edges = _texts(b.column("text").take(pa.array(mine)))
+        for whole in batches:
+            for b, base in _by_part(whole):
+                a, edges = _texts(b.column("text"))
                 at, n, pos, name = anchors(a, edges, length, gram)
                 row = np.searchsorted(edges, at, side="right") - 1
-                off, at, row = pos - at, at - edges[row], (rid[row] - base)
-                order = np.argsort(name, kind="stable")
-                first = np.flatnonzero(np.concatenate([[True], np.diff(name[order]) != 0])) if len(order) else np.empty(0, np.int64)
-                many = np.zeros(len(order), bool)
-                if len(first):
-                    low, high = np.minimum.reduceat(row[order], first), np.maximum.reduceat(row[order], first)
-                    many[order] = np.repeat(low < high, np.diff(np.append(first, len(order))))
-                    told = order[first][low < high]
-                    asked = np.concatenate([np.flatnonzero(~many), told])
-                    count = np.where(many, 0, n)
-                    bucket = ((name[asked] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
-                    yield from emit(base, name[asked], row[asked], at[asked], count[asked], off[asked], False, bucket)
-                    sure = np.flatnonzero(many)
-                    yield from emit(base, name[sure], row[sure], at[sure], n[sure], off[sure], True, np.full(len(sure), hash((base, len(order))) % buckets))
+                yield from _dealt(RUN, buckets, base, [name, b.column("rid").to_numpy()[row] - base, at - edges[row], n, pos - at])
 
     return run
 
 
-SURVIVOR = "rid long, gram long, s long, n int, off int"
+SURVIVOR, SHARED = "rid long, gram long, s long, n int, off int", "rid long, p long, r1 long, r2 long"
 
 
-def _answer(key: tuple, table: pa.Table) -> pa.Table:
-    """Positions of a bucket whose name is in more than one row."""
+def _stays(kinds: tuple, table: pa.Table) -> list[np.ndarray]:
+    """Columns of a bucket's rows whose name more than one row has (``row`` as its number)."""
     parts = []
-    sure = table.column("sure").to_pylist()
-    for base, blob, known in zip(table.column("base").to_pylist(), table.column("blob"), sure):
-        name, row, at, n, off = _unpacked(blob)
-        parts.append((name, row.astype(np.int64) + base, at, n, off, np.full(len(name), known)))
-    name, rid, at, n, off, known = (np.concatenate(x) for x in zip(*parts))
-    stays = known.copy()
-    order = np.flatnonzero(~known)
+    for base, blob, known in zip(table.column("base").to_pylist(), table.column("blob"), table.column("sure").to_pylist()):
+        name, row, *more = _unpacked(kinds, blob)
+        parts.append([name, row.astype(np.int64) + base, *more, np.full(len(name), known)])
+    *columns, known = (np.concatenate(x) for x in zip(*parts))
+    name, rid = columns[:2]
+    stays, order = known.copy(), np.flatnonzero(~known)
     if len(order):
         order = order[np.argsort(name[order], kind="stable")]
         first = np.flatnonzero(np.concatenate([[True], np.diff(name[order]) != 0]))
         several = np.minimum.reduceat(rid[order], first) < np.maximum.reduceat(rid[order], first)
         stays[order] = np.repeat(several, np.diff(np.append(first, len(order))))
-    stays &= n > 0
-    cols = (rid[stays], name[stays].view(np.int64), at[stays].astype(np.int64), n[stays].astype(np.int32), off[stays].astype(np.int32))
-    return pa.table([pa.array(c) for c in cols], names=["rid", "gram", "s", "n", "off"])
+    stays &= columns[3] > 0  # not those that were only told
+    return [c[stays] for c in columns]
+
+
+def _runs_left(key: tuple, table: pa.Table) -> pa.Table:
+    name, rid, at, n, off = _stays(RUN, table)
+    return pa.table([pa.array(c) for c in (rid, name.view(np.int64), at.astype(np.int64), n.astype(np.int32), off.astype(np.int32))], names=["rid", "gram", "s", "n", "off"])
+
+
+def _windows_left(key: tuple, table: pa.Table) -> pa.Table:
+    name, rid, at, second = _stays(PAIR, table)
+    return pa.table([pa.array(c) for c in (rid, at.astype(np.int64), name.view(np.int64), second.view(np.int64))], names=["rid", "p", "r1", "r2"])
 
 
 def _listed(b: pa.RecordBatch, column: str) -> tuple[np.ndarray, dict[str, np.ndarray]]:
@@ -237,24 +263,22 @@ def _runs(length: int, gram: int):
     return run
 
 
-def _windows(length: int):
-    """Each window of ranges ``f`` to ``t`` with its pair of names."""
+def _windows(length: int, buckets: int):
+    """Packed pairs of names of each window of ranges ``f`` to ``t``; the first name has both, mixed."""
     half = (length + 1) // 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, edges = _texts(b.column("text"))
-            row, f = _listed(b, "ranges")
-            n = f["t"] - f["f"]
-            each = np.repeat(np.arange(len(n)), n)
-            at = f["f"][each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-            row = row[each]
-            p = edges[row] + at
-            r1, r2 = named(a, p, p + half), named(a, p + length - half, p + length)
-            cols = [pa.array(b.column("rid").to_numpy()[row]), pa.array(b.column("doc").to_numpy()[row]), pa.array(at), pa.array(r1.view(np.int64)), pa.array(r2.view(np.int64))]
-            out = pa.RecordBatch.from_arrays(cols, names=["rid", "doc", "p", "r1", "r2"])
-            for k in range(0, out.num_rows, 50_000):
-                yield out.slice(k, 50_000)
+        for whole in batches:
+            for b, base in _by_part(whole):
+                a, edges = _texts(b.column("text"))
+                row, f = _listed(b, "ranges")
+                n = f["t"] - f["f"]
+                each = np.repeat(np.arange(len(n)), n)
+                at = f["f"][each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+                row = row[each]
+                p = edges[row] + at
+                r1, r2 = named(a, p, p + half), named(a, p + length - half, p + length)
+                yield from _dealt(PAIR, buckets, base, [_mixed(r1 * np.uint64(_BASE) + r2), b.column("rid").to_numpy()[row] - base, at, np.maximum(r2, np.uint64(1))])
 
     return run
 
@@ -293,33 +317,46 @@ def dedup(docs: DataFrame, length: int = 50, gram: int = 24, bucket_bytes: int =
     """
     if not 1 <= gram < length <= 256 or length - gram > 254:
         raise ValueError("1 <= gram < length <= 256")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = settle(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("rid", F.monotonically_increasing_id()))
-    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(total * 2 / (length - gram + 2) * 18 / bucket_bytes))
-    asked = rows.where(F.octet_length("text") >= length).select("rid", "text").mapInArrow(_ask(length, gram, buckets), QUESTION)
-    left = settle(asked.groupBy("bucket").applyInArrow(_answer, SURVIVOR))
-    of = rows.select("rid", F.coalesce("doc_id", F.lit(_LAST)).alias("doc"), "text")
+    doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.coalesce(F.col("text"), F.lit(""))
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("same"))
+    firsts = given.groupBy("same").agg(F.min("doc").alias("first"))
+    rows = given.join(firsts, "same").select("doc_id", "doc", "text", ((F.col("doc") > F.col("first")) & (F.octet_length("text") >= length)).alias("copy"))
+    rows = settle(rows.withColumn("rid", F.monotonically_increasing_id()))
+    of = rows.where(~F.col("copy") & (F.octet_length("text") >= length)).drop("copy")
+    total = of.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = lambda n, width: max(1, math.ceil(n * width / bucket_bytes))
     listed = lambda df, name, *cols: df.groupBy("rid").agg(F.collect_list(F.struct(*cols)).alias(name))  # noqa: E731  as many as a text's windows
+
+    asked = of.select("rid", "text").mapInArrow(_ask(length, gram, parts(total * 2 / (length - gram + 2), 18)), QUESTION)
+    left = settle(asked.groupBy("bucket").applyInArrow(_runs_left, SURVIVOR))
     runs = settle(of.join(listed(left, "runs", "gram", "s", "n", "off"), "rid").mapInArrow(_runs(length, gram), RUNS))
+    forget(left)
     ranks = settle(runs.groupBy("gram", "seg").agg(F.min("doc").alias("first")))
-    ranked = runs.join(ranks, ["gram", "seg"])
-    whole = ranked.where("doc > first").select("rid", F.col("s").alias("f"), (F.col("s") + F.col("n") + length - 1).alias("t"))
-    unsettled = ranks.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
-    firsts = settle(ranked.where("doc = first").join(unsettled, "gram").drop("first", "seg"))
-    shared = lambda side: firsts.where(F.col(side).isNotNull()).groupBy("gram", side).agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("gram", side, F.lit(True).alias(f"more_{side}"))
-    sided = firsts.join(shared("l"), ["gram", "l"], "left").join(shared("r"), ["gram", "r"], "left")
-    x = (length - gram + 1) // 2
-    mid, end = F.col("s") + F.col("off") - x, F.col("s") + F.col("n")
+    unsettled = ranks.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram", F.lit(True).alias("unsettled"))
+    ranked = runs.join(ranks, ["gram", "seg"]).join(unsettled, "gram", "left").withColumn("repeats", F.col("doc") > F.col("first"))
+    ranked = settle(ranked.where("repeats or unsettled").select("rid", "doc", "gram", "l", "r", "s", "n", "off", "repeats"))
+    forget(runs, ranks)
+    whole = ranked.where("repeats").select("rid", F.col("s").alias("f"), (F.col("s") + F.col("n") + length - 1).alias("t"))
+
+    once = ranked.where("not repeats")
+    shared = lambda side: once.where(F.col(side).isNotNull()).groupBy("gram", side).agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("gram", side, F.lit(True).alias(f"more_{side}"))
+    sided = once.join(shared("l"), ["gram", "l"], "left").join(shared("r"), ["gram", "r"], "left").where("more_l or more_r")
+    mid, end = F.col("s") + F.col("off") - (length - gram + 1) // 2, F.col("s") + F.col("n")
     low = F.when(F.col("more_l"), F.col("s")).otherwise(F.greatest("s", mid))
     high = F.when(F.col("more_r"), end).otherwise(F.least(end, mid + 1))
-    ranges = sided.where("more_l or more_r").select("rid", low.alias("f"), high.alias("t")).where("f < t")
-    windows = settle(of.join(listed(ranges, "ranges", "f", "t"), "rid").mapInArrow(_windows(length), "rid long, doc long, p long, r1 long, r2 long"))
-    final = windows.groupBy("r1", "r2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last").drop("last")
-    single = windows.join(final, ["r1", "r2"]).where("doc > first").select("rid", F.col("p").alias("f"), (F.col("p") + length).alias("t"))
+    ranges = settle(sided.select("rid", low.alias("f"), high.alias("t")).where("f < t"))
+    windows = ranges.agg(F.sum(F.col("t") - F.col("f"))).first()[0] or 0
+    asked = of.select("rid", "text").join(listed(ranges, "ranges", "f", "t"), "rid").mapInArrow(_windows(length, parts(windows, 24)), QUESTION)
+    left = settle(asked.groupBy("bucket").applyInArrow(_windows_left, SHARED).join(of.select("rid", "doc"), "rid"))
+    last = left.groupBy("r1", "r2").agg(F.min("doc").alias("first"))
+    single = left.join(last, ["r1", "r2"]).where("doc > first").select("rid", F.col("p").alias("f"), (F.col("p") + length).alias("t"))
+
     cuts = settle(listed(whole.unionByName(single), "cuts", "f", "t"))
+    forget(ranked, ranges, left)
     none = F.array().cast("array<struct<f:long,t:long>>")
-    return rows.join(cuts, "rid", "left").select("doc_id", "text", F.coalesce("cuts", none).alias("cuts")).mapInArrow(_cut, CUT)
+    everything = F.array(F.struct(F.lit(0).cast("long").alias("f"), F.octet_length("text").cast("long").alias("t")))
+    cut = F.when(F.col("copy"), everything).otherwise(F.coalesce("cuts", none))
+    return rows.join(cuts, "rid", "left").select("doc_id", "text", cut.alias("cuts")).mapInArrow(_cut, CUT)
 
 
 def digests(found: DataFrame) -> DataFrame:
