@@ -52,16 +52,29 @@ def _folds() -> tuple[dict[str, str], dict[str, str]]:
 
 
 _ONE, _SEVERAL = _folds()
-_ODD = "[" + "".join(_ONE) + "".join(_SEVERAL) + "]"
+
+
+def _among(letters) -> str:
+    """A class of letters; most characters fall out by the first, short part of it."""
+    far = min((c for c in letters if ord(c) > 0xFF), default="")
+    near = [c for c in letters if ord(c) <= 0xFF]
+    return "[" + "".join(near) + (f"{far}-\uffff&&[{''.join(letters)}]" if far else "") + "]"
 
 
 def fold(c: Column) -> Column:
-    """Case folding without Python; Greek letters with a subscript iota keep their one character."""
+    """Case folding without Python; Greek letters with a subscript iota keep their one character.
+
+    Plain ASCII is lower-cased and no more.  Else single letters are translated if any is there,
+    and of the letters that become several the sharp s is tried first, the rare ones together.
+    """
     low = F.lower(c)
-    full = F.translate(low, "".join(_ONE), "".join(_ONE.values()))
-    for letter, letters in _SEVERAL.items():
+    one = F.when(low.rlike(_among(_ONE)), F.translate(low, "".join(_ONE), "".join(_ONE.values()))).otherwise(low)
+    sharp = F.replace(one, F.lit("ß"), F.lit("ss"))
+    rare = {k: v for k, v in _SEVERAL.items() if k != "ß"}
+    full = sharp
+    for letter, letters in rare.items():
         full = F.replace(full, F.lit(letter), F.lit(letters))
-    return F.when(low.rlike(_ODD), full).otherwise(low)
+    return F.when(F.octet_length(c) == F.length(c), low).otherwise(F.when(sharp.rlike(_among(rare)), full).otherwise(sharp))
 
 
 def alphanumerics(c: Column) -> Column:

@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import re
+from collections.abc import Iterable, Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from ..functions import ids, rules, text
@@ -71,34 +77,141 @@ def compatibility(models: DataFrame, physical: int) -> DataFrame:
     return models.withColumn("compatibility", rules.fit_label(F.col("size_bytes"), F.lit(physical), F.col("platform_ok")))
 
 
-def literal_hits(documents: DataFrame, key: str, column: str, literals: DataFrame) -> DataFrame:
-    """Literals (``item_id, literal``) that whole documents contain, whatever the case.
+def _literal_groups(literals: DataFrame, columns: list[str], most_bytes: int) -> Iterator[list[Row]]:
+    """The rows of ``literals`` in parts of about ``most_bytes`` at most, by hash."""
+    n, size = literals.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("literal") + 64), F.lit(0))).first()
+    groups = -(-int(size) * 3 // (2 * most_bytes)) or 1
+    for g in range(groups if n else 0):
+        mine = literals if groups == 1 else literals.where(F.pmod(F.xxhash64("literal"), F.lit(groups)) == g)
+        if rows := mine.select(*columns).collect():
+            yield rows
+
+
+def _arrow(kind: str) -> pa.DataType:
+    """The Arrow type of an id column."""
+    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+
+
+_automata: dict[bytes, object] = {}
+
+
+def _automaton(literals: list[str]):
+    """An Aho-Corasick automaton that gives places in ``literals``; a worker builds it once."""
+    import ahocorasick
+
+    key = hashlib.sha256("\0".join(literals).encode("utf-8", "surrogatepass")).digest()
+    if key not in _automata:
+        _automata.clear()
+        found = _automata[key] = ahocorasick.Automaton()
+        for i, x in enumerate(literals):
+            found.add_word(x, i)
+        found.make_automaton()
+    return _automata[key]
+
+
+def _places(literals: list[str]):
+    """For a text: the ends of each literal's occurrences (several literals at one place included)."""
+
+    def of(x: str) -> Iterator[tuple[int, int]]:
+        return ((i, end + 1) for end, i in _automaton(literals).iter(x))
+
+    return of
 
-    Candidates meet on the literal's longest inner token: one with other characters of the
-    literal on both sides is a token of every text that holds the literal.  Literals without
-    any meet on their first characters, which are looked for at every place of the texts.
-    Only keys and tokens are exchanged; text is read again for the candidates.
+
+def literal_hits(documents: DataFrame, key: str, column: str, literals: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+    """Literals (``item_id, literal``) that whole documents contain, whatever the case: rows ``key, item_id``.
+
+    One pass over the texts for every ``most_bytes`` of literals, in time linear in the texts: an
+    automaton of all literals at once reads each text from left to right.  Empty literals are in
+    no text, null texts hold none.
     """
-    d = documents.select(F.col(key), text.fold(F.col(column)).alias("x"))
-    lit = literals.select("item_id", text.fold(F.col("literal")).alias("literal")).where("literal <> ''")
-    inner = F.regexp_replace(F.regexp_replace("literal", r"^[0-9A-Za-z가-힣._/-]+", ""), r"[0-9A-Za-z가-힣._/-]+$", "")
-    lit = lit.withColumn("t", F.get(text.longest_tokens(inner, 1), 0))
-    tokens = lit.where("t is not null").select("item_id", "literal", "t")
-    met = d.select(key, F.explode(text.lexical_tokens(F.col("x"))).alias("t")).join(tokens, "t").select(key, "item_id", "literal")
-    bare = lit.where("t is null").select("item_id", "literal", F.least(F.length("literal"), F.lit(4)).alias("q"), F.substring("literal", 1, 4).alias("g"))
-    for (q,) in bare.select("q").distinct().collect():  # 1 to 4
-        places = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("x") - (q - 1))), lambda i: F.substring(F.col("x"), i, F.lit(q)))  # noqa: B023
-        grams = d.select(key, F.explode(F.array_distinct(places)).alias("g"))
-        met = met.unionByName(grams.join(bare.where(F.col("q") == q), "g").select(key, "item_id", "literal"))
-    return met.distinct().join(d, key).where(F.contains(F.col("x"), F.col("literal"))).select(key, "item_id").distinct()
+    lit = literals.select("item_id", text.fold(F.col("literal")).alias("literal")).where("literal <> ''").groupBy("literal").agg(F.collect_set("item_id").alias("items"))
+    kinds = dict(documents.dtypes)[key], dict(literals.dtypes)["item_id"]
+    schema = f"`{key}` {kinds[0]}, item_id {kinds[1]}"
+    d = documents.select(F.col(key), text.fold(F.col(column)).alias("x")).where("x is not null")
+    out = documents.sparkSession.createDataFrame([], schema)
+    for rows in _literal_groups(lit, ["literal", "items"], most_bytes):
+        words, items = [r["literal"] for r in rows], [r["items"] for r in rows]
+
+        def run(batches, words=words, items=items):
+            places = _places(words)
+            for b in batches:
+                at, found = [], []
+                for i, x in enumerate(b.column("x").to_pylist()):
+                    mine = {item for k in {k for k, _ in places(x)} for item in items[k]}
+                    at += [i] * len(mine)
+                    found += mine
+                yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(at, pa.int64())), pa.array(found, _arrow(kinds[1]))], names=[key, "item_id"])
+
+        out = out.unionByName(d.mapInArrow(run, schema))
+    return out
+
+
+def _unqualified(x: str, needle: str, qualifiers: list[str], window: int, starts: Iterable[int]) -> int:
+    """How many occurrences, none overlapping the one before, have no qualifier within the window."""
+    free = n = 0
+    for s in starts:
+        if s >= free:
+            free = s + len(needle)
+            around = x[max(0, s - window) : free + window]
+            n += not any(q in around for q in qualifiers)
+    return n
 
 
 def qualified(x: Column, literal: Column, qualifiers: list[str], window: int = 240) -> Column:
-    """Whether every occurrence of a literal has a qualifier within the window around it."""
-    pieces = F.split(x, F.concat(F.lit(r"\Q"), literal, F.lit(r"\E")))
-    near = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(pieces) - 1)), lambda i: F.concat(F.right(F.get(pieces, i - 1), F.lit(window)), F.lit(" "), F.left(F.coalesce(F.get(pieces, i), F.lit("")), F.lit(window))))
-    ok = lambda s: F.exists(F.array(*[F.lit(q) for q in qualifiers]), lambda q: F.contains(text.fold(s), q))
-    return (F.size(pieces) == 1) | F.forall(near, ok)
+    """Whether every occurrence of a literal, whatever the case, has a qualifier within ``window`` characters on either side or in itself.
+
+    Without qualifiers: whether there is no occurrence.  An empty literal does not occur.
+    """
+    low = [q.casefold() for q in qualifiers]
+
+    @F.pandas_udf("boolean")
+    def judge(texts: pd.Series, needles: pd.Series) -> pd.Series:
+        def one(t: str | None, needle: str | None) -> bool | None:
+            if t is None or needle is None:
+                return None
+            starts = (m.start() for m in re.finditer(re.escape(needle), t)) if needle else ()
+            return not _unqualified(t, needle, low, window, starts)
+
+        return pd.Series([one(*r) for r in zip(texts, needles)], dtype=object)
+
+    return judge(text.fold(x), text.fold(literal))
+
+
+def unqualified_literals(documents: DataFrame, key: str, column: str, controls: DataFrame, window: int = 240, most_bytes: int = 16 << 20) -> DataFrame:
+    """``key, control_id, literal, failures``: literals that documents hold without a qualifier near them, and how often.
+
+    ``controls``: ``control_id, literal, qualifiers`` (without any, every occurrence counts).
+    Occurrences of one literal are taken from left to right and do not overlap; all literals are
+    looked for in one pass over a text.
+    """
+    lit = controls.select("control_id", F.col("literal").alias("named"), text.fold(F.col("literal")).alias("literal"), F.transform("qualifiers", text.fold).alias("qualifiers")).where("literal <> ''")
+    kinds = dict(documents.dtypes)[key], dict(controls.dtypes)["control_id"]
+    schema = f"`{key}` {kinds[0]}, control_id {kinds[1]}, literal string, failures long"
+    d = documents.select(F.col(key), text.fold(F.col(column)).alias("x")).where("x is not null")
+    out = documents.sparkSession.createDataFrame([], schema)
+    for rows in _literal_groups(lit, ["control_id", "named", "literal", "qualifiers"], most_bytes):
+        words = sorted({r["literal"] for r in rows})
+        by_word = {w: [(r["control_id"], r["named"], r["qualifiers"] or []) for r in rows if r["literal"] == w] for w in words}
+
+        def run(batches, words=words, by_word=by_word):
+            places = _places(words)
+            for b in batches:
+                found = []
+                for i, x in enumerate(b.column("x").to_pylist()):
+                    starts: dict[int, list[int]] = {}
+                    for k, end in places(x):
+                        starts.setdefault(k, []).append(end - len(words[k]))
+                    for k, at in starts.items():
+                        for control, named, qualifiers in by_word[words[k]]:
+                            if n := _unqualified(x, words[k], qualifiers, window, at):
+                                found.append((i, control, named, n))
+                at, *cols = zip(*found) if found else ((), (), (), ())
+                kinds_ = (_arrow(kinds[1]), pa.string(), pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(cols, kinds_))], names=[key, "control_id", "literal", "failures"])
+
+        out = out.unionByName(d.mapInArrow(run, schema))
+    return out
 
 
 def recall(required: DataFrame, hits: DataFrame, key: str) -> DataFrame:

@@ -95,8 +95,8 @@ _N_SQL = "nfc_normalize(regexp_replace(text, '\\r\\n?', chr(10), 'g'))"
 
 def _chunk_sql() -> str:
     """Chunks of the documents by a recursive cursor over bytes; for texts without headings, as these are."""
-    bare, framed = (len(chunking.render(p, "", "").encode()) for p in ("", "x"))
-    framed -= 1
+    bare = chunking.frame_size("body", 0) - 1
+    framed = bare + chunking.frame_size("context", 1) - 1
     at = lambda p: f"b[({p}) + 1:({p}) + 1]"
     inner = lambda p: f"(({p}) < n AND hex({at(p)}) BETWEEN '80' AND 'BF')"
     back = lambda p: f"CASE WHEN ({p}) >= n THEN n WHEN NOT {inner(p)} THEN ({p}) WHEN NOT {inner(f'({p}) - 1')} THEN ({p}) - 1 WHEN NOT {inner(f'({p}) - 2')} THEN ({p}) - 2 ELSE ({p}) - 3 END"
@@ -705,6 +705,21 @@ def noise_quality(spark, sf_dir):
     return research.literal_hits(load(spark, sf_dir, "documents"), "doc_id", "text", lit)
 
 
+_folded = FOLD_SQL.format
+
+
+@query(f"""WITH c AS (SELECT item_id AS control_id, split_part(text, ' ', 3) AS literal, {_folded('split_part(text, chr(32), 1)')} AS q1, {_folded('split_part(text, chr(32), 5)')} AS q2 FROM benchmark),
+ l AS (SELECT DISTINCT {_folded('literal')} AS l FROM c WHERE literal <> ''),
+ p AS (SELECT doc_id, t, l, string_split(t, l) AS parts FROM (SELECT doc_id, {_folded('text')} AS t FROM documents), l WHERE contains(t, l)),
+ o AS (SELECT doc_id, l, substr(t, greatest(1, s + 1 - 240), s + length(l) + 240 - greatest(0, s - 240)) AS around FROM (SELECT doc_id, t, l, unnest(list_transform(range(1, len(parts)), lambda i: list_sum(list_transform(parts[1:i], lambda x: length(x)))::BIGINT + (i - 1) * length(l))) AS s FROM p))
+ SELECT doc_id, control_id, literal, count(*) AS failures FROM o JOIN c ON {_folded('c.literal')} = o.l WHERE NOT contains(around, q1) AND NOT contains(around, q2) GROUP BY ALL""")
+def unqualified_literals(spark, sf_dir):
+    """The third word of each benchmark item, where neither its first nor its fifth word is near."""
+    word = lambda k: F.split_part("text", F.lit(" "), F.lit(k))
+    controls = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("control_id"), word(3).alias("literal"), F.array(word(1), word(5)).alias("qualifiers"))
+    return research.unqualified_literals(load(spark, sf_dir, "documents"), "doc_id", "text", controls)
+
+
 @query("SELECT event_id, CASE WHEN event_id % 12 < 7 THEN '[REDACTED]' ELSE props END AS props FROM events")
 def redacted_fields(spark, sf_dir):
     """Twelve field names, the first seven of which must not be shown."""

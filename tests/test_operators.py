@@ -8,8 +8,13 @@ from loomline.sources import files, sinks
 from loomline.streaming import streams
 
 
+def whole_input(text, start, end, context, structure):
+    parts = [("document-structure", "context-only", structure), ("context-prefix", "false", text[context:start]), ("primary-range", "true", text[start:end])]
+    return "\n".join(f'<{tag} process="{p}">\n{body}\n</{tag}>' for tag, p, body in parts if body or tag == "primary-range")
+
+
 def rebuilt(text, config=chunking.Config()):
-    out = list(chunking.chunks_of(text, config))
+    out = [(s, e, c, whole_input(text, s, e, c, structure)) for s, e, c, structure in chunking.chunks_of(text, config)]
     assert "".join(text[s:e] for s, e, _, _ in out) == text
     assert all(len(m.encode()) <= config.most for *_, m in out)
     assert all(a[1] == b[0] for a, b in zip(out, out[1:]))
@@ -152,12 +157,56 @@ def test_jobs(spark):
         jobs.recent(t, "n", "job", 0)
 
 
+def test_model_input_is_native(spark):
+    text = "# Top\n\n## Sub\n\n" + "Words follow here. " * 200
+    d = spark.createDataFrame([("a.md", "r", "s", text), ("b.md", "q", "s", "Short")], "relative_path string, revision_id string, source_sha256 string, text string")
+    got = [r["model_input"] for r in chunking.chunk(d).orderBy("relative_path", "ordinal").collect()]
+    want = [whole_input(t, *x) for t in (text, "Short") for x in chunking.chunks_of(t)]
+    assert got == want and len(got) > 4 and "## Sub" in got[2]
+
+
 def test_qualified_literals(spark):
     rows = [("old-tool is legacy now", True), ("use old-tool", False), ("nothing", True), ("legacy old-tool. " + "x " * 300 + "old-tool", False)]
     df = spark.createDataFrame(rows, "t string, want boolean")
     assert df.where(research.qualified(F.col("t"), F.lit("old-tool"), ["legacy"]) != F.col("want")).count() == 0
 
 
+def test_qualifiers_by_position_and_case(spark):
+    rows = [
+        ("Foo bar", "foo", ["required"], False),
+        ("foo bar foo REQUIRED", "Foo", ["required"], True),
+        ("this is not required here", "not required", ["required"], True),
+        ("aaaa", "aa", ["b"], False),
+        ("x" * 300 + "foo" + "y" * 238 + "ok", "foo", ["OK"], True),
+        ("x" * 300 + "foo" + "y" * 239 + "ok", "foo", ["OK"], False),
+        ("ok" + "y" * 238 + "foo", "foo", ["ok"], True),
+        ("ok" + "y" * 239 + "foo", "foo", ["ok"], False),
+        ("Maße", "MASSE", ["x"], False),
+        ("foo", "foo", [], False),
+        ("foo", "", [], True),
+        ("a.b", "a+b", [], True),
+    ]
+    df = spark.createDataFrame([(i, t, n, q, w) for i, (t, n, q, w) in enumerate(rows)], "id int, t string, n string, q array<string>, want boolean")
+    for i, (_, _, q, want) in enumerate(rows):
+        assert df.where(F.col("id") == i).select(research.qualified(F.col("t"), F.col("n"), q)).first()[0] is want
+    controls = df.select(F.col("id").alias("control_id"), F.col("n").alias("literal"), F.col("q").alias("qualifiers"))
+    for most in (1 << 20, 200):
+        got = research.unqualified_literals(df, "id", "t", controls, most_bytes=most).where("id = control_id")
+        assert {(r["id"], r["literal"], r["failures"]) for r in got.collect()} == {(i, n, t.lower().replace("ß", "ss").count(n.lower())) for i, (t, n, _, w) in enumerate(rows) if not w}
+
+
+def test_literal_hits_read_a_text_once(spark):
+    import time
+
+    long = spark.createDataFrame([(i, "ab -- " * 30_000 + "+end+") for i in range(4)], "id int, t string")
+    lit = spark.createDataFrame([(1, "--"), (2, "+END+"), (3, "no"), (4, ""), (5, "b -- a"), (5, "+E")], "item_id int, literal string")
+    research.literal_hits(long.limit(1), "id", "t", lit).collect()
+    began = time.time()
+    got = research.literal_hits(long, "id", "t", lit, most_bytes=200).collect()
+    assert {tuple(r) for r in got} == {(i, k) for i in range(4) for k in (1, 2, 5)}
+    assert time.time() - began < 30
+
+
 def test_sources_and_sinks(spark, tmp_path):
     root = tmp_path / "in"
     (root / "sub").mkdir(parents=True)
