@@ -198,7 +198,7 @@ def _ask(length: int, gram: int, buckets: int):
     return run
 
 
-SURVIVOR, SHARED = "rid long, gram long, s long, n int, off int", "rid long, p long, r1 long, r2 long"
+SURVIVOR, SHARED = "rid long, gram long, s int, n int, off int", "rid long, p long, r1 long, r2 long"
 
 
 def _stays(kinds: tuple, table: pa.Table) -> list[np.ndarray]:
@@ -221,7 +221,7 @@ def _stays(kinds: tuple, table: pa.Table) -> list[np.ndarray]:
 
 def _runs_left(key: tuple, table: pa.Table) -> pa.Table:
     name, rid, at, n, off = _stays(RUN, table)
-    return pa.table([pa.array(c) for c in (rid, name.view(np.int64), at.astype(np.int64), n.astype(np.int32), off.astype(np.int32))], names=["rid", "gram", "s", "n", "off"])
+    return pa.table([pa.array(c) for c in (rid, name.view(np.int64), at.astype(np.int32), n.astype(np.int32), off.astype(np.int32))], names=["rid", "gram", "s", "n", "off"])
 
 
 def _windows_left(key: tuple, table: pa.Table) -> pa.Table:
@@ -237,7 +237,7 @@ def _listed(b: pa.RecordBatch, column: str) -> tuple[np.ndarray, dict[str, np.nd
     return np.repeat(np.arange(b.num_rows), counts), {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
 
 
-RUNS = "rid long, doc long, gram long, seg long, l long, r long, s long, n int, off int"
+RUNS = "rid long, doc long, gram long, seg long, l int, r int, s int, n int, off int"
 
 
 def _runs(length: int, gram: int):
@@ -256,8 +256,8 @@ def _runs(length: int, gram: int):
             seg = named(a, s, s + f["n"] + length - 1)
             left = named(a, np.where(no_left, pos, low), pos)
             right = named(a, pos + gram, np.where(no_right, pos + gram, high))
-            side = lambda v, null: pa.array(v.view(np.int64), mask=null)
-            cols = [pa.array(b.column("rid").to_numpy()[row]), pa.array(b.column("doc").to_numpy()[row]), pa.array(f["gram"]), pa.array(seg.view(np.int64)), side(left, no_left), side(right, no_right), pa.array(f["s"]), pa.array(f["n"]), pa.array(f["off"])]
+            side = lambda v, null: pa.array((v >> np.uint64(32)).astype(np.uint32).view(np.int32), mask=null)  # noqa: E731  half a name: it only drops
+            cols = [pa.array(b.column("rid").to_numpy()[row]), pa.array(b.column("doc").to_numpy()[row]), pa.array(f["gram"]), pa.array(seg.view(np.int64)), side(left, no_left), side(right, no_right), pa.array(f["s"].astype(np.int32)), pa.array(f["n"]), pa.array(f["off"])]
             yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc", "gram", "seg", "l", "r", "s", "n", "off"])
 
     return run
@@ -332,11 +332,13 @@ def dedup(docs: DataFrame, length: int = 50, gram: int = 24, bucket_bytes: int =
     runs = settle(of.join(listed(left, "runs", "gram", "s", "n", "off"), "rid").mapInArrow(_runs(length, gram), RUNS))
     forget(left)
     ranks = settle(runs.groupBy("gram", "seg").agg(F.min("doc").alias("first")))
-    unsettled = ranks.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram", F.lit(True).alias("unsettled"))
-    ranked = runs.join(ranks, ["gram", "seg"]).join(unsettled, "gram", "left").withColumn("repeats", F.col("doc") > F.col("first"))
-    ranked = settle(ranked.where("repeats or unsettled").select("rid", "doc", "gram", "l", "r", "s", "n", "off", "repeats"))
+    several = ranks.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram", F.lit(True).alias("unsettled"))
+    ranked = runs.join(ranks.join(several, "gram", "left"), ["gram", "seg"]).withColumn("repeats", F.col("doc") > F.col("first")).where("repeats or unsettled")
+    compared = [F.when(~F.col("repeats"), F.col(c)).alias(c) for c in ("doc", "gram", "l", "r", "off")]
+    ranked = settle(ranked.select("rid", "s", "n", "repeats", *compared))
     forget(runs, ranks)
-    whole = ranked.where("repeats").select("rid", F.col("s").alias("f"), (F.col("s") + F.col("n") + length - 1).alias("t"))
+    span = lambda f, t: (F.col("rid"), f.cast("int").alias("f"), t.cast("int").alias("t"))
+    whole = ranked.where("repeats").select(*span(F.col("s"), F.col("s") + F.col("n") + length - 1))
 
     once = ranked.where("not repeats")
     shared = lambda side: once.where(F.col(side).isNotNull()).groupBy("gram", side).agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("gram", side, F.lit(True).alias(f"more_{side}"))
@@ -344,17 +346,17 @@ def dedup(docs: DataFrame, length: int = 50, gram: int = 24, bucket_bytes: int =
     mid, end = F.col("s") + F.col("off") - (length - gram + 1) // 2, F.col("s") + F.col("n")
     low = F.when(F.col("more_l"), F.col("s")).otherwise(F.greatest("s", mid))
     high = F.when(F.col("more_r"), end).otherwise(F.least(end, mid + 1))
-    ranges = settle(sided.select("rid", low.alias("f"), high.alias("t")).where("f < t"))
+    ranges = settle(sided.select(*span(low, high)).where("f < t"))
     windows = ranges.agg(F.sum(F.col("t") - F.col("f"))).first()[0] or 0
     asked = of.select("rid", "text").join(listed(ranges, "ranges", "f", "t"), "rid").mapInArrow(_windows(length, parts(windows, 24)), QUESTION)
     left = settle(asked.groupBy("bucket").applyInArrow(_windows_left, SHARED).join(of.select("rid", "doc"), "rid"))
     last = left.groupBy("r1", "r2").agg(F.min("doc").alias("first"))
-    single = left.join(last, ["r1", "r2"]).where("doc > first").select("rid", F.col("p").alias("f"), (F.col("p") + length).alias("t"))
+    single = left.join(last, ["r1", "r2"]).where("doc > first").select(*span(F.col("p"), F.col("p") + length))
 
     cuts = settle(listed(whole.unionByName(single), "cuts", "f", "t"))
     forget(ranked, ranges, left)
-    none = F.array().cast("array<struct<f:long,t:long>>")
-    everything = F.array(F.struct(F.lit(0).cast("long").alias("f"), F.octet_length("text").cast("long").alias("t")))
+    none = F.array().cast("array<struct<f:int,t:int>>")
+    everything = F.array(F.struct(F.lit(0).alias("f"), F.octet_length("text").alias("t")))
     cut = F.when(F.col("copy"), everything).otherwise(F.coalesce("cuts", none))
     return rows.join(cuts, "rid", "left").select("doc_id", "text", cut.alias("cuts")).mapInArrow(_cut, CUT)
 
