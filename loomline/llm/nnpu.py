@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import thinned
+from .common import forget, settle, thinned
 
 SPACE_BITS = 20
 N_STYLE, N_BINS = 10, 12
@@ -265,24 +265,27 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, in_training, kind: str,
     """Fit on training rows only.
 
     ``in_training(key)`` is the column that marks them.  ``max_positive`` and
-    ``max_unlabelled`` bound the sample.  Of the labels only the positive ones are read.  No
+    ``max_unlabelled`` bound the sample: ids are drawn, by hash, and each drawn id gives one text, so
+    rows that repeat an id add nothing.  Of the labels only the positive ones are read.  No
     positive or no text at all: a constant model, whose score is 0.5.
     """
-    trusted = labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull() & in_training("doc_id")).select("doc_id").distinct()
-    n_pos = trusted.count()
     constant = Model(kind, {}, np.zeros(N_STYLE * N_BINS), 0.0, 0.5)
-    spark = docs.sparkSession
     text = docs.where(F.col("doc_id").isNotNull() & in_training("doc_id")).select(F.col("doc_id").alias("key"), "text")
-    positives = [r[0] for r in thinned(trusted, "doc_id", n_pos, max_positive, seed).orderBy("doc_id").toLocalIterator()]
-    n_text = text.count()
-    if not positives or not n_text:
+    trusted = labels.where((F.col(label) == 1) & F.col("doc_id").isNotNull() & in_training("doc_id")).select(F.col("doc_id").alias("key")).distinct()
+    known = text.select("key").distinct()
+
+    def drawn(ids: DataFrame, bound: int, seed: int, positive: bool) -> DataFrame:
+        """About ``bound`` of the ids, each with one text: its least."""
+        few = thinned(ids, "key", ids.count(), bound, seed)
+        return text.join(few, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")).select("key", "text", F.lit(positive).alias("is_p"))
+
+    positives = drawn(trusted.join(known, "key", "left_semi"), max_positive, seed, True)
+    sample = settle(positives.unionByName(drawn(known, max_unlabelled, seed + 1, False)))
+    size = {r["is_p"]: r["count"] for r in sample.groupBy("is_p").count().collect()}
+    n_p, n_u = size.get(True, 0), size.get(False, 0)
+    if not n_p or not n_u:
         return constant
-    ids = spark.createDataFrame([(x,) for x in positives], "key long")
-    p = text.join(F.broadcast(ids), "key").select("key", "text", F.lit(True).alias("is_p"))  # at most max_positive ids
-    u = thinned(text, "key", n_text, max_unlabelled, seed + 1).select("key", "text", F.lit(False).alias("is_p"))
-    sample = p.unionByName(u)
     counts = sample.mapInArrow(_count_features(kind), "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u"))
-    n_p, n_u = len(positives), min(n_text, max_unlabelled)
     both = (F.col("p") + F.col("u") + 1) / F.lit(float(n_p + n_u))
     z = F.abs(F.col("p") / n_p - F.col("u") / n_u) / F.sqrt(both * F.greatest(F.lit(1e-9), 1 - both) * (1 / n_p + 1 / n_u))
     chosen = counts.where(F.col("p") + F.col("u") >= 4).withColumn("z", z).where(F.col("z") >= least_z).coalesce(4).orderBy(F.desc("z"), "f").limit(max_features).collect()
@@ -290,8 +293,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, in_training, kind: str,
     width = len(selected) + N_STYLE * N_BINS
     rows = sample.mapInArrow(_collect_rows(selected, kind), "key long, is_p boolean, f array<int>").orderBy("is_p", "key").collect()
     ps, us = [r["f"] for r in rows if r["is_p"]], [r["f"] for r in rows if not r["is_p"]]
-    if not ps or not us:
-        return constant
+    forget(sample)
     prior = estimate_prior(ps, us, width)
     w, b = minimise(ps, us, width, prior, rounds, decay=decay)
     return Model(kind, selected, w, b, prior)

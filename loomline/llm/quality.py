@@ -5,7 +5,8 @@ Null text counts as empty; a null ``doc_id`` or label takes no part in fitting b
 is scored.  Repeated rows are each scored; other columns of ``docs`` are ignored.  Without
 any positive the score is 0.5.  ``max_positive`` and ``max_unlabelled`` (see ``nnpu.fit``)
 bound the fitting sample.  Very long texts are read whole; a score equal to the threshold
-counts as reaching it.
+counts as reaching it.  Empty ``documents`` or
+``labels`` give a constant model and no row to score, or a score of 0.5 a row.
 """
 
 from __future__ import annotations
