@@ -114,20 +114,22 @@ def fingerprint(frames: np.ndarray) -> np.ndarray:
 def align(a: np.ndarray, b: np.ndarray, least_overlap: int = 16, tries: int = 5) -> tuple[int, float] | None:
     """(offset of b in a, share of differing bits there), or None if nothing agrees.
 
-    The offsets tried are those at which most parts of integers agree: bytes of short
-    recordings, halves or whole integers of long ones, whose parts would agree too often.
+    The offsets tried are those at which most bytes of integers agree, however long the
+    recordings; agreements are counted some millions at a time.
     """
-    part = 8 if len(a) * len(b) <= 1 << 20 else 16 if len(a) * len(b) <= 1 << 26 else 32
+    part = 8
     hits = np.zeros(len(a) + len(b) + 1, np.int64)
     for shift in range(0, 32, part):
         x, y = ((v >> np.uint32(shift)) & np.uint32((1 << part) - 1) for v in (a, b))
         order = np.argsort(y, kind="stable")
         low, high = np.searchsorted(y[order], x, "left"), np.searchsorted(y[order], x, "right")
         n = high - low
-        for k in range(0, len(x), 4096):  # a common part agrees nearly everywhere: some at a time
-            m = n[k : k + 4096]
-            i = np.repeat(np.arange(k, k + len(m)), m)
-            j = order[np.repeat(low[k : k + 4096] - np.concatenate([[0], m.cumsum()[:-1]]), m) + np.arange(m.sum())]
+        ahead = np.cumsum(n)
+        cuts = np.unique(np.searchsorted(ahead, np.arange(0, ahead[-1] + 1, 1 << 21))) if len(n) else []
+        for k, end in zip(cuts, [*cuts[1:], len(n)]):  # a common byte agrees nearly everywhere
+            m = n[k:end]
+            i = np.repeat(np.arange(k, end), m)
+            j = order[np.repeat(low[k:end] - np.concatenate([[0], m.cumsum()[:-1]]), m) + np.arange(m.sum())]
             hits += np.bincount(i - j + len(b), minlength=len(hits))
     found = None
     for at in np.argsort(-hits, kind="stable")[:tries]:
