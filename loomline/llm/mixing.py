@@ -146,11 +146,27 @@ def tree(quotas: DataFrame, n_shards: int, shard_blocks: int, seed: int) -> Data
     return node.select("shard", F.explode("q").alias("x")).select("shard", "x.*")
 
 
-def permuted(place: Column, blocks: Column) -> Column:
-    """A block number for each place below ``blocks``: a bijection with a prime stride."""
-    primes = [982451653, 982451629, 982451609]
-    stride = F.coalesce(*[F.when(blocks % p != 0, F.lit(p)) for p in primes], F.lit(1))
-    return F.pmod((stride % blocks) * place + F.floor(blocks / 3), blocks).cast("long")
+def _primes(n: int, below: int) -> list[int]:
+    """The ``n`` greatest primes below a number."""
+    found: list[int] = []
+    while len(found) < n:
+        below -= 1
+        if all(below % d for d in range(2, math.isqrt(below) + 1)):
+            found.append(below)
+    return found
+
+
+_STRIDES = _primes(32, 1 << 30)
+
+
+def permuted(place: Column, blocks: Column, salt: Column | None = None) -> Column:
+    """A block number for each place below ``blocks``: a bijection; ``salt`` chooses its stride (a prime) and its start."""
+    salt = F.lit(0).cast("long") if salt is None else salt
+    strides = F.array(*[F.lit(p).cast("long") for p in _STRIDES])
+    at = lambda k: F.get(strides, F.pmod(salt + k, F.lit(len(_STRIDES))).cast("int"))
+    stride = F.coalesce(*[F.when(blocks % at(k) != 0, at(k)) for k in range(3)], F.lit(1).cast("long"))
+    start = F.pmod(F.xxhash64(salt), blocks)
+    return F.pmod((stride % blocks) * place + start, blocks).cast("long")
 
 
 @dataclass
@@ -166,7 +182,7 @@ class Mix:
         """The blocks that the leaves draw: ``shard, rank, sid, block``; ``rank`` orders those of a shard."""
         place = F.explode(F.sequence("first", F.col("first") + F.col("blocks") - 1))
         b = self.leaves.select("shard", "sid", "n_blocks", place.alias("place"))
-        b = b.select("shard", "sid", permuted(F.col("place"), F.col("n_blocks")).alias("block"))
+        b = b.select("shard", "sid", permuted(F.col("place"), F.col("n_blocks"), F.xxhash64(F.lit(self.seed + 3), "sid")).alias("block"))
         return b.withColumn("rank", F.xxhash64(F.lit(self.seed + 2), "shard", "sid", "block"))
 
     def segments(self) -> DataFrame:
