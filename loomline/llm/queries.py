@@ -1,4 +1,8 @@
-"""The operators of this subpackage, bound to the driver's tables with production parameters."""
+"""The operators of this subpackage, bound to the driver's tables with production parameters.
+
+What a query returns for null, empty or very long texts, ties, repeated rows, empty tables and
+clashing column names is stated in the module of its operator, whose result it hands on.
+"""
 
 from __future__ import annotations
 

@@ -15,7 +15,10 @@ Vectors that are null, or hold null, NaN or infinite components, and rows withou
 take no part.  Only vectors of equal dimension meet.  An id that repeats is queried once,
 by its least vector; as candidates its rows count one by one, but never for a query of the
 same id.  Ties go to the smaller id.  Fewer than k candidates: all of them.  Products beyond
-64 bits are held at the 64-bit limits.  Other columns are ignored.
+64 bits are held at the 64-bit limits.  Long vectors are read whole: a bucket is one row, so
+``bucket_rows`` is for vectors of some thousand components at most.  Where all vectors have one
+length no bucket can be skipped, and every product is made.  An empty table gives no rows.
+Other columns are ignored.
 """
 
 from __future__ import annotations
