@@ -1,16 +1,16 @@
 """The job store as an append-only event log: inserts, compare-and-set moves, progress, leases.
 
 State is never updated in place: a job's state, version and counters are folds of its log, and
-a write is a small batch that is checked against those folds before it is appended.  One
-driver writes a log at a time; readers may be many.
+a write is a small batch that is checked against those folds and committed only if no other
+commit came between (``sources.commits``); else it is checked again.
 """
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.commits import CommitLog, View
 from ..sources.sinks import Conflict
 from . import jobs
 
@@ -19,10 +19,7 @@ LOG = "job_id string, version long, kind string, state string, sequence long, pe
 
 def log(spark: SparkSession, path: str) -> DataFrame:
     """The events of all jobs; empty if nothing was written yet."""
-    try:
-        return spark.read.schema(LOG).parquet(path)
-    except AnalysisException:
-        return spark.createDataFrame([], LOG)
+    return CommitLog(spark, path, LOG).now().rows()
 
 
 def folded(events: DataFrame) -> DataFrame:
@@ -37,15 +34,28 @@ def folded(events: DataFrame) -> DataFrame:
     )
 
 
+def merged(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The fold of a log from the fold of its beginning and that of the rest."""
+    n = new.select("job_id", *[F.col(c).alias(f"new_{c}") for c in new.columns if c != "job_id"])
+    both = {"state": F.coalesce("new_state", "state"), "created_at": F.least("created_at", "new_created_at")}
+    both |= {c: F.greatest(c, f"new_{c}") for c in ("record_version", "last_event_sequence", "last_percentage", "updated_at")}
+    return old.join(n, "job_id", "full_outer").select("job_id", *[both[c].alias(c) for c in old.columns if c != "job_id"])
+
+
 def rejected(events: DataFrame, requests: DataFrame) -> DataFrame:
-    """Requests that the log does not allow, with a ``violation_code``; at most one request a job.
+    """Requests that the log does not allow (see ``refused``)."""
+    return refused(folded(events), requests)
+
+
+def refused(state: DataFrame, requests: DataFrame) -> DataFrame:
+    """Requests that the folded jobs do not allow, with a ``violation_code``; at most one request a job.
 
     ``requests``: ``job_id, kind, expected, state, sequence, percentage``.  INSERT needs a new
     job; MOVE the expected state and an allowed move; PROGRESS the next sequence and a
     percentage from 0 to 100 that does not fall.
     """
-    now = folded(events).select("job_id", F.col("state").alias("now"), "last_event_sequence", "last_percentage")
-    allowed = F.broadcast(jobs.allowed(events.sparkSession).select(F.col("from_state").alias("now"), F.col("to_state").alias("state"), F.lit(True).alias("allowed")))  # a fixed table
+    now = state.select("job_id", F.col("state").alias("now"), "last_event_sequence", "last_percentage")
+    allowed = F.broadcast(jobs.allowed(state.sparkSession).select(F.col("from_state").alias("now"), F.col("to_state").alias("state"), F.lit(True).alias("allowed")))  # a fixed table
     j = requests.join(now, "job_id", "left").join(allowed, ["now", "state"], "left")
     known = F.col("now").isNotNull()
     many = F.count("*").over(Window.partitionBy("job_id")) > 1
@@ -61,26 +71,36 @@ def rejected(events: DataFrame, requests: DataFrame) -> DataFrame:
     return j.withColumn("many", many).withColumn("violation_code", code).where("violation_code is not null").select("job_id", "kind", "violation_code")
 
 
-def accepted(events: DataFrame, requests: DataFrame) -> DataFrame:
+def granted(state: DataFrame, requests: DataFrame) -> DataFrame:
     """The events that allowed requests add to the log."""
-    bad = rejected(events, requests).select("job_id").distinct()
-    version = folded(events).select("job_id", "record_version")
-    good = requests.join(bad, "job_id", "left_anti").join(version, "job_id", "left")
-    state = F.when(F.col("kind") == "INSERT", "CREATED").when(F.col("kind") == "MOVE", F.col("state"))
-    done = F.when(F.col("kind") == "PROGRESS", F.col("percentage")).when(state == "COMPLETED", F.lit(100).cast("long"))
+    bad = refused(state, requests).select("job_id").distinct()
+    good = requests.join(bad, "job_id", "left_anti").join(state.select("job_id", "record_version"), "job_id", "left")
+    to = F.when(F.col("kind") == "INSERT", "CREATED").when(F.col("kind") == "MOVE", F.col("state"))
+    done = F.when(F.col("kind") == "PROGRESS", F.col("percentage")).when(to == "COMPLETED", F.lit(100).cast("long"))
     sequence = F.when(F.col("kind") == "PROGRESS", F.col("sequence"))
-    return good.select("job_id", (F.coalesce("record_version", F.lit(0)) + 1).alias("version"), "kind", state.alias("state"), sequence.alias("sequence"), done.alias("percentage"), "message", "occurred_at")
-
-
-def append(path: str, requests: DataFrame) -> DataFrame:
-    """Write all requests or none; returns the jobs as they are afterwards."""
-    spark = requests.sparkSession
-    before = log(spark, path)
-    bad = rejected(before, requests).limit(1).collect()
-    if bad:
-        raise Conflict(bad[0]["violation_code"])
-    accepted(before, requests).write.mode("append").parquet(path)
-    return folded(log(spark, path))
+    return good.select("job_id", (F.coalesce("record_version", F.lit(0)) + 1).alias("version"), "kind", to.alias("state"), sequence.alias("sequence"), done.alias("percentage"), "message", "occurred_at")
+
+
+def append(path: str, requests: DataFrame, every: int = 20) -> DataFrame:
+    """Commit all requests or none; returns the jobs as they are afterwards.
+
+    Many may write at once: a commit holds only if the jobs are still those that it was checked
+    against.  A copy of the folded jobs is kept at each ``every``-th version, so a check reads
+    that and the commits since.
+    """
+    events = CommitLog(requests.sparkSession, path, LOG)
+
+    def check(view: View) -> DataFrame:
+        now = view.state(folded, merged)
+        bad = refused(now, requests).limit(1).collect()
+        if bad:
+            raise Conflict(bad[0]["violation_code"])
+        return granted(now, requests)
+
+    view = events.commit(check)
+    after = view.state(folded, merged)
+    events.keep_state(view, after, every)
+    return after
 
 
 LEASE = "job_id string, at long, seq long, action string, runner_token string, process_id long, lifecycle string, error_code string"

@@ -5,12 +5,15 @@ Orders stand for claims, their lines' parts for evidence, messages for task cont
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules, text
-from ..operators import assembly, claims, execution, jobs, research, store, tasks
-from .catalogue import DOCS_SQL, FOLD_SQL, docs, load, query
+from ..operators import assembly, claims, execution, graph, jobs, research, store, tasks
+from ..sources import commits
+from .catalogue import DOCS_SQL, FOLD_SQL, ORACLES, docs, load, query
 
 _EVIDENCE_SQL = "SELECT l_orderkey AS claim_id, list(DISTINCT l_partkey) AS evidence_ids FROM lineitem GROUP BY l_orderkey"
 _PATHS_SQL = f"SELECT claim_id, array_to_string(list_sort(list_distinct(list(p_brand || '.md'))), ',') AS paths FROM (SELECT claim_id, unnest(evidence_ids) AS e FROM ({_EVIDENCE_SQL})) JOIN part ON p_partkey = e GROUP BY claim_id"
@@ -239,6 +242,19 @@ def job_log_fold(spark, sf_dir):
     return store.folded(_job_log(spark, sf_dir)).select("job_id", "state", "record_version", "last_event_sequence", "last_percentage")
 
 
+@query(ORACLES["job_log_fold"])
+def job_store_state(spark, sf_dir):
+    """The log committed in six parts to a store of its own, read back from a kept copy of its state and the commits since."""
+    path = f"{graph.shared_dir(spark).rstrip('/')}/jobs-{uuid.uuid4().hex}"
+    log, events = commits.CommitLog(spark, path, store.LOG), _job_log(spark, sf_dir)
+    for k in range(6):
+        view = log.commit(lambda _: events.where(F.col("version") % 6 == k))  # noqa: B023
+        log.keep_state(view, view.state(store.folded, store.merged), 4)
+    out = graph.cut(log.now().state(store.folded, store.merged))
+    log.folder.delete()
+    return out.select("job_id", "state", "record_version", "last_event_sequence", "last_percentage")
+
+
 _ALLOWED_SQL = ", ".join(f"('{a}', '{b}')" for a, b in jobs.moves())
 
 
