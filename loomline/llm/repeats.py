@@ -198,7 +198,7 @@ def _ask(length: int, gram: int, buckets: int):
     return run
 
 
-SURVIVOR, SHARED = "rid long, gram long, s int, n int, off int", "rid long, p long, r1 long, r2 long"
+SURVIVOR, SHARED = "rid long, gram long, place long", "rid long, p long, r1 long, r2 long"
 
 
 def _stays(kinds: tuple, table: pa.Table) -> list[np.ndarray]:
@@ -221,7 +221,8 @@ def _stays(kinds: tuple, table: pa.Table) -> list[np.ndarray]:
 
 def _runs_left(key: tuple, table: pa.Table) -> pa.Table:
     name, rid, at, n, off = _stays(RUN, table)
-    return pa.table([pa.array(c) for c in (rid, name.view(np.int64), at.astype(np.int32), n.astype(np.int32), off.astype(np.int32))], names=["rid", "gram", "s", "n", "off"])
+    place = at.astype(np.int64) << 16 | n.astype(np.int64) << 8 | off.astype(np.int64)
+    return pa.table([pa.array(c) for c in (rid, name.view(np.int64), place)], names=["rid", "gram", "place"])
 
 
 def _windows_left(key: tuple, table: pa.Table) -> pa.Table:
@@ -237,7 +238,8 @@ def _listed(b: pa.RecordBatch, column: str) -> tuple[np.ndarray, dict[str, np.nd
     return np.repeat(np.arange(b.num_rows), counts), {f.name: flat.field(i).to_numpy(zero_copy_only=False) for i, f in enumerate(flat.type)}
 
 
-RUNS = "rid long, doc long, gram long, seg long, l int, r int, s int, n int, off int"
+#: ``place``: a run's first window, how many it has (8 bits) and how far in the gram stands (8 bits).
+RUNS = "rid long, doc long, gram long, seg long, l int, r int, place long"
 
 
 def _runs(length: int, gram: int):
@@ -249,16 +251,16 @@ def _runs(length: int, gram: int):
         for b in batches:
             a, edges = _texts(b.column("text"))
             row, f = _listed(b, "runs")
-            s = edges[row] + f["s"]
-            pos = s + f["off"]
+            s = edges[row] + (f["place"] >> 16)
+            pos = s + (f["place"] & 255)
             low, high = pos - x, pos + gram + y
             no_left, no_right = low < edges[row], high > edges[row + 1]
-            seg = named(a, s, s + f["n"] + length - 1)
+            seg = named(a, s, s + (f["place"] >> 8 & 255) + length - 1)
             left = named(a, np.where(no_left, pos, low), pos)
             right = named(a, pos + gram, np.where(no_right, pos + gram, high))
             side = lambda v, null: pa.array((v >> np.uint64(32)).astype(np.uint32).view(np.int32), mask=null)  # noqa: E731  half a name: it only drops
-            cols = [pa.array(b.column("rid").to_numpy()[row]), pa.array(b.column("doc").to_numpy()[row]), pa.array(f["gram"]), pa.array(seg.view(np.int64)), side(left, no_left), side(right, no_right), pa.array(f["s"].astype(np.int32)), pa.array(f["n"]), pa.array(f["off"])]
-            yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc", "gram", "seg", "l", "r", "s", "n", "off"])
+            cols = [pa.array(b.column("rid").to_numpy()[row]), pa.array(b.column("doc").to_numpy()[row]), pa.array(f["gram"]), pa.array(seg.view(np.int64)), side(left, no_left), side(right, no_right), pa.array(f["place"])]
+            yield pa.RecordBatch.from_arrays(cols, names=["rid", "doc", "gram", "seg", "l", "r", "place"])
 
     return run
 
@@ -320,31 +322,34 @@ def dedup(docs: DataFrame, length: int = 50, gram: int = 24, bucket_bytes: int =
     doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.coalesce(F.col("text"), F.lit(""))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("same"))
     firsts = given.groupBy("same").agg(F.min("doc").alias("first"))
-    rows = given.join(firsts, "same").select("doc_id", "doc", "text", ((F.col("doc") > F.col("first")) & (F.octet_length("text") >= length)).alias("copy"))
-    rows = settle(rows.withColumn("rid", F.monotonically_increasing_id()))
-    of = rows.where(~F.col("copy") & (F.octet_length("text") >= length)).drop("copy")
+    size = F.octet_length("text").cast("long")
+    copy = (F.col("doc") > F.col("first")) & (size >= length)
+    rows = given.join(firsts, "same").select("doc_id", "doc", F.when(~copy, F.col("text")).alias("text"), size.alias("n_bytes"))
+    rows = settle(rows.withColumn("rid", F.monotonically_increasing_id()))  # the text of a copy is not needed again
+    of = rows.where(size >= length).select("rid", "doc", "text")
     total = of.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = lambda n, width: max(1, math.ceil(n * width / bucket_bytes))
     listed = lambda df, name, *cols: df.groupBy("rid").agg(F.collect_list(F.struct(*cols)).alias(name))  # noqa: E731  as many as a text's windows
 
     asked = of.select("rid", "text").mapInArrow(_ask(length, gram, parts(total * 2 / (length - gram + 2), 18)), QUESTION)
     left = settle(asked.groupBy("bucket").applyInArrow(_runs_left, SURVIVOR))
-    runs = settle(of.join(listed(left, "runs", "gram", "s", "n", "off"), "rid").mapInArrow(_runs(length, gram), RUNS))
+    runs = settle(of.join(listed(left, "runs", "gram", "place"), "rid").mapInArrow(_runs(length, gram), RUNS))
     forget(left)
     ranks = settle(runs.groupBy("gram", "seg").agg(F.min("doc").alias("first")))
     several = ranks.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram", F.lit(True).alias("unsettled"))
     ranked = runs.join(ranks.join(several, "gram", "left"), ["gram", "seg"]).withColumn("repeats", F.col("doc") > F.col("first")).where("repeats or unsettled")
-    compared = [F.when(~F.col("repeats"), F.col(c)).alias(c) for c in ("doc", "gram", "l", "r", "off")]
-    ranked = settle(ranked.select("rid", "s", "n", "repeats", *compared))
+    compared = [F.when(~F.col("repeats"), F.col(c)).alias(c) for c in ("doc", "gram", "l", "r")]
+    ranked = settle(ranked.select("rid", "place", "repeats", *compared))
     forget(runs, ranks)
+    start, n, off = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
     span = lambda f, t: (F.col("rid"), f.cast("int").alias("f"), t.cast("int").alias("t"))
-    whole = ranked.where("repeats").select(*span(F.col("s"), F.col("s") + F.col("n") + length - 1))
+    whole = ranked.where("repeats").select(*span(start, start + n + length - 1))
 
     once = ranked.where("not repeats")
     shared = lambda side: once.where(F.col(side).isNotNull()).groupBy("gram", side).agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("gram", side, F.lit(True).alias(f"more_{side}"))
     sided = once.join(shared("l"), ["gram", "l"], "left").join(shared("r"), ["gram", "r"], "left").where("more_l or more_r")
-    mid, end = F.col("s") + F.col("off") - (length - gram + 1) // 2, F.col("s") + F.col("n")
-    low = F.when(F.col("more_l"), F.col("s")).otherwise(F.greatest("s", mid))
+    mid, end = start + off - (length - gram + 1) // 2, start + n
+    low = F.when(F.col("more_l"), start).otherwise(F.greatest(start, mid))
     high = F.when(F.col("more_r"), end).otherwise(F.least(end, mid + 1))
     ranges = settle(sided.select(*span(low, high)).where("f < t"))
     windows = ranges.agg(F.sum(F.col("t") - F.col("f"))).first()[0] or 0
@@ -356,9 +361,10 @@ def dedup(docs: DataFrame, length: int = 50, gram: int = 24, bucket_bytes: int =
     cuts = settle(listed(whole.unionByName(single), "cuts", "f", "t"))
     forget(ranked, ranges, left)
     none = F.array().cast("array<struct<f:int,t:int>>")
-    everything = F.array(F.struct(F.lit(0).alias("f"), F.octet_length("text").alias("t")))
-    cut = F.when(F.col("copy"), everything).otherwise(F.coalesce("cuts", none))
-    return rows.join(cuts, "rid", "left").select("doc_id", "text", cut.alias("cuts")).mapInArrow(_cut, CUT)
+    whole_texts = rows.where("text is not null").join(cuts, "rid", "left").select("doc_id", "text", F.coalesce("cuts", none).alias("cuts"))
+    span_of_all = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
+    copies = rows.where("text is null").select("doc_id", "n_bytes", span_of_all.alias("spans"), F.lit(b"").alias("kept"))
+    return whole_texts.mapInArrow(_cut, CUT).unionByName(copies)
 
 
 def digests(found: DataFrame) -> DataFrame:
