@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from . import graph, packing
+from . import graph, packing, similarity
 
 # Merge priority of relation labels, the strongest first.
 PRIORITY = ["CONFLICT", "COMPLEMENTARY", "CONTEXTUAL_REPEAT", "SEMANTIC_EQUIVALENT", "EXACT_DUPLICATE", "UNRELATED"]
@@ -101,6 +101,26 @@ def view_pairs(members: DataFrame, most: int = FUZZY_LIMIT) -> DataFrame:
     return g.select(F.explode(F.flatten(each)).alias("p")).select("p.a", "p.b").distinct()
 
 
+def complete_pairs(claims: DataFrame, id_: str, statement: str, num: int = 7, den: int = 10) -> similarity.Similar:
+    """All claims whose statements' 3-grams agree by ``num / den`` (0.7) or more, however large the blocks they share.
+
+    The views compare large blocks in windows only; this finds every pair at the threshold, as
+    classes of equal 3-gram sets and links between these.
+    """
+    return similarity.join(claims.select(F.col(id_).alias("id"), text.shingles(text.alphanumerics(F.col(statement))).alias("tokens")), num, den)
+
+
+def reference_blocks(members: DataFrame, most: int = FUZZY_LIMIT) -> DataFrame:
+    """The narrower rule for token and MinHash blocks: those above ``most`` are left out, those above 40 go in windows.
+
+    ``members`` as of ``views``; rows ``view, block, window_start, id``.
+    """
+    w = packing.wide_windows(members.where(F.col("view").isin("token", "minhash")), ["view", "block"], "ord", "id").where(F.col("n") <= most)
+    small = F.col("n") <= 40
+    w = w.where(~small | (F.col("window_start") == 0))
+    return w.where(F.least(F.lit(40), F.col("n") - F.col("window_start")) > 1).select("view", "block", "window_start", "id")
+
+
 def priority(label: Column) -> Column:
     return F.array_position(F.array(*[F.lit(x) for x in PRIORITY]), label).cast("long") - 1
 

@@ -298,6 +298,34 @@ def _parts(spark, sf_dir) -> DataFrame:
     return load(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("path"), F.col("p_type").alias("kind"), F.col("p_name").alias("statement"))
 
 
+# Equal 3-gram sets are one class; different ones at 0.7 share two of the 3-grams that come first from the rare end.
+_SIMILAR_SQL = """WITH c AS MATERIALIZED (CLAIMS),
+ l AS MATERIALIZED (SELECT id, list_sort(list_distinct(list_transform(range(1, greatest(1, length(x) - 2) + 1), lambda i: substr(x, i, 3)))) AS l FROM c WHERE x <> '' UNION ALL SELECT id, []::VARCHAR[] FROM c WHERE x = ''),
+ k AS MATERIALIZED (SELECT min(id) AS cid, l, len(l) AS n FROM l GROUP BY l),
+ g AS MATERIALIZED (SELECT cid, n, unnest(l) AS g FROM k),
+ f AS MATERIALIZED (SELECT g, count(*) AS df FROM g GROUP BY g),
+ p AS MATERIALIZED (SELECT cid, n, g FROM (SELECT cid, n, g, row_number() OVER (PARTITION BY cid ORDER BY df, g) AS i FROM g JOIN f USING (g)) WHERE 10 * (i - 2) <= 3 * n),
+ q AS MATERIALIZED (SELECT x.cid, x.n, hash(x.g, y.g) AS h FROM p x JOIN p y ON y.cid = x.cid AND x.g < y.g),
+ m AS (SELECT DISTINCT a.cid AS a, b.cid AS b FROM q a JOIN q b ON a.h = b.h AND a.cid < b.cid AND 10 * least(a.n, b.n) >= 7 * greatest(a.n, b.n)),
+ s AS MATERIALIZED (SELECT a, b, len(list_intersect(x.l, y.l)) AS shared, x.n + y.n - len(list_intersect(x.l, y.l)) AS u FROM m JOIN k x ON x.cid = a JOIN k y ON y.cid = b WHERE 10 * len(list_intersect(x.l, y.l)) >= 7 * (x.n + y.n - len(list_intersect(x.l, y.l)))),
+ e AS (SELECT cid, count(*) AS links FROM (SELECT a AS cid FROM s UNION ALL SELECT b FROM s) GROUP BY cid)
+ SELECT l.id, k.cid AS class_id, coalesce(links, 0)::BIGINT AS links FROM l JOIN k USING (l) LEFT JOIN e USING (cid)"""
+
+
+@query(_over(_SIMILAR_SQL, _PART_SQL))
+def similar_parts(spark, sf_dir):
+    return claims.complete_pairs(_parts(spark, sf_dir), "id", "statement").per_item()
+
+
+@query()
+def similar_statements(spark, sf_dir):
+    """Each statement of all documents with its class, and to how many others that is similar by 0.7 or more.
+
+    In SQL it takes minutes on whole tables; a test holds it against the product of all with all.
+    """
+    return claims.complete_pairs(_claims(spark, sf_dir), "id", "statement").per_item()
+
+
 @query(_over(_TOKEN_BLOCK_SQL, _PART_SQL))
 def token_blocks(spark, sf_dir):
     return _token_blocks(_parts(spark, sf_dir))
