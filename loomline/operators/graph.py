@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,23 +22,49 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a reliable checkpoint in the session's shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """Cut the lineage by a copy in the session's shared folder, which any executor can read again (see ``forget``)."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    names = [f"c{i}" for i in range(len(df.columns))]  # any name is right
+    df.toDF(*names).write.parquet(path)
+    if not _copies:
+        atexit.register(lambda: [_delete(s, p) for s, p in _copies.values()])
+    _copies[path.rsplit("/", 1)[-1]] = (spark, path)
+    return spark.read.schema(df.toDF(*names).schema).parquet(path).toDF(*df.columns)
+
+
+_copies: dict[str, tuple[SparkSession, str]] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # the session has ended; its folder goes with the job
+        return
+
+
+def forget(*cuts: DataFrame) -> None:
+    """Delete copies of ``cut`` that nothing will read again; what is left goes when Python ends."""
+    for df in cuts:
+        for name in {f.rsplit("/", 2)[-2] for f in df.inputFiles()} & set(_copies):
+            _delete(*_copies.pop(name))
 
 
 def components(nodes: DataFrame, edges: DataFrame, limit: int = 60) -> DataFrame:
     """``node, root`` with the least node of each component, by labels that also jump to their label's label."""
     both = edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct()
     label = nodes.select(F.col("node"), F.col("node").alias("root"))
-    both = cut(both)
+    both, before = cut(both), []
     for _ in range(limit):
         offered = both.join(label, both["a"] == label["node"]).groupBy("b").agg(F.min("root").alias("offer"))
         step = label.join(offered, label["node"] == offered["b"], "left").select("node", F.col("root").alias("old"), F.least("root", F.coalesce("offer", "root")).alias("near"))
         jump = label.select(F.col("node").alias("near"), F.col("root").alias("far"))
         step = cut(step.join(jump, "near", "left").select("node", "old", F.least("near", F.coalesce("far", "near")).alias("root")))
-        label = step.select("node", "root")
+        forget(*before)
+        before, label = [step], step.select("node", "root")
         if step.where("old <> root").isEmpty():
+            forget(both)
             return label
     raise RuntimeError("components did not settle")
 
@@ -51,12 +79,15 @@ def levels(nodes: DataFrame, depends: DataFrame) -> tuple[DataFrame, DataFrame]:
     k, before = 0, -1
     while True:
         waits = edges.select("node").distinct().withColumn("waits", F.lit(True))
-        state = cut(state.join(waits, "node", "left").select("node", F.when(F.col("level").isNull() & F.col("waits").isNull(), F.lit(k).cast("long")).otherwise(F.col("level")).alias("level")))
+        older, state = state, cut(state.join(waits, "node", "left").select("node", F.when(F.col("level").isNull() & F.col("waits").isNull(), F.lit(k).cast("long")).otherwise(F.col("level")).alias("level")))
+        forget(older)
         left = state.where("level is null").count()
         if left in (0, before):
+            forget(edges)
             return state.where("level is not null"), state.where("level is null").select("node")
         gone = state.where("level is not null").select(F.col("node").alias("needs"))
-        edges = cut(edges.join(gone, "needs", "left_anti"))
+        older, edges = edges, cut(edges.join(gone, "needs", "left_anti"))
+        forget(older)
         k, before = k + 1, left
 
 

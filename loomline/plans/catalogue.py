@@ -764,4 +764,4 @@ def classifier_metrics(spark, sf_dir):
     return research.binary_metrics(d.join(load(spark, sf_dir, "labels"), "doc_id"), "quality", "p", "source")
 
 
-from . import pieces, planning  # noqa: E402, F401  (add their queries)
+from . import governance, pieces, planning  # noqa: E402, F401  (add their queries)

@@ -16,7 +16,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MODEL = "model_id string, revision string, cached boolean, size_bytes long, quantization string, context_tokens long, modified_at double, local_path string"
-RESULT = "query_id string, pos long, url string, title string, content string, published_date string"
+RESULT = "query_id string, pos long, url string, title string, content string, published_date string, error string"
 # Fixed value: how a cached repository's folder is named.
 _REPOSITORY = re.compile(r"^models--([^/]+?)--(.+)$")
 _clients: dict[str, Callable] = {}
@@ -108,7 +108,10 @@ class ModelHub(DataSource):
 
 
 class WebSearch(DataSource):
-    """``format("web_search")`` with ``queries`` (a JSON list) and ``limit`` 1 to 10; without a client, no rows."""
+    """``format("web_search")`` with ``queries`` (a JSON list) and ``limit`` 1 to 10; without a client, no rows.
+
+    A search that fails gives one row with its ``error`` and no position; one without results gives none.
+    """
 
     @classmethod
     def name(cls):
@@ -125,12 +128,13 @@ class WebSearch(DataSource):
         queries = json.loads(self.options.get("queries", "[]"))
 
         def rows(query: str) -> Iterator[tuple]:
-            try:  # a search that fails is one without results
+            try:
                 found = list(client(query, limit))[:limit]
-            except Exception:
-                found = []
+            except Exception as e:
+                yield (query, None, None, None, None, None, f"{type(e).__name__}: {e}"[:500])
+                return
             for k, r in enumerate(found):
-                yield (query, k, r.get("url"), r.get("title"), r.get("content"), r.get("published_date"))
+                yield (query, k, r.get("url"), r.get("title"), r.get("content"), r.get("published_date"), None)
 
         return _Rows(rows, queries if client else [])
 

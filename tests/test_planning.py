@@ -252,6 +252,16 @@ def test_connectors(spark, tmp_path):
     assert got["org/tiny-4bit"]["quantization"] == "4-bit" and got["org/tiny-4bit"]["context_tokens"] == 4096 and got["org/tiny-4bit"]["size_bytes"] > 100
     assert got["org/empty"]["size_bytes"] is None
     assert spark.read.format("web_search").option("queries", '["x"]').load().count() == 0
+
+    def client(query, limit):
+        if query == "down":
+            raise OSError("no route")
+        return [{"url": "https://a", "title": query}] * 3 if query == "x" else []
+
+    connectors.register(spark, web_search=client)
+    found = spark.read.format("web_search").option("queries", '["x", "none", "down"]').option("limit", 2).load().collect()
+    assert sorted((r["query_id"], r["pos"] if r["pos"] is not None else -1, r["error"]) for r in found) == [("down", -1, "OSError: no route"), ("x", 0, None), ("x", 1, None)]
+    connectors._clients.pop("web_search")
     with pytest.raises(Exception, match="MODEL_HUB_UNAVAILABLE"):
         spark.read.format("model_hub").option("query", "x").load().count()
 
