@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import audit, claims, clusters, incremental, retrieval
+from ..operators import audit, claims, clusters, incremental, packing, retrieval
 from .catalogue import _PART_SQL, _parts, load, query
 
 _PART_CLASSES = f"""WITH RECURSIVE c AS MATERIALIZED ({_PART_SQL}),
@@ -29,6 +29,13 @@ def part_clusters(spark, sf_dir):
     return clusters.without_drift(s, ranks).select("id", "canonical_id", F.round("similarity", 6).alias("similarity"))
 
 
+@query()
+def candidate_batches(spark, sf_dir):
+    """The batches in which part names are compared, by the narrower block rule; first-fit is held to brute force by a test."""
+    blocks = claims.reference_blocks(claims.views(_parts(spark, sf_dir)))
+    return packing.candidate_batches(blocks).select("component", "bin", F.size("members").cast("long").alias("size"), F.col("members")[0].alias("first_id"))
+
+
 _BODY = ["event_id", "event_type", "props"]
 _CHAIN_WITH = """WITH RECURSIVE e AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, event_id || '|' || event_type || '|' || props AS body FROM events),
  c AS (SELECT user_id, event_id, i, '' AS before, sha256(chr(10) || body) AS h FROM e WHERE i = 1 UNION ALL SELECT e.user_id, e.event_id, e.i, c.h, sha256(c.h || chr(10) || e.body) FROM c JOIN e ON e.user_id = c.user_id AND e.i = c.i + 1)"""

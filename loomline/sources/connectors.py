@@ -19,7 +19,6 @@ MODEL = "model_id string, revision string, cached boolean, size_bytes long, quan
 RESULT = "query_id string, pos long, url string, title string, content string, published_date string, error string"
 # Fixed value: how a cached repository's folder is named.
 _REPOSITORY = re.compile(r"^models--([^/]+?)--(.+)$")
-_clients: dict[str, Callable] = {}
 
 
 class _Rows(DataSourceReader):
@@ -80,6 +79,8 @@ class ModelCache(DataSource):
 class ModelHub(DataSource):
     """``format("model_hub")`` with ``query`` (and ``limit`` 1 to 100) or ``model_id`` and ``revision``."""
 
+    client: Callable | None = None
+
     @classmethod
     def name(cls):
         return "model_hub"
@@ -88,7 +89,7 @@ class ModelHub(DataSource):
         return MODEL
 
     def reader(self, schema):
-        client = _clients.get("model_hub")
+        client = self.client
         if client is None:
             raise ValueError("MODEL_HUB_UNAVAILABLE")
         o = dict(self.options)
@@ -113,6 +114,8 @@ class WebSearch(DataSource):
     A search that fails gives one row with its ``error`` and no position; one without results gives none.
     """
 
+    client: Callable | None = None
+
     @classmethod
     def name(cls):
         return "web_search"
@@ -121,7 +124,7 @@ class WebSearch(DataSource):
         return RESULT
 
     def reader(self, schema):
-        client = _clients.get("web_search")
+        client = self.client
         limit = int(self.options.get("limit", 5))
         if not 1 <= limit <= 10:
             raise ValueError("limit must be 1 to 10")
@@ -140,7 +143,8 @@ class WebSearch(DataSource):
 
 
 def register(spark: SparkSession, **clients: Callable) -> None:
-    """Make the three formats known; ``model_hub=`` and ``web_search=`` set their clients."""
-    _clients.update(clients)
+    """Make the three formats known; ``model_hub=`` and ``web_search=`` set their clients, which go to the workers with the format."""
     for source in (ModelCache, ModelHub, WebSearch):
-        spark.dataSource.register(source)
+        client = clients.get(source.name())
+        bound = source if client is None else type(source.__name__ + "WithClient", (source,), {"client": staticmethod(client)})
+        spark.dataSource.register(bound)

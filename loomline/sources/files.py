@@ -115,6 +115,24 @@ RELATIONS = {
 }
 
 
+_HEX = "rlike '^[0-9a-f]{64}$'"
+#: What a row of a relation must satisfy to be a valid checkpoint.
+SOUND = {
+    "evidence": "content_sha256 = sha2(text, 256) AND start_char < end_char AND ordinal >= 0",
+    "claim_drafts": "trim(statement) <> '' AND draft_id IS NOT NULL AND evidence_id IS NOT NULL",
+    "claims": "trim(statement) <> '' AND size(evidence_ids) > 0 AND size(draft_ids) > 0",
+    "relations": "left_id <> right_id AND relation IN ('CONFLICT', 'COMPLEMENTARY', 'CONTEXTUAL_REPEAT', 'SEMANTIC_EQUIVALENT', 'EXACT_DUPLICATE')",
+    "tasks": "size(owned_claim_ids) > 0 AND NOT array_contains(depends_on, task_id) AND position >= 0",
+    "task_outputs": "attempt >= 1 AND size(sections) > 0 AND forall(sections, s -> trim(s.heading) <> '' AND trim(s.markdown) <> '')",
+    "task_validations": "attempt >= 1 AND valid = (size(error_codes) = 0)",
+    "web_sources": "url LIKE 'https://%' AND size(claim_ids) > 0",
+    "web_assessments": "verdict IN ('CONFIRMED', 'CONTRADICTED', 'INCONCLUSIVE', 'OUTDATED') AND claim_id IS NOT NULL",
+    "final_document": "sha256 = sha2(markdown, 256) AND trim(markdown) <> ''",
+    "definition": "before_root <> after_root AND trim(model_id) <> ''",
+    "result": f"ledger_sha256 {_HEX} AND plan_sha256 {_HEX} AND document_sha256 {_HEX} AND report_sha256 {_HEX}",
+}
+
+
 def load_relation(spark: SparkSession, root: str, name: str, job_id: str) -> DataFrame:
     """A job's relation with its exact types; a missing one is an error."""
     fields = spark.createDataFrame([], RELATIONS[name]).columns
@@ -135,7 +153,11 @@ def save_relation(df: DataFrame, root: str, name: str, job_id: str) -> bool:
 
 
 def checkpoints(spark: SparkSession, root: str, job_id: str, expected: dict[str, int]) -> DataFrame:
-    """For each stage of a job: expected and saved rows, and MISSING, IN_PROGRESS, SAVED or INVALID."""
+    """For each stage of a job: expected and saved rows, and MISSING, IN_PROGRESS, SAVED or INVALID.
+
+    INVALID: more rows than expected, a row that its relation's rule (``SOUND``) does not allow, or
+    repeated rows.
+    """
     from pyspark.errors import AnalysisException
 
     from ..operators import jobs
@@ -144,7 +166,9 @@ def checkpoints(spark: SparkSession, root: str, job_id: str, expected: dict[str,
     for name in expected:
         try:
             d = spark.read.schema(RELATIONS[name]).parquet(f"{root}/{name}").where(F.col("job_id") == job_id)
-            one = d.agg(F.lit(name).alias("stage"), F.count("*").alias("saved"), F.lit(True).alias("valid"))
+            sound = F.coalesce(F.expr(SOUND[name]), F.lit(False))
+            rows = d.groupBy(F.xxhash64(F.to_json(F.struct(*d.columns))).alias("h")).agg(F.count("*").alias("n"), F.min(sound).alias("ok"))
+            one = rows.agg(F.lit(name).alias("stage"), F.coalesce(F.sum("n"), F.lit(0)).alias("saved"), F.coalesce(F.min(F.col("ok") & (F.col("n") == 1)), F.lit(True)).alias("valid"))
             one.count()
         except AnalysisException:
             continue

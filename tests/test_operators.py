@@ -56,6 +56,60 @@ def test_bounded_bins(spark):
     assert got == [["a", "b", "c", "d"], ["e"]]
 
 
+def first_fit(blocks, most):
+    bins = []
+    for b in sorted(map(sorted, blocks), key=lambda b: (-len(b), b)):
+        for x in bins:
+            if len(x | set(b)) <= most:
+                x |= set(b)
+                break
+        else:
+            bins.append(set(b))
+    return [sorted(x) for x in bins]
+
+
+def test_bounded_bins_by_brute_force(spark):
+    import random
+
+    for seed in range(30):
+        r = random.Random(seed)
+        blocks = [r.sample(range(80), r.randrange(1, 14)) for _ in range(200)]
+        fit = packing.FirstFit(12)
+        for b in sorted(map(sorted, blocks), key=lambda b: (-len(b), b)):
+            fit.add(b)
+        assert [sorted(x) for x in fit.bins] == first_fit(blocks, 12)
+    rows = [(g, b) for g in (1, 2, None) for b in blocks]
+    got = packing.bounded_bins(spark.createDataFrame(rows, "g int, members array<int>").repartition(4), ["g"], 12).collect()
+    for g in (1, 2, None):
+        assert [r["members"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["bin"])] == first_fit(blocks, 12)
+
+
+def test_candidate_batches(spark):
+    rows = [("token", f"w{w}", 0, 100 * (w % 3) + m) for w in range(30) for m in range(w % 5, w % 5 + 3 + w % 4)]
+    blocks = {}
+    for _, w, _, i in rows:
+        blocks.setdefault(w, set()).add(i)
+    got = packing.candidate_batches(spark.createDataFrame(rows, "view string, block string, window_start int, id int"), 6).collect()
+    want = [b for k in range(3) for b in first_fit({tuple(sorted(b)) for b in blocks.values() if min(b) // 100 == k}, 6)]
+    assert sorted(r["members"] for r in got) == sorted(want)
+    assert all(any(b <= set(r["members"]) for r in got) for b in blocks.values())
+
+
+def test_next_fit_of_a_long_group(spark):
+    sizes = [(i * 7919) % 97 for i in range(20_000)]
+    items = spark.createDataFrame([("g", i, f"i{i}", s) for i, s in enumerate(sizes)] + [(None, 0, "x", 5000)], "g string, o int, item string, size int")
+    got = {(r["g"], r["batch_ordinal"]): (r["item_ids"], r["input_tokens"]) for r in packing.next_fit(items, ["g"], "o", "item", "size", 300, 2).collect()}
+    want, load = [[]], 0
+    for i, s in enumerate(sizes):
+        if want[-1] and load + 2 + s > 300:
+            want.append([])
+        load = load + 2 + s if want[-1] else s
+        want[-1].append(i)
+    assert got.pop((None, 0)) == (["x"], 5000)
+    assert [got["g", k][0] for k in range(len(want))] == [[f"i{i}" for i in b] for b in want]
+    assert all(got["g", k][1] == sum(sizes[i] for i in b) + 2 * (len(b) - 1) for k, b in enumerate(want))
+
+
 def test_graph(spark):
     n = spark.range(8).select(F.col("id").alias("node"))
     e = spark.createDataFrame([(7, 6), (6, 5), (5, 4), (1, 2), (3, 3)], "a long, b long")

@@ -1,5 +1,6 @@
 """Plans and their execution, the job store, workspaces and connectors."""
 
+import hashlib
 import json
 import threading
 import time
@@ -227,6 +228,20 @@ def test_typed_relations(spark, tmp_path):
     assert got == {"relations": "IN_PROGRESS", "tasks": "MISSING"}
 
 
+def test_checkpoints_look_at_what_is_saved(spark, tmp_path):
+    root, hex_ = str(tmp_path), "a" * 64
+    put = lambda name, *rows: spark.createDataFrame(rows, files.RELATIONS[name]).write.mode("append").parquet(f"{root}/{name}")
+    put("final_document", ("good", "text", hashlib.sha256(b"text").hexdigest()), ("bad", "text!", hashlib.sha256(b"text").hexdigest()))
+    put("task_validations", ("good", "t", 1, True, []), ("bad", "t", 1, True, ["X"]))
+    put("result", ("good", hex_, hex_, hex_, hex_), ("bad", hex_, "x", hex_, None))
+    put("relations", ("good", "a", "b", "CONFLICT"), ("good", "a", "c", "CONFLICT"), ("bad", "a", "b", "CONFLICT"), ("bad", "a", "b", "CONFLICT"))
+    put("tasks", ("good", "t", 0, "T", "o", ["c"], [], [], [], ["u"]), ("bad", "t", 0, "T", "o", ["c"], [], [], [], ["t"]))
+    put("claims", ("good", "c", "FACT", "s", ["e"], ["d"], [], [], []), ("bad", "c", "FACT", "s", [], ["d"], [], [], []))
+    expected = {"final_document": 1, "task_validations": 1, "result": 1, "relations": 2, "tasks": 1, "claims": 1}
+    status = lambda job: {r["stage"]: r["status"] for r in files.checkpoints(spark, root, job, expected).collect()}
+    assert set(status("good").values()) == {"SAVED"} and set(status("bad").values()) == {"INVALID"} and set(status("none").values()) == {"MISSING"}
+
+
 def test_settings_and_manifests(spark, tmp_path):
     pytest.importorskip("yaml")
     (tmp_path / "default.yaml").write_text("a: {x: 1, y: 2}\nlog: {level: INFO}\n")
@@ -261,7 +276,8 @@ def test_connectors(spark, tmp_path):
     connectors.register(spark, web_search=client)
     found = spark.read.format("web_search").option("queries", '["x", "none", "down"]').option("limit", 2).load().collect()
     assert sorted((r["query_id"], r["pos"] if r["pos"] is not None else -1, r["error"]) for r in found) == [("down", -1, "OSError: no route"), ("x", 0, None), ("x", 1, None)]
-    connectors._clients.pop("web_search")
+    connectors.register(spark)
+    assert spark.read.format("web_search").option("queries", '["x"]').load().count() == 0
     with pytest.raises(Exception, match="MODEL_HUB_UNAVAILABLE"):
         spark.read.format("model_hub").option("query", "x").load().count()
 
