@@ -335,23 +335,25 @@ def dedup(docs: DataFrame, length: int = 50, gram: int = 24, bucket_bytes: int =
     left = settle(asked.groupBy("bucket").applyInArrow(_runs_left, SURVIVOR))
     runs = settle(of.join(listed(left, "runs", "gram", "place"), "rid").mapInArrow(_runs(length, gram), RUNS))
     forget(left)
-    ranks = settle(runs.groupBy("gram", "seg").agg(F.min("doc").alias("first")))
-    several = ranks.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram", F.lit(True).alias("unsettled"))
-    ranked = runs.join(ranks.join(several, "gram", "left"), ["gram", "seg"]).withColumn("repeats", F.col("doc") > F.col("first")).where("repeats or unsettled")
+    ranks = runs.groupBy("gram", "seg").agg(F.min("doc").alias("first"))
+    ranked = runs.join(ranks, ["gram", "seg"]).withColumn("repeats", F.col("doc") > F.col("first"))
     compared = [F.when(~F.col("repeats"), F.col(c)).alias(c) for c in ("doc", "gram", "l", "r")]
     ranked = settle(ranked.select("rid", "place", "repeats", *compared))
-    forget(runs, ranks)
+    forget(runs)
     start, n, off = F.shiftright("place", 16), F.shiftright("place", 8).bitwiseAND(255), F.col("place").bitwiseAND(255)
     span = lambda f, t: (F.col("rid"), f.cast("int").alias("f"), t.cast("int").alias("t"))
-    whole = ranked.where("repeats").select(*span(start, start + n + length - 1))
+    whole = settle(ranked.where("repeats").select(*span(start, start + n + length - 1)))
 
-    once = ranked.where("not repeats")
+    firsts = ranked.where("not repeats")
+    several = firsts.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")  # a gram with one rank is done
+    once = firsts.join(several, "gram")
     shared = lambda side: once.where(F.col(side).isNotNull()).groupBy("gram", side).agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b").select("gram", side, F.lit(True).alias(f"more_{side}"))
     sided = once.join(shared("l"), ["gram", "l"], "left").join(shared("r"), ["gram", "r"], "left").where("more_l or more_r")
     mid, end = start + off - (length - gram + 1) // 2, start + n
     low = F.when(F.col("more_l"), start).otherwise(F.greatest(start, mid))
     high = F.when(F.col("more_r"), end).otherwise(F.least(end, mid + 1))
     ranges = settle(sided.select(*span(low, high)).where("f < t"))
+    forget(ranked)
     windows = ranges.agg(F.sum(F.col("t") - F.col("f"))).first()[0] or 0
     asked = of.select("rid", "text").join(listed(ranges, "ranges", "f", "t"), "rid").mapInArrow(_windows(length, parts(windows, 24)), QUESTION)
     left = settle(asked.groupBy("bucket").applyInArrow(_windows_left, SHARED).join(of.select("rid", "doc"), "rid"))
@@ -359,7 +361,7 @@ def dedup(docs: DataFrame, length: int = 50, gram: int = 24, bucket_bytes: int =
     single = left.join(last, ["r1", "r2"]).where("doc > first").select(*span(F.col("p"), F.col("p") + length))
 
     cuts = settle(listed(whole.unionByName(single), "cuts", "f", "t"))
-    forget(ranked, ranges, left)
+    forget(whole, ranges, left)
     none = F.array().cast("array<struct<f:int,t:int>>")
     whole_texts = rows.where("text is not null").join(cuts, "rid", "left").select("doc_id", "text", F.coalesce("cuts", none).alias("cuts"))
     span_of_all = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
