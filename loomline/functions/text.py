@@ -77,6 +77,11 @@ def fold(c: Column) -> Column:
     return F.when(F.octet_length(c) == F.length(c), low).otherwise(F.when(sharp.rlike(_among(rare)), full).otherwise(sharp))
 
 
+def lower(c: Column) -> Column:
+    """SQL's lower case: each letter becomes one, wherever it stands, and the sharp s stays."""
+    return F.lower(F.translate(c, "\u0130\u03a3", "i\u03c3"))
+
+
 def alphanumerics(c: Column) -> Column:
     return F.regexp_replace(fold(c), r"[^\p{L}\p{N}]", "")
 

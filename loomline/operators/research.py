@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -118,17 +118,20 @@ def _places(literals: list[str]):
     return of
 
 
-def literal_hits(documents: DataFrame, key: str, column: str, literals: DataFrame, most_bytes: int = 16 << 20) -> DataFrame:
+def literal_hits(documents: DataFrame, key: str, column: str, literals: DataFrame, most_bytes: int = 16 << 20, fold: Callable[[Column], Column] = text.fold) -> DataFrame:
     """Literals (``item_id, literal``) that whole documents contain, whatever the case: rows ``key, item_id``.
 
+    Each row of ``literals`` counts, so an item with two literals in a document, or one given
+    twice, comes twice.  ``fold`` is what both sides are compared in.
+
     One pass over the texts for every ``most_bytes`` of literals, in time linear in the texts: an
     automaton of all literals at once reads each text from left to right.  Empty literals are in
     no text, null texts hold none.
     """
-    lit = literals.select("item_id", text.fold(F.col("literal")).alias("literal")).where("literal <> ''").groupBy("literal").agg(F.collect_set("item_id").alias("items"))
+    lit = literals.select("item_id", fold(F.col("literal")).alias("literal")).where("literal <> ''").groupBy("literal").agg(F.collect_list("item_id").alias("items"))
     kinds = dict(documents.dtypes)[key], dict(literals.dtypes)["item_id"]
     schema = f"`{key}` {kinds[0]}, item_id {kinds[1]}"
-    d = documents.select(F.col(key), text.fold(F.col(column)).alias("x")).where("x is not null")
+    d = documents.select(F.col(key), fold(F.col(column)).alias("x")).where("x is not null")
     out = documents.sparkSession.createDataFrame([], schema)
     for rows in _literal_groups(lit, ["literal", "items"], most_bytes):
         words, items = [r["literal"] for r in rows], [r["items"] for r in rows]
@@ -138,7 +141,7 @@ def literal_hits(documents: DataFrame, key: str, column: str, literals: DataFram
             for b in batches:
                 at, found = [], []
                 for i, x in enumerate(b.column("x").to_pylist()):
-                    mine = {item for k in {k for k, _ in places(x)} for item in items[k]}
+                    mine = [item for k in {k for k, _ in places(x)} for item in items[k]]
                     at += [i] * len(mine)
                     found += mine
                 yield pa.RecordBatch.from_arrays([b.column(key).take(pa.array(at, pa.int64())), pa.array(found, _arrow(kinds[1]))], names=[key, "item_id"])
