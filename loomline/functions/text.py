@@ -27,8 +27,13 @@ HEADING = r"(?m)^(#{1,6})\s+(.+?)\s*$"
 
 
 @F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: x if x is None or x.isascii() else unicodedata.normalize("NFC", x))
+def _nfc(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
+
+
+def nfc(c: Column) -> Column:
+    """Normal form C; plain ASCII is in it, and is not sent to Python."""
+    return F.coalesce(_nfc(F.when(F.octet_length(c) != F.length(c), c)), c)
 
 
 @F.pandas_udf(StringType())
@@ -45,6 +50,12 @@ def normalize(c: Column) -> Column:
     return nfc(newlines(c))
 
 
+def normalized(s: str) -> str:
+    """``normalize`` of one text, in Python."""
+    s = s.replace("\r\n", "\n").replace("\r", "\n")
+    return s if s.isascii() else unicodedata.normalize("NFC", s)
+
+
 def _folds() -> tuple[dict[str, str], dict[str, str]]:
     """What case folding changes beyond lower case, by rule: to one character, and to several (below U+0590 and ligatures)."""
     odd = {c: c.casefold() for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and c.lower() == c != c.casefold()}

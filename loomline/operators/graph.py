@@ -33,6 +33,17 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.toDF(*names).schema).parquet(path).toDF(*df.columns)
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> SparkSession:
+    """The session, with at most ``rows`` and about ``size`` of them an Arrow batch where it has Spark's defaults.
+
+    Whole texts are much for one Python worker; a size that somebody chose is kept.
+    """
+    for key, default, modest in (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", size)):
+        if spark.conf.get(key, None) == default:
+            spark.conf.set(key, modest)
+    return spark
+
+
 _copies: dict[str, tuple[SparkSession, str]] = {}
 
 
