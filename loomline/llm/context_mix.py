@@ -11,15 +11,15 @@ state is the class of the latest of the ``ANCHORS`` most frequent words of all l
 over the whole of them);
 classes merge anchors that follow each other, by mutual information (Brown et al., 1992).  Head
 bits are learned online, text after text in each partition: predict, then adjust weights and
-map (in every ``ADJUST``-th group of texts), then count (in all).  Partitions add their counts
+map, then count, all in all texts.  Partitions add their counts
 and maps and average their weights.
 
 *Rest* of a token: contexts are its last two bytes with the state, its last four and its whole
 beginning, each with and without the state.  A rest depends on the state and the token alone, so it is priced once for
 each pair of them that occurs.  Counts over beginnings grow with the corpus and are never
 gathered: pairs are dealt by their first bytes, and each task counts the beginnings of its own.
-Weights are learned online, each token predicted without one occurrence of itself, at every
-``ADJUST``-th of its bytes (another for each token).
+Weights are learned online, each token predicted without one occurrence of itself, at all of
+its bytes.
 
 The bits add up to the log-probability of the text, so probabilities over all token sequences
 sum to one.  What goes to the driver is bounded: tables of fixed size (``HEAD_BITS``,
@@ -56,7 +56,6 @@ ANCHORS, STATES = 64, 5  # state 0: no anchor yet
 HEAD_BITS = (12, 19, 20)
 REST_BITS = (19, 20, 20)
 GATES, MAP_STEPS = 14, 33
-ADJUST = 4
 NEAR = 4  # bytes of a beginning that the fixed tables know
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SALT = np.arange(1, 9, dtype=np.uint64) * _B
@@ -91,9 +90,9 @@ class Code:
                         self.size[r, m] += 1
                 heapq.heappush(heap, (a + b, min(i, j), x + y))
 
-    def steps(self, rows: np.ndarray, symbols: np.ndarray, only: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Bit after bit: places (of those with a bit left), their nodes in the code, and bits; ``only``: of these places."""
-        at = np.arange(len(symbols)) if only is None else only
+    def steps(self, rows: np.ndarray, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Bit after bit: places (of those with a bit left), their nodes in the code, and bits."""
+        at = np.arange(len(symbols))
         size, code = self.size[rows[at], symbols[at]], self.code[rows[at], symbols[at]]
         node = np.ones(len(at), np.uint64)
         while len(at):
@@ -231,15 +230,13 @@ def head_gates(sure: list[np.ndarray], state: np.ndarray) -> tuple[np.ndarray, n
     return sure[2] * GATES + sure[1], state * GATES + sure[0]
 
 
-def learn_heads(t: Texts, code: Code, tables: list[np.ndarray], m: Mixer, adjust: bool = True) -> None:
+def learn_heads(t: Texts, code: Code, tables: list[np.ndarray], m: Mixer) -> None:
     contexts, n = heads(t), max(1, len(t.ids))
-    if adjust:
-        m.map *= 0.97
+    m.map *= 0.97
     for at, node, bit in code.steps(np.zeros_like(t.state), t.first):
         slots = [slot(c[at], node, b) for c, b in zip(contexts, HEAD_BITS)]
-        if adjust:
-            x, sure = zip(*(m.odds(a[0][s], a[1][s]) for a, s in zip(tables, slots)))
-            m.adjust(list(x), *head_gates(sure, t.state[at]), bit, np.full(len(at), 1 / n, np.float32), n)
+        x, sure = zip(*(m.odds(a[0][s], a[1][s]) for a, s in zip(tables, slots)))
+        m.adjust(list(x), *head_gates(sure, t.state[at]), bit, np.full(len(at), 1 / n, np.float32), n)
         one = bit.astype(np.int64)
         for a, s in zip(tables, slots):
             np.add.at(a.reshape(-1), s + one * a.shape[1], np.float32(1))
@@ -448,7 +445,7 @@ def _read_corpus(groups: dict[bytes, int], code: Code):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held = Vocabulary(groups, 400_000), [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        tables, m, turn = empty_tables(HEAD_BITS), Mixer(len(HEAD_BITS)), 0
+        tables, m, used = empty_tables(HEAD_BITS), Mixer(len(HEAD_BITS)), False
 
         def out() -> Iterator[pa.RecordBatch]:
             n = max(map(len, held))
@@ -472,10 +469,10 @@ def _read_corpus(groups: dict[bytes, int], code: Code):
                         held[i] = np.pad(held[i], (0, 16 * len(known) - len(held[i])))
                     np.add.at(held[i], (t.ids << 3) | t.state, 1)
                     if not i and len(t.ids):
-                        learn_heads(t, code, tables, m, turn % ADJUST == 0)
-                        turn += 1
+                        learn_heads(t, code, tables, m)
+                        used = True
         yield from out()
-        if turn:
+        if used:
             for piece in _sparse(tables):
                 yield row(**{x: piece.column(x) for x in ("k", "at", "n")})
             yield row(w=[m.w.astype(np.float64).tobytes()], m=[m.map.tobytes()])
@@ -616,7 +613,7 @@ def _rated(pairs: DataFrame, code: Code, task_pairs: int) -> DataFrame:
                 r = Rests([token[i] for i in pick], state[pick], depth[pick])
                 share, used = (c[pick] / c[pick].sum()).astype(np.float32), True
                 m.map *= 0.97
-                for at, node, bit in code.steps(r.before, r.symbol, np.flatnonzero((r.token + r.place) % ADJUST == 0)):
+                for at, node, bit in code.steps(r.before, r.symbol):
                     x, g1, g2 = rest_odds(r, at, node, bit, fixed.value, own, np.ones(len(pick), np.float32))
                     m.adjust(x, g1, g2, bit, share[r.token[at]], len(pick))
         if used:
