@@ -84,20 +84,21 @@ def levels(nodes: DataFrame, depends: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Kahn's peeling: (``node, level``, nodes that a cycle holds back), to the end however deep.
 
     One table holds all nodes with the level they left at; a round joins only what is left.
+    Rounds are many, so no side of their joins is broadcast: that would go through the driver each time.
     """
     state = cut(nodes.select("node").distinct().withColumn("level", F.lit(None).cast("long")))
     edges = cut(depends.select("node", "needs").distinct())
     k, before = 0, -1
     while True:
         waits = edges.select("node").distinct().withColumn("waits", F.lit(True))
-        older, state = state, cut(state.join(waits, "node", "left").select("node", F.when(F.col("level").isNull() & F.col("waits").isNull(), F.lit(k).cast("long")).otherwise(F.col("level")).alias("level")))
+        older, state = state, cut(state.join(waits.hint("merge"), "node", "left").select("node", F.when(F.col("level").isNull() & F.col("waits").isNull(), F.lit(k).cast("long")).otherwise(F.col("level")).alias("level")))
         forget(older)
         left = state.where("level is null").count()
         if left in (0, before):
             forget(edges)
             return state.where("level is not null"), state.where("level is null").select("node")
         gone = state.where("level is not null").select(F.col("node").alias("needs"))
-        older, edges = edges, cut(edges.join(gone, "needs", "left_anti"))
+        older, edges = edges, cut(edges.join(gone.hint("merge"), "needs", "left_anti"))
         forget(older)
         k, before = k + 1, left
 
