@@ -277,6 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str, in_training, kind: str,
     def drawn(ids: DataFrame, bound: int, seed: int, positive: bool) -> DataFrame:
         """About ``bound`` of the ids, each with one text: its least."""
         few = thinned(ids, "key", ids.count(), bound, seed)
+        few = F.broadcast(few)  # about ``bound`` ids, whatever the input: only texts that are drawn are shuffled
         return text.join(few, "key", "left_semi").groupBy("key").agg(F.min("text").alias("text")).select("key", "text", F.lit(positive).alias("is_p"))
 
     positives = drawn(trusted.join(known, "key", "left_semi"), max_positive, seed, True)
