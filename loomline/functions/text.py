@@ -132,8 +132,8 @@ def lexical_tokens(c: Column) -> Column:
 
 def longest_tokens(c: Column, n: int = 8) -> Column:
     """The n longest tokens, ties by token."""
-    keyed = F.array_sort(F.transform(lexical_tokens(c), lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))
-    return F.transform(F.slice(keyed, 1, n), lambda x: x["t"])
+    keyed = F.sort_array(F.transform(lexical_tokens(c), lambda t: F.struct((-F.length(t)).alias("l"), t.alias("t"))))
+    return F.slice(keyed, 1, n).getField("t")
 
 
 def minhash(shingle_array: Column, seeds: int = 8) -> Column:

@@ -49,12 +49,17 @@ def unknown_references(drafts_: DataFrame, evidence: DataFrame) -> DataFrame:
     return drafts_.select("draft_id", F.explode("evidence_ids").alias("evidence_id")).join(evidence.select("evidence_id"), "evidence_id", "left_anti")
 
 
+def token_members(claims: DataFrame, id_: str, statement: str, longest: int = 8) -> DataFrame:
+    """Distinct ``id, block`` of each claim's longest tokens."""
+    return claims.select(F.col(id_).alias("id"), F.explode(text.longest_tokens(F.col(statement), longest)).alias("block")).distinct()
+
+
 def token_blocks(claims: DataFrame, id_: str, statement: str, longest: int = 8, most: int = FUZZY_LIMIT) -> DataFrame:
     """Inverted index over each claim's longest tokens; blocks of 2 to ``most`` claims.
 
     Larger blocks are left out here; ``view_pairs`` compares them in windows.
     """
-    t = claims.select(F.col(id_).alias("id"), F.explode(text.longest_tokens(F.col(statement), longest)).alias("block")).distinct()
+    t = token_members(claims, id_, statement, longest)
     size = t.groupBy("block").agg(F.count("*").alias("members")).where((F.col("members") > 1) & (F.col("members") <= most))
     return t.join(size, "block")
 
