@@ -64,8 +64,13 @@ def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _mixed(bands: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the bands that hold more than one label, with their labels (a settled table)."""
-    mine = bands.join(labels, "cid")
+    """Rows of the bands that hold more than one label, with their labels (a settled table).
+
+    A class meets its label once, not in each of its bands: their number is that of its own keys.
+    """
+    own = [c for c in bands.columns if c != "cid"]
+    packed = bands.groupBy("cid").agg(F.collect_list(F.struct(*own)).alias("rows"))
+    mine = packed.join(labels, "cid").select("cid", "label", F.inline("rows")).select(*bands.columns, "label")
     mixed = mine.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
     return settle(mine.join(mixed, "key"))
 
