@@ -50,10 +50,12 @@ def modest_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it back.
 
-    Cuts the lineage, survives lost executors, and costs one compressed columnar copy.
+    Cuts the lineage, survives lost executors, and costs one compressed columnar copy.  ``by``:
+    the copy is bucketed by that column, as many as shuffles have partitions, so that joins by it
+    shuffle only their other side.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
@@ -61,14 +63,22 @@ def settle(df: DataFrame) -> DataFrame:
     usual, kept = spark.conf.get(key), spark.conf.get(clean, "false")
     spark.conf.set(key, min(int(usual), BATCH_ROWS) if int(usual) > 0 else BATCH_ROWS)
     spark.conf.set(clean, "true")  # the copy is all that anybody reads of this job
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), path.rsplit("/", 1)[-1].replace("-", "_")
     try:
-        df.write.parquet(path)
+        if by:
+            df.repartition(buckets, by).write.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(name)
+        else:
+            df.write.parquet(path)
     finally:
         spark.conf.set(key, usual)
         spark.conf.set(clean, kept)
     if not _scratch:
         atexit.register(clear_scratch)
     _scratch.append((spark, path))
+    if by:
+        out = spark.table(name)
+        spark.sql(f"DROP TABLE {name}")  # the name alone: the files are a copy like any other
+        return out
     return spark.read.schema(df.schema).parquet(path)
 
 

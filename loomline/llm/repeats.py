@@ -176,11 +176,19 @@ def _dealt(kinds: tuple, buckets: int, base: int, columns: list[np.ndarray]) ->
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row_, (pa.int64(), pa.bool_(), pa.int64(), pa.binary()))], names=["bucket", "sure", "base", "blob"])
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """Rows with a number ``rid``: the place in their partition before the partition, so that numbers sorted lie close."""
+    n = F.monotonically_increasing_id()
+    part = F.shiftright(n, 33)
+    place = F.shiftleft(n.bitwiseAND((1 << 33) - 1), 20)
+    return df.withColumn("rid", F.when(part < 1 << 20, place + part).otherwise(F.raise_error(F.lit("over 2^20 partitions"))))
+
+
 def _by_part(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, int]]:
-    """Rows of a batch by the partition that numbered them (their numbers lie close), and the least number."""
+    """Rows of a batch by numbers that are less than 2^32 apart, and the least number."""
     ids = b.column("rid").to_numpy()
-    for part in np.unique(ids >> 33):
-        mine = np.flatnonzero(ids >> 33 == part)
+    for part in np.unique(ids >> 32):
+        mine = np.flatnonzero(ids >> 32 == part)
         yield (b if len(mine) == b.num_rows else b.take(pa.array(mine))), int(ids[mine].min())
 
 
@@ -320,14 +328,14 @@ def dedup(docs: DataFrame, length: int = 50, gram: int = 24, bucket_bytes: int =
     if not 1 <= gram < length <= 256 or length - gram > 254:
         raise ValueError("1 <= gram < length <= 256")
     doc, text = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.coalesce(F.col("text"), F.lit(""))
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), text.alias("text"), F.unhex(F.sha2(text, 256)).alias("same"))
-    firsts = given.groupBy("same").agg(F.min("doc").alias("first"))
     size = F.octet_length("text").cast("long")
-    copy = (F.col("doc") > F.col("first")) & (size >= length)
-    rows = given.join(firsts, "same").select("doc_id", "doc", F.when(~copy, F.col("text")).alias("text"), size.alias("n_bytes"))
-    rows = settle(rows.withColumn("rid", F.monotonically_increasing_id()))  # the text of a copy is not needed again
-    of = rows.where(size >= length).select("rid", "doc", "text")
-    total = of.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), doc.alias("doc"), text.alias("text")).withColumns({"n_bytes": size, "same": F.unhex(F.sha2("text", 256))})
+    rows = settle(_numbered(given), "rid")  # texts meet runs, ranges and cuts where they lie
+    same = rows.where(F.col("n_bytes") >= length).select("rid", "doc", "same")
+    copied = settle(same.join(same.groupBy("same").agg(F.min("doc").alias("first")), "same").where("doc > first").select("rid"))
+    kept = rows.join(copied, "rid", "left_anti")  # the text of a copy is not needed again
+    of = kept.where(F.col("n_bytes") >= length).select("rid", "doc", "text")
+    total = kept.where(F.col("n_bytes") >= length).agg(F.sum("n_bytes")).first()[0] or 0
     parts = lambda n, width: max(1, math.ceil(n * width / bucket_bytes))
     listed = lambda df, name, *cols: df.groupBy("rid").agg(F.collect_list(F.struct(*cols)).alias(name))  # noqa: E731  as many as a text's windows
 
@@ -363,9 +371,9 @@ def dedup(docs: DataFrame, length: int = 50, gram: int = 24, bucket_bytes: int =
     cuts = settle(listed(whole.unionByName(single), "cuts", "f", "t"))
     forget(whole, ranges, left)
     none = F.array().cast("array<struct<f:int,t:int>>")
-    whole_texts = rows.where("text is not null").join(cuts, "rid", "left").select("doc_id", "text", F.coalesce("cuts", none).alias("cuts"))
+    whole_texts = kept.join(cuts, "rid", "left").select("doc_id", "text", F.coalesce("cuts", none).alias("cuts"))
     span_of_all = F.array(F.struct(F.lit(0).cast("long").alias("start"), F.col("n_bytes").alias("end")))
-    copies = rows.where("text is null").select("doc_id", "n_bytes", span_of_all.alias("spans"), F.lit(b"").alias("kept"))
+    copies = rows.join(copied, "rid", "left_semi").select("doc_id", "n_bytes", span_of_all.alias("spans"), F.lit(b"").alias("kept"))
     return whole_texts.mapInArrow(_cut, CUT).unionByName(copies)
 
 
