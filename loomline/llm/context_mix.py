@@ -40,10 +40,12 @@ import math
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain, count, islice
+from functools import cached_property
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,10 +68,6 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def tokens_of(text: bytes) -> list[bytes]:
-    return text.lower().split()
-
-
 class Code:
     """Huffman codes of bytes, one for each row of counts: few bits for frequent bytes, and every byte has some."""
 
@@ -90,11 +88,36 @@ class Code:
                         self.size[r, m] += 1
                 heapq.heappush(heap, (a + b, min(i, j), x + y))
 
-    def steps(self, rows: np.ndarray, symbols: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Bit after bit: places (of those with a bit left), their nodes in the code, and bits."""
+    @cached_property
+    def paths(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Nodes and bits of the first row's codes, one after another, and where each begins."""
+        size = self.size[0].astype(np.int64)
+        begin = np.cumsum(size) - size
+        symbol = np.repeat(np.arange(256), size)
+        step = np.arange(len(symbol)) - begin[symbol]
+        code, left = self.code[0][symbol], (size[symbol] - step).astype(np.uint64)
+        bit = (code >> (left - np.uint64(1))) & np.uint64(1)
+        return (np.uint64(1) << step.astype(np.uint64)) | (code >> left), bit.astype(np.float32), begin
+
+    def longest_first(self, rows: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+        """The order of places by falling length of their codes."""
+        return np.argsort(255 - self.size[rows, symbols], kind="stable")
+
+    def steps(self, rows: np.ndarray, symbols: np.ndarray) -> Iterator[tuple[np.ndarray | slice, np.ndarray, np.ndarray]]:
+        """Bit after bit: places (of those with a bit left), their nodes in the code, and bits.
+
+        Where the longest codes come first, places are slices: those with a bit left come first.
+        """
+        size, code = self.size[rows, symbols], self.code[rows, symbols]
+        node = np.ones(len(symbols), np.uint64)
+        if not (size[1:] > size[:-1]).any():
+            left = len(size) - np.searchsorted(size[::-1], np.arange(1, 2 + int(size.max(initial=0))))
+            for k, (n, then) in enumerate(zip(left, left[1:]), 1):
+                bit = (code[:n] >> (size[:n] - np.uint8(k)).astype(np.uint64)) & np.uint64(1)
+                yield slice(0, n), node, bit.astype(np.float32)
+                node = node[:then] * np.uint64(2) + bit[:then]
+            return
         at = np.arange(len(symbols))
-        size, code = self.size[rows[at], symbols[at]], self.code[rows[at], symbols[at]]
-        node = np.ones(len(at), np.uint64)
         while len(at):
             bit = (code >> (size - 1).astype(np.uint64)) & np.uint64(1)
             yield at, node, bit.astype(np.float32)
@@ -104,13 +127,42 @@ class Code:
 
 
 def slot(context: np.ndarray, node: np.ndarray, bits: int) -> np.ndarray:
-    return (((context ^ (node * _B)) * _A) >> np.uint64(64 - bits)).astype(np.int64)
+    s = node * _B
+    s ^= context
+    s *= _A
+    s >>= np.uint64(64 - bits)
+    return s.view(np.int64)  # below 2 ** 63
+
+
+def part_of(at: np.ndarray | slice, some: np.ndarray) -> np.ndarray:
+    """The places that ``some`` of the places ``at`` are."""
+    return some if isinstance(at, slice) else at[some]
 
 
 def empty_tables(bits: tuple[int, ...]) -> list[np.ndarray]:
     return [np.zeros((2, 1 << b), np.float32) for b in bits]
 
 
+def paired(tables: list[np.ndarray]) -> list[np.ndarray]:
+    """The same tables with both counts of a slot side by side in memory: one miss of the cache for both."""
+    return [np.ascontiguousarray(t.T).T for t in tables]
+
+
+def counts_at(table: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of zeros and of ones in slots ``s``."""
+    if table.flags.c_contiguous:
+        return table[0].take(s), table[1].take(s)
+    both = table.T.view(np.complex64)[:, 0].take(s)
+    return both.real, both.imag
+
+
+def count_up(table: np.ndarray, s: np.ndarray, one: np.ndarray, weight: np.ndarray | np.float32) -> None:
+    if table.flags.c_contiguous:
+        np.add.at(table.reshape(-1), s + one * table.shape[1], weight)
+    else:
+        np.add.at(table.T.reshape(-1), 2 * s + one, weight)
+
+
 class Mixer:
     """Gated weights and the adaptive map."""
 
@@ -126,14 +178,17 @@ class Mixer:
         """Log-odds of counts, and the exponent of their sum (0, 1, 2-3, 4-7, ...)."""
         n = zero + one
         x = np.log((one + np.float32(0.02)) / (zero + np.float32(0.02)))
-        return x, np.clip(np.frexp(n)[1], 0, GATES - 1) * (n >= 1)
+        return x, np.clip((n.view(np.int32) >> 23) - 126, 0, GATES - 1)  # the float's own exponent
 
     def mixed(self, x: list[np.ndarray], g1: np.ndarray, g2: np.ndarray) -> np.ndarray:
-        a, b = self.w[0][g1], self.w[1][g2]
-        z = (a[:, -1] + b[:, -1]) * np.float32(0.3)
+        wide = np.zeros((2, GATES * GATES, 4 if self.inputs <= 4 else 8), np.float32)  # rows of 16 or 32 bytes are taken fastest
+        wide[:, :, : self.inputs] = self.w
+        a = wide[0].take(g1, 0)
+        a += wide[1].take(g2, 0)
+        z = a[:, self.inputs - 1] * np.float32(0.3)
         for i, v in enumerate(x):
-            z += (a[:, i] + b[:, i]) * v
-        return np.clip(z, -16, 16)
+            z += a[:, i] * v
+        return np.clip(z, -16, 16, out=z)
 
     @staticmethod
     def place(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,14 +201,15 @@ class Mixer:
         z = self.mixed(x, g1, g2)
         err = (1 / (1 + np.exp(-z)) - bit) * weight
         for side, g in enumerate((g1, g2)):
-            d = np.stack([np.bincount(g, err * v, GATES * GATES) for v in [*x, np.float32(0.3)]], 1)
+            d = np.stack([*(np.bincount(g, err * v, GATES * GATES) for v in x), np.bincount(g, err, GATES * GATES) * 0.3], 1)
             self.grad[side] += d * d
             self.w[side] -= rate * d / np.sqrt(self.grad[side])
         low, part = self.place(z)
-        for d, share in ((0, 1 - part), (1, part)):
-            at, w = g1 // GATES * MAP_STEPS + low + d, weight * share * seen
-            self.map[0] += np.bincount(at, w * bit, GATES * MAP_STEPS).reshape(GATES, -1)
-            self.map[1] += np.bincount(at, w, GATES * MAP_STEPS).reshape(GATES, -1)
+        at, w = (g1 // GATES * MAP_STEPS + low) * 2 + bit.astype(np.int64), weight * np.float32(seen)
+        whole, up = (np.bincount(at, v, 2 * GATES * MAP_STEPS).reshape(GATES, MAP_STEPS, 2) for v in (w, w * part))
+        for d in (whole - up, np.roll(up, 1, 1)):  # ``low`` is never the last step
+            self.map[0] += d[:, :, 1]
+            self.map[1] += d.sum(2)
 
     def log2(self, x, g1, g2, bit) -> np.ndarray:
         """log2 probability of each bit."""
@@ -162,9 +218,9 @@ class Mixer:
         z = self.mixed(x, g1, g2)
         low, part = self.place(z)
         at = g1 // GATES * MAP_STEPS + low
-        half, up = np.float32(0.5), refined[at]
-        p = half / (1 + np.exp(-z)) + half * (up + (refined[at + 1] - up) * part)
-        return np.log2(np.clip(np.abs(1 - bit - p), np.float32(1e-7), 1))
+        half, up = np.float32(0.5), refined.take(at)
+        p = half / (1 + np.exp(-z)) + half * (up + (refined.take(at + 1) - up) * part)
+        return np.log(np.clip(np.abs(1 - bit - p), np.float32(1e-7), 1)) * np.float32(1 / math.log(2))
 
 
 # ---------------------------------------------------------------- tokens in their texts
@@ -193,31 +249,65 @@ class Vocabulary(defaultdict):
         self.group.extend([self.groups.get(w, 0) for w in new])
 
 
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has, and the words; an empty one stands where a text has white space at an edge, or nothing."""
+    flat = texts.cast(pa.binary()).fill_null(b"").view(pa.string())  # bytes as they are: only ASCII is looked at
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(flat))
+    return np.diff(lists.offsets.to_numpy()), lists.flatten().view(pa.binary())
+
+
+def numbered(texts: pa.Array, known: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of all tokens of some texts, each text closed by its end, and how many tokens each has.
+
+    A word is looked up once for all texts.
+    """
+    size, words = split(texts)
+    words = words.dictionary_encode()
+    local, named = words.indices.to_numpy(), words.dictionary.to_numpy(zero_copy_only=False)
+    empty = pc.index(words.dictionary, pa.scalar(b"", pa.binary())).as_py()
+    if empty >= 0:  # beside white space at the edges of a text
+        none = local == empty
+        size = size - np.bincount(np.repeat(np.arange(len(size)), size)[none], minlength=len(size))
+        local, named[empty] = local[~none], END
+    ids = np.full(len(local) + len(size), known[END], np.int64)
+    inner = np.ones(len(ids), bool)
+    inner[np.cumsum(size + 1) - 1] = False
+    ids[inner] = np.fromiter(map(known.__getitem__, named), np.int64, len(named))[local]
+    known.catch_up()
+    return ids, size.astype(np.int64) + 1
+
+
 class Texts:
     """Flat tokens of some texts: numbers, texts, states and the two tokens before."""
 
     def __init__(self, texts: list[bytes | None], known: Vocabulary, may_empty: bool = True):
         if may_empty and len(known) > known.most:
             known.reset()
-        words = [tokens_of(t or b"") for t in texts]
-        for w in words:
-            w.append(END)
-        self.size, self.known = np.fromiter(map(len, words), np.int64, len(words)), known
-        self.ids = np.fromiter(map(known.__getitem__, chain.from_iterable(words)), np.int64, int(self.size.sum()))
-        known.catch_up()
-        self.doc = np.repeat(np.arange(len(texts)), self.size)
-        place = np.arange(len(self.ids)) - (np.cumsum(self.size) - self.size)[self.doc]
-        of = lambda v, kind: np.append(np.frombuffer(v, kind), kind(0))  # the last is for no token
-        none = len(known)
-        back = lambda k: np.where(place >= k, np.concatenate([np.full(min(k, len(place)), none), self.ids[: max(0, len(place) - k)]]), none)
-        hashes, before = of(known.hash, np.uint64), back(1)
-        self.one, self.two = hashes[before], hashes[back(2)]
-        self.first = of(known.first, np.uint8)[self.ids]
+        self.note(*numbered(pa.array(texts, pa.binary()), known), known)
+
+    @classmethod
+    def of(cls, ids: np.ndarray, size: np.ndarray, known: Vocabulary) -> Texts:
+        t = cls.__new__(cls)
+        t.note(ids, size, known)
+        return t
+
+    def note(self, ids: np.ndarray, size: np.ndarray, known: Vocabulary) -> None:
+        self.ids, self.size, self.known = ids, size, known
+        self.doc = np.repeat(np.arange(len(size)), size)
+        starts = np.cumsum(self.size) - self.size  # every text has its end, so no two begin in one place
+        before = lambda x: np.concatenate([x[:0], x[-1:], x[:-1]])
+        self.one = before(np.frombuffer(known.hash, np.uint64).take(self.ids))
+        self.one[starts] = 0  # for no token
+        self.two = before(self.one)
+        self.two[starts] = 0
+        self.first = np.frombuffer(known.first, np.uint8).take(self.ids)
         # The class of the latest anchor before: what came since the text began.
-        group = of(known.group, np.uint8)[before].astype(np.int64)
-        at = np.arange(len(place))
-        last = np.maximum.accumulate(np.where((group > 0) | (place == 0), at, 0)) if len(at) else at
-        self.state = group[last]
+        group = before(np.frombuffer(known.group, np.uint8).take(self.ids))
+        group[starts] = 0
+        new = group > 0
+        new[starts] = True
+        since = np.flatnonzero(new)
+        self.state = np.repeat(group[since].astype(np.int64), np.diff(since, append=len(group)))
 
 
 def heads(t: Texts) -> list[np.ndarray]:
@@ -227,75 +317,110 @@ def heads(t: Texts) -> list[np.ndarray]:
 
 
 def head_gates(sure: list[np.ndarray], state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return sure[2] * GATES + sure[1], state * GATES + sure[0]
+    return (sure[2] * GATES + sure[1]).astype(np.int64, copy=False), state * GATES + sure[0]
+
+
+def odds_at(table: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if len(s) <= table.shape[1]:
+        return Mixer.odds(*counts_at(table, s))
+    x, sure = Mixer.odds(table[0], table[1])  # a slot's odds are worked out once
+    return x.take(s), sure.take(s)
 
 
 def learn_heads(t: Texts, code: Code, tables: list[np.ndarray], m: Mixer) -> None:
-    contexts, n = heads(t), max(1, len(t.ids))
+    n, order = max(1, len(t.ids)), code.longest_first(np.zeros_like(t.state), t.first)
+    contexts, state = [c[order] for c in heads(t)], t.state[order]
     m.map *= 0.97
-    for at, node, bit in code.steps(np.zeros_like(t.state), t.first):
+    for at, node, bit in code.steps(np.zeros_like(state), t.first[order]):
         slots = [slot(c[at], node, b) for c, b in zip(contexts, HEAD_BITS)]
-        x, sure = zip(*(m.odds(a[0][s], a[1][s]) for a, s in zip(tables, slots)))
-        m.adjust(list(x), *head_gates(sure, t.state[at]), bit, np.full(len(at), 1 / n, np.float32), n)
+        x, sure = zip(*(odds_at(a, s) for a, s in zip(tables, slots)))
+        m.adjust(list(x), *head_gates(sure, state[at]), bit, np.full(len(bit), 1 / n, np.float32), n)
         one = bit.astype(np.int64)
         for a, s in zip(tables, slots):
-            np.add.at(a.reshape(-1), s + one * a.shape[1], np.float32(1))
+            count_up(a, s, one, np.float32(1))
 
 
 class Prices:
-    """Fixed tables with odds and exponents worked out once."""
+    """Fixed tables with odds and exponents worked out once, in one word: an exponent is the last four bits of its odds."""
 
     def __init__(self, tables: list[np.ndarray], bits: tuple[int, ...]):
-        self.bits, self.tables = bits, [Mixer.odds(t[0], t[1]) for t in tables]
-        self.tables = [(x, e.astype(np.uint8)) for x, e in self.tables]
+        self.bits, self.tables = bits, []
+        for t in tables:
+            x, sure = Mixer.odds(t[0], t[1])
+            self.tables.append((x.view(np.int32) + 8 & -16) | sure)
 
     def __call__(self, contexts, at, node) -> tuple[list[np.ndarray], list[np.ndarray]]:
         x, sure = [], []
-        for c, b, (odds, exponent) in zip(contexts, self.bits, self.tables):
-            s = slot(c[at], node, b)
-            x.append(odds[s])
-            sure.append(exponent[s].astype(np.int64))
+        for c, b, t in zip(contexts, self.bits, self.tables):
+            got = t.take(slot(c[at], node, b))
+            x.append((got & -16).view(np.float32))
+            sure.append((got & 15).astype(np.int64))
         return x, sure
 
 
-def price_heads(t: Texts, code: Code, prices: Prices, m: Mixer) -> np.ndarray:
-    """log2 probability of each token's first byte."""
+def price_heads(t: Texts, code: Code, prices: Prices, m: Mixer, block: int = 8_000) -> np.ndarray:
+    """log2 probability of each token's first byte: all bits of a block of tokens at once."""
     contexts, out = heads(t), np.zeros(len(t.ids))
-    for at, node, bit in code.steps(np.zeros_like(t.state), t.first):
-        x, sure = prices(contexts, at, node)
-        out[at] += m.log2(x, *head_gates(sure, t.state[at]), bit)
+    nodes, bits, begin = code.paths
+    for k in range(0, len(out), block):
+        first = t.first[k : k + block]
+        size = code.size[0][first].astype(np.int64)
+        starts = np.cumsum(size) - size
+        token = np.repeat(np.arange(k, k + len(first)), size)
+        step = np.repeat(begin[first] - starts, size)
+        step += np.arange(len(step))
+        x, sure = prices(contexts, token, nodes.take(step))
+        p = m.log2(x, *head_gates(sure, t.state.take(token)), bits.take(step))
+        out[k : k + block] = np.add.reduceat(p, starts, dtype=np.float64)  # every code has a bit
     return out
 
 
 # ---------------------------------------------------------------- rests of tokens
 
 
+def closed(tokens: list[bytes] | pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of tokens, each word closed by a space, and how many each has."""
+    tokens = tokens if isinstance(tokens, pa.Array) else pa.array(tokens, pa.binary())
+    bare, space = pa.scalar(b"", pa.binary()), pa.scalar(b" ", pa.binary())
+    x = pc.binary_join_element_wise(tokens, pc.if_else(pc.equal(tokens, pa.scalar(END, pa.binary())), bare, space), bare)
+    if not len(x):
+        return np.zeros(0, np.uint8), np.zeros(0, np.int64)
+    to = np.frombuffer(x.buffers()[1], np.int32)[: len(x) + 1].astype(np.int64)
+    return np.frombuffer(x.buffers()[2], np.uint8)[: to[-1]], np.diff(to)
+
+
 class Rests:
-    """Flat bytes after the first of (state, token) pairs, with their contexts."""
-
-    def __init__(self, tokens: list[bytes], state: np.ndarray, depth: np.ndarray):
-        closed = [t + b" " if t != END else t for t in tokens]
-        size = np.fromiter(map(len, closed), np.int64, len(closed))
-        x = np.frombuffer(b"".join(closed), np.uint8)
-        token = np.repeat(np.arange(len(closed)), size)
-        starts = np.concatenate([[0], np.cumsum(size)[:-1]]) if len(size) else size
-        place = np.arange(len(x)) - starts[token]
-        v = x.astype(np.uint64) + np.uint64(1)
-        back = [np.where(place >= k, np.concatenate([np.zeros(min(k, len(v)), np.uint64), v[: max(0, len(v) - k)]]), np.uint64(0)) for k in (1, 2, 3, 4)]
-        powers = np.cumprod(np.full(int(size.max(initial=1)), _A | np.uint64(1), np.uint64))
-        run = np.concatenate([[np.uint64(0)], np.cumsum(v * powers[place], dtype=np.uint64)]) if len(x) else np.zeros(1, np.uint64)
-        whole = (run[:-1] - run[starts[token]] if len(x) else np.zeros(0, np.uint64)) + place.astype(np.uint64)
+    """Flat bytes after the first of (state, token) pairs, with their contexts; by falling length of codes, if given the ``code``."""
+
+    def __init__(self, tokens: list[bytes] | pa.Array, state: np.ndarray, depth: np.ndarray, code: Code | None = None):
+        x, size = closed(tokens)
+        token = np.repeat(np.arange(len(size)), size)
+        self.starts = np.cumsum(size) - size
+        place = np.arange(len(x)) - self.starts[token]
         keep = np.flatnonzero(place > 0)
+        if code is not None:
+            keep = keep[code.longest_first(x[keep - 1], x[keep])]
+        self.bytes, self.places, self.keep, self.tokens = x, place, keep, token
         self.token, self.place = token[keep], place[keep]
-        self.before, self.symbol = np.concatenate([[0], x[:-1]])[keep].astype(np.int64) if len(x) else keep, x[keep]
-        s = state[self.token].astype(np.uint64) + np.uint64(1)
-        b1, b2, b3, b4 = (b[keep] for b in back)
+        self.before, self.symbol = x[keep - 1].astype(np.int64), x[keep]
+        self.state = state[self.token].astype(np.uint64) + np.uint64(1)
+        self.far = self.place >= depth[self.token]
+
+    @cached_property
+    def contexts(self) -> list[np.ndarray]:
+        v = np.concatenate([np.zeros(4, np.uint64), self.bytes.astype(np.uint64) + np.uint64(1)])
+        b1, b2, b3, b4 = (v[self.keep + (4 - k)] * (self.place >= k) for k in (1, 2, 3, 4))
         two = _mix(b1) + b2
         four = _mix(_mix(two) + b3) + b4
-        self.contexts = [_mix(c + salt) for c, salt in zip((_mix(two) + s, four, _mix(four) + s), _SALT)]
-        w = whole[keep]
-        self.own = [_mix(w + _SALT[6]), _mix(_mix(w) + s + _SALT[7])]  # the whole beginning, without and with the state
-        self.far = self.place >= depth[self.token]
+        return [_mix(c + salt) for c, salt in zip((_mix(two) + self.state, four, _mix(four) + self.state), _SALT)]
+
+    @cached_property
+    def own(self) -> list[np.ndarray]:
+        """The whole beginning, without and with the state."""
+        powers = np.cumprod(np.full(int(self.places.max(initial=0)) + 1, _A | np.uint64(1), np.uint64))
+        run = np.concatenate([[np.uint64(0)], np.cumsum((self.bytes.astype(np.uint64) + np.uint64(1)) * powers[self.places], dtype=np.uint64)])
+        w = run[self.keep] - run[self.starts[self.token]] + self.place.astype(np.uint64)
+        return [_mix(w + _SALT[6]), _mix(_mix(w) + self.state + _SALT[7])]
 
 
 class Beginnings:
@@ -303,22 +428,24 @@ class Beginnings:
 
     def __init__(self, bits_in_all: int):
         self.bits = min(23, max(10, math.ceil(math.log2(max(1, bits_in_all)))))
-        self.tables = [np.zeros((2, 1 << self.bits), np.float32) for _ in range(2)]
+        self.tables = paired(empty_tables((self.bits, self.bits)))
 
     def add(self, r: Rests, code: Code, weight: np.ndarray) -> None:
         for at, node, bit in code.steps(r.before, r.symbol):
             far = np.flatnonzero(r.far[at])
-            w, one = weight[r.token[at[far]]], bit[far].astype(np.int64)
+            there, node, one = part_of(at, far), node[far], bit[far].astype(np.int64)
+            w = weight[r.token[there]]
             for a, c in zip(self.tables, r.own):
-                np.add.at(a.reshape(-1), slot(c[at[far]], node[far], self.bits) + one * a.shape[1], w)
+                count_up(a, slot(c[there], node, self.bits), one, w)
 
     def counts(self, r: Rests, at, node) -> list[tuple[np.ndarray, np.ndarray]]:
         s = [slot(c[at], node, self.bits) for c in r.own]
-        return [(a[0][k], a[1][k]) for a, k in zip(self.tables, s)]
+        return [counts_at(a, k) for a, k in zip(self.tables, s)]
 
 
 def rest_gates(sure) -> tuple[np.ndarray, np.ndarray]:
-    return sure[4] * GATES + sure[3], sure[1] * GATES + np.minimum(GATES - 1, sure[0] // 2 + 7 * (sure[4] > 0))
+    first, second = sure[4] * GATES + sure[3], sure[1] * GATES + np.minimum(GATES - 1, sure[0] // 2 + 7 * (sure[4] > 0))
+    return first.astype(np.int64, copy=False), second.astype(np.int64, copy=False)
 
 
 def rest_odds(r: Rests, at, node, bit, fixed: list[np.ndarray], own: Beginnings, less: np.ndarray):
@@ -326,7 +453,7 @@ def rest_odds(r: Rests, at, node, bit, fixed: list[np.ndarray], own: Beginnings,
 
     Near its start a token's beginning is the last four bytes, which the fixed tables know.
     """
-    pairs = [[a[0][s], a[1][s]] for a, s in zip(fixed, (slot(c[at], node, b) for c, b in zip(r.contexts, REST_BITS)))]
+    pairs = [[*counts_at(a, s)] for a, s in zip(fixed, (slot(c[at], node, b) for c, b in zip(r.contexts, REST_BITS)))]
     n = less[r.token[at]]
     n1 = n * bit
     n0 = n - n1
@@ -334,7 +461,7 @@ def rest_odds(r: Rests, at, node, bit, fixed: list[np.ndarray], own: Beginnings,
         p[0], p[1] = np.maximum(p[0] - n0, 0), np.maximum(p[1] - n1, 0)
     x, sure = map(list, zip(*(Mixer.odds(*p) for p in pairs)))
     far = np.flatnonzero(r.far[at])
-    for near, (zero, one) in zip((1, 2), own.counts(r, at[far], node[far])):
+    for near, (zero, one) in zip((1, 2), own.counts(r, part_of(at, far), node[far])):
         a, e = x[near].copy(), sure[near].copy()
         a[far], e[far] = Mixer.odds(np.maximum(zero - n0[far], 0), np.maximum(one - n1[far], 0))
         x.append(a), sure.append(e)
@@ -347,7 +474,7 @@ def price_rests(r: Rests, code: Code, prices: Prices, own: Beginnings, m: Mixer,
     for at, node, bit in code.steps(r.before, r.symbol):
         x, sure = prices(r.contexts, at, node)
         far = np.flatnonzero(r.far[at])
-        for near, counts in zip((1, 2), own.counts(r, at[far], node[far])):
+        for near, counts in zip((1, 2), own.counts(r, part_of(at, far), node[far])):
             a, e = x[near].copy(), sure[near].copy()
             a[far], e[far] = Mixer.odds(*counts)
             x.append(a), sure.append(e)
@@ -392,21 +519,24 @@ def classes(follows: np.ndarray, groups: int) -> np.ndarray:
     return out
 
 
-def _raw(b: pa.RecordBatch) -> list[bytes | None]:
-    return b.column("text").cast(pa.binary()).to_pylist()
-
-
 def _frequent(most: int):
     """Words of a task's texts, with counts that are short by at most one in ``most`` of all (Misra and Gries, 1982)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter = Counter()
         for b in batches:
-            for raw in _raw(b):
-                held.update(tokens_of(raw or b""))
-                if len(held) > 8 * most:
-                    least = sorted(held.values(), reverse=True)[most]
-                    held = Counter({w: c - least for w, c in held.items() if c > least})
+            each = split(b.column("text"))[1].value_counts()
+            n = each.field("counts").to_numpy().copy()
+            empty = pc.index(each.field("values"), pa.scalar(b"", pa.binary())).as_py()
+            if empty >= 0:
+                n[empty] = 0
+            if len(n) > 8 * most:
+                n -= min(n.max(), np.partition(n, -1 - most)[-1 - most])
+            some = np.flatnonzero(n > 0)
+            held.update(dict(zip(each.field("values").take(pa.array(some)).to_pylist(), n[some].tolist())))
+            if len(held) > 8 * most:
+                least = sorted(held.values(), reverse=True)[most]
+                held = Counter({w: c - least for w, c in held.items() if c > least})
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["w", "n"])
 
     return run
@@ -414,16 +544,18 @@ def _frequent(most: int):
 
 def _anchors(words: list[bytes]):
     """How often each of ``words`` is the next of them after another, and (``b`` null) how often it occurs."""
-    index = {w: i for i, w in enumerate(words)}
+    index = pa.array(words, pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = len(words)
         n, alone = np.zeros(k * k, np.int64), np.zeros(k, np.int64)
         for b in batches:
-            for raw in _raw(b):
-                x = np.array([i for i in map(index.get, tokens_of(raw or b"")) if i is not None], np.int64)
-                n += np.bincount(x[:-1] * k + x[1:], minlength=k * k)
-                alone += np.bincount(x, minlength=k)
+            size, tokens = split(b.column("text"))
+            x = pc.index_in(tokens, value_set=index).fill_null(-1).to_numpy()
+            at = np.flatnonzero(x >= 0)
+            x, doc = x[at].astype(np.int64), np.repeat(np.arange(len(size)), size)[at]
+            n += np.bincount((x[:-1] * k + x[1:])[doc[1:] == doc[:-1]], minlength=k * k)
+            alone += np.bincount(x, minlength=k)
         at = np.flatnonzero(n)
         a, c = [words[i // k] for i in at.tolist()], [words[i % k] for i in at.tolist()]
         yield pa.RecordBatch.from_arrays([pa.array(a + words, pa.binary()), pa.array(c + [None] * k, pa.binary()), pa.array(np.concatenate([n[at], alone]))], names=["a", "b", "n"])
@@ -445,7 +577,7 @@ def _read_corpus(groups: dict[bytes, int], code: Code):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held = Vocabulary(groups, 400_000), [np.zeros(0, np.int64), np.zeros(0, np.int64)]
-        tables, m, used = empty_tables(HEAD_BITS), Mixer(len(HEAD_BITS)), False
+        tables, m, used = paired(empty_tables(HEAD_BITS)), Mixer(len(HEAD_BITS)), False
 
         def out() -> Iterator[pa.RecordBatch]:
             n = max(map(len, held))
@@ -457,16 +589,20 @@ def _read_corpus(groups: dict[bytes, int], code: Code):
             held[0], held[1] = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
         for b in batches:
+            if len(known) > known.most:
+                yield from out()
+                known.reset()
+            ids, size = numbered(b.column("text"), known)
+            learned = np.array(b.column("learned").to_pylist(), bool)
+            end = np.concatenate([[0], np.cumsum(size)])
+            for i in (0, 1):
+                if 8 * len(known) > len(held[i]):
+                    held[i] = np.pad(held[i], (0, 16 * len(known) - len(held[i])))
             for k in range(0, b.num_rows, 100):
-                part = b.slice(k, 100)
-                texts, learned = _raw(part), part.column("learned").to_pylist()
-                if len(known) > known.most:
-                    yield from out()
-                    known.reset()
-                for i in (0, 1):
-                    t = Texts([x for x, y in zip(texts, learned) if y is not bool(i)], known, False)
-                    if 8 * len(known) > len(held[i]):
-                        held[i] = np.pad(held[i], (0, 16 * len(known) - len(held[i])))
+                part, own = size[k : k + 100], learned[k : k + 100]
+                tokens, of_learned = ids[end[k] : end[k + len(part)]], np.repeat(own, part)
+                for i, mine, own in ((0, of_learned, own), (1, ~of_learned, ~own)):
+                    t = Texts.of(tokens[mine], part[own], known)
                     np.add.at(held[i], (t.ids << 3) | t.state, 1)
                     if not i and len(t.ids):
                         learn_heads(t, code, tables, m)
@@ -562,6 +698,18 @@ def _dealt(pairs: DataFrame, most: int) -> DataFrame:
     return known
 
 
+def regrouped(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in batches of at least ``rows``, but for the last: small ones spend their time on calls."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 @tidy
 def _rated(pairs: DataFrame, code: Code, task_pairs: int) -> DataFrame:
     """``pairs`` with ``log2``, the price of each token's rest."""
@@ -569,20 +717,20 @@ def _rated(pairs: DataFrame, code: Code, task_pairs: int) -> DataFrame:
     rows, v = pairs.agg(F.count("*"), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
     tasks = max(1, math.ceil(rows / task_pairs))
 
-    def some(b: pa.RecordBatch, k: int, n: int) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    def some(b: pa.RecordBatch, k: int, n: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
         p = b.slice(k, n)
-        return p.column("token").to_pylist(), p.column("state").to_numpy().astype(np.int64), p.column("c").to_numpy().astype(np.float32), (p.column("depth").to_numpy() if "depth" in b.schema.names else np.full(p.num_rows, 1 << 30))
+        return p.column("token"), p.column("state").to_numpy().astype(np.int64), p.column("c").to_numpy().astype(np.float32), (p.column("depth").to_numpy() if "depth" in b.schema.names else np.full(p.num_rows, 1 << 30))
 
     def count_bits(batches):
-        acc, used = empty_tables(REST_BITS), False
-        for b in batches:
-            for k in range(0, b.num_rows, 20_000):
-                token, state, c, depth = some(b, k, 20_000)
-                r = Rests(token, state, depth)
+        acc, used = paired(empty_tables(REST_BITS)), False
+        for b in regrouped(batches, 5_000):
+            for k in range(0, b.num_rows, 5_000):
+                token, state, c, depth = some(b, k, 5_000)
+                r = Rests(token, state, depth, code)
                 for at, node, bit in code.steps(r.before, r.symbol):
                     w, one = c[r.token[at]], bit.astype(np.int64)
                     for a, x, size in zip(acc, r.contexts, REST_BITS):
-                        np.add.at(a.reshape(-1), slot(x[at], node, size) + one * a.shape[1], w)
+                        count_up(a, slot(x[at], node, size), one, w)
                 used = True
         if used:
             yield from _sparse(acc)
@@ -592,13 +740,13 @@ def _rated(pairs: DataFrame, code: Code, task_pairs: int) -> DataFrame:
 
     def whole(batches) -> Iterator[tuple[list[pa.RecordBatch], Beginnings]]:
         """One task's rows, and the counts of their beginnings."""
-        held = list(batches)
+        held = list(regrouped(batches, 10_000))
         bits = sum(int(b.column("token").nbytes) * 5 for b in held)
         own = Beginnings(bits // 2)
         for b in held:
-            for k in range(0, b.num_rows, 20_000):
-                token, state, c, depth = some(b, k, 20_000)
-                own.add(Rests(token, state, depth), code, c.astype(np.float32))
+            for k in range(0, b.num_rows, 5_000):
+                token, state, c, depth = some(b, k, 5_000)
+                own.add(Rests(token, state, depth, code), code, c.astype(np.float32))
         return held, own
 
     def learn(batches):
@@ -610,7 +758,7 @@ def _rated(pairs: DataFrame, code: Code, task_pairs: int) -> DataFrame:
                 pick = np.flatnonzero(c > 0)
                 if not len(pick):
                     continue
-                r = Rests([token[i] for i in pick], state[pick], depth[pick])
+                r = Rests(token.take(pa.array(pick)), state[pick], depth[pick], code)
                 share, used = (c[pick] / c[pick].sum()).astype(np.float32), True
                 m.map *= 0.97
                 for at, node, bit in code.steps(r.before, r.symbol):
@@ -626,10 +774,10 @@ def _rated(pairs: DataFrame, code: Code, task_pairs: int) -> DataFrame:
         held, own = whole(batches)
         prices = Prices(fixed.value, REST_BITS)
         for b in held:
-            for k in range(0, b.num_rows, 20_000):
-                token, state, _, depth = some(b, k, 20_000)
-                p = price_rests(Rests(token, state, depth), code, prices, own, mixer.value, len(token))
-                s = b.slice(k, 20_000)
+            for k in range(0, b.num_rows, 5_000):
+                token, state, _, depth = some(b, k, 5_000)
+                p = price_rests(Rests(token, state, depth, code), code, prices, own, mixer.value, len(token))
+                s = b.slice(k, 5_000)
                 yield pa.RecordBatch.from_arrays([*(s.column(x) for x in ("state", "token", "c_token", "c_all")), pa.array(p)], names=["state", "token", "c_token", "c_all", "log2"])
 
     out = settle(dealt.mapInArrow(rate, "state int, token binary, c_token long, c_all long, log2 double"))
@@ -698,11 +846,8 @@ def fit(docs: DataFrame, learned: Column, heavy: int = 500_000, task_pairs: int
     def bigrams(batches):
         count = np.zeros(256 * 256)
         for b in batches:
-            tokens, c = b.column("token").to_pylist(), b.column("c").to_numpy().astype(float)
-            closed = [t + b" " if t != END else t for t in tokens]
-            size = np.fromiter(map(len, closed), np.int64, len(closed))
-            x = np.frombuffer(b"".join(closed), np.uint8).astype(np.int64)
-            w = np.repeat(c, size)
+            x, size = closed(b.column("token"))
+            x, w = x.astype(np.int64), np.repeat(b.column("c").to_numpy().astype(float), size)
             inner = np.ones(len(x), bool)
             inner[np.cumsum(size) - size] = False
             inner = np.flatnonzero(inner)
@@ -730,17 +875,19 @@ def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
         code, tables, mixer = head.value
         prices, known = Prices(tables, HEAD_BITS), Vocabulary(groups)
         key, seen, log2 = heavy.value
-        price, base, size, filled = np.full(1 << 16, np.nan, np.float32), np.zeros(1 << 16), np.zeros(0, np.int64), 0
+        price, base, size = np.full(1 << 16, np.nan, np.float32), np.zeros(1 << 16), np.zeros(0, np.int64)
         for whole in batches:
+            if len(known) > known.most:
+                known.reset()
+                price[:], size = np.nan, np.zeros(0, np.int64)
+            ids, tokens = numbered(whole.column("text"), known)
+            end = np.concatenate([[0], np.cumsum(tokens)])
+            while len(price) < 8 * len(known):
+                price, base = np.concatenate([price, np.full(len(price), np.nan, np.float32)]), np.concatenate([base, np.zeros(len(base))])
+            size = np.concatenate([size, np.fromiter(map(len, known.words[len(size) :]), np.int64)])
             for k in range(0, whole.num_rows, 100):
                 b = whole.slice(k, 100)
-                t = Texts(_raw(b), known)
-                if len(known) < filled:  # the vocabulary was emptied
-                    price[:], size = np.nan, np.zeros(0, np.int64)
-                filled = len(known)
-                while len(price) < 8 * filled:
-                    price, base = np.concatenate([price, np.full(len(price), np.nan, np.float32)]), np.concatenate([base, np.zeros(len(base))])
-                size = np.concatenate([size, np.fromiter(map(len, known.words[len(size) :]), np.int64)])
+                t = Texts.of(ids[end[k] : end[k + b.num_rows]], tokens[k : k + b.num_rows], known)
                 # Not a number: not looked up yet; infinite: not heavy.
                 pair = (t.ids << 3) | t.state
                 at = price[pair]

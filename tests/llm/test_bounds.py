@@ -134,3 +134,47 @@ def test_seed_changes_the_order_of_blocks(spark):
     assert sorted(a) == sorted(b) == list(range(500)) and a != b and order(1) == a
     step = {(y - x) % 500 for x, y in zip(a, a[1:])}, {(y - x) % 500 for x, y in zip(b, b[1:])}
     assert all(len(s) == 1 for s in step)
+
+
+def test_pairs_are_learned_in_blocks_of_one_size():
+    """However few rows a batch has: many small ones cost calls, and moved the weights by shares of few pairs."""
+    import pyarrow as pa
+
+    some = [pa.RecordBatch.from_pydict({"x": list(range(k, k + 10))}) for k in range(0, 250, 10)]
+    got = list(context_mix.regrouped(iter(some), 100))
+    assert [b.num_rows for b in got] == [100, 100, 50] and [x for b in got for x in b.column("x").to_pylist()] == list(range(250))
+    assert not list(context_mix.regrouped(iter([]), 100))
+
+
+def test_words_are_looked_up_once_for_all_texts():
+    """A batch asks its vocabulary once for each different word; words and sizes are those of each text alone."""
+    import pyarrow as pa
+
+    asked = []
+
+    class Asked(context_mix.Vocabulary):
+        def __getitem__(self, w):
+            asked.append(w)
+            return super().__getitem__(w)
+
+    texts = [b" The the\x0b\x0cx\x1cy ", None, b"", b"\xff the", b"\t\r\n", b"the"] * 50
+    known = Asked({})
+    ids, size = context_mix.numbered(pa.array([b"left out", *texts], pa.binary()).slice(1), known)
+    want = [[*(t or b"").lower().split(), b"\n"] for t in texts]
+    assert [known.words[i] for i in ids] == [w for t in want for w in t] and size.tolist() == list(map(len, want))
+    assert len(asked) <= 6
+    t = context_mix.Texts(texts[:2], known)
+    assert t.two.tolist()[:3] == [0, 0, t.one[1]] and t.one[4] == 0 and t.doc.tolist() == [0, 0, 0, 0, 1]
+
+
+def test_prices_of_one_batch_do_not_depend_on_blocks():
+    rng = np.random.default_rng(3)
+    known = context_mix.Vocabulary({b"a": 1})
+    t = context_mix.Texts([b" ".join(bytes([97 + int(x) % 20, 97 + int(x) % 7]) for x in rng.integers(0, 99, 300)) for _ in range(5)], known)
+    code, m = context_mix.Code(np.bincount(t.first, minlength=256).reshape(1, -1).astype(float)), context_mix.Mixer(3)
+    plain, side = context_mix.empty_tables(context_mix.HEAD_BITS), context_mix.paired(context_mix.empty_tables(context_mix.HEAD_BITS))
+    for tables in (plain, side):
+        context_mix.learn_heads(t, code, tables, context_mix.Mixer(3))
+    assert all(np.array_equal(a, b) and a.any() for a, b in zip(plain, side))
+    prices = context_mix.Prices(side, context_mix.HEAD_BITS)
+    assert np.array_equal(context_mix.price_heads(t, code, prices, m, 7), context_mix.price_heads(t, code, prices, m))
